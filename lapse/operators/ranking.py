@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapse.session import materialize
+
 
 def _n_parts(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
@@ -97,7 +99,7 @@ def range_bounds(df: DataFrame, specs, n_parts: int, seed: int = 17) -> list[tup
 
 
 def cumulative(df: DataFrame, order_cols, sum_cols=(), partition_cols=(), prefix: str = "cum_",
-               row_col: str = "_row", n_parts: int | None = None) -> DataFrame:
+               row_col: str = "_row", n_parts: int | None = None, checkpoint: bool = True) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` (``cum_<c>``) and a 1-based row
     position ``row_col`` in the order ``order_cols`` ('col' or 'col desc'),
     restarting for every combination of ``partition_cols``.
@@ -112,6 +114,9 @@ def cumulative(df: DataFrame, order_cols, sum_cols=(), partition_cols=(), prefix
     specs = [(c, False) for c in partition_cols] + [_spec(c) for c in order_cols]
     order = [_sort_col(n, d) for n, d in specs]
     n = n_parts or _n_parts(df)
+    if checkpoint:
+        # the input is read four times (count, sample, running sums, totals)
+        df = materialize(df)
     bounds = range_bounds(df, specs, n)
     r = df.withColumn("_pid", _bucket_expr(specs, bounds) if bounds else F.lit(0))
     w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

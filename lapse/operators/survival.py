@@ -83,15 +83,7 @@ def logrank(df: DataFrame, duration: str, event: str, group: str) -> DataFrame:
 
 
 def logrank_pvalue(stat: DataFrame) -> DataFrame:
-    """p-value of the 1-dof chi-square on the single statistic row:
-    erfc(sqrt(chi2 / 2)) in a vectorised pandas UDF (Spark has no erfc)."""
-    import math
-
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("double")
-    def chi2_sf(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: math.erfc(math.sqrt(v / 2.0)) if v == v and v >= 0 else float("nan"))
-
-    return stat.withColumn("p_value", chi2_sf(F.col("chi2")))
+    """p-value of the 1-dof chi-square on the single statistic row (Spark has
+    no erfc; a vectorised pandas UDF evaluates it)."""
+    from lapse.functions.udfs import chi2_sf_1dof
+    return stat.withColumn("p_value", chi2_sf_1dof(F.col("chi2")))

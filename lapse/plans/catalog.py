@@ -6,8 +6,8 @@ import importlib
 
 from lapse.plans.registry import QUERIES, as_entry
 
-PLAN_MODULES = ("q_core",)
-ORACLE_MODULES = ("oracle_core",)
+PLAN_MODULES = ("q_core", "q_eval")
+ORACLE_MODULES = ("oracle_core", "oracle_eval")
 
 
 def _load():

@@ -15,6 +15,7 @@ from lapse.operators import features as fe
 from lapse.operators import population as pop
 from lapse.params import TEST_PARAMS, Params
 from lapse.sources import adapters
+from lapse.session import materialize
 from lapse.sources.io import table
 
 
@@ -88,7 +89,7 @@ class Ctx:
 
     @cached_property
     def survival(self) -> DataFrame:
-        return pop.survival_table(self.txn, self.p.last_date, self.p.grace_days)
+        return materialize(pop.survival_table(self.txn, self.p.last_date, self.p.grace_days))
 
     @cached_property
     def last_paid(self) -> DataFrame:
@@ -103,4 +104,4 @@ class Ctx:
         """Labelled users with deterministic stand-in scores (see adapters.score_columns)."""
         lab = self.labels.select("msno", "is_churn",
                                  F.coalesce(F.col("fwd_rev"), F.lit(0.0)).alias("fwd_rev"))
-        return adapters.score_columns(lab, self.t("customer"), self.last_paid)
+        return materialize(adapters.score_columns(lab, self.t("customer"), self.last_paid))

@@ -222,3 +222,34 @@ AGE_CASE = """CASE WHEN {c} BETWEEN 1 AND 17 THEN '1-17'
             WHEN {c} BETWEEN 35 AND 44 THEN '35-44'
             WHEN {c} BETWEEN 45 AND 100 THEN '45-100'
             ELSE 'unknown/invalid' END"""
+
+BASE.update({
+    "cust_score": """cust_score AS (
+  SELECT c_custkey AS msno,
+         CAST(floor((c_acctbal - (SELECT min(c_acctbal) FROM customer))
+              / ((SELECT max(c_acctbal) FROM customer) - (SELECT min(c_acctbal) FROM customer)) * 1000) / 1000
+              AS DOUBLE) AS p_churn_raw
+  FROM customer)""",
+    "last_paid": """last_paid AS (
+  SELECT msno, actual_amount_paid AS last_paid FROM (
+    SELECT t.msno, t.actual_amount_paid,
+           row_number() OVER (PARTITION BY t.msno ORDER BY t.txn_dt DESC, t.txn_id DESC) AS rn
+    FROM paid t JOIN refs r USING (msno) WHERE t.txn_dt <= r.ref_date) WHERE rn = 1)""",
+    "scored": """scored AS (
+  SELECT l.msno, l.is_churn, coalesce(l.fwd_rev, 0.0) AS fwd_rev,
+         coalesce(cs.p_churn_raw, 0.0) AS p_churn_raw,
+         coalesce(lp.last_paid, 0.0) AS e_amount,
+         coalesce(lp.last_paid, 0.0) * (1.0 - coalesce(cs.p_churn_raw, 0.0)) AS e_fwd_rev
+  FROM lab l LEFT JOIN cust_score cs USING (msno) LEFT JOIN last_paid lp USING (msno))""",
+    "results": """results AS (
+  SELECT *, row_number() OVER (ORDER BY priority_score DESC, msno) AS rank FROM (
+    SELECT *, p_churn * e_fwd_rev AS priority_score FROM (
+      SELECT *, (rank() OVER (ORDER BY p_churn_raw) + (count(*) OVER (PARTITION BY p_churn_raw) - 1) / 2.0)
+                / (SELECT count(*) FROM scored) AS p_churn
+      FROM scored)))""",
+    "latest_renew": """latest_renew AS (
+  SELECT msno, is_auto_renew FROM (
+    SELECT msno, is_auto_renew, row_number() OVER (PARTITION BY msno ORDER BY txn_dt DESC, txn_id DESC) AS rn
+    FROM paid) WHERE rn = 1)""",
+})
+ORDER[:] = list(BASE)

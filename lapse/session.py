@@ -30,6 +30,7 @@ def get_spark(master: str | None = None, app: str = "lapse", shuffle_partitions:
         b = b.master(master)
     conf = dict(SPARK_CONF)
     conf["spark.ui.enabled"] = "false"
+    conf.setdefault("spark.driver.memory", os.environ.get("LAPSE_DRIVER_MEMORY", "16g"))
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -68,3 +69,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+
+    Used where one intermediate feeds several consumers (ranked results,
+    scored populations, range-bucketed inputs): the consumers then read the
+    same written data, plans stay small, and a lost executor re-reads the
+    checkpoint instead of recomputing a long lineage.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -97,20 +97,22 @@ def event_log(events: DataFrame) -> DataFrame:
                          "event_type", "value", "event_id")
 
 
-def score_columns(labels: DataFrame, customer: DataFrame, last_paid: DataFrame | None = None) -> DataFrame:
-    """Deterministic stand-in scores for keys that need a model output.
-
-    p_churn_raw = (c_acctbal - min) / (max - min) rounded to 3 digits (ties on
-    purpose); e_fwd_rev = last pre-ref paid amount * (1 - p_churn_raw), 2 digits.
-    The min/max are scalar subqueries over the whole customer table.
-    """
-    bal = customer.select(F.col("c_custkey").alias("msno"), "c_acctbal")
+def customer_score(customer: DataFrame) -> DataFrame:
+    """Deterministic stand-in probability per customer (msno, p_churn_raw):
+    (c_acctbal - min) / (max - min) floored to 3 digits (ties on purpose).
+    min / max are scalar subqueries over the whole customer table."""
     lo = customer.select(F.min("c_acctbal")).scalar()
     hi = customer.select(F.max("c_acctbal")).scalar()
-    p = F.round((F.col("c_acctbal") - lo) / (hi - lo), 3)
-    out = labels.join(bal, "msno", "left").withColumn("p_churn_raw", F.coalesce(p, F.lit(0.0)))
-    if last_paid is not None:
-        out = out.join(last_paid, "msno", "left")
-        out = out.withColumn("e_fwd_rev", F.round(F.coalesce(F.col("last_paid"), F.lit(0.0))
-                                                  * (F.lit(1.0) - F.col("p_churn_raw")), 2))
-    return out.drop("c_acctbal", "last_paid")
+    p = F.floor((F.col("c_acctbal") - lo) / (hi - lo) * 1000) / 1000
+    return customer.select(F.col("c_custkey").alias("msno"), p.cast("double").alias("p_churn_raw"))
+
+
+def score_columns(labels: DataFrame, customer: DataFrame, last_paid: DataFrame) -> DataFrame:
+    """Labelled users with stand-in model outputs for keys that need scores:
+    p_churn_raw (customer_score), e_amount = last pre-ref paid amount (E[amount | pay]),
+    e_fwd_rev = e_amount * (1 - p_churn_raw) (a hurdle-style expected revenue)."""
+    out = (labels.join(customer_score(customer), "msno", "left")
+           .withColumn("p_churn_raw", F.coalesce(F.col("p_churn_raw"), F.lit(0.0)))
+           .join(last_paid, "msno", "left")
+           .withColumn("e_amount", F.coalesce(F.col("last_paid"), F.lit(0.0))))
+    return out.withColumn("e_fwd_rev", F.col("e_amount") * (F.lit(1.0) - F.col("p_churn_raw"))).drop("last_paid")
