@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lapse.operators.metrics import hash_order, hash_uniform
 from lapse.operators.profile import long_values
 from lapse.operators.ranking import quantiles, row_rank
+from lapse.session import materialize
 
 SPLITS = ("train", "val", "test")
 
@@ -60,27 +61,34 @@ def fit_sentinels(train: DataFrame, cols, plus: float = 30) -> DataFrame:
             .agg((F.max("value") + plus).alias("sentinel")))
 
 
+def fitted_values(fitted: DataFrame, value_col: str) -> dict:
+    """The fitted statistics (one row per column, a few dozen numbers) as a dict."""
+    return {r["column"]: r[value_col] for r in fitted.select("column", value_col).collect()}
+
+
 def apply_fill(df: DataFrame, fitted: DataFrame, value_col: str, cols) -> DataFrame:
-    """coalesce(col, fitted value) with the value as a scalar subquery."""
+    """coalesce(col, fitted value); the fitted values enter the plan as literals."""
+    vals = fitted_values(fitted, value_col)
     out = df
     for c in cols:
-        v = fitted.filter(F.col("column") == c).select(value_col).scalar()
-        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), v))
+        v = vals.get(c)
+        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"),
+                                           F.lit(None if v is None else float(v)).cast("double")))
     return out
 
 
 def fit_encoder(train: DataFrame, col: str) -> DataFrame:
     """Sorted distinct train categories (native type order) -> 0..k-1."""
     d = train.select(col).filter(F.col(col).isNotNull()).distinct()
-    return row_rank(d, [col], "_idx").select(col, (F.col("_idx") - 1).alias("index"))
+    return materialize(row_rank(d, [col], "_idx").select(col, (F.col("_idx") - 1).alias("index")))
 
 
 def apply_encoder(df: DataFrame, col: str, mapping: DataFrame, out: str | None = None) -> DataFrame:
     """Index of the category; unseen and NULL -> k (the reserved unknown index)."""
-    k = mapping.select(F.count(F.lit(1))).scalar()
+    k = mapping.count()
     out = out or f"{col}_enc"
     m = mapping.withColumnRenamed("index", out)
-    return df.join(m, col, "left").withColumn(out, F.coalesce(F.col(out), k).cast("bigint"))
+    return df.join(m, col, "left").withColumn(out, F.coalesce(F.col(out), F.lit(k)).cast("bigint"))
 
 
 def fit_scaler(train: DataFrame, cols) -> DataFrame:
@@ -91,12 +99,11 @@ def fit_scaler(train: DataFrame, cols) -> DataFrame:
 
 def apply_scaler(df: DataFrame, scaler: DataFrame, cols, suffix: str = "_scaled") -> DataFrame:
     """(x - mean) / std, with std 0 treated as 1 (as a standard scaler does)."""
+    means, stds = fitted_values(scaler, "mean"), fitted_values(scaler, "std")
     out = df
     for c in cols:
-        row = scaler.filter(F.col("column") == c)
-        mean = row.select("mean").scalar()
-        std = row.select(F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std"))).scalar()
-        out = out.withColumn(f"{c}{suffix}", (F.col(c).cast("double") - mean) / std)
+        std = stds[c] if stds[c] else 1.0
+        out = out.withColumn(f"{c}{suffix}", (F.col(c).cast("double") - F.lit(float(means[c]))) / F.lit(float(std)))
     return out
 
 

@@ -6,8 +6,8 @@ import importlib
 
 from lapse.plans.registry import QUERIES, as_entry
 
-PLAN_MODULES = ("q_core", "q_eval")
-ORACLE_MODULES = ("oracle_core", "oracle_eval")
+PLAN_MODULES = ("q_core", "q_eval", "q_prep")
+ORACLE_MODULES = ("oracle_core", "oracle_eval", "oracle_prep")
 
 
 def _load():
