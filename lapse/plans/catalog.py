@@ -21,8 +21,9 @@ def queries():
 
 
 def oracle_sql():
+    from lapse.plans.oracle_base import fix_rounding
     out = {}
     for m in ORACLE_MODULES:
         out.update(importlib.import_module(f"lapse.plans.{m}").ORACLE)
     _load()
-    return {k: v for k, v in out.items() if k in QUERIES}
+    return {k: fix_rounding(v) for k, v in out.items() if k in QUERIES}

@@ -19,6 +19,13 @@ from lapse.session import materialize
 from lapse.sources.io import table
 
 
+def round_half_away(c, digits: int = 6):
+    """round(x * 10^d) / 10^d (+ 0.0 turns -0.0 into 0.0).  The same formula is
+    used by the SQL oracle, so equal doubles always round to equal doubles."""
+    scale = float(10 ** digits)
+    return F.round(c.cast("double") * scale) / scale + F.lit(0.0)
+
+
 def rnd(df: DataFrame, digits: int = 6) -> DataFrame:
     """Normalise an output: integers -> bigint, floats -> double rounded to
     ``digits`` (float sums differ in the last bits with summation order)."""
@@ -26,11 +33,11 @@ def rnd(df: DataFrame, digits: int = 6) -> DataFrame:
     for f in df.schema.fields:
         t = f.dataType.typeName()
         if t in ("double", "float"):
-            out.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+            out.append(round_half_away(F.col(f.name), digits).alias(f.name))
         elif t in ("byte", "short", "integer"):
             out.append(F.col(f.name).cast("bigint").alias(f.name))
         elif t == "decimal":
-            out.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+            out.append(round_half_away(F.col(f.name), digits).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)

@@ -213,7 +213,55 @@ def with_base(body: str) -> str:
 def R(col: str, digits: int = 6, alias: str | None = None) -> str:
     """round(col, digits) AS alias — the oracle side of ``rnd``."""
     a = alias or col.split(".")[-1]
-    return f"round(CAST({col} AS DOUBLE), {digits}) AS {a}"
+    return f"round({col}, {digits}) AS {a}"
+
+
+def _split_args(inner: str):
+    depth, quote = 0, False
+    for i in range(len(inner) - 1, -1, -1):
+        ch = inner[i]
+        if ch == "'":
+            quote = not quote
+        elif quote:
+            continue
+        elif ch == ")":
+            depth += 1
+        elif ch == "(":
+            depth -= 1
+        elif ch == "," and depth == 0:
+            return inner[:i], inner[i + 1:].strip()
+    return inner, None
+
+
+def fix_rounding(sql: str) -> str:
+    """Rewrite every round(x, d) into round(x * 10^d) / 10^d + 0.0 on DOUBLE,
+    the formula the Spark side uses (see plans.context.round_half_away)."""
+    out, i = [], 0
+    low = sql.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0 or (j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        k, depth = j + 6, 1
+        while depth:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+            k += 1
+        inner = fix_rounding(sql[j + 6:k - 1])
+        expr, d = _split_args(inner)
+        if d is None or not d.isdigit():
+            out.append(sql[i:j] + "round(" + inner + ")")
+        else:
+            sc = f"CAST({10 ** int(d)} AS DOUBLE)"
+            out.append(sql[i:j] + f"(round(CAST({expr} AS DOUBLE) * {sc}) / {sc} + 0.0)")
+        i = k
 
 
 AGE_CASE = """CASE WHEN {c} BETWEEN 1 AND 17 THEN '1-17'
@@ -227,7 +275,7 @@ BASE.update({
     "cust_score": """cust_score AS (
   SELECT c_custkey AS msno,
          CAST(floor((c_acctbal - (SELECT min(c_acctbal) FROM customer))
-              / ((SELECT max(c_acctbal) FROM customer) - (SELECT min(c_acctbal) FROM customer)) * 1000) / 1000
+              / ((SELECT max(c_acctbal) FROM customer) - (SELECT min(c_acctbal) FROM customer)) * 1024) / 1024
               AS DOUBLE) AS p_churn_raw
   FROM customer)""",
     "last_paid": """last_paid AS (

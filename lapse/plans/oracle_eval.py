@@ -83,11 +83,11 @@ SELECT {R('sum(np * ctp / (ctp + cfp)) / sum(np)', 6, 'average_precision')} FROM
     "roc_curve": with_base(f"""
 WITH {_st}, {_cum}, tot AS (SELECT CAST(sum(np) AS DOUBLE) AS P, CAST(sum(nn) AS DOUBLE) AS N FROM st)
 SELECT CAST(NULL AS DOUBLE) AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr
-UNION ALL SELECT s, {R('cfp / N', 6, 'fpr')}, {R('ctp / P', 6, 'tpr')} FROM cc, tot"""),
+UNION ALL SELECT {R('s', 6, 'threshold')}, {R('cfp / N', 6, 'fpr')}, {R('ctp / P', 6, 'tpr')} FROM cc, tot"""),
     "pr_curve": with_base(f"""
 WITH {_st}, {_cum}, tot AS (SELECT CAST(sum(np) AS DOUBLE) AS P, CAST(sum(np + nn) AS DOUBLE) AS N FROM st)
 SELECT threshold, precision, recall, {R('P / N', 6, 'base_rate')} FROM (
-  SELECT s AS threshold, {R('ctp / (ctp + cfp)', 6, 'precision')}, {R('ctp / P', 6, 'recall')} FROM cc, tot
+  SELECT {R('s', 6, 'threshold')}, {R('ctp / (ctp + cfp)', 6, 'precision')}, {R('ctp / P', 6, 'recall')} FROM cc, tot
   UNION ALL SELECT CAST(NULL AS DOUBLE), 1.0::DOUBLE, 0.0::DOUBLE) x, tot"""),
     "regression_metrics": with_base(_reg("e_fwd_rev")),
     "metrics_by_payer": with_base(
@@ -164,7 +164,7 @@ SELECT {R('ome', 6, 'o_minus_e')}, {R('v', 6, 'variance')}, CAST(o1 AS BIGINT) A
        {R('ome * ome / v', 6, 'chi2')} FROM agg"""),
     "calibration_bins": with_base(f"""
 WITH {_bins}, {_calg}
-SELECT bin, bin_lo, bin_hi, n, {R('conf', 6, 'avg_confidence')}, {R('acc', 6, 'avg_accuracy')} FROM cb"""),
+SELECT bin, {R('bin_lo')}, {R('bin_hi')}, n, {R('conf', 6, 'avg_confidence')}, {R('acc', 6, 'avg_accuracy')} FROM cb"""),
     "ece": with_base(f"""
 WITH {_bins}, {_calg}
 SELECT {R('sum(CASE WHEN n > 0 THEN n / (SELECT count(*) FROM scored) * abs(conf - acc) END)', 6, 'ece')},
