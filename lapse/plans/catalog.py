@@ -6,8 +6,8 @@ import importlib
 
 from lapse.plans.registry import QUERIES, as_entry
 
-PLAN_MODULES = ("q_core", "q_eval", "q_prep")
-ORACLE_MODULES = ("oracle_core", "oracle_eval", "oracle_prep")
+PLAN_MODULES = ("q_core", "q_eval", "q_prep", "q_models")
+ORACLE_MODULES = ("oracle_core", "oracle_eval", "oracle_prep", "oracle_models")
 
 
 def _load():
