@@ -172,4 +172,9 @@ SELECT e.msno, r.ref_date,
              / (coalesce(sum(e.value) FILTER (WHERE e.log_dt >= r.ref_date - 29 AND e.log_dt < r.ref_date - 6), 0)
                 / 23.0 + 1), 6) AS value_trend
 FROM ev e JOIN er r USING (msno) WHERE e.log_dt <= r.ref_date GROUP BY e.msno, r.ref_date""",
+    "table_row_counts": " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, count(*) AS n_rows, "
+        f"(SELECT count(*) FROM (DESCRIBE {t})) AS n_columns FROM {t}"
+        for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+                  "documents", "embeddings", "pages", "benchmark", "labels", "conversations")),
 }

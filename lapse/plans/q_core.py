@@ -269,3 +269,9 @@ def events_engagement(ctx):
     e = e.withColumn("value_trend", (F.coalesce(F.col("recent_value"), F.lit(0.0)) / 7.0)
                      / (F.coalesce(F.col("prior_value"), F.lit(0.0)) / 23.0 + 1.0))
     return rnd(e)
+
+
+@query("table_row_counts")
+def table_row_counts(ctx):
+    from lapse.sources.io import DRIVER_TABLES, table_stats
+    return rnd(table_stats({n: ctx.t(n) for n in DRIVER_TABLES}))
