@@ -91,13 +91,18 @@ def txn_features(txn: DataFrame, refs: DataFrame, p: Params, features_paid_only:
 LOG_SUMS = ("num_25", "num_50", "num_75", "num_985", "num_100")
 
 
-def log_features(logs: DataFrame, refs: DataFrame, p: Params, with_candidates: bool = False) -> DataFrame:
+def log_features(logs: DataFrame, refs: DataFrame, p: Params, with_candidates: bool = False,
+                 unique_days: bool = True) -> DataFrame:
     """Every log-side aggregate in one pass over the log table.
 
     Rows are joined on the key with ``log_dt <= ref_date``; the trailing
     window [ref - (win-1), ref], its recent part [ref - (recent-1), ref] and the
     prior rest are conditional aggregates of the same scan, and last login uses
     the unbounded look-back of the same rows.
+
+    ``unique_days``: the log has one row per (user, day) (true of the
+    reference's data and of the adapter), so active days are a plain
+    conditional count; otherwise a distinct count (one more shuffle).
     """
     lg = logs.select("msno", "log_dt", *LOG_SUMS, "num_unq", "total_secs")
     j = lg.join(refs.select("msno", "ref_date"), "msno").filter(F.col("log_dt") <= F.col("ref_date"))
@@ -107,7 +112,8 @@ def log_features(logs: DataFrame, refs: DataFrame, p: Params, with_candidates: b
     secs = clip_secs("total_secs")
     aggs = [
         F.max("log_dt").alias("last_login_dt"),
-        F.count_distinct(F.when(in_win, F.col("log_dt"))).cast("bigint").alias("daily_active_days"),
+        (F.count(F.when(in_win, F.lit(1))) if unique_days
+         else F.count_distinct(F.when(in_win, F.col("log_dt")))).cast("bigint").alias("daily_active_days"),
         F.count(F.when(in_win & recent, F.lit(1))).cast("bigint").alias("recent_daily_active_days"),
         F.sum(F.when(in_win, secs)).alias("total_secs_sum"),
         *[F.sum(F.when(in_win, F.col(c))).cast("bigint").alias(c.replace("num_", "sum")) for c in LOG_SUMS],

@@ -76,18 +76,19 @@ def _bucket_expr(specs, bounds, lo=0, hi=None) -> Column:
 
 
 def range_bounds(df: DataFrame, specs, n_parts: int, seed: int = 17) -> list[tuple]:
-    """Partition boundaries for a total order from a bounded row sample
-    (about 64 keys per partition reach the driver, never the data)."""
+    """Partition boundaries for a total order from a bounded random sample.
+
+    One job: the ``64 * n_parts`` rows with the smallest random tag (a top-k,
+    so at most that many keys reach the driver, never the data).  When the
+    input has fewer rows than that, no boundaries are needed: one bucket holds
+    a provably small table."""
     if n_parts <= 1:
         return []
     cols = [n for n, _ in specs]
-    n = df.count()
-    if n == 0:
-        return []
     target = 64 * n_parts
-    frac = min(1.0, 1.5 * target / n)
-    rows = [tuple(r) for r in df.select(*cols).sample(False, frac, seed).collect()]
-    if not rows:
+    rows = [tuple(r)[:len(cols)] for r in
+            df.select(*cols, F.rand(seed).alias("_r")).orderBy("_r").limit(target).collect()]
+    if len(rows) < target:
         return []
     rows.sort(key=_cmp_key(specs))
     bounds = []
@@ -99,7 +100,7 @@ def range_bounds(df: DataFrame, specs, n_parts: int, seed: int = 17) -> list[tup
 
 
 def cumulative(df: DataFrame, order_cols, sum_cols=(), partition_cols=(), prefix: str = "cum_",
-               row_col: str = "_row", n_parts: int | None = None, checkpoint: bool = True) -> DataFrame:
+               row_col: str = "_row", n_parts: int | None = None, checkpoint: bool = False) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` (``cum_<c>``) and a 1-based row
     position ``row_col`` in the order ``order_cols`` ('col' or 'col desc'),
     restarting for every combination of ``partition_cols``.
@@ -115,7 +116,8 @@ def cumulative(df: DataFrame, order_cols, sum_cols=(), partition_cols=(), prefix
     order = [_sort_col(n, d) for n, d in specs]
     n = n_parts or _n_parts(df)
     if checkpoint:
-        # the input is read four times (count, sample, running sums, totals)
+        # the input is read three times (sample, running sums, totals): callers
+        # with an expensive lineage ask for it to be written once
         df = materialize(df)
     bounds = range_bounds(df, specs, n)
     r = df.withColumn("_pid", _bucket_expr(specs, bounds) if bounds else F.lit(0))

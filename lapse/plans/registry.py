@@ -24,6 +24,8 @@ def as_entry(name: str) -> Callable[[SparkSession, str], DataFrame]:
     fn = QUERIES[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from lapse.session import apply_conf
+        apply_conf(spark)          # UTC dates, AQE skew handling, ANSI
         return fn(Ctx(spark, sf_dir))
     run.__name__ = name
     return run
