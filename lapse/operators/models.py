@@ -287,3 +287,11 @@ def score_cox(model, df: DataFrame, cols, out: str = "risk") -> DataFrame:
 
 
 _ = Pipeline
+
+
+def score_with_choice(choice: str, scorers: dict, df: DataFrame, out: str = "e_fwd_rev") -> DataFrame:
+    """Score with whichever model won the champion / challenger decision (J10);
+    ``scorers`` maps a model name to ``f(df, out) -> DataFrame``."""
+    if choice not in scorers:
+        raise KeyError(f"no scorer for chosen model {choice!r}")
+    return scorers[choice](df, out)

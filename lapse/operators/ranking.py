@@ -142,8 +142,9 @@ def cumulative(df: DataFrame, order_cols, sum_cols=(), partition_cols=(), prefix
         local = local.withColumn("_gstart_row", F.lit(0))
         for c in sum_cols:
             local = local.withColumn(f"_gstart_{c}", F.lit(0))
-    # one row per (bucket, group): a proven size bound, broadcast
-    j = local.join(F.broadcast(off), ["_pid", *partition_cols])
+    # one row per bucket: a proven size bound, broadcast.  With groups the
+    # table has one row per (bucket, group) and AQE decides from its real size.
+    j = local.join(off if partition_cols else F.broadcast(off), ["_pid", *partition_cols])
     out = j.withColumn(row_col, (F.col("_lrow") - F.col("_gstart_row") + F.col("_orow")).cast("bigint"))
     for c in sum_cols:
         out = out.withColumn(f"{prefix}{c}", F.col(f"_l_{c}") - F.col(f"_gstart_{c}") + F.col(f"_o_{c}"))

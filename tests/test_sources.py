@@ -45,3 +45,23 @@ def test_incremental_ingest_is_exactly_once(spark):
 def test_table_stats(spark):
     t = io.table_stats({"a": spark.range(3), "b": spark.range(5).withColumn("x", F.lit(1))})
     assert {r.table_name: (r.n_rows, r.n_columns) for r in t.collect()} == {"a": (3, 1), "b": (5, 2)}
+
+
+def test_write_and_reload_splits_and_json(spark):
+    import json
+    d = tempfile.mkdtemp(prefix="lapse-splits-")
+    df = spark.createDataFrame([(1, "train"), (2, "val"), (3, "test"), (4, "train")], "msno long, split string")
+    io.write_splits(df, d)
+    got = io.load_splits(spark, d, ("train", "test"))
+    assert got["train"].count() == 2 and got["test"].count() == 1 and "split" not in got["train"].columns
+    p = io.write_json({"chosen": "hurdle", "rmse": 1.5}, os.path.join(d, "choice.json"))
+    assert json.load(open(p))["chosen"] == "hurdle"
+    io.write_scores(df, os.path.join(d, "scores.csv"))
+    assert spark.read.option("header", True).csv(os.path.join(d, "scores.csv")).count() == 4
+
+
+def test_manifest_columns_roundtrip():
+    from lapse.operators.pipeline import columns_from_manifest
+    row = {"categorical": '[{"name":"city","column":"city_enc","cardinality":5,"unknown_index":4}]',
+           "numerical_scaled": "a_scaled,b_scaled", "numerical_unscaled": "c"}
+    assert columns_from_manifest(row) == ["city_enc", "a_scaled", "b_scaled", "c"]
