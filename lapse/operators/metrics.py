@@ -117,7 +117,7 @@ def sample_pairs(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def concordance_pairs(df: DataFrame, duration: str, event: str, score: str) -> DataFrame:
-    """Concordance counts for survival (K6), lifelines conventions: a pair is
+    """Concordance counts for survival (K6), usual survival conventions: a pair is
     comparable when the shorter duration is an event; equal durations are
     comparable only when the other one is censored (it outlives); higher score =
     longer predicted survival; equal scores count one half.

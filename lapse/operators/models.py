@@ -17,7 +17,6 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -286,8 +285,6 @@ def score_cox(model, df: DataFrame, cols, out: str = "risk") -> DataFrame:
     return d.drop("features")
 
 
-_ = Pipeline
-
 
 def score_with_choice(choice: str, scorers: dict, df: DataFrame, out: str = "e_fwd_rev") -> DataFrame:
     """Score with whichever model won the champion / challenger decision (J10);

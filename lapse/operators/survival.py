@@ -28,7 +28,6 @@ def kaplan_meier(df: DataFrame, duration: str, event: str, by=(), ci: bool = Fal
     With ``ci``: Greenwood variance and the exponential (log-log) 95% band.
     """
     et = event_table(df, duration, event, by)
-    wp = Window.partitionBy(*by)
     w_desc = Window.partitionBy(*by).orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, 0)
     w_asc = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     c = et.withColumn("at_risk", F.sum("removed").over(w_desc))
@@ -51,7 +50,6 @@ def kaplan_meier(df: DataFrame, duration: str, event: str, by=(), ci: bool = Fal
                               .when(ok, F.exp(-F.exp(F.log(-lv) - Z95 * se))))
                   .withColumn("ci_upper", F.when(F.col("survival") == 1, F.lit(1.0))
                               .when(ok, F.exp(-F.exp(F.log(-lv) + Z95 * se)))))
-    _ = wp
     return out.drop("removed")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lapse.functions.exprs import (age_bucket, clean_age, cox_target, has_positive,
+from lapse.functions.exprs import (clean_age, cox_target, has_positive,
                                    registration_year, segment_label, txn_frequency)
 from lapse.operators import features as fe
 from lapse.operators import population as pop

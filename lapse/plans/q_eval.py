@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cached_property  # noqa: F401
-
 from pyspark.sql import functions as F
 
 from lapse.operators import calibration as cal

@@ -6,7 +6,7 @@ from lapse.operators import prep
 
 def test_encoder_reserved_unknown(spark):
     tr = spark.createDataFrame([(v,) for v in "abcab"], "c string")
-    m = {r.c: r.index for r in prep.fit_encoder(tr, "c").collect()}
+    m = {r["c"]: r["index"] for r in prep.fit_encoder(tr, "c").collect()}
     assert m == {"a": 0, "b": 1, "c": 2}
 
 
@@ -25,7 +25,7 @@ def test_encoder_null_not_a_class(spark):
 
 def test_encoder_numeric_order(spark):
     tr = spark.createDataFrame([(2,), (10,), (1,)], "c int")
-    m = {r.c: r.index for r in prep.fit_encoder(tr, "c").collect()}
+    m = {r["c"]: r["index"] for r in prep.fit_encoder(tr, "c").collect()}
     assert m[10] == 2      # numeric, not string, order
 
 
