@@ -70,20 +70,38 @@ def segment_examples(results: DataFrame, segments=SEGMENTS) -> DataFrame:
         F.col("_x.action").alias("recommended_action"))
 
 
+# Up to this many selected rows a top-n is Spark's top-k (each task keeps n
+# rows, one merge of n x tasks rows); beyond it the distributed rank filter.
+TOPK_MAX = 100_000
+
+
+def top_n(df: DataFrame, order_cols, n: int) -> DataFrame:
+    """The n first rows of a total order (G2).  n is the feature's own size
+    (a budget), so a bounded top-k is used; larger n falls back to ranks."""
+    if n <= TOPK_MAX:
+        from lapse.operators.ranking import _sort_col, _spec
+        return df.orderBy(*[_sort_col(*_spec(c)) for c in order_cols]).limit(n)
+    return row_rank(df, order_cols, "_r").filter(F.col("_r") <= n).drop("_r")
+
+
 def budget_allocation(results: DataFrame, budget: int, cost: int, success_rate: float,
                       seed: int = 42, key: str = "msno") -> DataFrame:
     """Model ranking vs random vs churn-only under one expected-value formula.
     n = budget // cost; random order = md5(seed:key); churn-only = p_churn desc, key."""
     n = budget // cost
-    r = row_rank(results, [f"p_churn desc", key], "_rank_churn")
-    r = row_rank(r.withColumn("_h", hash_order(key, seed)), ["_h", key], "_rank_random")
-    sel = lambda c: F.sum(F.when(F.col(c) <= n, F.col("priority_score") * success_rate))
-    out = r.agg(
+
+    def saved(sel: DataFrame):
+        return sel.select(F.coalesce(F.sum(F.col("priority_score") * success_rate), F.lit(0.0))).scalar()
+
+    random_sel = top_n(results.withColumn("_h", hash_order(key, seed)), ["_h", key], n)
+    churn_sel = top_n(results, ["p_churn desc", key], n)
+    out = results.agg(
         F.count(F.lit(1)).alias("n_test_users"),
         F.sum(F.col("is_churn").cast("bigint")).alias("n_actual_churners"),
-        F.coalesce(sel("rank"), F.lit(0.0)).alias("revenue_model"),
-        F.coalesce(sel("_rank_random"), F.lit(0.0)).alias("revenue_random"),
-        F.coalesce(sel("_rank_churn"), F.lit(0.0)).alias("revenue_churn_only"))
+        F.coalesce(F.sum(F.when(F.col("rank") <= n, F.col("priority_score") * success_rate)), F.lit(0.0))
+         .alias("revenue_model"),
+        saved(random_sel).alias("revenue_random"),
+        saved(churn_sel).alias("revenue_churn_only"))
     return (out.withColumn("n_interventions", F.lit(n).cast("bigint"))
             .withColumn("coverage_of_test_set_pct", safe_div(F.lit(n * 100.0), F.col("n_test_users")))
             .withColumn("coverage_of_at_risk_pct", safe_div(F.lit(n * 100.0), F.col("n_actual_churners")))

@@ -44,7 +44,9 @@ def ref_dates(txn: DataFrame, cutoff_date: dt.date | None = None, guard: bool =
     when ``guard``; <= cutoff when given); start_dt = first paid transaction.
     Users without a qualifying expiry have no row.  One groupBy.
     """
-    src = paid(txn, require_paid)
+    # the explicit key filter makes every use of the refs plan identical, so
+    # Spark reuses one exchange instead of aggregating the transactions twice
+    src = paid(txn, require_paid).filter(F.col("msno").isNotNull())
     ok = F.lit(True)
     if guard:
         ok = ok & (F.col("expire_dt") >= F.col("txn_dt"))

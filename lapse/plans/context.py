@@ -72,8 +72,9 @@ class Ctx:
 
     @cached_property
     def refs(self) -> DataFrame:
-        """Guarded, capped, paid reference dates (the library default)."""
-        return pop.ref_dates(self.txn, self.p.cutoff, guard=True, require_paid=True)
+        """Guarded, capped, paid reference dates (the library default).  Written
+        once: the transaction side, the log side and the label side all join it."""
+        return materialize(pop.ref_dates(self.txn, self.p.cutoff, guard=True, require_paid=True))
 
     @cached_property
     def labels(self) -> DataFrame:
