@@ -50,11 +50,9 @@ def prepared_dataset(split_df: DataFrame) -> dict:
     imputed = materialize(imputed.withColumn("txn_frequency",
                                              txn_frequency("num_transactions", "registration_tenure_days")))
     tr = imputed.filter(F.col("split") == "train")
-    enc = imputed
-    mappings = {}
-    for c in CATEGORICAL_COLS:
-        mappings[c] = prep.fit_encoder(tr, c)
-        enc = prep.apply_encoder(enc, c, mappings[c])
+    enc_table = prep.fit_encoders(tr, CATEGORICAL_COLS)
+    enc = prep.apply_encoders(imputed, enc_table, CATEGORICAL_COLS)
+    mappings = {c: enc_table.filter(F.col("column") == c) for c in CATEGORICAL_COLS}
     scaler = materialize(prep.fit_scaler(tr, SCALE_COLS))
     ds = prep.apply_scaler(enc, scaler, SCALE_COLS)
     dataset = ds.select(*OUTPUT_COLS, "split")

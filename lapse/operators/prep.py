@@ -91,6 +91,42 @@ def apply_encoder(df: DataFrame, col: str, mapping: DataFrame, out: str | None =
     return df.join(m, col, "left").withColumn(out, F.coalesce(F.col(out), F.lit(k)).cast("bigint"))
 
 
+def fit_encoders(train: DataFrame, cols) -> DataFrame:
+    """All label encoders in one ranked pass (I5): (column, num, str, index).
+
+    Columns are unpivoted; numeric categories sort numerically (``num``),
+    string categories lexicographically (``str``), each restarting at 0.
+    One distributed rank over (column, num, str) serves every column."""
+    parts = []
+    for c in cols:
+        t = dict(train.dtypes)[c]
+        is_num = t not in ("string",)
+        parts.append(train.select(F.lit(c).alias("column"),
+                                  (F.col(c).cast("double") if is_num else F.lit(None).cast("double")).alias("num"),
+                                  (F.lit(None).cast("string") if is_num else F.col(c)).alias("str"))
+                     .filter(F.col("num").isNotNull() | F.col("str").isNotNull()))
+    from functools import reduce
+    d = reduce(DataFrame.unionByName, parts).distinct()
+    r = row_rank(d, ["num", "str"], "_idx", partition_cols=["column"])
+    return materialize(r.select("column", "num", "str", (F.col("_idx") - 1).alias("index")))
+
+
+def apply_encoders(df: DataFrame, mappings: DataFrame, cols, suffix: str = "_enc") -> DataFrame:
+    """Index per category; unseen and NULL -> k (the reserved unknown index).
+    k per column comes from one small aggregate over the mapping table."""
+    ks = {r["column"]: r["k"] for r in mappings.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
+    out = df
+    for c in cols:
+        is_num = dict(df.dtypes)[c] not in ("string",)
+        m = mappings.filter(F.col("column") == c)
+        m = (m.select(F.col("num").alias("_key"), F.col("index").alias(f"{c}{suffix}")) if is_num
+             else m.select(F.col("str").alias("_key"), F.col("index").alias(f"{c}{suffix}")))
+        key = F.col(c).cast("double") if is_num else F.col(c)
+        out = (out.join(m, key == F.col("_key"), "left").drop("_key")
+               .withColumn(f"{c}{suffix}", F.coalesce(F.col(f"{c}{suffix}"), F.lit(ks.get(c, 0))).cast("bigint")))
+    return out
+
+
 def fit_scaler(train: DataFrame, cols) -> DataFrame:
     """Train mean and population std per column: (column, mean, std)."""
     return (long_values(train, cols).groupBy("column")
