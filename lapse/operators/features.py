@@ -11,6 +11,8 @@ shuffled (or broadcast by AQE when it turns out small).
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,8 +93,31 @@ def txn_features(txn: DataFrame, refs: DataFrame, p: Params, features_paid_only:
 LOG_SUMS = ("num_25", "num_50", "num_75", "num_985", "num_100")
 
 
+def ref_window_bounds(refs: DataFrame, lookback_days: int | None):
+    """Literal [min(ref) - (lookback - 1), max(ref)] from one small aggregate over
+    the refs (two dates reach the driver).  ``lookback_days=None``: no lower bound."""
+    r = refs.agg(F.min("ref_date").alias("lo"), F.max("ref_date").alias("hi")).first()
+    if r is None or r["hi"] is None:
+        return None, None
+    lo = None if lookback_days is None else r["lo"] - dt.timedelta(days=lookback_days - 1)
+    return lo, r["hi"]
+
+
+def prune_to_refs(logs: DataFrame, refs: DataFrame, lookback_days: int | None, date_col: str = "log_dt"):
+    """Drop log rows no user's window can reach, before the join: the join's
+    range condition is per user and cannot reach the scan, a literal range on
+    the date column can (Parquet statistics, partition folders)."""
+    lo, hi = ref_window_bounds(refs, lookback_days)
+    if hi is None:
+        return logs
+    cond = F.col(date_col) <= F.lit(hi)
+    if lo is not None:
+        cond = cond & (F.col(date_col) >= F.lit(lo))
+    return logs.filter(cond)
+
+
 def log_features(logs: DataFrame, refs: DataFrame, p: Params, with_candidates: bool = False,
-                 unique_days: bool = True) -> DataFrame:
+                 unique_days: bool = True, prune: bool = True, unbounded_lookback: bool = True) -> DataFrame:
     """Every log-side aggregate in one pass over the log table.
 
     Rows are joined on the key with ``log_dt <= ref_date``; the trailing
@@ -105,6 +130,11 @@ def log_features(logs: DataFrame, refs: DataFrame, p: Params, with_candidates: b
     conditional count; otherwise a distinct count (one more shuffle).
     """
     lg = logs.select("msno", "log_dt", *LOG_SUMS, "num_unq", "total_secs")
+    if prune:
+        # with last login (unbounded look-back) only the upper bound is safe;
+        # window-only callers also get the lower bound (last_login_dt is then
+        # limited to the window and should not be used)
+        lg = prune_to_refs(lg, refs, None if unbounded_lookback else p.engagement_days)
     j = lg.join(refs.select("msno", "ref_date"), "msno").filter(F.col("log_dt") <= F.col("ref_date"))
     ref = F.col("ref_date")
     in_win = F.col("log_dt") >= F.date_sub(ref, p.engagement_days - 1)
@@ -204,7 +234,10 @@ def survival_population(txn: DataFrame, logs: DataFrame, members: DataFrame, p:
 def engagement(log: DataFrame, refs: DataFrame, window_days: int, recent_days: int,
                value_col: str = "value") -> DataFrame:
     """Trailing-window engagement of a multi-row-per-day event log (E5 shape):
-    distinct active days, recent distinct days, event count and value sums."""
+    distinct active days, recent distinct days, event count and value sums.
+    Rows after the latest ref can never count, so they are pruned first
+    (last-event date looks back without limit, so no lower bound)."""
+    log = prune_to_refs(log, refs, None)
     j = log.join(refs.select("msno", "ref_date"), "msno").filter(F.col("log_dt") <= F.col("ref_date"))
     ref = F.col("ref_date")
     in_win = F.col("log_dt") >= F.date_sub(ref, window_days - 1)

@@ -110,7 +110,7 @@ def recency(ctx):
 
 @query("engagement_window")
 def engagement_window(ctx):
-    lf = fe.log_features(ctx.logs, ctx.refs, ctx.p)
+    lf = fe.log_features(ctx.logs, ctx.refs, ctx.p, unbounded_lookback=False)
     return rnd(lf.filter(F.col("daily_active_days") > 0).drop("last_login_dt"))
 
 
