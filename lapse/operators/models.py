@@ -171,16 +171,19 @@ def fit_ziln(train: DataFrame, cols, label: str = "fwd_rev", seeds=(1, 2, 3), fr
 
 def score_ziln(heads, df: DataFrame, cols, out: str = "e_ziln") -> DataFrame:
     """Ensemble mean of the seeded heads' expected values."""
+    # the heads are applied one after another to the same rows (narrow
+    # transformations, no join): each writes its own output columns
     d = assemble(df, cols)
-    preds = []
     for i, (pay, amt, ls) in enumerate(heads):
-        s = pay.transform(d).withColumn("_logit", vector_to_array("rawPrediction")[1]) \
-            .drop("rawPrediction", "probability", "prediction")
-        s = amt.transform(s).withColumnRenamed("prediction", "_mu")
-        preds.append(s.select("msno", ziln_predict(F.col("_logit"), F.col("_mu"), F.lit(ls)).alias(f"_p{i}")))
-    j = reduce(lambda a, b: a.join(b, "msno"), preds)
+        pay = pay.copy().setRawPredictionCol(f"_raw{i}").setProbabilityCol(f"_prob{i}") \
+            .setPredictionCol(f"_cls{i}")
+        d = pay.transform(d).withColumn(f"_logit{i}", vector_to_array(f"_raw{i}")[1]) \
+            .drop(f"_raw{i}", f"_prob{i}", f"_cls{i}")
+        d = amt.copy().setPredictionCol(f"_mu{i}").transform(d)
+        d = d.withColumn(f"_p{i}", ziln_predict(F.col(f"_logit{i}"), F.col(f"_mu{i}"), F.lit(ls))) \
+            .drop(f"_logit{i}", f"_mu{i}")
     mean = sum(F.col(f"_p{i}") for i in range(len(heads))) / len(heads)
-    return df.join(j.select("msno", mean.alias(out)), "msno")
+    return d.withColumn(out, mean).drop("features", *[f"_p{i}" for i in range(len(heads))])
 
 
 def choose_model(metrics: DataFrame, name: str = "model", metric: str = "rmse", priority: str = "priority"):

@@ -90,3 +90,20 @@ def test_concordance_matches_pairs(spark):
             if dj > di or (dj == di and ej == 0):
                 c, t, d = c + (sj > si), t + (sj == si), d + (sj < si)
     assert (r.concordant, r.tied, r.discordant) == (c, t, d)
+
+
+def test_survival_curve_is_monotone_on_data(spark):
+    import os
+    from lapse.operators.population import survival_table
+    from lapse.params import TEST_PARAMS as P
+    from lapse.sources import adapters
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        return
+    txn = adapters.transactions(spark.read.parquet(f"{sf}/orders.parquet"))
+    st = survival_table(txn, P.last_date, P.grace_days)
+    km = sorted(sv.kaplan_meier(st, "duration_days", "event_churned").collect(), key=lambda r: r.t)
+    s = [r.survival for r in km]
+    assert all(a >= b for a, b in zip(s, s[1:])) and 0 <= s[-1] <= 1
+    assert km[0].at_risk == st.count()
+    assert all(r.at_risk >= r.events + r.censored for r in km)
