@@ -47,12 +47,12 @@ def segment_examples(results: DataFrame, segments=SEGMENTS) -> DataFrame:
     """Per segment (low/medium/high by the .33/.67 quantiles of p_churn and
     e_fwd_rev; strict outside, inclusive middle) the user nearest to the
     segment's median priority (ties: better rank) (N2).  Empty segment: no row."""
-    q = quantiles(results.select("p_churn").withColumnRenamed("p_churn", "v"), "v", [0.33, 0.67])
-    qv = quantiles(results.select("e_fwd_rev").withColumnRenamed("e_fwd_rev", "v"), "v", [0.33, 0.67])
-    p_lo = q.filter(F.col("p") == 0.33).select("q").scalar()
-    p_hi = q.filter(F.col("p") == 0.67).select("q").scalar()
-    v_lo = qv.filter(F.col("p") == 0.33).select("q").scalar()
-    v_hi = qv.filter(F.col("p") == 0.67).select("q").scalar()
+    # the four thresholds are fitted statistics: computed once, used as literals
+    lv = results.select(F.lit("p").alias("c"), F.col("p_churn").cast("double").alias("v")).unionByName(
+        results.select(F.lit("v").alias("c"), F.col("e_fwd_rev").cast("double").alias("v")))
+    th = {(r["c"], r["p"]): r["q"] for r in quantiles(lv, "v", [0.33, 0.67], by=["c"]).collect()}
+    p_lo, p_hi, v_lo, v_hi = (F.lit(th.get(k)).cast("double")
+                              for k in (("p", 0.33), ("p", 0.67), ("v", 0.33), ("v", 0.67)))
     # a user can fall into several of the listed segments only if they overlap;
     # the five listed do not, but build membership as an array to stay general
     arr = F.array_compact(F.array(*[
