@@ -177,4 +177,7 @@ FROM ev e JOIN er r USING (msno) WHERE e.log_dt <= r.ref_date GROUP BY e.msno, r
         f"(SELECT count(*) FROM (DESCRIBE {t})) AS n_columns FROM {t}"
         for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                   "documents", "embeddings", "pages", "benchmark", "labels", "conversations")),
+    "events_incremental_ingest": """
+SELECT event_id, user_id, event_type, round(value, 6) AS value, props,
+       CAST(strftime(CAST(ts AS DATE), '%Y%m%d') AS BIGINT) AS day FROM events""",
 }

@@ -275,3 +275,22 @@ def events_engagement(ctx):
 def table_row_counts(ctx):
     from lapse.sources.io import DRIVER_TABLES, table_stats
     return rnd(table_stats({n: ctx.t(n) for n in DRIVER_TABLES}))
+
+
+@query("events_incremental_ingest")
+def events_incremental_ingest(ctx):
+    """A3 on the driver tables: the whole events table streamed once through an
+    availableNow run into day-partitioned Parquet, then read back."""
+    import uuid
+
+    from lapse.session import scratch_path
+    from lapse.streaming.ingest import ingest_incremental
+    # a file source watches a folder; the glob names exactly the events file(s)
+    src = f"{ctx.sf_dir}/events.parque[t]"
+    schema = ctx.spark.read.parquet(f"{ctx.sf_dir}/events.parquet").schema
+    run = uuid.uuid4().hex[:12]
+    dst = scratch_path(ctx.spark, f"events-ingest-{run}")
+    ingest_incremental(ctx.spark, src, dst, schema, checkpoint=scratch_path(ctx.spark, f"events-ingest-ckpt-{run}"),
+                       fmt="parquet", day_from_ts="ts")
+    out = ctx.spark.read.parquet(dst)
+    return rnd(out.select("event_id", "user_id", "event_type", "value", "props", "day"))

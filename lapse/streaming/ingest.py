@@ -18,20 +18,27 @@ from pyspark.sql.types import StructType
 from lapse.session import scratch_path
 
 
-def ingest_stream(spark: SparkSession, src_dir: str, schema: StructType, max_files_per_trigger: int = 64):
-    """The streaming DataFrame over a CSV folder (schema declared, never inferred)."""
-    return (spark.readStream.schema(schema).option("header", True).option("mode", "FAILFAST")
-            .option("maxFilesPerTrigger", max_files_per_trigger).csv(src_dir))
+def ingest_stream(spark: SparkSession, src_dir: str, schema: StructType, max_files_per_trigger: int = 64,
+                  fmt: str = "csv"):
+    """The streaming DataFrame over a folder of files (schema declared, never inferred)."""
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    if fmt == "csv":
+        return r.option("header", True).option("mode", "FAILFAST").csv(src_dir)
+    return r.format(fmt).load(src_dir)
 
 
 def ingest_incremental(spark: SparkSession, src_dir: str, dst: str, schema: StructType,
                        checkpoint: str | None = None, partition_by: list[str] | None = None,
-                       date_col: str | None = None) -> int:
+                       date_col: str | None = None, fmt: str = "csv", day_from_ts: str | None = None) -> int:
     """Convert every not-yet-ingested CSV file under ``src_dir`` to Parquet at
     ``dst``; returns the number of micro-batches run.  With ``date_col`` (int
     YYYYMMDD) a ``month`` partition column is added so later range filters on
     dates prune whole folders."""
-    df = ingest_stream(spark, src_dir, schema)
+    df = ingest_stream(spark, src_dir, schema, fmt=fmt)
+    if day_from_ts:     # a timestamp column -> int YYYYMMDD day partition
+        d = F.to_date(F.col(day_from_ts))
+        df = df.withColumn("day", (F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)).cast("int"))
+        partition_by = (partition_by or []) + ["day"]
     if date_col:
         df = df.withColumn("month", (F.col(date_col) / 100).cast("int"))
         partition_by = (partition_by or []) + ["month"]
