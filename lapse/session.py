@@ -20,6 +20,9 @@ SPARK_CONF = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # checkpoint files of unreferenced intermediates are removed (static: takes
+    # effect for sessions built by get_spark)
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

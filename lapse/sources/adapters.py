@@ -101,9 +101,9 @@ def customer_score(customer: DataFrame) -> DataFrame:
     """Deterministic stand-in probability per customer (msno, p_churn_raw):
     (c_acctbal - min) / (max - min) floored to a multiple of 1/1024 (ties on
     purpose; binary-exact, so sums of scores do not depend on summation order).
-    min / max are scalar subqueries over the whole customer table."""
-    lo = customer.select(F.min("c_acctbal")).scalar()
-    hi = customer.select(F.max("c_acctbal")).scalar()
+    min / max come from one aggregate over the whole customer table."""
+    r = customer.agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi")).first()
+    lo, hi = F.lit(r["lo"]), F.lit(r["hi"])
     p = F.floor((F.col("c_acctbal") - lo) / (hi - lo) * 1024) / 1024
     return customer.select(F.col("c_custkey").alias("msno"), p.cast("double").alias("p_churn_raw"))
 
