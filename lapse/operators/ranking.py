@@ -186,14 +186,24 @@ def pct_rank(df: DataFrame, value: str, name: str = "pct_rank", descending: bool
     return avg_rank(df, value, "_avg", descending).withColumn(name, F.col("_avg") / n).drop("_avg")
 
 
-def quantiles(df: DataFrame, value: str, probs, by=()) -> DataFrame:
+def quantiles(df: DataFrame, value: str, probs, by=(), approx: bool = False,
+              accuracy: int = 10000) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas / ``quantile_cont``) (H8).
 
     Distributed: distinct values get their [first, last] 0-based positions from
     ``cumulative``; each target position p * (n - 1) is then picked out by a
     conditional aggregate, so no group is ever gathered into one task.
     Returns (by..., p, q).
+
+    ``approx=True`` (opt-in, for very large inputs where exactness is not
+    needed): one ``percentile_approx`` aggregate per group instead.
     """
+    if approx:
+        arr = F.percentile_approx(F.col(value).cast("double"), [float(p) for p in probs], accuracy)
+        g = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(arr.alias("_qs"))
+        return g.select(*by, F.explode(F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"),
+                                                    F.col("_qs").alias("q"))).alias("_pq")) \
+            .select(*by, F.col("_pq.p").alias("p"), F.col("_pq.q").alias("q"))
     vt = value_table(df, value, by=by)
     c = cumulative(vt, [value], ["_n"], by).select(
         *by, value, (F.col("cum__n") - F.col("_n")).alias("_first"), (F.col("cum__n") - 1).alias("_last"))

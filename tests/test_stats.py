@@ -107,3 +107,10 @@ def test_survival_curve_is_monotone_on_data(spark):
     assert all(a >= b for a, b in zip(s, s[1:])) and 0 <= s[-1] <= 1
     assert km[0].at_risk == st.count()
     assert all(r.at_risk >= r.events + r.censored for r in km)
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    df = spark.range(20000).select((F.col("id") % 997).cast("double").alias("x"))
+    ex = {r.p: r.q for r in rk.quantiles(df, "x", [0.25, 0.5, 0.9]).collect()}
+    ap = {r.p: r.q for r in rk.quantiles(df, "x", [0.25, 0.5, 0.9], approx=True).collect()}
+    assert all(abs(ex[p] - ap[p]) <= 2 for p in ex)
