@@ -61,10 +61,13 @@ def segment_examples(results: DataFrame, segments=SEGMENTS) -> DataFrame:
         for r, v, a in segments]))
     m = results.select("*", F.explode(arr).alias("_s")).select("*", "_s.segment", "_s.action").drop("_s")
     med = quantiles(m, "priority_score", [0.5], by=["segment"]).select("segment", F.col("q").alias("_median"))
-    j = m.join(med, "segment")
-    pick = F.min_by(F.struct("p_churn", "p_churn_raw", "e_fwd_rev", "priority_score", "action"),
-                    F.struct(F.abs(F.col("priority_score") - F.col("_median")), F.col("rank")))
-    return j.groupBy("segment").agg(pick.alias("_x")).select(
+    j = m.join(med, "segment").withColumn("_d", F.abs(F.col("priority_score") - F.col("_median")))
+    # nearest distance per segment (hash aggregate, one row per segment), then
+    # only the rows at that distance choose the better rank
+    best = j.groupBy("segment").agg(F.min("_d").alias("_dmin"))
+    near = j.join(best, "segment").filter(F.col("_d") == F.col("_dmin"))
+    pick = F.min_by(F.struct("p_churn", "p_churn_raw", "e_fwd_rev", "priority_score", "action"), F.col("rank"))
+    return near.groupBy("segment").agg(pick.alias("_x")).select(
         "segment", F.col("_x.p_churn").alias("p_churn_percentile"), F.col("_x.p_churn_raw").alias("p_churn_raw"),
         F.col("_x.e_fwd_rev").alias("e_fwd_rev_twd"), F.col("_x.priority_score").alias("priority_score"),
         F.col("_x.action").alias("recommended_action"))

@@ -26,11 +26,31 @@ LATEST_COLS = ("payment_method_id", "payment_plan_days", "actual_amount_paid",
                "is_auto_renew", "is_cancel")
 
 
+# (date, id) orderings packed into one long: days since 1970 * 2^40 + id.
+# Exact for 0 <= id < 2^40 (about 1.1e12 rows), which keeps the aggregate
+# buffers fixed-width, so Spark plans a hash aggregate instead of sorting.
+ID_BITS = 40
+
+
+def order_key(date_col: str, id_col: str):
+    """A long that orders rows like (date, id)."""
+    return F.unix_date(F.col(date_col)).cast("long") * F.lit(1 << ID_BITS) + F.col(id_col).cast("long")
+
+
 def latest_per(df: DataFrame, key, order_cols, value_cols, where=None) -> DataFrame:
-    """Latest row per key (F1) as a ``max_by`` aggregate: no sort, no window,
+    """Latest row per key (F1) as ``max_by`` aggregates: no sort, no window,
     partial aggregation before the shuffle.  ``order_cols`` must end with a
-    unique tie-break column so the choice is deterministic."""
+    unique tie-break column so the choice is deterministic.  A (date, id)
+    ordering is packed into one long (hash aggregation); any other ordering
+    uses a struct (sort-based aggregation)."""
     key = [key] if isinstance(key, str) else list(key)
+    if len(order_cols) == 2 and dict(df.dtypes).get(order_cols[0]) == "date":
+        order = order_key(*order_cols)
+        if where is not None:
+            order = F.when(where, order)
+        return (df.groupBy(*key).agg(F.max(order).alias("_k"),
+                                     *[F.max_by(F.col(c), order).alias(c) for c in value_cols])
+                .filter(F.col("_k").isNotNull()).drop("_k"))
     order = F.struct(*[F.col(c) for c in order_cols])
     if where is not None:
         order = F.when(where, order)
@@ -61,8 +81,7 @@ def txn_features(txn: DataFrame, refs: DataFrame, p: Params, features_paid_only:
     def pre_avg(c):
         return F.avg(F.when(pre, F.col(c).cast("double")))
 
-    latest = F.max_by(F.struct(*[F.col(c) for c in LATEST_COLS]),
-                      F.when(pre, F.struct("txn_dt", "txn_id")))
+    okey = F.when(pre, order_key("txn_dt", "txn_id"))
     return (j.groupBy("msno").agg(
         F.count(F.when(pre, F.lit(1))).cast("bigint").alias("num_transactions"),
         pre_avg("payment_plan_days").alias("avg_payment_plan_days"),
@@ -70,20 +89,21 @@ def txn_features(txn: DataFrame, refs: DataFrame, p: Params, features_paid_only:
         pre_avg("is_auto_renew").alias("is_auto_renew_rate"),
         pre_avg("is_cancel").alias("is_cancel_rate"),
         F.avg(F.when(pre, discount_ratio("plan_list_price", "actual_amount_paid"))).alias("avg_discount_rate"),
-        F.count_distinct(F.when(pre, F.col("payment_method_id"))).cast("bigint")
+        # a small-domain distinct count: a per-user set keeps it one aggregate
+        F.size(F.collect_set(F.when(pre, F.col("payment_method_id")))).cast("bigint")
          .alias("num_distinct_payment_methods"),
-        latest.alias("_latest"),
+        *[F.max_by(F.col(c), okey).alias(f"_l_{c}") for c in LATEST_COLS],
         F.max(F.when(pre & (F.col("is_cancel") == 1), F.col("txn_dt"))).alias("last_cancel_dt"),
         F.max(F.when(renew, F.lit(1))).alias("_renewed"),
         F.sum(F.when(fwd, F.col("actual_amount_paid"))).alias("fwd_rev"),
     ).select(
         "msno", "num_transactions", "avg_payment_plan_days", "avg_actual_amount_paid",
         "is_auto_renew_rate", "is_cancel_rate", "avg_discount_rate", "num_distinct_payment_methods",
-        F.col("_latest.payment_method_id").alias("payment_method_id"),
-        F.col("_latest.payment_plan_days").alias("most_recent_payment_plan_days"),
-        F.col("_latest.actual_amount_paid").alias("most_recent_actual_amount_paid"),
-        F.col("_latest.is_auto_renew").alias("most_recent_is_auto_renew"),
-        F.col("_latest.is_cancel").alias("most_recent_is_cancel"),
+        F.col("_l_payment_method_id").alias("payment_method_id"),
+        F.col("_l_payment_plan_days").alias("most_recent_payment_plan_days"),
+        F.col("_l_actual_amount_paid").alias("most_recent_actual_amount_paid"),
+        F.col("_l_is_auto_renew").alias("most_recent_is_auto_renew"),
+        F.col("_l_is_cancel").alias("most_recent_is_cancel"),
         "last_cancel_dt",
         (F.lit(1) - F.coalesce(F.col("_renewed"), F.lit(0))).cast("int").alias("is_churn"),
         "fwd_rev",
