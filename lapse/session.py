@@ -59,12 +59,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only when the setting is unset (tests, a laptop) do we pick a folder of our
     own; on a cluster the setting is always read from the session.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a Spark Connect session: the server's setting applies
+        return spark.conf.get("spark.checkpoint.dir", None) or ""
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="lapse-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 
