@@ -26,6 +26,15 @@ def with_txn_dates(raw: DataFrame) -> DataFrame:
         "expire_dt", ymd("membership_expire_date"))
 
 
+def with_txn_id(raw: DataFrame, name: str = "txn_id") -> DataFrame:
+    """A deterministic tie-break id for raw transactions that have none: a
+    64-bit hash of every raw column folded to 40 bits (stable under
+    recomputation, unlike monotonically_increasing_id; the latest-row order key
+    packs ids below 2^40)."""
+    return raw.withColumn(name, F.xxhash64(*[F.col(c) for c in raw.columns])
+                          .bitwiseAND(F.lit((1 << 40) - 1)))
+
+
 def paid(txn: DataFrame, require_paid: bool = True) -> DataFrame:
     """Paid-only filter (B3); pushed into the Parquet scan when txn is a scan."""
     return txn.filter(F.col("actual_amount_paid") > 0) if require_paid else txn
