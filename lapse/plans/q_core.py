@@ -26,7 +26,8 @@ def churn_revenue_by_segment(ctx):
 
 @query("ref_dates")
 def ref_dates(ctx):
-    return rnd(ctx.refs)
+    # the refs are the result here: no shared checkpoint needed
+    return rnd(pop.ref_dates(ctx.txn, ctx.p.cutoff, guard=True, require_paid=True))
 
 
 @query("ref_dates_unguarded")
