@@ -91,3 +91,28 @@ def running(df: DataFrame, group: list[str], key: str, ties: list[str], amounts:
     local = d.select("*", *[F.coalesce(F.sum(f"_a_{n}").over(inner), F.lit(0)).alias(f"_l_{n}") for n in amounts])
     out = local.join(offs, [*group, "_b"])
     return out.select(*df.columns, *[(F.col(f"_o_{n}") + F.col(f"_l_{n}")).alias(n) for n in amounts], *totals)
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """Connected components of the edges (a, b) of longs: id, component (smallest id), for every id of an edge.
+
+    Alternating large-star and small-star rounds; after each pair of rounds the
+    edges are written, until they are stars.  Every round is joins and minima over
+    edges, so no component is ever in one place.
+    """
+    e = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+    state = None
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF))).first())
+        if now == state or not now[0]:
+            break
+        state = now
+    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
+        e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lapse.llm import covertree, decontam, html, langid, lm, ngramjoin, pii, substr
 from lapse.llm import mix as mix_
 from lapse.llm import shard as shard_
 from lapse.llm.common import table
@@ -52,9 +53,59 @@ def op2_shard(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_decontamination(spark, sf_dir):
+    """Pairs of a document and a benchmark item whose passage it holds; clean documents have none."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "item_id", "n_equal", "n_compared", "doc_at", "item_at")
+
+
+def op8_substring_dedup(spark, sf_dir):
+    """All documents without the words of 20-word windows that also start earlier."""
+    return substr.dedup_substrings(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op9_pii(spark, sf_dir):
+    """Personal data in all documents."""
+    return pii.summary(table(spark, sf_dir, "documents"))
+
+
+def op3_html_text(spark, sf_dir):
+    """Main text of all pages."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_embedding_near_dup(spark, sf_dir):
+    """All embeddings linked at a cosine of 0.95 or more."""
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op5_lm_scores(spark, sf_dir):
+    """Language-model and unigram scores of all documents."""
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_ngram_join(spark, sf_dir):
+    """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
+    return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+def op10_language_id(spark, sf_dir):
+    """Language of all documents, learned from the rows that are not held out."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_shard": op2_shard,
+    "op3_html_text": op3_html_text,
+    "op4_embedding_near_dup": op4_embedding_near_dup,
+    "op5_lm_scores": op5_lm_scores,
+    "op6_ngram_join": op6_ngram_join,
+    "op7_decontamination": op7_decontamination,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_pii": op9_pii,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE = {
