@@ -73,9 +73,10 @@ class _Element:
         self.tag, self.path, self.dropped, self.content = tag, path, dropped, content
 
 
-def _named(attr: str) -> tuple[str, bool, bool]:
-    """From the attributes: a short name for the path, whether they rule content out, whether they mark the article."""
-    name, no, main = "", False, False
+def _named(attr: str) -> tuple[str, bool, bool, bool]:
+    """From the attributes: a short name for the path, whether names and roles rule content out, whether it is
+    hidden, whether they mark the article."""
+    name, no, hidden, main = "", False, False, False
     for key, value in ATTRIBUTE.findall(attr):
         key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id", "aria-label"):
@@ -89,10 +90,10 @@ def _named(attr: str) -> tuple[str, bool, bool]:
         elif key == "itemprop":
             main = main or value.lower() == "articlebody"
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            no = True
+            hidden = True
         elif key == "style":
-            no = no or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-    return name, no, main
+            hidden = hidden or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+    return name, no, hidden, main
 
 
 def _hash(s: str, seed: int = 0) -> int:
@@ -129,11 +130,9 @@ def parse(page: str) -> Iterator[tuple[str, int, str, _Element]]:
         if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and top.tag == tag:
             stack.pop()
             top = stack[-1]
-        name, no, main = _named(attr)
-        if tag in KEEP_NAMED:
-            no = False
+        name, no, hidden, main = _named(attr)
         content = top.content or main or tag in ("article", "main")
-        no = no or tag in NO_CONTENT or (tag == "header" and not top.content)
+        no = hidden or (no and tag not in KEEP_NAMED) or tag in NO_CONTENT or (tag == "header" and not top.content)
         e = _Element(tag, _hash(f"{top.path}>{tag}{name}"), top.dropped or no, content)
         yield "tag", e.path, "", e
         if tag in VOID or attr.endswith("/"):
@@ -237,7 +236,7 @@ def main_text(page: str, cls: dict, order: dict) -> str:
             pieces.append((slot, " "))
         elif kind == "text" and not e.dropped:
             if marked:
-                if e.content:
+                if e.content:     # wording that other pages share stays
                     pieces.append((slot, entities.unescape(text)))
             elif x not in template:
                 pieces.append((slot, entities.unescape(text)))

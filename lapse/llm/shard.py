@@ -33,6 +33,10 @@ DIGIT = 16
 DIMENSIONS = ("n_chars", "doc_id", "source", "lang")
 
 
+def _row_key(docs: DataFrame):
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def _coordinate(field: T.StructField):
     c = F.col(f"`{field.name}`")
     if isinstance(field.dataType, T.StringType):
@@ -43,8 +47,8 @@ def _coordinate(field: T.StructField):
 
 def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None,
               dimensions: tuple = DIMENSIONS) -> DataFrame:
-    """One row per document: doc_id, size (UTF-8 bytes + 1), text_crc32 (unsigned, of the empty text
-    where null), shard (0 .. shards - 1) and slot (gapless from 0 within the shard).
+    """One row per document: doc_id, row_key (hash of the whole row), size (UTF-8 bytes + 1), text_crc32
+    (unsigned, of the empty text where null), shard (0 .. shards - 1) and slot (gapless from 0 within the shard).
 
     Give ``n_shards`` or ``target_bytes`` (shards = total bytes / target, rounded up).
     """
@@ -52,7 +56,7 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
     dims = [d for d in dimensions if d in fields]
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        "doc_id", _row_key(docs).alias("row_key"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
         shuffle_key("doc_id").alias("h"), F.xxhash64(F.monotonically_increasing_id()).alias("m"),
         *[_coordinate(fields[d]).alias(f"v{i}") for i, d in enumerate(dims)])
     rows = stage(rows, "shard-rows")
@@ -71,16 +75,16 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
         return F.coalesce(F.floor((F.col(f"v{i}") - F.lit(lo)) / F.lit(hi - lo) * top).cast("long") + 1, F.lit(0))
 
     low = F.shiftleft(F.col("h").bitwiseAND((1 << HASH_BITS) - 1), ROW_BITS) + F.col("m").bitwiseAND((1 << ROW_BITS) - 1)
-    cur = rows.select("doc_id", "size", "text_crc32", "h", low.alias("low"), F.lit(0).cast("long").alias("node"),
+    cur = rows.select("doc_id", "row_key", "size", "text_crc32", "h", low.alias("low"), F.lit(0).cast("long").alias("node"),
                       *[scaled(i).alias(f"c{i}") for i in range(len(dims))])
     leaves = {0: (0, n_shards)}          # node -> (first shard, number of shards)
     while any(n > 1 for _, n in leaves.values()):
         cur, leaves = _split(cur, leaves, len(dims))
     shard = _lookup(cur, {k: (first,) for k, (first, _) in leaves.items()}, ["shard"])
-    shard = shard.select("doc_id", "size", "text_crc32", "h", F.coalesce("shard", F.lit(0)).cast("int").alias("shard"))
-    out = running(stage(shard, "shard-leaves"), ["shard"], "h", ["doc_id", "size", "text_crc32"], {"slot": F.lit(1)},
+    shard = shard.select("doc_id", "row_key", "size", "text_crc32", "h", F.coalesce("shard", F.lit(0)).cast("int").alias("shard"))
+    out = running(stage(shard, "shard-leaves"), ["shard"], "h", ["doc_id", "row_key"], {"slot": F.lit(1)},
                   bucket_count(ext["n"]))
-    return out.select("doc_id", "size", "text_crc32", "shard", "slot")
+    return out.select("doc_id", "row_key", "size", "text_crc32", "shard", "slot")
 
 
 def _lookup(df: DataFrame, by_node: dict, names: list[str]) -> DataFrame:
@@ -145,13 +149,17 @@ def _goals(run: DataFrame, state: dict) -> DataFrame:
     return run.join(F.broadcast(t), "node")
 
 
-def write_shards(docs: DataFrame, path: str, **options) -> DataFrame:
-    """Write the documents to ``path``/shard=N/ and return the assignment (``kd_shards``).
+def sharded_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with shard and slot (columns of these names are replaced).  Equal rows get one place each."""
+    a = kd_shards(docs, **options).groupBy(F.col("row_key").alias("_key")).agg(
+        F.collect_list(F.struct("shard", "slot")).alias("_places"))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]).alias("_row"),
+                    _row_key(docs).alias("_key")).dropDuplicates(["_key"])
+    placed = d.join(a, "_key").select("_row", F.explode("_places").alias("_at"))
+    return placed.select("_row.*", "_at.shard", "_at.slot")
 
-    Documents join their shard on doc_id, which must be unique for this.
-    """
-    a = stage(kd_shards(docs, **options), "shard-assigned")
-    s = a.select(F.col("doc_id").alias("_id"), F.col("shard").alias("_shard"), "slot")
-    d = docs.drop("shard").join(s, docs["doc_id"].eqNullSafe(s["_id"])).drop("_id").withColumnRenamed("_shard", "shard")
-    d.repartition("shard", F.expr("slot div 100000")).drop("slot").write.partitionBy("shard").parquet(path)
-    return a
+
+def write_shards(docs: DataFrame, path: str, slots_per_file: int = 100_000, **options) -> None:
+    """Write the documents to ``path``/shard=N/, in files of ``slots_per_file`` documents in the order of their slots."""
+    d = sharded_documents(docs, **options).withColumn("_file", F.expr(f"slot div {slots_per_file}"))
+    d.repartition("shard", "_file").sortWithinPartitions("shard", "slot").drop("_file").write.partitionBy("shard").parquet(path)
