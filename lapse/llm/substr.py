@@ -49,10 +49,29 @@ PACKED = "range long, hashes binary, docs binary, places binary"
 
 
 def _blobs(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """Slices of an array as binary values; cuts has one more entry than there are slices."""
-    raw = np.ascontiguousarray(values)
-    off = (cuts * raw.itemsize).astype(np.int64)
-    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(off), pa.py_buffer(raw)]).cast(pa.binary())
+    """Slices of an array as binary values, byte by byte (all first bytes, then all second ones, ..), which
+    compresses well where high bytes are equal; cuts has one more entry than there are slices."""
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize)
+    c = cuts.tolist()
+    return pa.array([raw[i:j].T.tobytes() for i, j in zip(c[:-1], c[1:])], pa.binary())
+
+
+def _values(x: pa.Scalar, kind: type) -> np.ndarray:
+    """A slice written by ``_blobs``."""
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def _steps(doc: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Differences of the ids from one entry to the next, from 0 at each cut (modulo 2^64)."""
+    d = doc.view(np.uint64)
+    out = np.diff(d, prepend=np.uint64(0))
+    out[cuts[:-1]] = d[cuts[:-1]]
+    return out.view(np.int64)
+
+
+def _ids_of(x: pa.Scalar) -> np.ndarray:
+    return np.cumsum(_values(x, np.uint64), dtype=np.uint64).view(np.int64)
 
 
 def _first_of_each(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,52 +88,45 @@ def _first_of_each(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.n
     return order, new
 
 
-class _Marks:
-    """Marked positions, given out as rows (doc_id, places) with the places of a document together."""
+def _doc_range(doc: np.ndarray, bits: int) -> np.ndarray:
+    """Hash range of a document: 16 times coarser than those of windows, so that marks travel in long runs."""
+    fine = min(4, bits - 6)
+    return (wh.mix(doc.view(np.uint64)) >> wh.U(64 - bits + fine)) << wh.U(fine)
 
-    def __init__(self):
-        self.docs, self.places, self.n = [], [], 0
 
-    def add(self, doc: np.ndarray, at: np.ndarray) -> None:
-        if len(doc):
-            self.docs.append(doc)
-            self.places.append(at.astype(np.int32))
-            self.n += len(doc)
-
-    def rows(self, least: int = 0) -> Iterator[tuple[pa.Array, pa.Array]]:
-        if self.n <= least:
-            return
-        doc, at = np.concatenate(self.docs), np.concatenate(self.places)
-        order = np.lexsort((at, doc))
-        doc, at = doc[order], at[order]
-        cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))), [len(doc)]))
-        for i in range(0, len(cuts) - 1, 1 << 15):
-            c = cuts[i:i + (1 << 15) + 1]
-            yield pa.array(doc[c[:-1]]), _blobs(at[c[0]:c[-1]], c - c[0])
-        self.__init__()
+def _mark_rows(doc: np.ndarray, at: np.ndarray, bits: int) -> pa.RecordBatch | None:
+    """Marked positions as rows by their documents' hash range (no hashes)."""
+    if not len(doc):
+        return None
+    r = _doc_range(doc, bits)
+    order = np.lexsort((at, doc, r))
+    r, doc, at = r[order], doc[order], at[order]
+    cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))), [len(r)]))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(r[cuts[:-1]].astype(np.int64)), pa.nulls(len(cuts) - 1, pa.binary()), _blobs(_steps(doc, cuts), cuts),
+         _blobs(at.astype(np.int32), cuts)], names=["range", "hashes", "docs", "places"])
 
 
 def _pack(h: np.ndarray, doc: np.ndarray, at: np.ndarray, bits: int, all_of_many: bool) -> Iterator[pa.RecordBatch]:
     """The first of each hash as rows by hash range; the others (with ``all_of_many`` also the first,
-    if there are others) as marks, in rows without hashes."""
+    if there are others) as marks."""
     order, new = _first_of_each(h, doc, at)
-    marks = _Marks()
     if not new.all():
         run = np.cumsum(new)
-        marked = (np.bincount(run)[run] > 1) if all_of_many else ~new
-        marks.add(doc[order[marked]], at[order[marked]])
-    for d, places in marks.rows():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(wh.mix(d.to_numpy().view(np.uint64)) >> wh.U(64 - bits)).cast(pa.int64()), pa.nulls(len(d), pa.binary()),
-             _blobs(d.to_numpy(), np.arange(len(d) + 1)), places], names=["range", "hashes", "docs", "places"])
+        marked = order[(np.bincount(run)[run] > 1) if all_of_many else ~new]
+        yield _mark_rows(doc[marked], at[marked], bits)
     order = order[new]
+    if not len(order):
+        return
+    # by range, in it by place: there the steps from one id to the next are small
+    r = h[order] >> wh.U(64 - bits)
+    order = order[np.lexsort((order, r))]
     h = h[order]
     r = h >> wh.U(64 - bits)
-    cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))), [len(r)])) if len(r) else np.zeros(1, np.int64)
-    if len(cuts) > 1:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(r[cuts[:-1]].astype(np.int64)), _blobs(h, cuts), _blobs(doc[order], cuts),
-             _blobs(at[order].astype(np.int32), cuts)], names=["range", "hashes", "docs", "places"])
+    cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))), [len(r)]))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(r[cuts[:-1]].astype(np.int64)), _blobs(h, cuts), _blobs(_steps(doc[order], cuts), cuts),
+         _blobs(at[order].astype(np.int32), cuts)], names=["range", "hashes", "docs", "places"])
 
 
 def _ids(col: pa.Array) -> np.ndarray:
@@ -155,7 +167,7 @@ def _windows(bits: int) -> Callable:
                 near = np.zeros(len(start) + 1, np.int64)
                 for k in range(i, j):
                     if n[k - i] >= WINDOW:
-                        at = np.frombuffer(b"".join(lists[k].as_py()), np.int32)
+                        at = _values(lists[k], np.int32)
                         np.add.at(near, first[k - i] + np.maximum(at - PERIOD + 1, 0), 1)
                         np.add.at(near, first[k - i] + at + 1, -1)
                 doc = np.repeat(np.arange(j - i), n)
@@ -167,59 +179,92 @@ def _windows(bits: int) -> Callable:
     return windows
 
 
-def _marked(packed: DataFrame, all_of_many: bool) -> DataFrame:
-    """Marks over all tasks' rows: doc_id, places (a list of packed positions)."""
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = _Marks()
+def _settle(bits: int, all_of_many: bool) -> Callable:
+    """Over rows ordered by range: marks of the equal hashes of all tasks (and the marks that come along)."""
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks: list = []
         held: list = []                  # rows of the range at hand, not yet settled
-        known = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
-        current, size = None, 0
-
-        def settle():
-            """Merge what is held into the range's first positions; mark what turns out to be repeated."""
-            nonlocal known, held, size
-            if not held:
-                return
-            h, doc, at = (np.concatenate([known[0], *[x[0] for x in held]]), np.concatenate([known[1], *[x[1] for x in held]]),
-                          np.concatenate([known[2], *[x[2] for x in held]]))
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+        known = none                     # the range's first positions so far, and whether they are marked
+        current, size, n_marks = None, 0, 0
+
+        def merge():
+            """Merge what is held into the first positions; returns what turns out to be repeated."""
+            h, doc, at = (np.concatenate([known[i], *[x[i] for x in held]]) for i in range(3))
             done = np.concatenate((known[3], np.zeros(len(h) - len(known[3]), bool)))
             order, new = _first_of_each(h, doc, at)
             run = np.cumsum(new)
-            repeated = np.bincount(run, minlength=run[-1] + 1 if len(run) else 1)[run] > 1
-            o_done = done[order]
-            marked = (repeated & ~o_done) if all_of_many else ~new
-            marks.add(doc[order[marked]], at[order[marked]])
+            repeated = np.bincount(run)[run] > 1
+            marked = order[(repeated & ~done[order]) if all_of_many else ~new]
             first = order[new]
-            some = np.zeros(len(first), bool)
-            np.logical_or.at(some, run - 1, repeated | o_done)
-            known = (h[first], doc[first], at[first], some if all_of_many else np.zeros(len(first), bool))
-            held, size = [], 0
+            old = np.zeros(len(first), bool)
+            if all_of_many:
+                np.logical_or.at(old, run - 1, repeated | done[order])
+            return (h[first], doc[first], at[first], old), (doc[marked], at[marked])
 
-        def out(least):
-            for d, p in marks.rows(least):
-                yield pa.RecordBatch.from_arrays([d, p], ["doc_id", "places"])
+        def out():
+            return _mark_rows(np.concatenate([x[0] for x in marks]), np.concatenate([x[1] for x in marks]), bits)
 
         for b in batches:
             ranges = b.column("range").to_numpy()
             for k in range(b.num_rows):
-                doc = np.frombuffer(b.column("docs")[k].as_buffer(), np.int64)
-                at = np.frombuffer(b.column("places")[k].as_buffer(), np.int32)
+                doc = _ids_of(b.column("docs")[k])
+                at = _values(b.column("places")[k], np.int32).astype(np.int64)
                 if not b.column("hashes")[k].is_valid:
-                    marks.add(np.repeat(doc, len(at)), at)
+                    marks.append((doc, at))
+                    n_marks += len(doc)
                     continue
-                if ranges[k] != current or size > HELD:
-                    settle()
-                    if ranges[k] != current:
-                        known = tuple(x[:0] for x in known)
-                    current = ranges[k]
-                    yield from out(HELD)
-                held.append((np.frombuffer(b.column("hashes")[k].as_buffer(), np.uint64), doc, at.astype(np.int64)))
+                if held and (ranges[k] != current or size > HELD):
+                    known, found = merge()
+                    marks.append(found)
+                    n_marks += len(found[0])
+                    held, size = [], 0
+                if ranges[k] != current:
+                    known, current = none, ranges[k]
+                held.append((_values(b.column("hashes")[k], np.uint64), doc, at))
                 size += len(doc)
-        settle()
-        yield from out(0)
+                if n_marks > HELD:
+                    yield out()
+                    marks, n_marks = [], 0
+        if held:
+            known, found = merge()
+            marks.append(found)
+            n_marks += len(found[0])
+        if n_marks:
+            yield out()
+
+    return settle
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows of marks ordered by range: one row for each document."""
+    held, current = [], None
+
+    def out():
+        doc, at = (np.concatenate([x[i] for x in held]) for i in range(2))
+        order = np.lexsort((at, doc))
+        doc, at = doc[order], at[order]
+        cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))), [len(doc)]))
+        for i in range(0, len(cuts) - 1, 1 << 15):
+            c = cuts[i:i + (1 << 15) + 1]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[c[:-1]]), _blobs(at[c[0]:c[-1]], c - c[0])], ["doc_id", "places"])
+
+    for b in batches:
+        ranges = b.column("range").to_numpy()
+        for k in range(b.num_rows):
+            if held and ranges[k] != current:
+                yield from out()
+                held = []
+            current = ranges[k]
+            held.append((_ids_of(b.column("docs")[k]), _values(b.column("places")[k], np.int32)))
+    if held:
+        yield from out()
+
 
-    rows = packed.repartition("range").sortWithinPartitions("range").mapInArrow(mark, "doc_id long, places binary")
-    return rows.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
+def _marked(packed: DataFrame, bits: int, all_of_many: bool) -> DataFrame:
+    """Marks over all tasks' rows: doc_id, places (packed positions), one row for each document with any."""
+    rows = packed.repartition("range").sortWithinPartitions("range").mapInArrow(_settle(bits, all_of_many), PACKED)
+    return rows.repartition("range").sortWithinPartitions("range").mapInArrow(_by_document, "doc_id long, places binary")
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +277,7 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cover = np.zeros(len(start) + 1, np.int64)
             for k in range(i, j):
                 if lists[k].is_valid:
-                    at = np.frombuffer(b"".join(lists[k].as_py()), np.int32) + first[k - i]
+                    at = _values(lists[k], np.int32) + first[k - i]
                     np.add.at(cover, at, 1)
                     np.add.at(cover, at + WINDOW, -1)
             kept = np.cumsum(cover)[:-1] == 0
@@ -259,11 +304,11 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = max(6, (size // 6 // RANGE_WORDS).bit_length())     # ranges: about a word every 6 bytes
-    anchors = _marked(d.mapInArrow(_anchors(bits), PACKED), True)
+    anchors = _marked(d.mapInArrow(_anchors(bits), PACKED), bits, True)
 
     def with_places(marked: DataFrame, how: str) -> DataFrame:
         m = marked.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("_id"), "places").hint("shuffle_hash")
         return d.join(m, F.col("doc_id").eqNullSafe(F.col("_id")), how).select("doc_id", "text", "places")
 
-    windows = _marked(with_places(anchors, "inner").mapInArrow(_windows(bits), PACKED), False)
+    windows = _marked(with_places(anchors, "inner").mapInArrow(_windows(bits), PACKED), bits, False)
     return with_places(windows, "left").mapInArrow(_keep, "doc_id long, n_words long, n_removed long, kept_text string")
