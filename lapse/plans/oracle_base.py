@@ -1,9 +1,9 @@
-"""DuckDB oracle: the adapters and the reference's own SQL formulations.
+"""DuckDB oracle: the adapters and the rules of SURVEY section 2, written as SQL of its own.
 
-The oracle deliberately follows the reference's query shapes (fan-out join for
-the reference date, correlated EXISTS for churn, row_number for the latest
-row, separate CTEs per aggregate) so that it checks the fused Spark plans
-rather than repeating them.  Parameters come from ``TEST_PARAMS``.
+Shapes differ from the Spark plans on purpose: reference dates come from a window over
+a user's paid rows, labels from the distance in days to the next transaction, and
+every feature from one union of a user's dated facts, labelled by source and
+counted in days before the reference date.  Parameters come from ``TEST_PARAMS``.
 """
 
 from __future__ import annotations
@@ -20,6 +20,71 @@ PRIOR = P.prior_days
 
 _D = "CAST(substr(o_orderpriority, 1, 1) AS BIGINT)"
 
+
+def user_chain(s: str, txn: str, refs: str) -> dict[str, str]:
+    """Labels and features of the users of table ``refs`` from the transactions in ``txn``; names end in ``s``."""
+    secs = "greatest(0.0, least(86400.0, total_secs))"
+    log = f"src = 'log' AND ago < {WIN}"
+    new, old = f"src = 'log' AND ago < {REC}", f"src = 'log' AND ago >= {REC} AND ago < {WIN}"
+
+    def over(f: str, cond: str) -> str:
+        return f"{f} FILTER (WHERE {cond})"
+
+    return {
+        f"moves{s}": f"""moves{s} AS (
+  SELECT r.msno, r.ref_date,
+         min(t.txn_dt - r.ref_date) FILTER (WHERE t.txn_dt > r.ref_date) AS gap_any,
+         min(t.txn_dt - r.ref_date) FILTER (WHERE t.txn_dt > r.ref_date AND t.actual_amount_paid > 0) AS gap_paid,
+         sum(t.actual_amount_paid) FILTER (WHERE t.txn_dt - r.ref_date BETWEEN 1 AND {FWD}) AS fwd_rev
+  FROM {refs} r LEFT JOIN {txn} t ON t.msno = r.msno GROUP BY r.msno, r.ref_date)""",
+        f"lab{s}": f"""lab{s} AS (
+  SELECT msno, ref_date, CAST(coalesce(gap_any, {GRACE} + 1) > {GRACE} AS BIGINT) AS is_churn, fwd_rev FROM moves{s})""",
+        f"past{s}": f"""past{s} AS (
+  SELECT t.*, 'txn' AS src, r.ref_date - t.txn_dt AS ago FROM {refs} r, {txn} t WHERE t.msno = r.msno AND t.txn_dt <= r.ref_date
+  UNION ALL BY NAME
+  SELECT l.*, 'log' AS src, r.ref_date - l.log_dt AS ago FROM {refs} r, user_logs l WHERE l.msno = r.msno AND l.log_dt <= r.ref_date)""",
+        f"profile{s}": f"""profile{s} AS (
+  SELECT msno, {over('count(*)', "src = 'txn'")} AS num_transactions,
+         avg(payment_plan_days) AS avg_payment_plan_days, avg(actual_amount_paid) AS avg_actual_amount_paid,
+         avg(is_auto_renew) AS is_auto_renew_rate, avg(is_cancel) AS is_cancel_rate,
+         {over('avg((plan_list_price - actual_amount_paid) / plan_list_price)', 'plan_list_price > 0')} AS avg_discount_rate,
+         count(DISTINCT payment_method_id) AS num_distinct_payment_methods,
+         (list({{'m': payment_method_id, 'd': payment_plan_days, 'a': actual_amount_paid, 'r': is_auto_renew, 'c': is_cancel}}
+               ORDER BY ago, txn_id DESC) FILTER (WHERE src = 'txn'))[1] AS newest,
+         {over('min(ago)', "src = 'log'")} AS days_since_last_login, {over('min(ago)', 'is_cancel = 1')} AS days_since_last_cancel,
+         {over('count(DISTINCT ago)', log)} AS daily_active_days, {over('count(DISTINCT ago)', new)} AS recent_daily_active_days,
+         {over(f'sum({secs})', log)} AS total_secs_sum, {over(f'sum({secs})', new)} AS recent_secs,
+         {over(f'sum({secs})', old)} AS prior_secs, {over(f'stddev_samp({secs})', log)} AS std_dev_daily_secs,
+         {over('sum(num_unq)', log)} AS sum_unq, {over('sum(num_unq)', new)} AS recent_numunq, {over('sum(num_unq)', old)} AS prior_numunq,
+         {', '.join(f"{over(f'sum(num_{k})', log)} AS sum{k}" for k in (25, 50, 75, 985, 100))}
+  FROM past{s} GROUP BY msno)""",
+        f"features{s}": f"""features{s} AS (
+  SELECT lab{s}.* REPLACE (coalesce(fwd_rev, 0) AS fwd_rev), city, bd, gender, registered_via, registration_init_time,
+         avg_payment_plan_days, avg_actual_amount_paid, newest.m AS payment_method_id,
+         newest.d AS most_recent_payment_plan_days, newest.a AS most_recent_actual_amount_paid,
+         days_since_last_login, days_since_last_cancel, std_dev_daily_secs,
+         {', '.join(f"coalesce({c}, 0) AS {c}" for c in ("is_auto_renew_rate", "is_cancel_rate", "avg_discount_rate",
+                                                         "total_secs_sum", "recent_secs", "prior_secs"))},
+         {', '.join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c.split('.')[-1] if '.' not in c else n}" for c, n in (
+             ("num_transactions", ""), ("num_distinct_payment_methods", ""), ("newest.r", "most_recent_is_auto_renew"),
+             ("newest.c", "most_recent_is_cancel"), ("daily_active_days", ""), ("recent_daily_active_days", ""), ("sum25", ""),
+             ("sum50", ""), ("sum75", ""), ("sum985", ""), ("sum100", ""), ("sum_unq", ""), ("recent_numunq", ""),
+             ("prior_numunq", "")))}
+  FROM lab{s} LEFT JOIN profile{s} USING (msno) LEFT JOIN members USING (msno))""",
+        f"derived{s}": f"""derived{s} AS (
+  SELECT *,
+         ref_date - CAST(try_strptime(CAST(registration_init_time AS VARCHAR), '%Y%m%d') AS DATE) AS registration_tenure_days,
+         (0.25 * sum25 + 0.50 * sum50 + 0.75 * sum75 + 0.985 * sum985 + 1.0 * sum100)
+           / (CAST(sum25 + sum50 + sum75 + sum985 + sum100 AS DOUBLE) + 1) AS avg_song_completion,
+         ln(1 + total_secs_sum) AS total_secs_log, ln(1 + fwd_rev) AS log1p_fwd_rev,
+         sum_unq / (daily_active_days + 1.0) AS avg_num_unq_songs,
+         recent_daily_active_days / (daily_active_days + 1.0) AS recent_engagement_ratio,
+         (recent_secs / {REC}.0) / ((prior_secs / {PRIOR}.0) + 1) AS secs_trend_recent_vs_prior,
+         (recent_numunq / {REC}.0) / ((prior_numunq / {PRIOR}.0) + 1) AS numunq_trend_recent_vs_prior
+  FROM features{s})""",
+    }
+
+
 BASE = {
     "txn": f"""txn AS (
   SELECT o_custkey AS msno, o_orderkey AS txn_id,
@@ -54,135 +119,19 @@ BASE = {
          sum(l.l_extendedprice) AS total_secs
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
   GROUP BY 1, 2)""",
-    "valid_expiry": "valid_expiry AS (SELECT msno, expire_dt FROM paid WHERE expire_dt >= txn_dt)",
+    "cycles": """cycles AS (
+  SELECT msno, expire_dt, expire_dt >= txn_dt AS sound, min(txn_dt) OVER (PARTITION BY msno) AS first_paid FROM paid)""",
     "refs": f"""refs AS (
-  SELECT t.msno, min(t.txn_dt) AS start_dt, max(v.expire_dt) AS ref_date
-  FROM paid t JOIN valid_expiry v USING (msno)
-  WHERE v.expire_dt <= {CUTOFF}
-  GROUP BY t.msno)""",
-    "churn_flag": f"""churn_flag AS (
-  SELECT r.msno, r.ref_date,
-         CAST(CASE WHEN EXISTS (SELECT 1 FROM txn t WHERE t.msno = r.msno AND t.txn_dt > r.ref_date
-                           AND t.txn_dt <= r.ref_date + {GRACE}) THEN 0 ELSE 1 END AS BIGINT) AS is_churn
-  FROM refs r)""",
-    "fwd_rev_target": f"""fwd_rev_target AS (
-  SELECT t.msno, sum(t.actual_amount_paid) AS fwd_rev
-  FROM txn t JOIN refs r USING (msno)
-  WHERE t.txn_dt > r.ref_date AND t.txn_dt <= r.ref_date + {FWD}
-  GROUP BY t.msno)""",
-    "lab": """lab AS (
-  SELECT c.msno, c.ref_date, c.is_churn, f.fwd_rev
-  FROM churn_flag c LEFT JOIN fwd_rev_target f USING (msno))""",
-    "churn_corrected": f"""churn_corrected AS (
-  SELECT r.msno, r.ref_date,
-         CAST(CASE WHEN EXISTS (SELECT 1 FROM paid t WHERE t.msno = r.msno AND t.txn_dt > r.ref_date
-                           AND t.txn_dt <= r.ref_date + {GRACE}) THEN 0 ELSE 1 END AS BIGINT) AS is_churn
-  FROM refs r)""",
+  SELECT msno, any_value(first_paid) AS start_dt, max(expire_dt) AS ref_date FROM cycles
+  WHERE sound AND expire_dt <= {CUTOFF} GROUP BY msno)""",
+    "refs_open": """refs_open AS (
+  SELECT msno, any_value(first_paid) AS start_dt, max(expire_dt) AS ref_date FROM cycles WHERE sound GROUP BY msno)""",
     "survival": f"""survival AS (
-  SELECT t.msno, min(t.txn_dt) AS start_dt, max(v.expire_dt) AS last_expire_dt,
-         date_diff('day', min(t.txn_dt), max(v.expire_dt)) AS duration_days,
-         CAST(CASE WHEN max(v.expire_dt) + {GRACE} <= {LAST} THEN 1 ELSE 0 END AS BIGINT) AS event_churned
-  FROM paid t JOIN valid_expiry v USING (msno)
-  GROUP BY t.msno)""",
-    # --- feature pipeline pieces (the reference's CTE-per-aggregate shape) ---
-    "txn_agg": """txn_agg AS (
-  SELECT t.msno, count(*) AS num_transactions,
-         avg(t.payment_plan_days) AS avg_payment_plan_days,
-         avg(t.actual_amount_paid) AS avg_actual_amount_paid,
-         avg(t.is_auto_renew) AS is_auto_renew_rate,
-         avg(t.is_cancel) AS is_cancel_rate,
-         avg(CASE WHEN t.plan_list_price > 0
-                  THEN (t.plan_list_price - t.actual_amount_paid) / t.plan_list_price END) AS avg_discount_rate
-  FROM txn t JOIN refs r USING (msno)
-  WHERE t.txn_dt <= r.ref_date
-  GROUP BY t.msno)""",
-    "payment_method_count": """payment_method_count AS (
-  SELECT t.msno, count(DISTINCT t.payment_method_id) AS num_distinct_payment_methods
-  FROM txn t JOIN refs r USING (msno)
-  WHERE t.txn_dt <= r.ref_date
-  GROUP BY t.msno)""",
-    "latest_txn": """latest_txn AS (
-  SELECT msno, payment_method_id, payment_plan_days AS most_recent_payment_plan_days,
-         actual_amount_paid AS most_recent_actual_amount_paid,
-         is_auto_renew AS most_recent_is_auto_renew, is_cancel AS most_recent_is_cancel
-  FROM (SELECT t.*, row_number() OVER (PARTITION BY t.msno ORDER BY t.txn_dt DESC, t.txn_id DESC) AS rn
-        FROM txn t JOIN refs r USING (msno)
-        WHERE t.txn_dt <= r.ref_date)
-  WHERE rn = 1)""",
-    "last_login": """last_login AS (
-  SELECT l.msno, max(l.log_dt) AS last_login_dt
-  FROM user_logs l JOIN refs r USING (msno)
-  WHERE l.log_dt <= r.ref_date
-  GROUP BY l.msno)""",
-    "last_cancel": """last_cancel AS (
-  SELECT t.msno, max(t.txn_dt) AS last_cancel_dt
-  FROM txn t JOIN refs r USING (msno)
-  WHERE t.txn_dt <= r.ref_date AND t.is_cancel = 1
-  GROUP BY t.msno)""",
-    "logs_agg": f"""logs_agg AS (
-  SELECT l.msno,
-         count(DISTINCT l.log_dt) AS daily_active_days,
-         count(*) FILTER (WHERE l.log_dt >= r.ref_date - {REC - 1}) AS recent_daily_active_days,
-         sum(greatest(least(l.total_secs, 86400.0), 0.0)) AS total_secs_sum,
-         sum(l.num_25) AS sum25, sum(l.num_50) AS sum50, sum(l.num_75) AS sum75,
-         sum(l.num_985) AS sum985, sum(l.num_100) AS sum100, sum(l.num_unq) AS sum_unq,
-         sum(greatest(least(l.total_secs, 86400.0), 0.0)) FILTER (WHERE l.log_dt >= r.ref_date - {REC - 1}) AS recent_secs,
-         sum(greatest(least(l.total_secs, 86400.0), 0.0)) FILTER (WHERE l.log_dt < r.ref_date - {REC - 1}) AS prior_secs,
-         sum(l.num_unq) FILTER (WHERE l.log_dt >= r.ref_date - {REC - 1}) AS recent_numunq,
-         sum(l.num_unq) FILTER (WHERE l.log_dt < r.ref_date - {REC - 1}) AS prior_numunq,
-         stddev_samp(greatest(least(l.total_secs, 86400.0), 0.0)) AS std_dev_daily_secs
-  FROM user_logs l JOIN refs r USING (msno)
-  WHERE l.log_dt >= r.ref_date - {WIN - 1} AND l.log_dt <= r.ref_date
-  GROUP BY l.msno)""",
-    "features": """features AS (
-  SELECT r.msno, r.ref_date, cf.is_churn,
-         m.city, m.bd, m.gender, m.registered_via, m.registration_init_time,
-         coalesce(fr.fwd_rev, 0) AS fwd_rev,
-         CAST(coalesce(txn_agg.num_transactions, 0) AS BIGINT) AS num_transactions,
-         txn_agg.avg_payment_plan_days, txn_agg.avg_actual_amount_paid,
-         coalesce(txn_agg.is_auto_renew_rate, 0) AS is_auto_renew_rate,
-         coalesce(txn_agg.is_cancel_rate, 0) AS is_cancel_rate,
-         coalesce(txn_agg.avg_discount_rate, 0) AS avg_discount_rate,
-         CAST(coalesce(payment_method_count.num_distinct_payment_methods, 0) AS BIGINT) AS num_distinct_payment_methods,
-         latest_txn.payment_method_id, latest_txn.most_recent_payment_plan_days,
-         latest_txn.most_recent_actual_amount_paid,
-         coalesce(latest_txn.most_recent_is_auto_renew, 0) AS most_recent_is_auto_renew,
-         coalesce(latest_txn.most_recent_is_cancel, 0) AS most_recent_is_cancel,
-         date_diff('day', ll.last_login_dt, r.ref_date) AS days_since_last_login,
-         date_diff('day', lc.last_cancel_dt, r.ref_date) AS days_since_last_cancel,
-         CAST(coalesce(logs_agg.daily_active_days, 0) AS BIGINT) AS daily_active_days,
-         CAST(coalesce(logs_agg.recent_daily_active_days, 0) AS BIGINT) AS recent_daily_active_days,
-         coalesce(logs_agg.total_secs_sum, 0) AS total_secs_sum,
-         CAST(coalesce(logs_agg.sum25, 0) AS BIGINT) AS sum25, CAST(coalesce(logs_agg.sum50, 0) AS BIGINT) AS sum50,
-         CAST(coalesce(logs_agg.sum75, 0) AS BIGINT) AS sum75, CAST(coalesce(logs_agg.sum985, 0) AS BIGINT) AS sum985,
-         CAST(coalesce(logs_agg.sum100, 0) AS BIGINT) AS sum100, CAST(coalesce(logs_agg.sum_unq, 0) AS BIGINT) AS sum_unq,
-         coalesce(logs_agg.recent_secs, 0) AS recent_secs, coalesce(logs_agg.prior_secs, 0) AS prior_secs,
-         CAST(coalesce(logs_agg.recent_numunq, 0) AS BIGINT) AS recent_numunq,
-         CAST(coalesce(logs_agg.prior_numunq, 0) AS BIGINT) AS prior_numunq,
-         logs_agg.std_dev_daily_secs, ll.last_login_dt, lc.last_cancel_dt
-  FROM refs r
-  LEFT JOIN churn_flag cf USING (msno)
-  LEFT JOIN members m USING (msno)
-  LEFT JOIN txn_agg USING (msno)
-  LEFT JOIN payment_method_count USING (msno)
-  LEFT JOIN latest_txn USING (msno)
-  LEFT JOIN last_login ll USING (msno)
-  LEFT JOIN last_cancel lc USING (msno)
-  LEFT JOIN fwd_rev_target fr USING (msno)
-  LEFT JOIN logs_agg USING (msno))""",
-    "derived": f"""derived AS (
-  SELECT *,
-         date_diff('day', try_strptime(CAST(registration_init_time AS VARCHAR), '%Y%m%d')::DATE, ref_date)
-           AS registration_tenure_days,
-         (0.25 * sum25 + 0.50 * sum50 + 0.75 * sum75 + 0.985 * sum985 + 1.0 * sum100)
-           / (CAST(sum25 + sum50 + sum75 + sum985 + sum100 AS DOUBLE) + 1) AS avg_song_completion,
-         ln(1 + total_secs_sum) AS total_secs_log,
-         ln(1 + fwd_rev) AS log1p_fwd_rev,
-         sum_unq / (daily_active_days + 1.0) AS avg_num_unq_songs,
-         recent_daily_active_days / (daily_active_days + 1.0) AS recent_engagement_ratio,
-         (recent_secs / {REC}.0) / ((prior_secs / {PRIOR}.0) + 1) AS secs_trend_recent_vs_prior,
-         (recent_numunq / {REC}.0) / ((prior_numunq / {PRIOR}.0) + 1) AS numunq_trend_recent_vs_prior
-  FROM features)""",
+  SELECT msno, start_dt, ref_date AS last_expire_dt, ref_date - start_dt AS duration_days,
+         CAST({LAST} - ref_date >= {GRACE} AS BIGINT) AS event_churned FROM refs_open)""",
+    **user_chain("", "txn", "refs"),
+    "churn_corrected": f"""churn_corrected AS (
+  SELECT msno, ref_date, CAST(coalesce(gap_paid, {GRACE} + 1) > {GRACE} AS BIGINT) AS is_churn FROM moves)""",
 }
 
 ORDER = list(BASE)
@@ -279,10 +228,8 @@ BASE.update({
               AS DOUBLE) AS p_churn_raw
   FROM customer)""",
     "last_paid": """last_paid AS (
-  SELECT msno, actual_amount_paid AS last_paid FROM (
-    SELECT t.msno, t.actual_amount_paid,
-           row_number() OVER (PARTITION BY t.msno ORDER BY t.txn_dt DESC, t.txn_id DESC) AS rn
-    FROM paid t JOIN refs r USING (msno) WHERE t.txn_dt <= r.ref_date) WHERE rn = 1)""",
+  SELECT p.msno, (list(p.actual_amount_paid ORDER BY p.txn_dt DESC, p.txn_id DESC))[1] AS last_paid
+  FROM paid p SEMI JOIN refs r ON p.msno = r.msno AND p.txn_dt <= r.ref_date GROUP BY p.msno)""",
     "scored": """scored AS (
   SELECT l.msno, l.is_churn, coalesce(l.fwd_rev, 0.0) AS fwd_rev,
          coalesce(cs.p_churn_raw, 0.0) AS p_churn_raw,
@@ -296,8 +243,6 @@ BASE.update({
                 / (SELECT count(*) FROM scored) AS p_churn
       FROM scored)))""",
     "latest_renew": """latest_renew AS (
-  SELECT msno, is_auto_renew FROM (
-    SELECT msno, is_auto_renew, row_number() OVER (PARTITION BY msno ORDER BY txn_dt DESC, txn_id DESC) AS rn
-    FROM paid) WHERE rn = 1)""",
+  SELECT msno, (list(is_auto_renew ORDER BY txn_dt DESC, txn_id DESC))[1] AS is_auto_renew FROM paid GROUP BY msno)""",
 })
 ORDER[:] = list(BASE)

@@ -20,15 +20,20 @@ FEATURE_INTS = ("msno", "ref_date", "is_churn", "city", "bd", "gender", "registe
                 "daily_active_days", "recent_daily_active_days", "sum25", "sum50", "sum75", "sum985",
                 "sum100", "sum_unq", "recent_numunq", "prior_numunq", "registration_tenure_days")
 
-_seg_corrected = """seg AS (SELECT c.msno, c.ref_date, c.is_churn, coalesce(m.gender, 'unknown') AS gender,
-                       m.registered_via, """ + AGE_CASE.format(c="m.bd") + """ AS age_bucket
-            FROM churn_corrected c LEFT JOIN members m USING (msno))"""
+# the corrected population with its groups, and each user's newest paid row before the reference date
+_people = """people AS (
+  SELECT c.*, coalesce(m.gender, 'unknown') AS gender, m.registered_via, """ + AGE_CASE.format(c="m.bd") + """ AS age_bucket
+  FROM churn_corrected c LEFT JOIN members m USING (msno))"""
+
+_newest = """newest_paid AS (
+  SELECT c.msno, c.is_churn, (list({'r': p.is_auto_renew, 'c': p.is_cancel, 'd': p.payment_plan_days}
+                              ORDER BY p.txn_dt DESC, p.txn_id DESC))[1] AS n
+  FROM churn_corrected c JOIN paid p ON p.msno = c.msno AND p.txn_dt <= c.ref_date GROUP BY c.msno, c.is_churn)"""
+
+
+def _rate(group: str, source: str) -> str:
+    return f"SELECT {group}, count(*) AS n, {R('avg(is_churn) * 100', 6, 'churn_pct')} FROM {source} GROUP BY 1"
 
-_latest_corrected = """latest_txn_corrected AS (
-  SELECT msno, is_auto_renew, is_cancel, payment_plan_days FROM (
-    SELECT t.msno, t.is_auto_renew, t.is_cancel, t.payment_plan_days,
-           row_number() OVER (PARTITION BY t.msno ORDER BY t.txn_dt DESC, t.txn_id DESC) AS rn
-    FROM paid t JOIN refs r USING (msno) WHERE t.txn_dt <= r.ref_date) WHERE rn = 1)"""
 
 ORACLE = {
     "churn_revenue_by_segment": with_base(f"""
@@ -40,22 +45,31 @@ FROM lab l LEFT JOIN members m USING (msno) GROUP BY 1, 2"""),
     "ref_dates": with_base("SELECT msno, start_dt, ref_date FROM refs"),
     "ref_dates_unguarded": with_base(f"""
 SELECT msno, max(expire_dt) AS ref_date FROM paid WHERE expire_dt <= {CUTOFF} GROUP BY msno"""),
-    "churn_labels": with_base("SELECT msno, ref_date, is_churn FROM churn_flag"),
+    "churn_labels": with_base("SELECT msno, ref_date, is_churn FROM lab"),
     "churn_labels_paid_renewal": with_base("SELECT msno, ref_date, is_churn FROM churn_corrected"),
-    "forward_revenue": with_base(f"SELECT msno, {R('fwd_rev')} FROM fwd_rev_target"),
+    "forward_revenue": with_base(f"SELECT msno, {R('fwd_rev')} FROM lab WHERE fwd_rev IS NOT NULL"),
     "survival_table": with_base(
         "SELECT msno, start_dt, last_expire_dt, duration_days, event_churned FROM survival"),
     "signed_duration": with_base(f"""
 SELECT msno, {R('CASE WHEN event_churned = 1 THEN CAST(duration_days AS DOUBLE) + 0.5 '
                'ELSE -(CAST(duration_days AS DOUBLE) + 0.5) END', 6, 'cox_target')} FROM survival"""),
     "population_bias": with_base(f"""
-WITH {_seg_corrected},
-a AS (SELECT gender, count(*) AS n_corrected, avg(is_churn) * 100 AS churn_pct_corrected FROM seg GROUP BY 1),
-b AS (SELECT gender, count(*) AS n_snapshot, avg(is_churn) * 100 AS churn_pct_snapshot FROM seg
-      WHERE ref_date BETWEEN {SNAP_LO} AND {CUTOFF} GROUP BY 1)
-SELECT coalesce(a.gender, b.gender) AS gender, a.n_corrected, {R('a.churn_pct_corrected')},
-       b.n_snapshot, {R('b.churn_pct_snapshot')}
-FROM a FULL JOIN b ON a.gender = b.gender"""),
+WITH {_people},
+t AS (SELECT gender, is_churn, ref_date BETWEEN {SNAP_LO} AND {CUTOFF} AS seen FROM people)
+SELECT gender, count(*) AS n_corrected, {R('avg(is_churn) * 100', 6, 'churn_pct_corrected')},
+       nullif(count(*) FILTER (WHERE seen), 0) AS n_snapshot,
+       {R('avg(is_churn) FILTER (WHERE seen) * 100', 6, 'churn_pct_snapshot')} FROM t GROUP BY gender"""),
+    "population_comparison": with_base(f"""
+WITH {_people}, {_newest},
+t AS (SELECT p.is_churn, p.ref_date BETWEEN {SNAP_LO} AND {CUTOFF} AS seen, gender, CAST(registered_via AS VARCHAR) AS channel,
+             age_bucket, 'renew=' || n.r || ', cancel=' || n.c AS flags FROM people p LEFT JOIN newest_paid USING (msno)),
+u AS (SELECT 'all' AS dimension, 'all' AS value, is_churn, seen FROM t
+      UNION ALL SELECT 'gender', gender, is_churn, seen FROM t UNION ALL SELECT 'channel', channel, is_churn, seen FROM t
+      UNION ALL SELECT 'age', age_bucket, is_churn, seen FROM t UNION ALL SELECT 'flags', flags, is_churn, seen FROM t)
+SELECT dimension, value, count(*) AS n_corrected, {R('avg(is_churn) * 100', 6, 'churn_pct_corrected')},
+       nullif(count(*) FILTER (WHERE seen), 0) AS n_snapshot,
+       {R('avg(is_churn) FILTER (WHERE seen) * 100', 6, 'churn_pct_snapshot')},
+       {R('(1.0 - CAST(count(*) FILTER (WHERE seen) AS DOUBLE) / count(*)) * 100', 6, 'pct_missed')} FROM u GROUP BY 1, 2"""),
     "corrupted_expiry_profile": with_base(f"""
 SELECT count(*) AS n_txn, CAST(count_if(expire_dt < txn_dt) AS BIGINT) AS n_corrupt,
        CAST(count_if(expire_dt < txn_dt AND is_cancel = 1) AS BIGINT) AS n_corrupt_cancel,
@@ -66,22 +80,18 @@ FROM txn"""),
 SELECT t.msno, t.txn_id, t.txn_dt, r.ref_date, {R('t.actual_amount_paid')}
 FROM txn t JOIN refs r USING (msno) WHERE t.txn_dt <= r.ref_date"""),
     "txn_aggregates": with_base(f"""
-SELECT a.msno, CAST(a.num_transactions AS BIGINT) AS num_transactions, {R('a.avg_payment_plan_days')},
-       {R('a.avg_actual_amount_paid')}, {R('a.is_auto_renew_rate')}, {R('a.is_cancel_rate')},
-       {R('a.avg_discount_rate')}, CAST(p.num_distinct_payment_methods AS BIGINT) AS num_distinct_payment_methods
-FROM txn_agg a JOIN payment_method_count p USING (msno)"""),
+SELECT msno, num_transactions, {R('avg_payment_plan_days')}, {R('avg_actual_amount_paid')}, {R('is_auto_renew_rate')},
+       {R('is_cancel_rate')}, {R('avg_discount_rate')}, num_distinct_payment_methods
+FROM profile WHERE num_transactions > 0"""),
     "latest_transaction": with_base(f"""
-SELECT msno, payment_method_id, most_recent_payment_plan_days, {R('most_recent_actual_amount_paid')},
-       most_recent_is_auto_renew, most_recent_is_cancel FROM latest_txn"""),
+SELECT msno, newest.m AS payment_method_id, newest.d AS most_recent_payment_plan_days,
+       {R('newest.a', 6, 'most_recent_actual_amount_paid')}, newest.r AS most_recent_is_auto_renew,
+       newest.c AS most_recent_is_cancel FROM profile WHERE newest IS NOT NULL"""),
     "recency": with_base("SELECT msno, days_since_last_login, days_since_last_cancel FROM features"),
-    "engagement_window": with_base(f"""
-SELECT msno, CAST(daily_active_days AS BIGINT) AS daily_active_days,
-       CAST(recent_daily_active_days AS BIGINT) AS recent_daily_active_days, {R('total_secs_sum')},
-       CAST(sum25 AS BIGINT) AS sum25, CAST(sum50 AS BIGINT) AS sum50, CAST(sum75 AS BIGINT) AS sum75,
-       CAST(sum985 AS BIGINT) AS sum985, CAST(sum100 AS BIGINT) AS sum100, CAST(sum_unq AS BIGINT) AS sum_unq,
-       {R('recent_secs')}, {R('prior_secs')},
-       CAST(recent_numunq AS BIGINT) AS recent_numunq, CAST(prior_numunq AS BIGINT) AS prior_numunq
-FROM logs_agg"""),
+    "engagement_window": with_base("SELECT msno, daily_active_days, recent_daily_active_days, " + ", ".join(
+        [R(c) for c in ("total_secs_sum", "recent_secs", "prior_secs")]
+        + [f"CAST({c} AS BIGINT) AS {c}" for c in ("sum25", "sum50", "sum75", "sum985", "sum100", "sum_unq", "recent_numunq",
+                                                   "prior_numunq")]) + " FROM profile WHERE daily_active_days > 0"),
     "user_feature_table": with_base(
         "SELECT " + ", ".join(list(FEATURE_INTS) + [R(c) for c in DERIVED_DOUBLES]) + " FROM derived"),
     "registration_tenure": with_base(
@@ -114,37 +124,27 @@ FROM lab GROUP BY 1, 2, 5"""),
 SELECT count(*) AS n_users, CAST(count_if(a.msno IS NULL) AS BIGINT) AS n_no_activity,
        {R('avg(CASE WHEN a.msno IS NULL THEN 1.0 ELSE 0.0 END) * 100', 6, 'pct_no_activity')}
 FROM refs r LEFT JOIN (SELECT DISTINCT msno FROM user_logs) a ON r.msno = a.msno"""),
-    "churn_by_gender": with_base(f"""
-WITH {_seg_corrected}
-SELECT gender, count(*) AS n, {R('avg(is_churn) * 100', 6, 'churn_pct')} FROM seg GROUP BY 1"""),
-    "churn_by_channel": with_base(f"""
-WITH {_seg_corrected}
-SELECT registered_via, count(*) AS n, {R('avg(is_churn) * 100', 6, 'churn_pct')} FROM seg
-GROUP BY 1 ORDER BY n DESC, registered_via NULLS FIRST LIMIT 8"""),
-    "churn_by_age": with_base(f"""
-WITH {_seg_corrected}
-SELECT age_bucket, count(*) AS n, {R('avg(is_churn) * 100', 6, 'churn_pct')} FROM seg GROUP BY 1"""),
+    "churn_by_gender": with_base(f"WITH {_people} {_rate('gender', 'people')}"),
+    "churn_by_channel": with_base(
+        f"WITH {_people} {_rate('registered_via', 'people')} ORDER BY n DESC, registered_via NULLS FIRST LIMIT 8"),
+    "churn_by_age": with_base(f"WITH {_people} {_rate('age_bucket', 'people')}"),
     "churn_by_renew_cancel": with_base(f"""
-WITH {_latest_corrected}
-SELECT l.is_auto_renew, l.is_cancel, count(*) AS n, {R('avg(c.is_churn) * 100', 6, 'churn_pct')},
-       format('renew={{}}, cancel={{}}', l.is_auto_renew, l.is_cancel) AS segment
-FROM churn_corrected c JOIN latest_txn_corrected l USING (msno) GROUP BY 1, 2"""),
+WITH {_newest}, k AS (SELECT is_churn, n.r AS is_auto_renew, n.c AS is_cancel FROM newest_paid)
+SELECT is_auto_renew, is_cancel, 'renew=' || is_auto_renew || ', cancel=' || is_cancel AS segment,
+       count(*) AS n, {R('avg(is_churn) * 100', 6, 'churn_pct')} FROM k GROUP BY ALL"""),
     "churn_by_plan_length": with_base(f"""
-WITH {_latest_corrected}
-SELECT CASE WHEN l.payment_plan_days BETWEEN 1 AND 31 THEN '1-31'
-            WHEN l.payment_plan_days BETWEEN 32 AND 90 THEN '32-90'
-            WHEN l.payment_plan_days > 90 THEN '91+' ELSE 'other' END AS plan_bucket,
-       count(*) AS n, {R('avg(c.is_churn) * 100', 6, 'churn_pct')}
-FROM churn_corrected c JOIN latest_txn_corrected l USING (msno) GROUP BY 1"""),
+WITH {_newest}, k AS (SELECT is_churn, CASE WHEN n.d > 90 THEN '91+' WHEN n.d > 31 THEN '32-90' WHEN n.d > 0 THEN '1-31'
+                                            ELSE 'other' END AS plan_bucket FROM newest_paid)
+{_rate('plan_bucket', 'k')}"""),
     "label_balance": with_base(f"""
 SELECT is_churn, count(*) AS n, {R('count(*) * 100.0 / (SELECT count(*) FROM lab)', 6, 'pct')}
 FROM lab GROUP BY 1"""),
     "behaviour_by_label": with_base(f"""
-WITH agg AS (SELECT msno, count(DISTINCT log_dt) AS active_days, sum(total_secs) / 3600 AS total_hours,
-                    sum(num_unq) AS total_unq FROM user_logs GROUP BY msno)
-SELECT l.is_churn, count(*) AS n, {R('avg(a.active_days)', 6, 'avg_active_days')},
-       {R('avg(a.total_hours)', 6, 'avg_total_hours')}, {R('avg(a.total_unq)', 6, 'avg_unq_songs')}
-FROM lab l LEFT JOIN agg a USING (msno) GROUP BY 1"""),
+WITH use AS (SELECT lab.msno, lab.is_churn, u.log_dt, u.total_secs, u.num_unq FROM lab LEFT JOIN user_logs u USING (msno)),
+per AS (SELECT msno, is_churn, nullif(count(DISTINCT log_dt), 0) AS days, sum(total_secs) / 3600 AS hours, sum(num_unq) AS songs
+        FROM use GROUP BY ALL)
+SELECT is_churn, count(*) AS n, {R('avg(days)', 6, 'avg_active_days')}, {R('avg(hours)', 6, 'avg_total_hours')},
+       {R('avg(songs)', 6, 'avg_unq_songs')} FROM per GROUP BY is_churn"""),
     "scale_overview": with_base("""
 SELECT min(log_dt) AS min_date, max(log_dt) AS max_date, count(DISTINCT msno) AS n_users, count(*) AS n_rows
 FROM user_logs"""),
@@ -154,8 +154,8 @@ SELECT {R('min(total_secs)', 6, 'min_secs')}, {R('max(total_secs)', 6, 'max_secs
        count(*) AS n_total FROM user_logs"""),
     "candidate_features": with_base(f"""
 SELECT msno, {R('std_dev_daily_secs')},
-       CAST(CASE WHEN last_login_dt IS NULL THEN 1 ELSE 0 END AS BIGINT) AS never_logged_in,
-       CAST(CASE WHEN last_cancel_dt IS NULL THEN 1 ELSE 0 END AS BIGINT) AS never_canceled
+       CAST(days_since_last_login IS NULL AS BIGINT) AS never_logged_in,
+       CAST(days_since_last_cancel IS NULL AS BIGINT) AS never_canceled
 FROM features"""),
     "events_engagement": """
 WITH ev AS (SELECT user_id AS msno, CAST(ts AS DATE) AS log_dt, event_type, value FROM events),

@@ -105,7 +105,7 @@ SELECT model, n, {R('rmse')}, {R('mae')}, {R('r2')},
        CAST(r2 = max(r2) OVER () AS BIGINT) AS best_r2 FROM m"""),
     "prediction_sample": with_base(f"""
 SELECT msno, {R('fwd_rev')}, {R('e_fwd_rev')} FROM scored
-ORDER BY md5('42:' || CAST(msno AS VARCHAR)) LIMIT 200"""),
+ORDER BY md5('pairs:42:' || CAST(msno AS VARCHAR)) LIMIT 20000"""),
     "concordance": with_base(f"""
 WITH ss AS (SELECT s.duration_days AS d, s.event_churned AS e, coalesce(cs.p_churn_raw, 0.0) AS sc
             FROM survival s LEFT JOIN cust_score cs USING (msno)),

@@ -1,30 +1,15 @@
 """Oracle SQL for the SQL-expressible model keys (given scores) and the survival
-feature table (the feature CTEs re-pointed at paid-only rows and uncapped refs)."""
+feature table."""
 
-import re
-
-from lapse.plans.oracle_base import BASE, GRACE, LAST, R, with_base
-from lapse.plans.q_models import GATE_THRESHOLDS, SURVIVAL_COLS
 from lapse.params import TEST_PARAMS as P
+from lapse.plans.oracle_base import R, user_chain, with_base
 
-_FEATURE_CTES = ("churn_flag", "fwd_rev_target", "txn_agg", "payment_method_count", "latest_txn", "last_login",
-                 "last_cancel", "logs_agg", "features", "derived")
-
-
-def _survival_variant() -> str:
-    """Survival profile: every feature CTE reads paid rows and uncapped refs."""
-    out = [f"""refs_u AS (
-  SELECT t.msno, min(t.txn_dt) AS start_dt, max(v.expire_dt) AS ref_date
-  FROM paid t JOIN valid_expiry v USING (msno) GROUP BY t.msno)"""]
-    for name in _FEATURE_CTES:
-        body = BASE[name]
-        body = re.sub(r"\btxn t\b", "paid t", body)
-        body = re.sub(r"\brefs r\b", "refs_u r", body)
-        for n in _FEATURE_CTES:
-            body = re.sub(rf"\b{n}\b", f"{n}_s", body)
-        out.append(body)
-    return ",\n".join(out)
-
+# Gate thresholds and the compared columns of the survival features.
+GATE_THRESHOLDS = (0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6)
+SURVIVAL_COLS = ("msno", "duration_days", "event_churned", "num_transactions", "avg_actual_amount_paid",
+                 "payment_method_id", "most_recent_is_auto_renew", "days_since_last_login",
+                 "daily_active_days", "total_secs_sum", "registration_tenure_days", "avg_song_completion",
+                 "city", "gender", "registered_via")
 
 _gate_vals = ", ".join(f"(CAST('{t!r}' AS DOUBLE))" for t in GATE_THRESHOLDS)
 _logit = "ln(pp / (1.0 - pp))"
@@ -64,13 +49,9 @@ m AS (SELECT 'hurdle' AS model, 0 AS priority, sqrt(avg((e_fwd_rev - fwd_rev) *
 SELECT arg_min(model, (rmse, priority)) AS chosen,
        {R("max(rmse) FILTER (WHERE model = 'hurdle')", 6, 'rmse_incumbent')},
        {R("max(rmse) FILTER (WHERE model = 'last_amount')", 6, 'rmse_challenger')} FROM m"""),
+    # the same chain over paid rows and uncapped reference dates
     "survival_feature_table": with_base(
-        "WITH " + _survival_variant() + f""",
-surv_u AS (SELECT msno, date_diff('day', start_dt, ref_date) AS duration_days,
-                  CAST(CASE WHEN ref_date + {GRACE} <= {LAST} THEN 1 ELSE 0 END AS BIGINT) AS event_churned
-           FROM refs_u)
-SELECT """ + ", ".join(
-            (R(f"d.{c}") if c in ("avg_actual_amount_paid", "total_secs_sum", "avg_song_completion")
-             else (f"s.{c}" if c in ("duration_days", "event_churned") else f"d.{c}"))
-            for c in SURVIVAL_COLS) + " FROM derived_s d JOIN surv_u s USING (msno)"),
+        "WITH " + ",\n".join(user_chain("_s", "paid", "refs_open").values()) + " SELECT " + ", ".join(
+            R(c) if c in ("avg_actual_amount_paid", "total_secs_sum", "avg_song_completion") else c for c in SURVIVAL_COLS)
+        + " FROM derived_s JOIN survival USING (msno)"),
 }

@@ -14,8 +14,8 @@ F1 = repr(P.split_fracs[0] + P.split_fracs[1])
 Q = '"column"'
 
 
-def _h(key):
-    return f"('0x' || substr(md5('{P.seed}:' || CAST({key} AS VARCHAR)), 1, 8))::UBIGINT"
+def _h(key, salt=""):
+    return f"('0x' || substr(md5('{salt}{P.seed}:' || CAST({key} AS VARCHAR)), 1, 8))::UBIGINT"
 
 
 _mt = ("mt AS (SELECT * REPLACE (coalesce(gender, 'unknown') AS gender), "
@@ -82,11 +82,9 @@ SELECT gx.i, round(gx.x, 6) AS x,
        round(sum(vt.c * exp(-0.5 * ((gx.x - vt.x) / gx.bw) * ((gx.x - vt.x) / gx.bw)))
              / (gx.n * gx.bw * sqrt(2 * pi())), 6) AS density
 FROM gx, vt GROUP BY gx.i, gx.x, gx.n, gx.bw"""),
-    "correlation_matrix": with_base(_union(
-        [(a, b) for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i + 1:]], "{c}").replace("{c}", "")
-        if False else " UNION ALL ".join(
-            f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS corr "
-            f"FROM derived" for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i + 1:])),
+    "correlation_matrix": with_base(" UNION ALL ".join(
+        f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS corr "
+        f"FROM derived" for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i + 1:])),
     "spike_share": with_base(f"""
 WITH m2 AS (SELECT * REPLACE (coalesce(gender, 'unknown') AS gender) FROM derived),
 v AS ({_union(SPIKE_COLS, "SELECT '{c}' AS " + Q + ", CAST({c} AS VARCHAR) AS value FROM m2")}),
@@ -98,7 +96,7 @@ FROM r WHERE rn = 1"""),
     "stratified_split": with_base(f"{_PIPE} SELECT msno, is_churn, split FROM sp"),
     "stratified_sample": with_base(f"""
 SELECT msno, is_churn FROM lab
-WHERE CAST({_h('msno')} AS DOUBLE) / 4294967296.0
+WHERE CAST({_h('msno', 'sample:')} AS DOUBLE) / 4294967296.0
       < CASE is_churn WHEN 1 THEN CAST('0.2' AS DOUBLE) WHEN 0 THEN CAST('0.5' AS DOUBLE) END"""),
     "kfold_assignment": with_base(f"SELECT msno, CAST({_h('msno')} % 2 AS BIGINT) AS fold FROM lab"),
     "median_impute": with_base(
