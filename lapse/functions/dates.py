@@ -25,7 +25,3 @@ def to_ymd_int(col) -> Column:
     d = _c(col)
     return (F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)).cast("int")
 
-
-def days_between(later, earlier) -> Column:
-    """Whole days later - earlier (may be negative)."""
-    return F.datediff(_c(later), _c(earlier))

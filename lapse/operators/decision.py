@@ -6,14 +6,13 @@ Ranks are global and exact (``ranking``); selections of the n best are
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapse.functions.exprs import safe_div
 from lapse.operators.metrics import hash_order
-from lapse.operators.ranking import avg_rank, pct_rank, quantiles, row_rank
+from lapse.operators.ranking import avg_rank, join_small, pct_rank, quantiles, row_rank
+from lapse.session import materialize
 
 # The five illustrated segments (risk, value, recommended action).
 SEGMENTS = (
@@ -60,12 +59,13 @@ def segment_examples(results: DataFrame, segments=SEGMENTS) -> DataFrame:
                F.struct(F.lit(f"{r}-risk, {v}-value").alias("segment"), F.lit(a).alias("action")))
         for r, v, a in segments]))
     m = results.select("*", F.explode(arr).alias("_s")).select("*", "_s.segment", "_s.action").drop("_s")
+    m = materialize(m)
     med = quantiles(m, "priority_score", [0.5], by=["segment"]).select("segment", F.col("q").alias("_median"))
-    j = m.join(med, "segment").withColumn("_d", F.abs(F.col("priority_score") - F.col("_median")))
+    j = join_small(m, med, ["segment"]).withColumn("_d", F.abs(F.col("priority_score") - F.col("_median")))
     # nearest distance per segment (hash aggregate, one row per segment), then
     # only the rows at that distance choose the better rank
     best = j.groupBy("segment").agg(F.min("_d").alias("_dmin"))
-    near = j.join(best, "segment").filter(F.col("_d") == F.col("_dmin"))
+    near = join_small(j, best, ["segment"]).filter(F.col("_d") == F.col("_dmin"))
     pick = F.min_by(F.struct("p_churn", "p_churn_raw", "e_fwd_rev", "priority_score", "action"), F.col("rank"))
     return near.groupBy("segment").agg(pick.alias("_x")).select(
         "segment", F.col("_x.p_churn").alias("p_churn_percentile"), F.col("_x.p_churn_raw").alias("p_churn_raw"),
@@ -73,17 +73,8 @@ def segment_examples(results: DataFrame, segments=SEGMENTS) -> DataFrame:
         F.col("_x.action").alias("recommended_action"))
 
 
-# Up to this many selected rows a top-n is Spark's top-k (each task keeps n
-# rows, one merge of n x tasks rows); beyond it the distributed rank filter.
-TOPK_MAX = 100_000
-
-
 def top_n(df: DataFrame, order_cols, n: int) -> DataFrame:
-    """The n first rows of a total order (G2).  n is the feature's own size
-    (a budget), so a bounded top-k is used; larger n falls back to ranks."""
-    if n <= TOPK_MAX:
-        from lapse.operators.ranking import _sort_col, _spec
-        return df.orderBy(*[_sort_col(*_spec(c)) for c in order_cols]).limit(n)
+    """The n first rows of a total order (G2): a filter on the distributed rank."""
     return row_rank(df, order_cols, "_r").filter(F.col("_r") <= n).drop("_r")
 
 
@@ -113,39 +104,43 @@ def budget_allocation(results: DataFrame, budget: int, cost: int, success_rate:
                         (safe_div(F.col("revenue_model"), F.col("revenue_churn_only")) - 1) * 100))
 
 
-def expected_saved(selected: DataFrame, success_rate: float) -> DataFrame:
-    return selected.agg((F.sum("priority_score") * success_rate).alias("expected_saved"))
-
-
 def strategy_table(budget_row: DataFrame) -> DataFrame:
-    """Unpivot of the budget comparison: strategy, revenue, % of the model's value."""
-    parts = [budget_row.select(F.lit(name).alias("strategy"), F.col(col).alias("revenue"),
-                               (safe_div(F.col(col), F.col("revenue_model")) * 100).alias("pct_of_model"))
-             for name, col in (("model ranking", "revenue_model"), ("random", "revenue_random"),
-                               ("churn probability only", "revenue_churn_only"))]
-    return reduce(DataFrame.unionByName, parts)
+    """Unpivot of the budget comparison: strategy, revenue, % of the model's value.
+    The row is computed once."""
+    names = {"model ranking": "revenue_model", "random": "revenue_random", "churn probability only": "revenue_churn_only"}
+    parts = F.array(*[F.struct(F.lit(k).alias("strategy"), F.col(c).alias("revenue")) for k, c in names.items()])
+    return budget_row.select("revenue_model", F.explode(parts).alias("x")).select(
+        "x.strategy", "x.revenue", (safe_div(F.col("x.revenue"), F.col("revenue_model")) * 100).alias("pct_of_model"))
 
 
 def rank_sensitivity(results: DataFrame, n: int, perturbation: float = 0.10) -> tuple[DataFrame, DataFrame]:
     """Perturb p_churn by +-perturbation (clipped to [0, 1]), re-rank with
-    average ranks (descending), |delta| per user; summary over the top n (N6)."""
+    average ranks (descending), |delta| per user; summary over the top n (N6).
+
+    Both variants are ranked in one long frame (variant, value)."""
     def clip01(c):
         return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
-    r = (results.withColumn("score_upper", clip01(F.col("p_churn") * (1 + perturbation)) * F.col("e_fwd_rev"))
-         .withColumn("score_lower", clip01(F.col("p_churn") * (1 - perturbation)) * F.col("e_fwd_rev")))
-    r = avg_rank(r, "score_upper", "rank_upper", descending=True)
-    r = avg_rank(r, "score_lower", "rank_lower", descending=True)
-    r = r.withColumn("rank_delta", F.abs(F.col("rank_upper") - F.col("rank_lower")))
+
+    def score(sign):
+        return clip01(F.col("p_churn") * (1 + sign * perturbation)) * F.col("e_fwd_rev")
+
+    keyed = materialize(results.withColumn("score_upper", score(1)).withColumn("score_lower", score(-1)))
+    parts = F.array(*[F.struct(F.lit(k).alias("variant"), F.col(f"score_{k}").alias("value")) for k in ("upper", "lower")])
+    long = keyed.select("rank", F.explode(parts).alias("x")).select("rank", "x.variant", "x.value")
+    ranked = avg_rank(long, "value", "avg", descending=True, by=["variant"])
+    wide = ranked.groupBy("rank").agg(*[F.max(F.when(F.col("variant") == k, F.col("avg"))).alias(f"rank_{k}")
+                                        for k in ("upper", "lower")])
+    r = materialize(keyed.join(wide, "rank").withColumn("rank_delta", F.abs(F.col("rank_upper") - F.col("rank_lower"))))
     top = r.filter(F.col("rank") <= n)
     med = quantiles(top, "rank_delta", [0.5]).select("q").scalar()
     ties = top.groupBy("p_churn_raw").agg(F.count(F.lit(1)).alias("_c"))
+    groups = ties.agg(F.count(F.lit(1)).alias("n_distinct_p_churn_raw_top_k"), F.max("_c").alias("largest_tie_group_top_k"))
     summary = top.agg(
         F.count_if(F.col("rank_delta") > n).alias("n_borderline"),
         (F.avg(F.when(F.col("rank_delta") > n, 1.0).otherwise(0.0)) * 100).alias("pct_borderline"),
         F.count(F.lit(1)).alias("n_top"),
     ).select(F.lit(med).alias("median_rank_delta"), "*",
-             ties.select(F.count(F.lit(1))).scalar().alias("n_distinct_p_churn_raw_top_k"),
-             ties.select(F.max("_c")).scalar().alias("largest_tie_group_top_k"))
+             *[groups.select(c).scalar().alias(c) for c in ("n_distinct_p_churn_raw_top_k", "largest_tie_group_top_k")])
     return r, summary
 
 

@@ -22,42 +22,21 @@ from lapse.functions.exprs import (clip_secs, discount_ratio, ratio_plus_one, so
 from lapse.operators.population import paid
 from lapse.params import Params
 
+# Snapshot columns of the latest transaction.
 LATEST_COLS = ("payment_method_id", "payment_plan_days", "actual_amount_paid",
                "is_auto_renew", "is_cancel")
 
 
-# (date, id) orderings packed into one long: days since 1970 * 2^40 + id.
-# Exact for 0 <= id < 2^40 (about 1.1e12 rows), which keeps the aggregate
-# buffers fixed-width, so Spark plans a hash aggregate instead of sorting.
-ID_BITS = 40
-
-
-def order_key(date_col: str, id_col: str):
-    """A long that orders rows like (date, id)."""
-    return F.unix_date(F.col(date_col)).cast("long") * F.lit(1 << ID_BITS) + F.col(id_col).cast("long")
-
-
 def latest_per(df: DataFrame, key, order_cols, value_cols, where=None) -> DataFrame:
-    """Latest row per key (F1) as ``max_by`` aggregates: no sort, no window,
+    """Latest row per key (F1): the maximum of (order, values) structs, no window,
     partial aggregation before the shuffle.  ``order_cols`` must end with a
-    unique tie-break column so the choice is deterministic.  A (date, id)
-    ordering is packed into one long (hash aggregation); any other ordering
-    uses a struct (sort-based aggregation)."""
+    unique tie-break column (any orderable type) so the choice is deterministic."""
     key = [key] if isinstance(key, str) else list(key)
-    if len(order_cols) == 2 and dict(df.dtypes).get(order_cols[0]) == "date":
-        order = order_key(*order_cols)
-        if where is not None:
-            order = F.when(where, order)
-        return (df.groupBy(*key).agg(F.max(order).alias("_k"),
-                                     *[F.max_by(F.col(c), order).alias(c) for c in value_cols])
-                .filter(F.col("_k").isNotNull()).drop("_k"))
-    order = F.struct(*[F.col(c) for c in order_cols])
-    if where is not None:
-        order = F.when(where, order)
-    latest = F.max_by(F.struct(*[F.col(c) for c in value_cols]), order).alias("_latest")
-    return (df.groupBy(*key).agg(latest)
-            .filter(F.col("_latest").isNotNull())
-            .select(*key, *[F.col("_latest")[c].alias(c) for c in value_cols]))
+    row = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols)],
+                   F.struct(*[F.col(c) for c in value_cols]).alias("_row"))
+    latest = F.max(row if where is None else F.when(where, row)).alias("_latest")
+    return (df.groupBy(*key).agg(latest).filter(F.col("_latest").isNotNull())
+            .select(*key, "_latest._row.*"))
 
 
 def as_of(events: DataFrame, refs: DataFrame, date_col: str, key: str = "msno") -> DataFrame:
@@ -81,7 +60,7 @@ def txn_features(txn: DataFrame, refs: DataFrame, p: Params, features_paid_only:
     def pre_avg(c):
         return F.avg(F.when(pre, F.col(c).cast("double")))
 
-    okey = F.when(pre, order_key("txn_dt", "txn_id"))
+    latest = F.struct("txn_dt", "txn_id", *LATEST_COLS)
     return (j.groupBy("msno").agg(
         F.count(F.when(pre, F.lit(1))).cast("bigint").alias("num_transactions"),
         pre_avg("payment_plan_days").alias("avg_payment_plan_days"),
@@ -92,18 +71,18 @@ def txn_features(txn: DataFrame, refs: DataFrame, p: Params, features_paid_only:
         # a small-domain distinct count: a per-user set keeps it one aggregate
         F.size(F.collect_set(F.when(pre, F.col("payment_method_id")))).cast("bigint")
          .alias("num_distinct_payment_methods"),
-        *[F.max_by(F.col(c), okey).alias(f"_l_{c}") for c in LATEST_COLS],
+        F.max(F.when(pre, latest)).alias("_l"),
         F.max(F.when(pre & (F.col("is_cancel") == 1), F.col("txn_dt"))).alias("last_cancel_dt"),
         F.max(F.when(renew, F.lit(1))).alias("_renewed"),
         F.sum(F.when(fwd, F.col("actual_amount_paid"))).alias("fwd_rev"),
     ).select(
         "msno", "num_transactions", "avg_payment_plan_days", "avg_actual_amount_paid",
         "is_auto_renew_rate", "is_cancel_rate", "avg_discount_rate", "num_distinct_payment_methods",
-        F.col("_l_payment_method_id").alias("payment_method_id"),
-        F.col("_l_payment_plan_days").alias("most_recent_payment_plan_days"),
-        F.col("_l_actual_amount_paid").alias("most_recent_actual_amount_paid"),
-        F.col("_l_is_auto_renew").alias("most_recent_is_auto_renew"),
-        F.col("_l_is_cancel").alias("most_recent_is_cancel"),
+        F.col("_l.payment_method_id").alias("payment_method_id"),
+        F.col("_l.payment_plan_days").alias("most_recent_payment_plan_days"),
+        F.col("_l.actual_amount_paid").alias("most_recent_actual_amount_paid"),
+        F.col("_l.is_auto_renew").alias("most_recent_is_auto_renew"),
+        F.col("_l.is_cancel").alias("most_recent_is_cancel"),
         "last_cancel_dt",
         (F.lit(1) - F.coalesce(F.col("_renewed"), F.lit(0))).cast("int").alias("is_churn"),
         "fwd_rev",
@@ -137,7 +116,7 @@ def prune_to_refs(logs: DataFrame, refs: DataFrame, lookback_days: int | None, d
 
 
 def log_features(logs: DataFrame, refs: DataFrame, p: Params, with_candidates: bool = False,
-                 unique_days: bool = True, prune: bool = True, unbounded_lookback: bool = True) -> DataFrame:
+                 unique_days: bool = False, prune: bool = True, unbounded_lookback: bool = True) -> DataFrame:
     """Every log-side aggregate in one pass over the log table.
 
     Rows are joined on the key with ``log_dt <= ref_date``; the trailing
@@ -145,9 +124,10 @@ def log_features(logs: DataFrame, refs: DataFrame, p: Params, with_candidates: b
     prior rest are conditional aggregates of the same scan, and last login uses
     the unbounded look-back of the same rows.
 
-    ``unique_days``: the log has one row per (user, day) (true of the
-    reference's data and of the adapter), so active days are a plain
-    conditional count; otherwise a distinct count (one more shuffle).
+    Active days are distinct days.  Rows of one (user, day) are first summed to one
+    row per day (clipped seconds and all), so that the same pass counts days;
+    ``unique_days`` skips that step for a log that is known to have one row per (user, day).
+    ``std_dev_daily_secs`` is over log rows, so the step keeps sums of squares.
     """
     lg = logs.select("msno", "log_dt", *LOG_SUMS, "num_unq", "total_secs")
     if prune:
@@ -160,24 +140,33 @@ def log_features(logs: DataFrame, refs: DataFrame, p: Params, with_candidates: b
     in_win = F.col("log_dt") >= F.date_sub(ref, p.engagement_days - 1)
     recent = F.col("log_dt") >= F.date_sub(ref, p.recent_days - 1)
     secs = clip_secs("total_secs")
+    j = j.select("msno", "log_dt", "ref_date", *LOG_SUMS, "num_unq", secs.alias("_s"), (secs * secs).alias("_s2"),
+                 secs.isNotNull().cast("bigint").alias("_sn"))
+    if not unique_days:
+        j = j.groupBy("msno", "log_dt", "ref_date").agg(
+            *[F.sum(c).alias(c) for c in (*LOG_SUMS, "num_unq", "_s", "_s2", "_sn")])
     aggs = [
         F.max("log_dt").alias("last_login_dt"),
-        (F.count(F.when(in_win, F.lit(1))) if unique_days
-         else F.count_distinct(F.when(in_win, F.col("log_dt")))).cast("bigint").alias("daily_active_days"),
+        F.count(F.when(in_win, F.lit(1))).cast("bigint").alias("daily_active_days"),
         F.count(F.when(in_win & recent, F.lit(1))).cast("bigint").alias("recent_daily_active_days"),
-        F.sum(F.when(in_win, secs)).alias("total_secs_sum"),
+        F.sum(F.when(in_win, F.col("_s"))).alias("total_secs_sum"),
         *[F.sum(F.when(in_win, F.col(c))).cast("bigint").alias(c.replace("num_", "sum")) for c in LOG_SUMS],
         F.sum(F.when(in_win, F.col("num_unq"))).cast("bigint").alias("sum_unq"),
-        F.sum(F.when(in_win & recent, secs)).alias("recent_secs"),
-        F.sum(F.when(in_win & ~recent, secs)).alias("prior_secs"),
+        F.sum(F.when(in_win & recent, F.col("_s"))).alias("recent_secs"),
+        F.sum(F.when(in_win & ~recent, F.col("_s"))).alias("prior_secs"),
         F.sum(F.when(in_win & recent, F.col("num_unq"))).cast("bigint").alias("recent_numunq"),
         F.sum(F.when(in_win & ~recent, F.col("num_unq"))).cast("bigint").alias("prior_numunq"),
     ]
     if with_candidates:
-        aggs.append(F.stddev_samp(F.when(in_win, secs)).alias("std_dev_daily_secs"))
+        if unique_days:
+            aggs.append(F.stddev_samp(F.when(in_win, F.col("_s"))).alias("std_dev_daily_secs"))
+        else:
+            n, s, s2 = (F.sum(F.when(in_win, F.col(c))) for c in ("_sn", "_s", "_s2"))
+            aggs.append(F.when(n > 1, F.sqrt(F.greatest((s2 - s * s / n) / (n - 1), F.lit(0.0)))).alias("std_dev_daily_secs"))
     return j.groupBy("msno").agg(*aggs)
 
 
+# Columns that are 0 where a user has no rows, and the column order of the feature table.
 ZERO_FILLED = ("num_transactions", "is_auto_renew_rate", "is_cancel_rate", "avg_discount_rate",
                "num_distinct_payment_methods", "most_recent_is_auto_renew", "most_recent_is_cancel",
                "daily_active_days", "recent_daily_active_days", "total_secs_sum", "sum25", "sum50",
@@ -277,7 +266,7 @@ def engagement(log: DataFrame, refs: DataFrame, window_days: int, recent_days: i
 def no_activity_share(population: DataFrame, logs: DataFrame) -> DataFrame:
     """Share of users with no log row at all (C5): a left-anti count."""
     n = population.select("msno")
-    silent = n.join(logs.select("msno"), "msno", "left_anti")
+    silent = n.join(logs.select("msno").distinct(), "msno", "left_anti")
     return (n.agg(F.count(F.lit(1)).cast("bigint").alias("n_users"))
             .select("n_users",
                     silent.select(F.count(F.lit(1))).scalar().cast("bigint").alias("n_no_activity"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lapse.functions.exprs import safe_div
 from lapse.operators.ranking import cumulative
+from lapse.session import materialize
 
 
 def score_table(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -47,10 +48,10 @@ def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def roc_curve(df: DataFrame, score: str, label: str) -> DataFrame:
-    """All ROC points by decreasing threshold, plus the (0, 0) start (threshold NULL) (K3)."""
-    c = _desc_curve(df, score, label)
-    P = df.select(F.sum(F.col(label).cast("bigint"))).scalar()
-    N = df.select(F.sum(F.lit(1) - F.col(label).cast("bigint"))).scalar()
+    """All ROC points by decreasing threshold, plus the (0, 0) start (threshold NULL) (K3).
+    Rows without a score are in neither the points nor the totals."""
+    c = materialize(_desc_curve(df, score, label))
+    P, N = (c.select(F.max(x)).scalar() for x in ("cum_n_pos", "cum_n_neg"))
     pts = c.select(F.col(score).cast("double").alias("threshold"),
                    safe_div(F.col("cum_n_neg"), N).alias("fpr"), safe_div(F.col("cum_n_pos"), P).alias("tpr"))
     start = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"),
@@ -60,35 +61,38 @@ def roc_curve(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def pr_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     """Precision / recall per threshold, the (recall 0, precision 1) end point
-    (threshold NULL) and the base rate (K4)."""
-    c = _desc_curve(df, score, label)
-    P = df.select(F.sum(F.col(label).cast("bigint"))).scalar()
-    n = df.select(F.count(score)).scalar()
+    (threshold NULL) and the base rate (K4), over the rows that have a score."""
+    c = materialize(_desc_curve(df, score, label))
+    P, N = (c.select(F.max(x)).scalar() for x in ("cum_n_pos", "cum_n_neg"))
     pts = c.select(F.col(score).cast("double").alias("threshold"),
                    (F.col("cum_n_pos") / (F.col("cum_n_pos") + F.col("cum_n_neg"))).alias("precision"),
                    safe_div(F.col("cum_n_pos"), P).alias("recall"))
     end = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"),
                                           F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
-    return pts.unionByName(end).withColumn("base_rate", safe_div(P, n))
+    return pts.unionByName(end).withColumn("base_rate", safe_div(P, P + N))
 
 
 def regression_metrics(df: DataFrame, pred: str, true: str, by=()) -> DataFrame:
-    """RMSE / MAE / R2 on the raw scale plus a non-finite prediction count."""
+    """RMSE / MAE / R2 on the raw scale plus a non-finite prediction count.
+    Where a prediction is NULL, NaN or infinite the metrics are NULL: they never cover
+    a part of the rows only."""
     p, y = F.col(pred).cast("double"), F.col(true).cast("double")
-    finite = p.isNotNull() & ~F.isnan(p) & (F.abs(p) != float("inf"))
-    e = F.when(finite, p - y)
+    broken = p.isNull() | F.isnan(p) | (F.abs(p) == float("inf"))
+    e = F.when(~broken, p - y)
+    whole = F.count_if(broken) == 0
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sqrt(F.avg(e * e)).alias("rmse"),
-        F.avg(F.abs(e)).alias("mae"),
-        (F.lit(1.0) - safe_div(F.avg(e * e), F.var_pop(F.when(finite, y)))).alias("r2"),
-        F.count_if(~finite | p.isNull()).alias("n_nonfinite"))
+        F.when(whole, F.sqrt(F.avg(e * e))).alias("rmse"),
+        F.when(whole, F.avg(F.abs(e))).alias("mae"),
+        F.when(whole, F.lit(1.0) - safe_div(F.avg(e * e), F.var_pop(y))).alias("r2"),
+        F.count_if(broken).alias("n_nonfinite"))
 
 
-def assert_finite(df: DataFrame, col: str) -> DataFrame:
-    """Count of NULL / NaN / infinite values (K7)."""
+def require_finite(df: DataFrame, col: str) -> DataFrame:
+    """``df``; evaluating it fails at the first NULL, NaN or infinite value of ``col`` (K7)."""
     c = F.col(col).cast("double")
-    return df.agg(F.count_if(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))).alias("n_nonfinite"))
+    bad = c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    return df.withColumn(col, F.when(bad, F.raise_error(F.lit(f"{col} is not finite")).cast("double")).otherwise(F.col(col)))
 
 
 def compare_models(metric_rows: list[DataFrame]) -> DataFrame:
@@ -101,19 +105,20 @@ def compare_models(metric_rows: list[DataFrame]) -> DataFrame:
             .withColumn("best_r2", (F.col("r2") == F.max("r2").over(w)).cast("bigint")))
 
 
-def hash_order(key, seed: int):
+def hash_order(key, seed: int | str):
     """Reproducible pseudo-random order: md5 of 'seed:key' (same in DuckDB)."""
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def hash_uniform(key, seed: int):
+def hash_uniform(key, seed: int | str):
     """Uniform [0, 1) from the first 32 bits of md5('seed:key')."""
     return F.conv(F.substring(hash_order(key, seed), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
 def sample_pairs(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Seeded sample of n rows (K9): the n smallest hash values (a top-k)."""
-    return df.withColumn("_h", hash_order(key, seed)).orderBy("_h").limit(n).drop("_h")
+    """Seeded sample of n rows (K9): the n smallest hash values (a top-k).  The hash is salted by
+    the operator's name, so the sample is independent of a split with the same seed."""
+    return df.withColumn("_h", hash_order(key, f"pairs:{seed}")).orderBy("_h").limit(n).drop("_h")
 
 
 def concordance_pairs(df: DataFrame, duration: str, event: str, score: str) -> DataFrame:
@@ -122,9 +127,7 @@ def concordance_pairs(df: DataFrame, duration: str, event: str, score: str) -> D
     comparable only when the other one is censored (it outlives); higher score =
     longer predicted survival; equal scores count one half.
 
-    Exact and distributed: subjects collapse to (score, duration, event)
-    counts; for each event cell the subjects outliving it are counted by score
-    order with ``cumulative`` over the (duration desc) x (score) grid.
+    Exact and distributed; the method is described in ``operators.concordance``.
     """
     from lapse.operators.concordance import concordance_counts
     return concordance_counts(df, duration, event, score)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapse.operators.metrics import hash_uniform
+from lapse.operators.ranking import join_small
 from lapse.session import materialize
 
 # The zero-inflated lognormal output constraints.
@@ -153,17 +154,19 @@ def ziln_loss(y, logit, mu, log_sigma):
     return bce + F.coalesce(pos * nll, F.lit(0.0))
 
 
-def fit_ziln(train: DataFrame, cols, label: str = "fwd_rev", seeds=(1, 2, 3), frac: float = 0.8):
-    """Two-head zero-inflated lognormal fitted per seeded subsample (J6, J8):
+def fit_ziln(train: DataFrame, cols, label: str = "fwd_rev", seeds=(1, 2, 3, 4, 5)):
+    """Two-head zero-inflated lognormal, one fit per seed on all training rows (J6, J8):
     logistic head on y > 0, linear head on log(y) over payers, sigma from the
-    payers' residuals.  Returns a list of (pay_model, amount_model, log_sigma)."""
+    payers' residuals.  A seed weighs the rows by exponential weights from a hash of (seed, key)
+    (a Bayesian bootstrap), so the ensemble varies and every row counts in each fit.
+    Returns a list of (pay_model, amount_model, log_sigma)."""
     d = assemble(train, cols).withColumn("_pos", (F.col(label) > 0).cast("double"))
     heads = []
     for s in seeds:
-        sub = d.filter(hash_uniform("msno", s) < frac)
-        pay = LogisticRegression(featuresCol="features", labelCol="_pos", maxIter=50, regParam=1e-3).fit(sub)
+        sub = d.withColumn("_w", -F.log((hash_uniform("msno", f"ziln:{s}") + 1e-9) / (1 + 1e-9)) + 1e-6)
+        pay = LogisticRegression(featuresCol="features", labelCol="_pos", weightCol="_w", maxIter=50, regParam=1e-3).fit(sub)
         payers = sub.filter(F.col(label) > 0).withColumn("_ly", F.log(F.col(label).cast("double")))
-        amt = LinearRegression(featuresCol="features", labelCol="_ly", maxIter=50, regParam=1e-3).fit(payers)
+        amt = LinearRegression(featuresCol="features", labelCol="_ly", weightCol="_w", maxIter=50, regParam=1e-3).fit(payers)
         resid = amt.transform(payers).agg(F.stddev_pop(F.col("_ly") - F.col("prediction"))).first()[0] or 1.0
         heads.append((pay, amt, math.log(max(resid, 1e-6))))
     return heads
@@ -197,7 +200,8 @@ def feature_importance(model, cols) -> DataFrame:
     from pyspark.sql import SparkSession
     imp = model.featureImportances.toArray().tolist()
     spark = SparkSession.getActiveSession()
-    return spark.createDataFrame(list(zip(cols, [float(v) for v in imp])), "feature string, importance double")
+    pairs = sorted(zip(cols, [float(v) for v in imp]), key=lambda x: (-x[1], x[0]))
+    return spark.createDataFrame(pairs, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
 def search(train: DataFrame, val: DataFrame, cols, grid, label: str = "is_churn", seed: int = 42,
@@ -234,9 +238,8 @@ def random_grid(n: int, seed: int = 42):
 def _breslow(d: DataFrame, duration: str, event: str) -> DataFrame:
     """Per distinct duration: events and sum of exp(F) -> cumulative hazard
     Lambda(t) = sum over s <= t of D(s) / R(s), R(s) = sum of exp(F) with T >= s.
-    The table has one row per distinct duration (days), so the ordered window
-    over it is small."""
-    t = d.groupBy(F.col(duration).alias("_t")).agg(F.sum(F.col(event)).alias("_d"),
+    Durations are whole days, so the table and the ordered windows over it are bounded by the calendar."""
+    t = d.groupBy(F.col(duration).cast("bigint").alias("_t")).agg(F.sum(F.col(event)).alias("_d"),
                                                     F.sum(F.exp("_F")).alias("_e"))
     w_risk = Window.orderBy(F.col("_t").desc()).rowsBetween(Window.unboundedPreceding, 0)
     w_cum = Window.orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
@@ -247,9 +250,12 @@ def _breslow(d: DataFrame, duration: str, event: str) -> DataFrame:
 
 def fit_cox_boost(train: DataFrame, cols, duration: str = "duration_days", event: str = "event_churned",
                   rounds: int = 10, lr: float = 0.3, depth: int = 3, checkpoint_every: int = 3,
-                  max_step: float = 1.0):
+                  max_step: float = 1.0, min_hessian: float = 1e-6):
     """Newton boosting of the Cox partial likelihood (Breslow ties).
 
+    ``max_step`` bounds a leaf's Newton step and ``min_hessian`` a row's weight from below; both are
+    parameters of the fit: early risk-set hazards are tiny, unbounded steps overflow exp(F).
+
     Each round: Lambda(t) from the duration table, gradient g = event - e^F * Lambda(T),
     hessian h = e^F * Lambda(T); a regression tree fitted on g / h (weights h)
     gives leaves, whose Newton values sum(g) / sum(h) come from one groupBy.
@@ -258,8 +264,8 @@ def fit_cox_boost(train: DataFrame, cols, duration: str = "duration_days", event
     trees = []
     for r in range(rounds):
         lam = _breslow(d, duration, event)
-        g = d.join(lam, duration)   # one row per distinct duration: broadcast by AQE
-        g = (g.withColumn("_h", F.greatest(F.exp("_F") * F.col("_Lambda"), F.lit(1e-6)))
+        g = join_small(d.withColumn(duration, F.col(duration).cast("bigint")), lam, [duration])
+        g = (g.withColumn("_h", F.greatest(F.exp("_F") * F.col("_Lambda"), F.lit(min_hessian)))
              .withColumn("_g", F.col(event) - F.exp("_F") * F.col("_Lambda"))
              .withColumn("_z", F.col("_g") / F.col("_h")))
         tree = DecisionTreeRegressor(featuresCol="features", labelCol="_z", weightCol="_h", maxDepth=depth,
@@ -271,7 +277,7 @@ def fit_cox_boost(train: DataFrame, cols, duration: str = "duration_days", event
                        .alias("_step")))
         leaves = materialize(leaves)
         trees.append((tree, leaves))
-        d = (tree.transform(d).drop("prediction").join(leaves, "_leaf", "left")
+        d = (join_small(tree.transform(d).drop("prediction"), leaves, ["_leaf"], "left", rows=1 << depth)
              .withColumn("_F", F.col("_F") + lr * F.coalesce(F.col("_step"), F.lit(0.0)))
              .drop("_leaf", "_step"))
         if (r + 1) % checkpoint_every == 0:
@@ -283,7 +289,7 @@ def score_cox(model, df: DataFrame, cols, out: str = "risk") -> DataFrame:
     trees, lr = model
     d = assemble(df, cols).withColumn(out, F.lit(0.0))
     for tree, leaves in trees:
-        d = (tree.transform(d).drop("prediction").join(leaves, "_leaf", "left")
+        d = (join_small(tree.transform(d).drop("prediction"), leaves, ["_leaf"], "left", rows=tree.numNodes)
              .withColumn(out, F.col(out) + lr * F.coalesce(F.col("_step"), F.lit(0.0))).drop("_leaf", "_step"))
     return d.drop("features")
 

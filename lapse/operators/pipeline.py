@@ -50,14 +50,12 @@ def prepared_dataset(split_df: DataFrame) -> dict:
     imputed = materialize(imputed.withColumn("txn_frequency",
                                              txn_frequency("num_transactions", "registration_tenure_days")))
     tr = imputed.filter(F.col("split") == "train")
-    enc_table = prep.fit_encoders(tr, CATEGORICAL_COLS)
-    enc = prep.apply_encoders(imputed, enc_table, CATEGORICAL_COLS)
-    mappings = {c: enc_table.filter(F.col("column") == c) for c in CATEGORICAL_COLS}
+    mappings = prep.fit_encoders(tr, CATEGORICAL_COLS)
     scaler = materialize(prep.fit_scaler(tr, SCALE_COLS))
-    ds = prep.apply_scaler(enc, scaler, SCALE_COLS)
-    dataset = ds.select(*OUTPUT_COLS, "split")
+    scaled = prep.apply_scaler(imputed, scaler, SCALE_COLS)
+    dataset = prep.apply_encoders(scaled, mappings, CATEGORICAL_COLS).select(*OUTPUT_COLS, "split")
     manifest = _manifest(mappings, medians, sentinels, scaler)
-    return {"imputed": imputed, "dataset": dataset, "medians": medians, "sentinels": sentinels,
+    return {"imputed": imputed, "scaled": scaled, "dataset": dataset, "medians": medians, "sentinels": sentinels,
             "encoders": mappings, "scaler": scaler, "manifest": manifest}
 
 

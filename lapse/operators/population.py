@@ -28,11 +28,9 @@ def with_txn_dates(raw: DataFrame) -> DataFrame:
 
 def with_txn_id(raw: DataFrame, name: str = "txn_id") -> DataFrame:
     """A deterministic tie-break id for raw transactions that have none: a
-    64-bit hash of every raw column folded to 40 bits (stable under
-    recomputation, unlike monotonically_increasing_id; the latest-row order key
-    packs ids below 2^40)."""
-    return raw.withColumn(name, F.xxhash64(*[F.col(c) for c in raw.columns])
-                          .bitwiseAND(F.lit((1 << 40) - 1)))
+    64-bit hash of every raw column (stable under recomputation, unlike
+    monotonically_increasing_id)."""
+    return raw.withColumn(name, F.xxhash64(*[F.col(c) for c in raw.columns]))
 
 
 def paid(txn: DataFrame, require_paid: bool = True) -> DataFrame:
@@ -148,17 +146,24 @@ def with_segments(pop: DataFrame, members: DataFrame) -> DataFrame:
             .withColumn("age_bucket", age_bucket(clean_age("bd"))))
 
 
-def compare_populations(corrected: DataFrame, snapshot: DataFrame, by: str) -> DataFrame:
-    """Two grouped churn rates side by side (D8), full outer joined on the segment."""
-    a = rate_by(corrected, by).withColumnRenamed("n", "n_corrected") \
-        .withColumnRenamed("churn_pct", "churn_pct_corrected")
-    b = rate_by(snapshot, by).withColumnRenamed("n", "n_snapshot") \
-        .withColumnRenamed("churn_pct", "churn_pct_snapshot")
-    return a.join(b, by, "full")
+def compare_populations(people: DataFrame, seen, by: dict) -> DataFrame:
+    """Churn rates of all people and of those a snapshot would have seen, side by side.
 
+    ``seen``: condition of the snapshot; ``by``: dimension name -> column.  One aggregate over
+    (dimension, value), with an ``all`` row for the whole population: n and rate of either
+    population, and the share of people that the snapshot misses."""
+    groups = F.array(F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("value")), *[
+        F.struct(F.lit(k).alias("dimension"), c.cast("string").alias("value")) for k, c in by.items()])
+    d = people.select(F.col("is_churn").cast("double").alias("y"), seen.alias("seen"), F.explode(groups).alias("g"))
+    n, n_seen = F.count(F.lit(1)), F.count_if("seen")
+    return d.groupBy("g.dimension", "g.value").agg(
+        n.cast("bigint").alias("n_corrected"), (F.avg("y") * 100).alias("churn_pct_corrected"),
+        F.when(n_seen > 0, n_seen).cast("bigint").alias("n_snapshot"),
+        (F.avg(F.when(F.col("seen"), F.col("y"))) * 100).alias("churn_pct_snapshot"),
+        ((F.lit(1.0) - n_seen / n) * 100).alias("pct_missed"))
 
-def snapshot_population(pop: DataFrame, p: Params, band_days: int = 30) -> DataFrame:
-    """Users whose own ref_date falls in one fixed band ending at the cut-off:
-    the single-snapshot sample that survivorship-biases the rate."""
-    lo = p.cutoff - dt.timedelta(days=band_days - 1)
-    return pop.filter(F.col("ref_date").between(F.lit(lo), F.lit(p.cutoff)))
+
+def in_snapshot(p: Params, band_days: int = 30):
+    """Whether a user's own ref_date falls in one fixed band ending at the cut-off: the
+    single-snapshot sample that survivorship-biases the rate."""
+    return F.col("ref_date").between(F.lit(p.cutoff - dt.timedelta(days=band_days - 1)), F.lit(p.cutoff))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lapse.operators.metrics import hash_order, hash_uniform
 from lapse.operators.profile import long_values
-from lapse.operators.ranking import quantiles, row_rank
+from lapse.operators.ranking import SMALL_ROWS, join_small, quantiles, row_rank
 from lapse.session import materialize
 
 SPLITS = ("train", "val", "test")
@@ -30,23 +30,31 @@ def stratified_split(df: DataFrame, key: str, stratum: str, fracs=(0.70, 0.15, 0
     on the hash."""
     f0, f1 = fracs[0], fracs[0] + fracs[1]
     if not exact:
-        u = hash_uniform(key, seed)
+        u = hash_uniform(key, f"split:{seed}")
         return df.withColumn("split", F.when(u < f0, "train").when(u < f1, "val").otherwise("test"))
     d = df.withColumn("_h", hash_order(key, seed))
     r = row_rank(d, ["_h", key], "_pos", partition_cols=[stratum])
-    n = d.groupBy(stratum).agg(F.count(F.lit(1)).alias("_ns"))
-    r = r.join(n, stratum)  # one row per stratum
+    r = join_small(r, d.groupBy(stratum).agg(F.count(F.lit(1)).alias("_ns")), [stratum])
     s = (F.when(F.col("_pos") <= F.floor(F.col("_ns") * f0), "train")
          .when(F.col("_pos") <= F.floor(F.col("_ns") * f1), "val").otherwise("test"))
     return r.withColumn("split", s).drop("_h", "_pos", "_ns")
 
 
-def stratified_sample(df: DataFrame, key: str, stratum: str, fracs: dict, seed: int = 42) -> DataFrame:
-    """Seeded per-stratum Bernoulli sample by hash threshold."""
-    f = None
+def stratified_sample(df: DataFrame, key: str, stratum: str, fracs: dict, seed: int = 42,
+                      default: float | None = None) -> DataFrame:
+    """Seeded per-stratum Bernoulli sample by hash threshold (I2).  The hash is salted by the operator's
+    name, so a sample is independent of a split with the same seed.
+
+    ``fracs`` may list None for the NULL stratum.  A stratum that is not listed is sampled at
+    ``default``; without one, a row of such a stratum fails the query."""
+    f = F.lit(None).cast("double") if default is None else F.lit(float(default))
     for k, v in fracs.items():
-        f = F.when(F.col(stratum) == k, F.lit(float(v))) if f is None else f.when(F.col(stratum) == k, F.lit(float(v)))
-    return df.filter(hash_uniform(key, seed) < f)
+        f = F.when(F.col(stratum).eqNullSafe(F.lit(k)), F.lit(float(v))).otherwise(f)
+    if default is None:
+        lost = F.concat(F.lit(f"stratified_sample: no fraction for {stratum} = "),
+                        F.coalesce(F.col(stratum).cast("string"), F.lit("NULL")))
+        f = F.coalesce(f, F.raise_error(lost).cast("double"))
+    return df.filter(hash_uniform(key, f"sample:{seed}") < f)
 
 
 def fit_medians(train: DataFrame, cols) -> DataFrame:
@@ -57,8 +65,8 @@ def fit_medians(train: DataFrame, cols) -> DataFrame:
 
 def fit_sentinels(train: DataFrame, cols, plus: float = 30) -> DataFrame:
     """'Never happened' sentinel = train max + plus: (column, sentinel) (I4)."""
-    return (long_values(train, cols).groupBy("column")
-            .agg((F.max("value") + plus).alias("sentinel")))
+    wide = train.agg(*[(F.max(F.col(c).cast("double")) + plus).alias(c) for c in cols])
+    return wide.unpivot([], list(cols), "column", "sentinel")
 
 
 def fitted_values(fitted: DataFrame, value_col: str) -> dict:
@@ -77,60 +85,35 @@ def apply_fill(df: DataFrame, fitted: DataFrame, value_col: str, cols) -> DataFr
     return out
 
 
-def fit_encoder(train: DataFrame, col: str) -> DataFrame:
-    """Sorted distinct train categories (native type order) -> 0..k-1."""
-    d = train.select(col).filter(F.col(col).isNotNull()).distinct()
-    return materialize(row_rank(d, [col], "_idx").select(col, (F.col("_idx") - 1).alias("index")))
-
-
-def apply_encoder(df: DataFrame, col: str, mapping: DataFrame, out: str | None = None) -> DataFrame:
-    """Index of the category; unseen and NULL -> k (the reserved unknown index)."""
-    k = mapping.count()
-    out = out or f"{col}_enc"
-    m = mapping.withColumnRenamed("index", out)
-    return df.join(m, col, "left").withColumn(out, F.coalesce(F.col(out), F.lit(k)).cast("bigint"))
-
+def fit_encoders(train: DataFrame, cols) -> dict[str, DataFrame]:
+    """Label encoders (I5): per column a table (value, index) of the sorted distinct train categories,
+    in the column's own type and order, numbered from 0; NULL is no category."""
+    out = {}
+    for c in cols:
+        d = train.select(F.col(c).alias("value")).filter(F.col("value").isNotNull()).distinct()
+        out[c] = materialize(row_rank(d, ["value"], "_idx").select("value", (F.col("_idx") - 1).alias("index")))
+    return out
 
-def fit_encoders(train: DataFrame, cols) -> DataFrame:
-    """All label encoders in one ranked pass (I5): (column, num, str, index).
 
-    Columns are unpivoted; numeric categories sort numerically (``num``),
-    string categories lexicographically (``str``), each restarting at 0.
-    One distributed rank over (column, num, str) serves every column."""
-    parts = []
-    for c in cols:
-        t = dict(train.dtypes)[c]
-        is_num = t not in ("string",)
-        parts.append(train.select(F.lit(c).alias("column"),
-                                  (F.col(c).cast("double") if is_num else F.lit(None).cast("double")).alias("num"),
-                                  (F.lit(None).cast("string") if is_num else F.col(c)).alias("str"))
-                     .filter(F.col("num").isNotNull() | F.col("str").isNotNull()))
-    from functools import reduce
-    d = reduce(DataFrame.unionByName, parts).distinct()
-    r = row_rank(d, ["num", "str"], "_idx", partition_cols=["column"])
-    return materialize(r.select("column", "num", "str", (F.col("_idx") - 1).alias("index")))
-
-
-def apply_encoders(df: DataFrame, mappings: DataFrame, cols, suffix: str = "_enc") -> DataFrame:
-    """Index per category; unseen and NULL -> k (the reserved unknown index).
-    k per column comes from one small aggregate over the mapping table."""
-    ks = {r["column"]: r["k"] for r in mappings.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
+def apply_encoders(df: DataFrame, mappings: dict[str, DataFrame], cols, suffix: str = "_enc") -> DataFrame:
+    """Index per category; unseen and NULL -> k (the reserved unknown index).  The mapping is
+    counted for k, which also decides whether it can be broadcast."""
     out = df
     for c in cols:
-        is_num = dict(df.dtypes)[c] not in ("string",)
-        m = mappings.filter(F.col("column") == c)
-        m = (m.select(F.col("num").alias("_key"), F.col("index").alias(f"{c}{suffix}")) if is_num
-             else m.select(F.col("str").alias("_key"), F.col("index").alias(f"{c}{suffix}")))
-        key = F.col(c).cast("double") if is_num else F.col(c)
-        out = (out.join(m, key == F.col("_key"), "left").drop("_key")
-               .withColumn(f"{c}{suffix}", F.coalesce(F.col(f"{c}{suffix}"), F.lit(ks.get(c, 0))).cast("bigint")))
+        m = mappings[c]
+        k = m.count()
+        name = f"{c}{suffix}"
+        m = m.select(F.col("value").alias("_value"), F.col("index").alias("_index"))
+        out = out.join(F.broadcast(m) if k <= SMALL_ROWS else m, F.col(c) == F.col("_value"), "left") \
+            .withColumn(name, F.coalesce(F.col("_index"), F.lit(k)).cast("bigint")).drop("_value", "_index")
     return out
 
 
 def fit_scaler(train: DataFrame, cols) -> DataFrame:
-    """Train mean and population std per column: (column, mean, std)."""
-    return (long_values(train, cols).groupBy("column")
-            .agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")))
+    """Train mean and population std per column: (column, mean, std) (I6).  One wide aggregate."""
+    wide = train.agg(*[F.struct(F.avg(F.col(c).cast("double")).alias("mean"),
+                                F.stddev_pop(F.col(c).cast("double")).alias("std")).alias(c) for c in cols])
+    return wide.unpivot([], list(cols), "column", "m").select("column", "m.mean", "m.std")
 
 
 def apply_scaler(df: DataFrame, scaler: DataFrame, cols, suffix: str = "_scaled") -> DataFrame:

@@ -1,12 +1,12 @@
 """Global order statistics without a single-partition window.
 
-``cumulative`` is the one primitive: it range-partitions the rows on a total
-order (Spark samples the order key, so even a value shared by a third of the
-rows is split across partitions by the tie-break columns), computes running
-sums inside each partition, and adds per-partition offsets taken from a table
-with one row per partition (a proven size bound, so it is broadcast).  Ranks,
-percentiles, exact quantiles, ROC / PR prefix sums and stratified positions
-are all built from it.
+``cumulative`` is the one primitive.  It range-partitions the rows on a total order
+(a value shared by a third of the rows is split by the tie-break columns), notes
+each row's partition number and writes the result once.  Running sums are then taken
+within each noted partition and shifted by the totals of the earlier ones, a
+table with one row per partition, which is broadcast.  Ranks, percentiles,
+exact quantiles, ROC / PR prefix sums and stratified positions are all built
+from it.
 """
 
 from __future__ import annotations
@@ -16,15 +16,12 @@ from pyspark.sql import functions as F
 
 from lapse.session import materialize
 
-
-# The bucket expression is a binary search over literal boundaries; beyond
-# about a thousand buckets it only grows the generated code, not the balance
-# that matters (inputs are per-user or per-distinct-value tables).
-MAX_BUCKETS = 1024
+#: A side of a join that has been counted is broadcast up to so many rows.
+SMALL_ROWS = 100_000
 
 
 def _n_parts(df: DataFrame) -> int:
-    return max(1, min(MAX_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))))
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def _spec(c) -> tuple[str, bool]:
@@ -37,126 +34,51 @@ def _sort_col(name: str, desc: bool) -> Column:
     return F.col(name).desc_nulls_last() if desc else F.col(name).asc_nulls_first()
 
 
-def _cmp_key(specs):
-    import functools
-
-    def cmp(a, b):
-        for i, (_, desc) in enumerate(specs):
-            x, y = a[i], b[i]
-            if x == y:
-                continue
-            if x is None:           # asc: nulls first; desc: nulls last
-                return 1 if desc else -1
-            if y is None:
-                return -1 if desc else 1
-            r = (x > y) - (x < y)
-            return -r if desc else r
-        return 0
-    return functools.cmp_to_key(cmp)
-
-
-def _after(specs, b) -> Column:
-    """Row strictly after boundary tuple ``b`` in the order ``specs``."""
-    expr = F.lit(False)
-    for (name, desc), v in reversed(list(zip(specs, b))):
-        c = F.col(name)
-        if v is None:
-            strict = F.lit(False) if desc else c.isNotNull()
-        elif desc:
-            strict = (c < F.lit(v)) | c.isNull()
-        else:
-            strict = F.coalesce(c > F.lit(v), F.lit(False))
-        expr = strict | (c.eqNullSafe(F.lit(v)) & expr)
-    return expr
-
-
-def _bucket_expr(specs, bounds, lo=0, hi=None) -> Column:
-    """Number of boundaries strictly before the row: a balanced binary search
-    (log2 of the boundary count comparisons per row)."""
-    hi = len(bounds) if hi is None else hi
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(_after(specs, bounds[mid]), _bucket_expr(specs, bounds, mid + 1, hi)) \
-            .otherwise(_bucket_expr(specs, bounds, lo, mid))
-
-
-def range_bounds(df: DataFrame, specs, n_parts: int, seed: int = 17) -> list[tuple]:
-    """Partition boundaries for a total order from a bounded random sample.
-
-    One job: the ``64 * n_parts`` rows with the smallest random tag (a top-k,
-    so at most that many keys reach the driver, never the data).  When the
-    input has fewer rows than that, no boundaries are needed: one bucket holds
-    a provably small table."""
-    if n_parts <= 1:
-        return []
-    cols = [n for n, _ in specs]
-    target = 64 * n_parts
-    rows = [tuple(r)[:len(cols)] for r in
-            df.select(*cols, F.rand(seed).alias("_r")).orderBy("_r").limit(target).collect()]
-    if len(rows) < target:
-        return []
-    rows.sort(key=_cmp_key(specs))
-    bounds = []
-    for i in range(1, n_parts):
-        b = rows[min(len(rows) - 1, (i * len(rows)) // n_parts)]
-        if not bounds or bounds[-1] != b:
-            bounds.append(b)
-    return bounds
+def join_small(df: DataFrame, small: DataFrame, keys, how: str = "inner", rows: int | None = None) -> DataFrame:
+    """Join a small table on ``keys``, where NULL equals NULL.
+
+    ``small`` is written and counted (unless ``rows`` gives a bound that holds by
+    construction) and broadcast up to SMALL_ROWS, so the big side stays where it is;
+    a larger table is joined by shuffle, with AQE splitting skewed keys.
+    """
+    if rows is None:
+        small = materialize(small)
+        rows = small.count()
+    s = small.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in small.columns if c not in keys])
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(F.broadcast(s) if rows <= SMALL_ROWS else s, on, how).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def cumulative(df: DataFrame, order_cols, sum_cols=(), partition_cols=(), prefix: str = "cum_",
-               row_col: str = "_row", n_parts: int | None = None, checkpoint: bool = False) -> DataFrame:
+               row_col: str = "_row", n_parts: int | None = None) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` (``cum_<c>``) and a 1-based row
     position ``row_col`` in the order ``order_cols`` ('col' or 'col desc'),
-    restarting for every combination of ``partition_cols``.
+    restarting for every combination of ``partition_cols`` (NULL is a group).
     ``partition_cols + order_cols`` must be a total order (end with a unique
     tie-break) for positions to be defined.
 
-    Rows get a range bucket from boundaries fixed in the plan (so every
-    evaluation, including a recomputation after a lost executor, assigns the
-    same bucket); running sums are computed per bucket and shifted by the
-    totals of the earlier buckets of the same group (one row per bucket).
+    The range-partitioned rows are written before anything is derived from their
+    partition numbers, so a recomputation after a lost executor reads the
+    same numbers.  A group that goes on over several partitions is the first one
+    in each but its first, so at most one offset per partition is not zero.
     """
     specs = [(c, False) for c in partition_cols] + [_spec(c) for c in order_cols]
     order = [_sort_col(n, d) for n, d in specs]
-    n = n_parts or _n_parts(df)
-    if checkpoint:
-        # the input is read three times (sample, running sums, totals): callers
-        # with an expensive lineage ask for it to be written once
-        df = materialize(df)
-    bounds = range_bounds(df, specs, n)
-    r = df.withColumn("_pid", _bucket_expr(specs, bounds) if bounds else F.lit(0))
-    w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = r.select("*", F.count(F.lit(1)).over(w).alias("_lrow"),
-                     *[F.sum(c).over(w).alias(f"_l_{c}") for c in sum_cols])
-    tot = r.groupBy("_pid", *partition_cols).agg(F.count(F.lit(1)).alias("_trow"),
-                                                 *[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    r = df.repartitionByRange(n_parts or _n_parts(df), *order).withColumn("_pid", F.spark_partition_id())
+    r = materialize(r)
+    group = ["_pid", *partition_cols]
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = r.select("*", F.count(F.lit(1)).over(w).alias("_lrow"), *[F.sum(c).over(w).alias(f"_l_{c}") for c in sum_cols])
+    tot = r.groupBy(*group).agg(F.count(F.lit(1)).alias("_trow"), *[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     wo = Window.partitionBy(*partition_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select("_pid", *partition_cols,
-                     F.coalesce(F.sum("_trow").over(wo), F.lit(0)).alias("_orow"),
-                     *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
-    # inside a bucket several groups may follow each other: subtract the
-    # running values reached before the group's first row in this bucket.
-    if partition_cols:
-        wg = Window.partitionBy("_pid", *partition_cols)
-        local = local.withColumn("_gstart_row", F.min("_lrow").over(wg) - 1)
-        for c in sum_cols:
-            local = local.withColumn(f"_gstart_{c}",
-                                     F.min_by(F.col(f"_l_{c}") - F.col(c), F.col("_lrow")).over(wg))
-    else:
-        local = local.withColumn("_gstart_row", F.lit(0))
-        for c in sum_cols:
-            local = local.withColumn(f"_gstart_{c}", F.lit(0))
-    # one row per bucket: a proven size bound, broadcast.  With groups the
-    # table has one row per (bucket, group) and AQE decides from its real size.
-    j = local.join(off if partition_cols else F.broadcast(off), ["_pid", *partition_cols])
-    out = j.withColumn(row_col, (F.col("_lrow") - F.col("_gstart_row") + F.col("_orow")).cast("bigint"))
+    off = tot.select(*group, F.sum("_trow").over(wo).alias("_orow"), *[F.sum(f"_t_{c}").over(wo).alias(f"_o_{c}") for c in sum_cols])
+    j = join_small(local, off.filter(F.col("_orow") > 0), group, "left", rows=1)      # one row per partition at most
+    out = j.withColumn(row_col, (F.col("_lrow") + F.coalesce(F.col("_orow"), F.lit(0))).cast("bigint"))
     for c in sum_cols:
-        out = out.withColumn(f"{prefix}{c}", F.col(f"_l_{c}") - F.col(f"_gstart_{c}") + F.col(f"_o_{c}"))
-    drop = ["_pid", "_lrow", "_orow", "_gstart_row"] + [f"_{k}_{c}" for c in sum_cols
-                                                       for k in ("l", "o", "gstart")]
-    return out.drop(*drop)
+        out = out.withColumn(f"{prefix}{c}", F.col(f"_l_{c}") + F.coalesce(F.col(f"_o_{c}"), F.lit(0)))
+    return out.drop("_pid", "_lrow", "_orow", *[f"_{k}_{c}" for c in sum_cols for k in ("l", "o")])
 
 
 def row_rank(df: DataFrame, order_cols, name: str = "rank", partition_cols=()) -> DataFrame:
@@ -175,8 +97,12 @@ def avg_rank(df: DataFrame, value: str, name: str = "rank_avg", descending: bool
     """Average rank under ties (pandas ``rank()``), NULL for NULL values."""
     vt = value_table(df, value, by=by)
     c = cumulative(vt, [f"{value} desc" if descending else value], ["_n"], by)
-    ranks = c.select(*by, value, (F.col("cum__n") - (F.col("_n") - 1) / 2.0).alias(name))
-    return df.join(ranks, [*by, value], "left")
+    ranks = c.select(*[F.col(x).alias(f"_by{i}") for i, x in enumerate(by)], F.col(value).alias("_value"),
+                     (F.col("cum__n") - (F.col("_n") - 1) / 2.0).alias(name))
+    on = F.col(value) == F.col("_value")
+    for i, x in enumerate(by):
+        on = on & F.col(x).eqNullSafe(F.col(f"_by{i}"))
+    return df.join(ranks, on, "left").drop("_value", *[f"_by{i}" for i in range(len(by))])
 
 
 def pct_rank(df: DataFrame, value: str, name: str = "pct_rank", descending: bool = False) -> DataFrame:
@@ -208,7 +134,7 @@ def quantiles(df: DataFrame, value: str, probs, by=(), approx: bool = False,
     c = cumulative(vt, [value], ["_n"], by).select(
         *by, value, (F.col("cum__n") - F.col("_n")).alias("_first"), (F.col("cum__n") - 1).alias("_last"))
     if by:
-        c = c.join(vt.groupBy(*by).agg(F.sum("_n").alias("_total")), list(by))
+        c = join_small(c, vt.groupBy(*by).agg(F.sum("_n").alias("_total")), list(by))
     else:
         c = c.withColumn("_total", vt.select(F.sum("_n")).scalar())
     v = F.col(value).cast("double")
@@ -225,11 +151,6 @@ def quantiles(df: DataFrame, value: str, probs, by=(), approx: bool = False,
     return g.select(*by, F.explode(F.array(*outs)).alias("_pq")).select(*by, "_pq.p", "_pq.q")
 
 
-def quantile_value(df: DataFrame, value: str, p: float) -> Column:
-    """One exact quantile as a scalar-subquery column (usable inside expressions)."""
-    return quantiles(df, value, [p]).select("q").scalar()
-
-
 def running_best(df: DataFrame, order_col: str, value_col: str, mode: str = "max",
                  by=(), name: str = "best_so_far") -> DataFrame:
     """Running best of a sequence per study (F5).  Trials per study are few

@@ -65,8 +65,19 @@ def signed_duration(ctx):
 @query("population_bias")
 def population_bias(ctx):
     seg = pop.with_segments(ctx.corrected, ctx.members)
-    snap = pop.snapshot_population(seg, ctx.p)
-    return rnd(pop.compare_populations(seg, snap, "gender"))
+    both = pop.compare_populations(seg, pop.in_snapshot(ctx.p), {"gender": F.col("gender")})
+    return rnd(both.where("dimension = 'gender'").select(
+        F.col("value").alias("gender"), "n_corrected", "churn_pct_corrected", "n_snapshot", "churn_pct_snapshot"))
+
+
+@query("population_comparison")
+def population_comparison(ctx):
+    seg = pop.with_segments(ctx.corrected, ctx.members)
+    pre = fe.as_of(ctx.paid.select("msno", "txn_dt", "txn_id", "is_auto_renew", "is_cancel"), seg, "txn_dt")
+    latest = fe.latest_per(pre, "msno", ["txn_dt", "txn_id"], ["is_auto_renew", "is_cancel"])
+    flags = F.concat(F.lit("renew="), F.col("is_auto_renew").cast("string"), F.lit(", cancel="), F.col("is_cancel").cast("string"))
+    return rnd(pop.compare_populations(seg.join(latest, "msno", "left"), pop.in_snapshot(ctx.p), {
+        "gender": F.col("gender"), "channel": F.col("registered_via"), "age": F.col("age_bucket"), "flags": flags}))
 
 
 @query("corrupted_expiry_profile")

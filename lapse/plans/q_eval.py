@@ -17,6 +17,8 @@ from lapse.sources import adapters
 
 # The reference's budget simulation.
 BUDGET, VOUCHER_COST, SUCCESS_RATE = 50_000, 50, 0.30
+# Fixed value: size of the exported prediction sample.
+SAMPLE_ROWS = 20_000
 HORIZONS = (30, 90, 180, 365, 730)
 
 
@@ -78,7 +80,7 @@ def model_comparison(ctx):
 
 @query("prediction_sample")
 def prediction_sample(ctx):
-    return rnd(met.sample_pairs(ctx.scored.select("msno", "fwd_rev", "e_fwd_rev"), "msno", 200, ctx.p.seed))
+    return rnd(met.sample_pairs(ctx.scored.select("msno", "fwd_rev", "e_fwd_rev"), "msno", SAMPLE_ROWS, ctx.p.seed))
 
 
 def _surv_scored(ctx):

@@ -106,7 +106,7 @@ def label_encode(ctx):
 @query("standard_scale")
 def standard_scale(ctx):
     from lapse.operators.pipeline import SCALE_COLS
-    d = _prepared(ctx)["dataset"]
+    d = _prepared(ctx)["scaled"]      # the encoders are not part of this
     return rnd(d.select("msno", "split", *[f"{c}_scaled" for c in SCALE_COLS]))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -26,6 +27,10 @@ SPARK_CONF = {
 }
 
 
+#: Spark's setting for deleting an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def get_spark(master: str | None = None, app: str = "lapse", shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
     b = SparkSession.builder.appName(app)
@@ -56,8 +61,9 @@ def apply_conf(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (spark.checkpoint.dir).
 
-    Only when the setting is unset (tests, a laptop) do we pick a folder of our
-    own; on a cluster the setting is always read from the session.
+    Only when the setting is unset (tests, a laptop) and the master is local do we
+    pick a folder of our own; a cluster without the setting is refused, because its
+    executors would not see the driver's folder.
     """
     try:
         sc = spark.sparkContext
@@ -65,6 +71,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return spark.conf.get("spark.checkpoint.dir", None) or ""
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="lapse-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc.getCheckpointDir() is None:
@@ -79,12 +87,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df):
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+    """Write an intermediate table as Parquet into the shared checkpoint folder and read it again.
 
     Used where one intermediate feeds several consumers (ranked results,
-    scored populations, range-bucketed inputs): the consumers then read the
-    same written data, plans stay small, and a lost executor re-reads the
-    checkpoint instead of recomputing a long lineage.
+    scored populations, range-partitioned inputs): the consumers read the
+    same written data, and only the columns they need; plans stay small; a lost
+    executor re-reads the table instead of recomputing a long lineage.  The table
+    goes when the application ends.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    path = scratch_path(spark, f"{spark.sparkContext.applicationId}/{uuid.uuid4().hex[:12]}")
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")       # the write's shuffle files go when it has ended
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path)

@@ -47,6 +47,17 @@ def ingest_incremental(spark: SparkSession, src_dir: str, dst: str, schema: Stru
          .option("compression", "zstd").outputMode("append").trigger(availableNow=True))
     if partition_by:
         w = w.partitionBy(*partition_by)
-    q = w.start()
-    q.awaitTermination()
-    return len(q.recentProgress)
+    before = _last_batch(spark, ckpt)
+    w.start().awaitTermination()
+    return _last_batch(spark, ckpt) - before
+
+
+def _last_batch(spark: SparkSession, checkpoint: str) -> int:
+    """Id of the last committed micro-batch, -1 before the first (the checkpoint's commit log; the
+    query's own progress list keeps the latest entries only)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(checkpoint.rstrip("/") + "/commits")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return -1
+    names = [f.getPath().getName() for f in fs.listStatus(path)]
+    return max((int(x) for x in names if x.isdigit()), default=-1)

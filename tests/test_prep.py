@@ -6,26 +6,26 @@ from lapse.operators import prep
 
 def test_encoder_reserved_unknown(spark):
     tr = spark.createDataFrame([(v,) for v in "abcab"], "c string")
-    m = {r["c"]: r["index"] for r in prep.fit_encoder(tr, "c").collect()}
+    m = {r["value"]: r["index"] for r in prep.fit_encoders(tr, ["c"])["c"].collect()}
     assert m == {"a": 0, "b": 1, "c": 2}
 
 
 def test_encoder_unseen_and_missing(spark):
     tr = spark.createDataFrame([("a",), ("b",)], "c string")
     ap = spark.createDataFrame([(0, "a"), (1, "b"), (2, "z"), (3, "z"), (4, None)], "i int, c string")
-    out = prep.apply_encoder(ap, "c", prep.fit_encoder(tr, "c")).orderBy("i")
+    out = prep.apply_encoders(ap, prep.fit_encoders(tr, ["c"]), ["c"]).orderBy("i")
     assert [r.c_enc for r in out.collect()] == [0, 1, 2, 2, 2]
     assert dict(out.dtypes)["c_enc"] == "bigint"
 
 
 def test_encoder_null_not_a_class(spark):
     tr = spark.createDataFrame([("a",), (None,), ("b",)], "c string")
-    assert prep.fit_encoder(tr, "c").count() == 2
+    assert prep.fit_encoders(tr, ["c"])["c"].count() == 2
 
 
 def test_encoder_numeric_order(spark):
     tr = spark.createDataFrame([(2,), (10,), (1,)], "c int")
-    m = {r["c"]: r["index"] for r in prep.fit_encoder(tr, "c").collect()}
+    m = {r["value"]: r["index"] for r in prep.fit_encoders(tr, ["c"])["c"].collect()}
     assert m[10] == 2      # numeric, not string, order
 
 
