@@ -14,6 +14,9 @@ from lapse.session import apply_conf, scratch_path
 #: A word is a maximal run of bytes other than space and \t..\r (fixed value of the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Spark's setting for deleting an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Rows up to which a side is broadcast after it has been counted; beyond it the
 #: join is dealt out by salted keys instead.
 BROADCAST_ROWS = 200_000
@@ -28,11 +31,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     The table has one lineage-free copy that every executor can read, so a lost
-    executor costs one reread.  The folder goes when the application ends.
+    executor costs one reread.  The shuffle files of the write go when it has
+    ended, the folder when the application ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}")
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)

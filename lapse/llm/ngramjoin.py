@@ -151,7 +151,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
     pairs = stage(pairs, "join-pairs")
     s = _whole_sets(pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("y").alias("cls"))),
                     docs, classes, k, percent, levels)
-    return _linked(pairs, s, percent)
+    return stage(_linked(pairs, s, percent), "join-links")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -168,8 +168,9 @@ def _whole_sets(cls: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
     on = F.col("doc_id").eqNullSafe(F.col("_id"))
     some = docs.select("doc_id", "text").join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids, on, "left_semi")
     got = _details(some, k, percent, levels, "set").select("cls", "n", "tokens")
-    got = bounded_join(got, want.select("cls"), ["cls"], rows, "left_semi")
-    return stage(got.dropDuplicates(["cls"]), "join-sets")
+    got = stage(bounded_join(got, want.select("cls"), ["cls"], rows, "left_semi"), "join-sets")
+    # rows that repeat doc_id and text give their class twice
+    return got if got.select("cls").distinct().count() == got.select("cls").count() else stage(got.dropDuplicates(["cls"]), "join-sets")
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -187,7 +188,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
 
     # 1. groups: every class against the centres of its openers
     centred = shared.where("cls <> low").select(F.col("cls").alias("x"), F.col("low").alias("y")).distinct()
-    links = stage(_verified(_near(centred, classes, percent), docs, classes, k, percent, levels), "join-links")
+    links = _verified(_near(centred, classes, percent), docs, classes, k, percent, levels)
     comp = stage(components(links.toDF("a", "b"), "join-groups"), "join-group")
 
     # 2. openers that different groups share
@@ -224,28 +225,35 @@ def _matrix_links(grouped: DataFrame, comp: DataFrame, docs: DataFrame, classes:
         "token", F.col("cls").alias("x"), F.col("n").alias("n_x"), F.col("grp").alias("grp_x"), F.col("shingles").alias("size_x"))
     met = query.join(matrix, "token").where(
         F.expr(f"(size_x < shingles or (size_x = shingles and grp_x < grp)) and n_x * 100 >= least * {percent} and most * 100 >= n_x * {percent}"))
-    met = stage(met.select("x", "block").distinct(), "join-met")
+    met = met.select("x", "block").distinct()
+    blocks = member.groupBy("block").agg(F.count("*").alias("members"), F.min("cls").alias("y"))
+    met = stage(met.join(blocks, "block"), "join-met-blocks")
+    # a block of one member has that member's set as its union: the pair is compared at once
+    one = met.where("members = 1").select("x", "y")
     # bound: the union of a block's tokens against the query's
-    inside = stage(member.join(met.select("block").distinct(), "block", "left_semi").select("block", F.col("cls").alias("y")),
+    many = met.where("members > 1").select("x", "block")
+    inside = stage(member.join(many.select("block").distinct(), "block", "left_semi").select("block", F.col("cls").alias("y")),
                    "join-inside")
-    sets = _whole_sets(met.select(F.col("x").alias("cls")).unionByName(inside.select(F.col("y").alias("cls"))),
+    sets = _whole_sets(many.select(F.col("x").alias("cls")).unionByName(inside.select(F.col("y").alias("cls"))),
                        docs, classes, k, percent, levels)
-    union = sets.join(inside.select(F.col("y").alias("cls"), "block"), "cls").groupBy("block").agg(
-        F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
-    asked = met.join(sets.toDF("x", "n_x", "s_x"), "x").join(union, "block")
-    opened = asked.where(F.size(F.array_intersect("s_x", "union")) * 100 >= F.col("n_x") * percent).select("x", "block")
-    pairs = _near(opened.join(inside, "block").select("x", "y").distinct(), classes, percent)
-    return _linked(pairs, sets, percent)
+    union = stage(sets.join(inside.select(F.col("y").alias("cls"), "block"), "cls").groupBy("block").agg(
+        F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union")), "join-unions")
+    asked = many.join(sets.toDF("x", "n_x", "s_x"), "x").join(union, "block")
+    opened = stage(asked.where(F.size(F.array_intersect("s_x", "union")) * 100 >= F.col("n_x") * percent).select("x", "block"),
+                   "join-opened")
+    pairs = one.unionByName(opened.join(inside, "block").select("x", "y")).distinct()
+    return _verified(_near(pairs, classes, percent), docs, classes, k, percent, levels)
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component of near-duplicates: the one with the smallest doc_id
-    (of repeated rows with that doc_id, one).  Documents with an empty set all stay."""
-    comp = jaccard_components(docs, k, percent)
-    keep = comp.where("n_shingles = 0 or doc_id <=> component_id").groupBy("doc_id").agg(
-        F.max((F.col("n_shingles") > 0).cast("int")).alias("_full"))
+    (of several rows with that doc_id, one).  Documents with an empty set all stay."""
+    comp = stage(jaccard_components(docs, k, percent), "join-components")
+    keep = comp.where("n_shingles > 0 and doc_id <=> component_id").groupBy(F.col("doc_id").alias("_id")).count()
+    repeated = keep.where("count > 1").limit(1).count()
     d = docs.select("*", F.col("doc_id").alias("_id0"))
-    kept = d.join(keep.select(F.col("doc_id").alias("_id"), "_full"), F.col("_id0").eqNullSafe(F.col("_id")), "left_semi")
-    blank = F.coalesce(F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " ")), F.lit("")) == ""
-    full = kept.where(~blank).dropDuplicates(["_id0"])
-    return full.unionByName(kept.where(blank)).select(*docs.columns)
+    inked = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    full = d.where(inked).join(keep, F.col("_id0").eqNullSafe(F.col("_id")), "left_semi")
+    if repeated:
+        full = full.dropDuplicates(["_id0"])
+    return full.select(*docs.columns).unionByName(docs.where(~inked))
