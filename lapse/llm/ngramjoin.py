@@ -6,7 +6,8 @@ with equal sets are one class and are compared once.  Two classes link when
 
 Candidates.  In one global order of the tokens (rare first, by hashed counts
 over the whole corpus), two classes that link share a token among the first
-n - ceil(percent * n / 100) + 1 of each, their openers.
+n - ceil(percent * n / 100) + 1 of each, their openers.  At the first token they
+share, what follows in either set bounds their overlap; that bound is part of the joins.
 
 1. Groups of similar documents.  Each opener has a centre (its smallest
    class); the classes that link with a centre form groups with it (connected
@@ -139,6 +140,11 @@ def _compatible(percent: int):
     return sizes & (apart.cast("long") * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent))
 
 
+def _reach(n_x: str, rest_x: str, n_y: str, rest_y: str, percent: int):
+    """Sets of n tokens, of which ``rest`` are left from the first shared one on, may still link."""
+    return F.expr(f"least({rest_x}, {rest_y}) * {100 + percent} >= ({n_x} + {n_y}) * {percent}")
+
+
 def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) that sizes and histograms allow."""
     c = classes.select("cls", "n", "parts")
@@ -182,18 +188,21 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     first = each.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     classes = stage(openers.dropDuplicates(["cls"]).join(first, "cls"), "join-classes")
 
-    entry = classes.select("cls", F.explode("tokens").alias("token"))
-    shared = entry.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high")
-    shared = stage(entry.join(shared.select("token", "low"), "token"), "join-shared")
+    entry = classes.select("cls", "n", F.posexplode("tokens").alias("pos", "token")).select(
+        "cls", "n", "token", (F.col("n") - F.col("pos")).alias("rest"))
+    shared = entry.groupBy("token").agg(F.min(F.struct("cls", "n", "rest")).alias("low"), F.max("cls").alias("high"))
+    shared = shared.where("low.cls <> high").select("token", "low")
+    shared = stage(entry.join(shared, "token"), "join-shared")
 
     # 1. groups: every class against the centres of its openers
-    centred = shared.where("cls <> low").select(F.col("cls").alias("x"), F.col("low").alias("y")).distinct()
+    centred = shared.where("cls <> low.cls").where(_reach("n", "rest", "low.n", "low.rest", percent)).select(
+        F.col("cls").alias("x"), F.col("low.cls").alias("y")).distinct()
     links = _verified(_near(centred, classes, percent), docs, classes, k, percent, levels)
     comp = stage(components(links.toDF("a", "b"), "join-groups"), "join-group")
 
     # 2. openers that different groups share
-    grouped = shared.select("token", "cls").join(comp.select(F.col("id").alias("cls"), "component"), "cls", "left").select(
-        "token", "cls", F.coalesce("component", "cls").alias("grp"))
+    grouped = shared.select("token", "cls", "rest").join(comp.select(F.col("id").alias("cls"), "component"), "cls", "left").select(
+        "token", "cls", "rest", F.coalesce("component", "cls").alias("grp"))
     mixed = grouped.groupBy("token").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 <> g1")
     grouped = stage(grouped.join(mixed.select("token"), "token", "left_semi"), "join-mixed")
     more = _matrix_links(grouped, comp, docs, classes, k, percent, levels)
@@ -216,15 +225,16 @@ def _matrix_links(grouped: DataFrame, comp: DataFrame, docs: DataFrame, classes:
     size = member.groupBy("grp").agg(F.sum("n").alias("shingles"))
     block = F.xxhash64("grp", F.pmod(F.xxhash64("cls"), F.ceil(F.col("shingles") / BLOCK_SHINGLES)))
     member = stage(member.join(size, "grp").select("cls", "n", "grp", "shingles", block.alias("block")), "join-members")
-    e = grouped.select("token", "cls").join(member, "cls")
+    e = grouped.select("token", "cls", "rest").join(member, "cls")
     matrix = e.groupBy("token", "block").agg(F.first("grp").alias("grp"), F.first("shingles").alias("shingles"),
-                                             F.min("n").alias("least"), F.max("n").alias("most"))
+                                             F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("most_rest"))
     # an opener's largest group is asked, never asks
     top = matrix.groupBy("token").agg(F.max(F.struct("shingles", "grp")).alias("top"))
     query = e.join(top, "token").where("grp <> top.grp").select(
-        "token", F.col("cls").alias("x"), F.col("n").alias("n_x"), F.col("grp").alias("grp_x"), F.col("shingles").alias("size_x"))
+        "token", F.col("cls").alias("x"), F.col("n").alias("n_x"), F.col("rest").alias("rest_x"), F.col("grp").alias("grp_x"), F.col("shingles").alias("size_x"))
     met = query.join(matrix, "token").where(
-        F.expr(f"(size_x < shingles or (size_x = shingles and grp_x < grp)) and n_x * 100 >= least * {percent} and most * 100 >= n_x * {percent}"))
+        F.expr(f"(size_x < shingles or (size_x = shingles and grp_x < grp)) and n_x * 100 >= least * {percent} and most * 100 >= n_x * {percent}")
+        & _reach("n_x", "rest_x", "least", "most_rest", percent))
     met = met.select("x", "block").distinct()
     blocks = member.groupBy("block").agg(F.count("*").alias("members"), F.min("cls").alias("y"))
     met = stage(met.join(blocks, "block"), "join-met-blocks")
