@@ -142,7 +142,7 @@ def _compatible(percent: int):
 
 def _reach(n_x: str, rest_x: str, n_y: str, rest_y: str, percent: int):
     """Sets of n tokens, of which ``rest`` are left from the first shared one on, may still link."""
-    return F.expr(f"least({rest_x}, {rest_y}) * {100 + percent} >= ({n_x} + {n_y}) * {percent}")
+    return F.expr(f"cast(least({rest_x}, {rest_y}) as bigint) * {100 + percent} >= ({n_x} + {n_y}) * {percent}")
 
 
 def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -162,7 +162,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(sets.toDF("x", "n_x", "s_x"), "x").join(sets.toDF("y", "n_y", "s_y"), "y")
-    inter = F.size(F.array_intersect("s_x", "s_y"))
+    inter = F.size(F.array_intersect("s_x", "s_y")).cast("long")
     return both.where(inter * 100 >= (F.col("n_x") + F.col("n_y") - inter) * percent).select("x", "y")
 
 
@@ -189,14 +189,16 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     classes = stage(openers.dropDuplicates(["cls"]).join(first, "cls"), "join-classes")
 
     entry = classes.select("cls", "n", F.posexplode("tokens").alias("pos", "token")).select(
-        "cls", "n", "token", (F.col("n") - F.col("pos")).alias("rest"))
-    shared = entry.groupBy("token").agg(F.min(F.struct("cls", "n", "rest")).alias("low"), F.max("cls").alias("high"))
-    shared = shared.where("low.cls <> high").select("token", "low")
-    shared = stage(entry.join(shared, "token"), "join-shared")
+        "cls", "token", (F.col("n") - F.col("pos")).cast("int").alias("rest"))
+    shared = entry.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high")
+    shared = stage(entry.join(shared.select("token", "low"), "token"), "join-shared")
 
     # 1. groups: every class against the centres of its openers
-    centred = shared.where("cls <> low.cls").where(_reach("n", "rest", "low.n", "low.rest", percent)).select(
-        F.col("cls").alias("x"), F.col("low.cls").alias("y")).distinct()
+    size = classes.select("cls", "n")
+    centre = shared.where("cls = low").join(size, "cls").select("token", F.col("n").alias("n_low"), F.col("rest").alias("rest_low"))
+    centred = shared.where("cls <> low").join(size, "cls").join(centre, "token")
+    centred = centred.where(_reach("n", "rest", "n_low", "rest_low", percent)).select(
+        F.col("cls").alias("x"), F.col("low").alias("y")).distinct()
     links = _verified(_near(centred, classes, percent), docs, classes, k, percent, levels)
     comp = stage(components(links.toDF("a", "b"), "join-groups"), "join-group")
 
@@ -249,7 +251,7 @@ def _matrix_links(grouped: DataFrame, comp: DataFrame, docs: DataFrame, classes:
     union = stage(sets.join(inside.select(F.col("y").alias("cls"), "block"), "cls").groupBy("block").agg(
         F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union")), "join-unions")
     asked = many.join(sets.toDF("x", "n_x", "s_x"), "x").join(union, "block")
-    opened = stage(asked.where(F.size(F.array_intersect("s_x", "union")) * 100 >= F.col("n_x") * percent).select("x", "block"),
+    opened = stage(asked.where(F.size(F.array_intersect("s_x", "union")).cast("long") * 100 >= F.col("n_x") * percent).select("x", "block"),
                    "join-opened")
     pairs = one.unionByName(opened.join(inside, "block").select("x", "y")).distinct()
     return _verified(_near(pairs, classes, percent), docs, classes, k, percent, levels)
