@@ -75,14 +75,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, verify: int = 13, share:
         F.expr(f"slice(w, at - least(at, {side}) + 1, least(at, {side}) + least(size(w) - at, len + {side}))").alias("item_near")),
         "decontam-seeds")
     n = seeds.count()
-    d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), tokens(F.col("text")).alias("w"))
-    hits = _windows(d, ["doc_id", "text_hash"], short).join(F.broadcast(seeds) if n <= SEED_ROWS else seeds, "seed")
+    # the generator has the tokens made once, not in the filter and again below it
+    d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.array(tokens(F.col("text")))).alias("w"))
+    windows = _windows(d, ["doc_id", "text_hash"], short)
+    if n <= SEED_ROWS:
+        hits = windows.join(F.broadcast(seeds), "seed")
+    else:
+        # hashes alone are shuffled; the tokens of documents with hits come back afterwards
+        found = stage(windows.drop("w").join(seeds.hint("merge"), "seed"), "decontam-hits")
+        own = d.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_t"), "w")
+        hits = own.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_t")))
     hits = hits.where("len = item_len")
-    # both sides of the diagonal around the seed, as 0/1 per token
+    # both sides of the diagonal around the seed; the generator cuts the document's part out where the join
+    # is, so that no hit carries the whole document along
     hits = hits.withColumn("left", F.least("at", "item_left"))
     right = F.least(F.size("w") - F.col("at"), F.size("item_near") - F.col("item_left"))
-    same = F.zip_with(F.slice("w", F.col("at") - F.col("left") + 1, F.col("left") + right),
-                      F.slice("item_near", F.col("item_left") - F.col("left") + 1, F.col("left") + right),
+    near = F.slice("w", F.col("at") - F.col("left") + 1, F.col("left") + right)
+    hits = hits.select("doc_id", "text_hash", "item_id", "len", "left", "at", "item_at", "item_left", "item_near", "n_compared",
+                       F.explode(F.array(near)).alias("near"))
+    same = F.zip_with("near", F.slice("item_near", F.col("item_left") - F.col("left") + 1, F.size("near")),
                       lambda a, b: (a == b).cast("int"))
     # windows of n_compared tokens that hold the seed
     hits = hits.select("doc_id", "text_hash", "item_id", "len", "left", "at", "item_at", "n_compared",
