@@ -106,7 +106,7 @@ class Model:
         data, off = wh.utf8(texts)
         pred = np.full(len(texts), -1)
         score = np.zeros(len(texts))
-        for i, j in wh.slices(off):
+        for i, j in wh.slices(off, wh.SLICE // 4):
             d, o = data[off[i]:off[j]], off[i:j + 1] - off[i]
             has = _letters(d, o, texts.slice(i, j - i))
             if self.labels:
@@ -201,8 +201,8 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 600, **options) -> M
     return train([(r["lang"], np.array(r["ids"], np.int64), np.array(r["counts"], float)) for r in got], **options)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred, score and rejected (columns of these names are replaced)."""
+def _predictor(docs: DataFrame, model: Model):
+    """Function of a text column: struct of lang_pred, score and rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
@@ -211,8 +211,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(label, pa.string()), pa.array(s, pa.float64()),
                                            pa.array(rejected, pa.bool_())], ["lang_pred", "score", "rejected"])
 
+    return score
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with lang_pred, score and rejected (columns of these names are replaced)."""
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    return docs.select(*keep, score("text").alias("_p")).select(*keep, "_p.*")
+    return docs.select(*keep, _predictor(docs, model)("text").alias("_p")).select(*keep, "_p.*")
 
 
 def held_out() -> Column:
@@ -230,5 +235,6 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 def identified_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the rejected ones, same columns."""
     model = fit(docs, ~held_out(), **options)
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-    return predict(d, model).where("not rejected").select("_row.*")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    seen = row.select("_row", _predictor(docs, model)(F.col("_row.text")).alias("_p"))
+    return seen.where("not _p.rejected").select("_row.*")
