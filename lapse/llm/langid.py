@@ -196,9 +196,11 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 600, **options) -> M
                 [b.column("doc_id"), b.column("lang").cast(pa.string()), pa.array([g[0] for g in got], pa.list_(pa.int32())),
                  pa.array([g[1] for g in got], pa.list_(pa.int32()))], ["doc_id", "lang", "ids", "counts"])
 
-    got = picked.mapInArrow(count, "doc_id long, lang string, ids array<int>, counts array<int>").collect()
-    got.sort(key=lambda r: (math.floor(r["doc_id"] * 0.6180339887498949 % 1 * 1e9), r["doc_id"], r["lang"], r["ids"]))
-    return train([(r["lang"], np.array(r["ids"], np.int64), np.array(r["counts"], float)) for r in got], **options)
+    t = picked.mapInArrow(count, "doc_id long, lang string, ids array<int>, counts array<int>").toPandas()
+    got = [(d, label, np.asarray(i, np.int64), np.asarray(c, float))
+           for d, label, i, c in zip(t["doc_id"], t["lang"], t["ids"], t["counts"])]
+    got.sort(key=lambda r: (math.floor(r[0] * 0.6180339887498949 % 1 * 1e9), r[0], r[1], r[2].tobytes()))
+    return train([r[1:] for r in got], **options)
 
 
 def _predictor(docs: DataFrame, model: Model):
