@@ -18,8 +18,10 @@ by itself: of the equal windows (anchors) of a slice of texts only the first is
 A passage that a third of all documents share so costs one entry a slice.  Ranges are cut
 so that a range's distinct hashes fit in memory; they are read as a stream.
 
-Equality of windows is equality of 64-bit hashes of their words.  Positions are (doc_id, start);
-rows with the same doc_id and words are one document.  Defined cases: null doc_id comes
+Equality of windows is equality of 64-bit hashes of their words.  Positions are (key, start); a
+document's key is its doc_id or, if a doc_id comes more than once, a number in the order of (doc_id,
+hash of the text).  Defined cases: rows with the same doc_id and text are one document and
+keep the same words; different texts under one doc_id (also null) are documents of their own; null doc_id comes
 first; null, empty and short texts have no windows and keep all words; other columns are
 ignored; an empty table gives an empty result.
 """
@@ -34,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapse.llm import wordhash as wh
+from lapse.llm.common import stage
 
 #: A perfect difference set modulo 13.
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -75,7 +78,8 @@ def _ids_of(x: pa.Scalar) -> np.ndarray:
 
 
 def _first_of_each(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (hash, doc, at), and whether each in that order is the first of its hash."""
+    """Order by (hash, doc, at), of entries equal in all three only one, and whether each in that order is the
+    first of its hash."""
     order = np.argsort(h, kind="stable")
     s = h[order]
     new = np.ones(len(s), bool)
@@ -85,6 +89,9 @@ def _first_of_each(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.n
         many = np.bincount(run)[run] > 1
         part = order[many]
         order[many] = part[np.lexsort((at[part], doc[part], h[part]))]
+        again = np.zeros(len(s), bool)
+        again[1:] = ~new[1:] & (doc[order[1:]] == doc[order[:-1]]) & (at[order[1:]] == at[order[:-1]])
+        order, new = order[~again], new[~again]
     return order, new
 
 
@@ -129,12 +136,8 @@ def _pack(h: np.ndarray, doc: np.ndarray, at: np.ndarray, bits: int, all_of_many
          _blobs(at[order].astype(np.int32), cuts)], names=["range", "hashes", "docs", "places"])
 
 
-def _ids(col: pa.Array) -> np.ndarray:
-    return col.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-
-
 def _read(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return wh.utf8(b.column("text")) + (_ids(b.column("doc_id")),)
+    return wh.utf8(b.column("text")) + (b.column("key").to_numpy(),)
 
 
 def _anchors(bits: int) -> Callable:
@@ -155,7 +158,7 @@ def _anchors(bits: int) -> Callable:
 
 
 def _windows(bits: int) -> Callable:
-    """From (doc_id, text, places of repeated anchors) the hashes of all windows that hold one of them in place."""
+    """From (key, text, places of repeated anchors) the hashes of all windows that hold one of them in place."""
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off, ids = _read(b)
@@ -247,7 +250,7 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))), [len(doc)]))
         for i in range(0, len(cuts) - 1, 1 << 15):
             c = cuts[i:i + (1 << 15) + 1]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[c[:-1]]), _blobs(at[c[0]:c[-1]], c - c[0])], ["doc_id", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[c[:-1]]), _blobs(at[c[0]:c[-1]], c - c[0])], ["key", "places"])
 
     for b in batches:
         ranges = b.column("range").to_numpy()
@@ -262,9 +265,9 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _marked(packed: DataFrame, bits: int, all_of_many: bool) -> DataFrame:
-    """Marks over all tasks' rows: doc_id, places (packed positions), one row for each document with any."""
+    """Marks over all tasks' rows: key, places (packed positions), one row for each document with any."""
     rows = packed.repartition("range").sortWithinPartitions("range").mapInArrow(_settle(bits, all_of_many), PACKED)
-    return rows.repartition("range").sortWithinPartitions("range").mapInArrow(_by_document, "doc_id long, places binary")
+    return rows.repartition("range").sortWithinPartitions("range").mapInArrow(_by_document, "key long, places binary")
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,16 +302,29 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  text.cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
 
+def _keyed(d: DataFrame) -> DataFrame:
+    """``d`` with ``key``: one for each distinct (doc_id, text), in the order of doc_id (null first), then a hash of the text."""
+    own = F.coalesce("doc_id", F.lit(NO_ID))
+    if not d.groupBy(own.alias("key")).count().where("count > 1").limit(1).count():
+        return d.withColumn("key", own)
+    t = d.withColumn("_hash", F.xxhash64("text"))
+    order = [F.col("_id").asc_nulls_first(), F.col("_text")]
+    each = t.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_text")).distinct()
+    each = stage(each.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("key", F.monotonically_increasing_id()), "substr-keys")
+    joined = t.join(each, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")))
+    return stage(joined.select("doc_id", "text", "key"), "substr-documents")
+
+
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (the kept words, joined by one blank)."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    d = _keyed(d)
     size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = max(6, (size // 6 // RANGE_WORDS).bit_length())     # ranges: about a word every 6 bytes
     anchors = _marked(d.mapInArrow(_anchors(bits), PACKED), bits, True)
 
     def with_places(marked: DataFrame, how: str) -> DataFrame:
-        m = marked.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("_id"), "places").hint("shuffle_hash")
-        return d.join(m, F.col("doc_id").eqNullSafe(F.col("_id")), how).select("doc_id", "text", "places")
+        return d.join(marked.hint("shuffle_hash"), "key", how).select("doc_id", "key", "text", "places")
 
     windows = _marked(with_places(anchors, "inner").mapInArrow(_windows(bits), PACKED), bits, False)
     return with_places(windows, "left").mapInArrow(_keep, "doc_id long, n_words long, n_removed long, kept_text string")

@@ -40,6 +40,18 @@ def test_substring_long_text_and_empty_table(spark):
     assert substr.dedup_substrings(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_substring_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 45), ("b", 30), ("c", 70)))
+    docs = [(1, a), (1, a), (1, a), (2, "new " + a), (None, c), (None, b), (None, c), (None, None), (5, "x " + b), (5, "short"),
+            (-2**63, "y " + b)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for parts in (1, 4):
+        got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substr.dedup_substrings(df.repartition(parts)).collect()),
+                     key=str)
+        assert got == sorted([(1, 45, 0, a)] * 3 + [(2, 46, 45, "new"), (None, 70, 0, c), (None, 70, 0, c), (None, 30, 0, b), (None, 0, 0, ""),
+                                                    (5, 31, 30, "x"), (5, 1, 0, "short"), (-2**63, 31, 30, "y")], key=str)
+
+
 def test_substring_query_on_tables(spark):
     docs = [(x["doc_id"], x["text"]) for x in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     want = sorted((d, n, g, hashlib.sha256(k.encode()).hexdigest()) for d, n, g, k in dedup_substrings(docs))
