@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lapse.llm import wordhash as wh
 from lapse.llm.common import BROADCAST_ROWS, bounded_join, components, stage
@@ -181,6 +182,14 @@ def _whole_sets(cls: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
+    named = _named(docs, k, percent)
+    low = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return named.join(low, "component", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _named(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """One row per document, staged: doc_id, n_shingles, cls (key of its set, null if empty), component (of classes)."""
     scan = stage(_scan(docs, k), "join-scan")
     levels = _levels(scan)
     each = scan.where("bucket is null").select("doc_id", F.col("n").alias("n_shingles"), "cls")
@@ -213,10 +222,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
 
     named = each.join(final.select(F.col("id").alias("cls"), "component"), "cls", "left").withColumn(
         "component", F.coalesce("component", "cls"))
-    named = stage(named, "join-named")
-    low = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return named.join(low, "component", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return stage(named, "join-named")
 
 
 def _matrix_links(grouped: DataFrame, comp: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int,
@@ -258,14 +264,21 @@ def _matrix_links(grouped: DataFrame, comp: DataFrame, docs: DataFrame, classes:
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component of near-duplicates: the one with the smallest doc_id
-    (of several rows with that doc_id, one).  Documents with an empty set all stay."""
-    comp = stage(jaccard_components(docs, k, percent), "join-components")
-    keep = comp.where("n_shingles > 0 and doc_id <=> component_id").groupBy(F.col("doc_id").alias("_id")).count()
-    repeated = keep.where("count > 1").limit(1).count()
-    d = docs.select("*", F.col("doc_id").alias("_id0"))
+    """``docs`` with one document of each component of near-duplicates: the one with the smallest doc_id (null last),
+    of several texts with that doc_id the one whose set has the smallest key, of several rows with both, one.
+    Documents with an empty set all stay."""
+    named = _named(docs, k, percent).where("cls is not null")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls")).alias("best")
+    kept = named.groupBy("component").agg(best).select(F.col("best.doc_id").alias("_id"), F.col("best.cls").alias("_key"))
+    repeated = named.groupBy("doc_id", "cls").count().where("count > 1").limit(1).count()
+
+    @F.arrow_udf(T.LongType())
+    def key(text: pa.Array) -> pa.Array:
+        return pa.array([_key(s) if len(s) else None for s in _sets(text, k)], pa.int64())
+
     inked = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    full = d.where(inked).join(keep, F.col("_id0").eqNullSafe(F.col("_id")), "left_semi")
+    d = docs.where(inked).select("*", F.col("doc_id").alias("_id0"), key(F.col("text").cast("string")).alias("_key0"))
+    full = d.join(kept, F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_key0") == F.col("_key")), "left_semi")
     if repeated:
-        full = full.dropDuplicates(["_id0"])
+        full = full.dropDuplicates(["_id0", "_key0"])
     return full.select(*docs.columns).unionByName(docs.where(~inked))

@@ -66,6 +66,16 @@ def test_one_of_each_group_keeps_columns_and_blank_texts(spark):
     assert ngramjoin.one_of_each_group(empty).count() == 0
 
 
+def test_one_of_each_group_by_id_and_text(spark):
+    text = lambda x, n=30: " ".join(f"{x}{i}" for i in range(n))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("c")), (3, text("d")), (3, text("e")),
+            (3, text("e")), (4, text("f")), (9, text("f") + " x"), (9, text("g")), (None, text("g") + " y"), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in ngramjoin.one_of_each_group(df).collect()), key=str)
+    assert got == sorted([(None, text("a")), (None, text("b")), (None, text("c")), (3, text("d")), (3, text("e")), (4, text("f")),
+                          (9, text("g")), (None, None), (None, None)], key=str)
+
+
 def test_components_long_chain(spark):
     n = 300
     e = spark.createDataFrame([(i, i + 1) for i in range(n) if i != 150] + [(7, 7)], "a long, b long")
