@@ -12,7 +12,8 @@ Per host, over all its pages:
    pages give them on average.  Valid classes are nested by position: the gap behind a
    template tag, up to the next one, is a slot of the template.
 4. Slots.  Template text is dropped; so are slots below elements that are no content by
-   their tag (nav, footer, aside, form, ..), role or class name (adverts, notices, comments, ..).
+   their tag (nav, footer, aside, form, ..), role or class name (adverts, notices, comments, ..; a
+   name does not drop what holds the article or most of the page's text).
    If the page marks its article (article, main, role=main), all that is
    left in there is the text, also wording that other pages share; else the slots that
    hang on the same element as the slot with most text.
@@ -46,7 +47,7 @@ BROADCAST_TOKENS = 1_000_000
 TOKENS = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attr2>[^>]*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden|aria-label|itemprop)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s\"'>/=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*))?")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 #: Fixed values.
@@ -63,29 +64,44 @@ NO_NAMES = frozenset("ad ads adv advert adverts advertisement advertisements adv
                      "subscription signup sidebar sidebars menu menus nav navbar navigation navi breadcrumb breadcrumbs footer footers header headers masthead "
                      "topbar comment comments respond reply replies discussion disqus related recommended recommendations share sharing social widget widgets "
                      "toolbar login search pager pagination skip disclaimer copyright alert".split())
+#: Of these, names of talk below an article, which may be longer than it; and words that make a name say something of the page.
+TALK = frozenset("comment comments respond reply replies discussion disqus".split())
+STATES = frozenset("has no with without".split())
 KEEP_NAMED = frozenset("html body article main".split())
 
 
 class _Element:
-    __slots__ = ("tag", "path", "dropped", "content")
+    """``no``: no content by tag, role or being hidden; ``named``: by its names (2: talk); ``dropped`` is set by ``_resolve``."""
 
-    def __init__(self, tag: str, path: int, dropped: bool, content: bool):
-        self.tag, self.path, self.dropped, self.content = tag, path, dropped, content
+    __slots__ = ("tag", "path", "parent", "no", "named", "main", "content", "dropped", "size", "best")
 
+    def __init__(self, tag: str, path: int, parent: _Element | None, no: bool = False, named: int = 0, main: bool = False):
+        self.tag, self.path, self.parent, self.no, self.named, self.main = tag, path, parent, no, named, main
+        self.content = main or (parent is not None and parent.content)
+        self.dropped, self.size, self.best = False, 0, None
 
-def _named(attr: str) -> tuple[str, bool, bool, bool]:
-    """From the attributes: a short name for the path, whether names and roles rule content out, whether it is
-    hidden, whether they mark the article."""
-    name, no, hidden, main = "", False, False, False
+
+def _named(attr: str) -> tuple[str, int, bool, bool, bool]:
+    """From the attributes: a short name for the path, whether names rule content out (2: as talk), whether the role
+    does, whether it is hidden, whether they mark the article."""
+    name, named, role, hidden, main = "", 0, False, False, False
+    seen = set()
     for key, value in ATTRIBUTE.findall(attr):
         key, value = key.lower(), value.strip("\"'")
+        if key in seen:
+            continue                                      # the first one counts
+        seen.add(key)
         if key in ("class", "id", "aria-label"):
-            words = [w.lower() for w in NAME.findall(value)]
             if key == "class":
                 name = "." + value
-            no = no or any(w in NO_NAMES for w in words) or "side bar" in " ".join(words)
+            for one in [value] if key == "aria-label" else value.split():
+                words = [w.lower() for w in NAME.findall(one)]
+                if words and words[0] in STATES:
+                    continue
+                if any(w in NO_NAMES for w in words) or "side bar" in " ".join(words):
+                    named = max(named, 2 if any(w in TALK for w in words) else 1)
         elif key == "role":
-            no = no or value.lower() in NO_ROLES
+            role = value.lower() in NO_ROLES
             main = main or value.lower() in ("main", "article")
         elif key == "itemprop":
             main = main or value.lower() == "articlebody"
@@ -93,7 +109,7 @@ def _named(attr: str) -> tuple[str, bool, bool, bool]:
             hidden = True
         elif key == "style":
             hidden = hidden or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-    return name, no, hidden, main
+    return name, named, role, hidden, main
 
 
 def _hash(s: str, seed: int = 0) -> int:
@@ -102,7 +118,7 @@ def _hash(s: str, seed: int = 0) -> int:
 
 def parse(page: str) -> Iterator[tuple[str, int, str, _Element]]:
     """Tokens of a page: (kind, hash, text, innermost element); kind is tag, end, text, break or join."""
-    stack = [_Element("", 0, False, False)]
+    stack = [_Element("", 0, None)]
     at, n = 0, len(page)
     while at < n:
         m = TOKENS.match(page, at)
@@ -130,10 +146,10 @@ def parse(page: str) -> Iterator[tuple[str, int, str, _Element]]:
         if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and top.tag == tag:
             stack.pop()
             top = stack[-1]
-        name, no, hidden, main = _named(attr)
-        content = top.content or main or tag in ("article", "main")
-        no = hidden or (no and tag not in KEEP_NAMED) or tag in NO_CONTENT or (tag == "header" and not top.content)
-        e = _Element(tag, _hash(f"{top.path}>{tag}{name}"), top.dropped or no, content)
+        name, named, role, hidden, main = _named(attr)
+        main = main or tag in ("article", "main")
+        no = hidden or role or tag in NO_CONTENT or (tag == "header" and not (top.content or main))
+        e = _Element(tag, _hash(f"{top.path}>{tag}{name}"), top, no, 0 if tag in KEEP_NAMED else named, main)
         yield "tag", e.path, "", e
         if tag in VOID or attr.endswith("/"):
             continue
@@ -213,9 +229,45 @@ def _valid(seq: list[int], cls: dict, order: dict) -> set:
     return {x for x in seen if cls[x] not in bad}
 
 
+def _resolve(tokens: list) -> list[_Element]:
+    """Decide which elements are dropped; returns all of them, parents first.  A name does not drop an element that holds
+    the article (if none stands free of such names, the one with most text) or most of the page's text (talk: all of it)."""
+    every = [e for kind, _, _, e in tokens if kind == "tag"]
+    roots = {id(e): e for _, _, _, e in tokens if e.parent is None}
+    every = [*roots.values(), *every]
+    for kind, _, text, e in tokens:
+        if kind == "text":
+            e.size += len("".join(text.split()))
+    for e in reversed(every):
+        if e.main and e.size and (e.best is None or e.size >= e.best.size):
+            e.best = e
+        p = e.parent
+        if p is not None and not e.no:
+            p.size += e.size
+            if e.best is not None and (p.best is None or e.best.size >= p.best.size):
+                p.best = e.best
+    total = sum(r.size for r in roots.values())
+    keep, free = set(), False
+    for e in every:
+        e.dropped = e.no or bool(e.named) or (e.parent is not None and e.parent.dropped)
+        free = free or (e.main and e.size > 0 and not e.dropped)
+    if not free:
+        for r in roots.values():
+            e = r.best
+            while e is not None:
+                keep.add(id(e))
+                e = e.parent
+    for e in every:
+        large = e.size == total if e.named == 2 else 2 * e.size > total
+        by_name = e.named and id(e) not in keep and not (e.size and large)
+        e.dropped = bool(e.no or by_name or (e.parent is not None and e.parent.dropped))
+    return every
+
+
 def main_text(page: str, cls: dict, order: dict) -> str:
     """The main text of one page, given its host's template."""
     tokens = list(parse(page))
+    _resolve(tokens)
     hashes = []
     for kind, h, text, e in tokens:
         if kind == "text":

@@ -48,6 +48,20 @@ def test_single_pages(spark, page, text):
     assert html.main_text(page or "", {}, {}) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<article><p><a href='/hidden-valley'>a</a> <b data-hidden='false'>b</b> <a href='/post?id=login'>c</a></p></article>", "a b c"),
+    ("<article><p data-class='ad' title='class=ad hidden'>a</p><p HIDDEN>b</p><p class = 'ad'>c</p><p id=login>d</p></article>", "a"),
+    ("<div class='layout has-sidebar'><article>a</article><div class=sidebar>b</div></div>", "a"),
+    ("<div class='no-header'><article>a</article></div>", "a"), ("<div id=header-wrap><div class=promo><article>a</article></div></div>b", "a"),
+    ("<div class='header widget'><p>most of the text</p><p class=ad>ad</p></div><p>end</p>", "most of the text end"),
+    ("<article>a<div class=comments><article>b long comment</article></div></article>", "a"),
+    ("<article>a</article><div class=comments><article class=comment>b long comment</article></div>", "a"),
+    ("<div class='popup'><p>x</p></div><p>the text</p>", "the text"),
+])
+def test_attributes_and_wrappers(page, text):
+    assert html.main_text(page, {}, {}) == text
+
+
 def test_html_edge_tables(spark):
     same = (7, None, "<article>x</article>")
     df = spark.createDataFrame([same, same, (8, None, None)], PAGE).withColumn("host", __import__("pyspark").sql.functions.lit(1))
