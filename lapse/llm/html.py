@@ -11,12 +11,13 @@ Per host, over all its pages:
 3. Template.  On a page, a class is valid if its tokens come in the order that the host's
    pages give them on average.  Valid classes are nested by position: the gap behind a
    template tag, up to the next one, is a slot of the template.
-4. Slots.  Template text is dropped; so are slots below elements that are no content by
+4. Slots.  Blocks (text up to the next element that is not inline) of template text only are dropped; so are slots below elements that are no content by
    their tag (nav, footer, aside, form, ..), role or class name (adverts, notices, comments, ..; a
    name does not drop what holds the article or most of the page's text).
    If the page marks its article (article, main, role=main), all that is
-   left in there is the text, also wording that other pages share; else the slots that
-   hang on the same element as the slot with most text.
+   left in there is the text, also wording that other pages share; else all slots below the
+   article's container, in page order.  The container is found from the root by going down while
+   one container element holds SHARE of the text and all first headings.
 
 Pages are parsed twice, so that what moves between the passes are token hashes, never
 pages; the host table goes to the pages by broadcast after it was counted, or salted by page.
@@ -67,18 +68,22 @@ NO_NAMES = frozenset("ad ads adv advert adverts advertisement advertisements adv
 #: Of these, names of talk below an article, which may be longer than it; and words that make a name say something of the page.
 TALK = frozenset("comment comments respond reply replies discussion disqus".split())
 STATES = frozenset("has no with without".split())
+#: Elements that the article's container may be, and the share of the text that one must hold.
+CONTAINERS = frozenset("html body div section center".split())
+SHARE = 0.8
 KEEP_NAMED = frozenset("html body article main".split())
 
 
 class _Element:
     """``no``: no content by tag, role or being hidden; ``named``: by its names (2: talk); ``dropped`` is set by ``_resolve``."""
 
-    __slots__ = ("tag", "path", "parent", "no", "named", "main", "content", "dropped", "size", "best")
+    __slots__ = ("tag", "path", "parent", "no", "named", "main", "content", "dropped", "size", "best", "heads", "inside")
 
     def __init__(self, tag: str, path: int, parent: _Element | None, no: bool = False, named: int = 0, main: bool = False):
         self.tag, self.path, self.parent, self.no, self.named, self.main = tag, path, parent, no, named, main
         self.content = main or (parent is not None and parent.content)
         self.dropped, self.size, self.best = False, 0, None
+        self.heads, self.inside = 0, False
 
 
 def _named(attr: str) -> tuple[str, int, bool, bool, bool]:
@@ -264,10 +269,37 @@ def _resolve(tokens: list) -> list[_Element]:
     return every
 
 
+def _container(every: list[_Element], pieces: list[tuple[_Element, str]]) -> None:
+    """Sets ``inside`` for the container of the article and all below it; ``pieces`` are the texts that may belong to it."""
+    for e in every:
+        e.size = e.heads = 0
+    for e, t in pieces:
+        n = len("".join(t.split()))
+        e.size += n
+        e.heads += n if e.tag == "h1" else 0
+    below: dict = {}
+    for e in reversed(every):
+        p = e.parent
+        if p is not None:
+            p.size += e.size
+            p.heads += e.heads
+            if e.tag in CONTAINERS or "-" in e.tag:
+                below.setdefault(id(p), []).append(e)
+    roots = [e for e in every if e.parent is None]
+    at = roots[0] if roots else None
+    while at is not None:
+        down = [e for e in below.get(id(at), []) if e.size and e.size >= SHARE * at.size and e.heads == at.heads]
+        if not down:
+            break
+        at = down[0]
+    for e in every:
+        e.inside = e is at or (e.parent is not None and e.parent.inside)
+
+
 def main_text(page: str, cls: dict, order: dict) -> str:
     """The main text of one page, given its host's template."""
     tokens = list(parse(page))
-    _resolve(tokens)
+    every = _resolve(tokens)
     hashes = []
     for kind, h, text, e in tokens:
         if kind == "text":
@@ -277,27 +309,22 @@ def main_text(page: str, cls: dict, order: dict) -> str:
             hashes.append(h if kind in ("tag", "end") else 0)
     template = _valid([h for h in hashes if h], cls, order) if cls else set()
     marked = any(kind == "tag" and e.content and not e.dropped for kind, _, _, e in tokens)
-    # (slot, text): a slot is opened by a template tag; outside a marked article its element decides
-    slot = 0
-    pieces: list[tuple[int, str]] = []
-    for (kind, h, text, e), x in zip(tokens, hashes):
-        if kind in ("tag", "end"):
-            if x in template:
-                slot = e.path
-        elif kind == "break":
-            pieces.append((slot, " "))
-        elif kind == "text" and not e.dropped:
-            if marked:
-                if e.content:     # wording that other pages share stays
-                    pieces.append((slot, entities.unescape(text)))
-            elif x not in template:
-                pieces.append((slot, entities.unescape(text)))
-    if not marked:
-        size: Counter = Counter()
-        for s, t in pieces:
-            size[s] += len("".join(t.split()))
-        best = size.most_common(1)[0][0] if size else 0
-        pieces = [(s, t) if s == best or t == " " else (s, " ") for s, t in pieces]
+    pieces: list[tuple[_Element, str]] = []
+    start, own = 0, False                 # of the block at hand: its first piece, whether it has wording of this page
+    for (kind, _, text, e), x in zip(tokens, hashes):
+        if kind == "break":
+            if not (marked or own):
+                del pieces[start:]
+            pieces.append((e, " "))
+            start, own = len(pieces), False
+        elif kind == "text" and not e.dropped and (e.content or not marked):
+            pieces.append((e, entities.unescape(text)))
+            own = own or (x != 0 and x not in template)
+    if not (marked or own):
+        del pieces[start:]
+    if not marked and template:
+        _container(every, pieces)
+        pieces = [(e, t) if e.inside else (e, " ") for e, t in pieces]
     return " ".join("".join(t for _, t in pieces).split())
 
 

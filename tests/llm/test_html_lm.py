@@ -36,6 +36,15 @@ def test_pages_without_a_marked_article_use_the_template(spark):
     assert got == {i: f"Long story number {i} about things {i} It goes on {i} and on {i}" for i in range(6)}
 
 
+def test_container_keeps_headings_lists_tables_and_inline_text(spark):
+    body = """<div id=box><div class=story><h1>Title {0}</h1><p>Some <b>bold {0}</b> and <a href=x>linked {0}</a> text {0}</p><h2>Part {0}</h2>
+<ul><li>one {0}</li><li>two {0}</li></ul><blockquote>quote {0}</blockquote><table><tr><td>cell {0}</td></tr></table></div></div>
+<div><span>Views {0}</span></div><div><span>Read more</span></div>"""
+    pages = [(i, f"https://c.example/{i}", SITE.format(t="T", n=i, body=body.format(i))) for i in range(6)]
+    got = texts(spark, pages)
+    assert got == {i: f"Title {i} Some bold {i} and linked {i} text {i} Part {i} one {i} two {i} quote {i} cell {i}" for i in range(6)}
+
+
 @pytest.mark.parametrize("page,text", [
     (None, ""), ("", ""), ("   ", ""), ("plain text", "plain text"), ("<article>a < b && c &lt;d&gt; &#233;", "a < b && c <d> é"),
     ("<article><p>x<b>y</b>z<p>w</article>", "xyz w"), ("<main>in</main>out", "in"), ("<article>a<!-- no -->b</article>", "ab"),
