@@ -187,5 +187,24 @@ def test_gradient_and_learning():
     assert np.allclose(lm._log_probs(m, ids[:bounds[1]], one), whole, atol=1e-5)
 
 
+def test_scores_use_all_counts(spark):
+    r = np.random.default_rng(7)
+    docs = [(i, " ".join(f"w{x}" for x in r.integers(0, 400, 60))) for i in range(80)] + [(90, ""), (91, None)]
+    d = spark.createDataFrame(docs, DOCS).repartition(3)
+    counts = lm.stage(lm.corpus_counts(d, 7), "test-counts")
+    model = lm.fit(d, counts, rounds=0)
+    got = {x["doc_id"]: x["score"] for x in lm.log10_probabilities(d, model).collect()}
+    text = pa.array([t for _, t in docs])
+    data, off = lm.wh.utf8(text)
+    sub = lm._Subwords.of(lm.TOKENIZER)
+    ids, bounds, _, _ = sub.stream(lm.wh.LOWER[data], off)
+    p1, p2 = lm._before(ids, bounds, sub.end)
+    pairs, triples = (np.unique(x, return_counts=True) for x in (p1 * 65536 + ids, (p2 * 65536 + p1) * 65536 + ids))
+    m = lm._tables(pairs, triples, sub.end, lm.TOKENIZER, 5)
+    assert (m.pairs.get(lm._pair_key(p1, ids)) > 0).all() and (m.triples.get(lm._triple_key(p2, p1, ids))[0] > 0).all()
+    want = np.add.reduceat(lm._log_probs(m, ids, bounds), bounds[:-1])
+    assert [got[i] for i, _ in docs] == pytest.approx(want.tolist(), rel=1e-4)
+
+
 def test_lm_empty_table(spark):
     assert lm.score_documents(spark.createDataFrame([], DOCS)).count() == 0
