@@ -187,7 +187,7 @@ def test_gradient_and_learning():
     assert np.allclose(lm._log_probs(m, ids[:bounds[1]], one), whole, atol=1e-5)
 
 
-def test_scores_use_all_counts(spark):
+def test_scores_use_all_counts_and_all_rows_train(spark, monkeypatch):
     r = np.random.default_rng(7)
     docs = [(i, " ".join(f"w{x}" for x in r.integers(0, 400, 60))) for i in range(80)] + [(90, ""), (91, None)]
     d = spark.createDataFrame(docs, DOCS).repartition(3)
@@ -204,6 +204,10 @@ def test_scores_use_all_counts(spark):
     assert (m.pairs.get(lm._pair_key(p1, ids)) > 0).all() and (m.triples.get(lm._triple_key(p2, p1, ids))[0] > 0).all()
     want = np.add.reduceat(lm._log_probs(m, ids, bounds), bounds[:-1])
     assert [got[i] for i, _ in docs] == pytest.approx(want.tolist(), rel=1e-4)
+    seen = []
+    monkeypatch.setattr(lm, "_averaged", lambda model, texts, path: seen.append(texts.count()) or model)
+    lm.fit(d, counts)
+    assert seen and all(n == len(docs) for n in seen)
 
 
 def test_lm_empty_table(spark):
