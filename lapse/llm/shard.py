@@ -151,12 +151,18 @@ def _goals(run: DataFrame, state: dict) -> DataFrame:
 
 def sharded_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with shard and slot (columns of these names are replaced).  Equal rows get one place each."""
-    a = kd_shards(docs, **options).groupBy(F.col("row_key").alias("_key")).agg(
-        F.collect_list(F.struct("shard", "slot")).alias("_places"))
+    a = stage(kd_shards(docs, **options).select("row_key", "shard", "slot"), "shard-places")
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]).alias("_row"),
-                    _row_key(docs).alias("_key")).dropDuplicates(["_key"])
-    placed = d.join(a, "_key").select("_row", F.explode("_places").alias("_at"))
-    return placed.select("_row.*", "_at.shard", "_at.slot")
+                    _row_key(docs).alias("row_key"))
+    on = ["row_key"]
+    if a.groupBy("row_key").count().where("count > 1").limit(1).count():
+        # equal rows are numbered on both sides, in any order
+        d = stage(d.withColumn("_m", shuffle_key(F.monotonically_increasing_id())), "shard-documents")
+        buckets = bucket_count(a.count())
+        d = running(d, ["row_key"], "_m", [], {"_n": F.lit(1)}, buckets)
+        a = running(a.withColumn("_m", shuffle_key("shard", "slot")), ["row_key"], "_m", ["shard", "slot"], {"_n": F.lit(1)}, buckets)
+        on = ["row_key", "_n"]
+    return d.drop("_m").join(a.drop("_m"), on).select("_row.*", "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, slots_per_file: int = 100_000, **options) -> None:

@@ -147,3 +147,16 @@ def test_pipeline_runs(spark):
 
     out = cp.run(spark, SF)
     assert out.count() > 0 and set(rows(out.select("shard").distinct())) == {(i,) for i in range(8)}
+
+
+def test_equal_rows_get_their_places_without_a_list(spark):
+    from lapse.llm import shard
+    docs = [(1, "same text", "en", "s", 9)] * 300 + [(i, f"text {i}", "en", "s", 7) for i in range(2, 200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = shard.sharded_documents(df, n_shards=4)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    rows = got.collect()
+    assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted((d[0], d[1]) for d in docs)
+    places = {(r["shard"], r["slot"]) for r in rows}
+    n = [sum(s == k for s, _ in places) for k in range(4)]
+    assert len(places) == len(docs) and places == {(k, i) for k in range(4) for i in range(n[k])}
