@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lapse.llm import covertree, decontam, html, langid, lm, ngramjoin, pii, substr
+from lapse.llm import covertree, decontam, html, langid, lm, merkle, ngramjoin, pii, substr, warc
 from lapse.llm import mix as mix_
 from lapse.llm import shard as shard_
 from lapse.llm.common import table
@@ -95,6 +95,89 @@ def op10_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op12_warc(spark, sf_dir):
+    """All pages written as WARC records into Zstandard archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS body, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages),
+q AS (
+  SELECT *, sha1(body) AS payload_digest, max(page_id) OVER (PARTITION BY body) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, url, NULL::VARCHAR AS problem,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM q
+"""
+
+
+def op13_merkle(spark, sf_dir):
+    """Leaf, subroot, root and proof of all documents, some of them tampered with."""
+    return merkle.proofs(table(spark, sf_dir, "documents"))
+
+
+def _crc32(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an ASCII string, bit by bit."""
+    return f"""xor(4294967295::BIGINT, list_reduce(
+      list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+def _fields(text: str) -> str:
+    named = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}))::VARCHAR || ':' || {c}, '-')" for c in named) + ")"
+
+
+# Levels from below: a level's nodes hash runs of 16 as long as it has several; tree 0 holds the
+# documents of a source, tree 1 the subroots.
+OP13_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, {_fields('text')} AS leaf,
+         CASE WHEN {_crc32('doc_id::VARCHAR')} % 5 = 0
+              THEN {_fields("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed
+  FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+             dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM d),
+t AS (
+  SELECT s, 0 AS lvl, i, leaf AS digest, count(*) OVER (PARTITION BY s) AS n FROM p
+  UNION ALL
+  SELECT s, lvl, i, digest, count(*) OVER (PARTITION BY s) FROM (
+    SELECT s, lvl + 1 AS lvl, i // 16 AS i, sha256(string_agg(digest, '' ORDER BY i)) AS digest
+    FROM t WHERE n > 1 GROUP BY s, lvl, i // 16)),
+u AS (
+  SELECT 0 AS lvl, s AS i, digest, count(*) OVER () AS n FROM t WHERE n = 1
+  UNION ALL
+  SELECT lvl, i, digest, count(*) OVER () FROM (
+    SELECT lvl + 1 AS lvl, i // 16 AS i, sha256(string_agg(digest, '' ORDER BY i)) AS digest
+    FROM u WHERE n > 1 GROUP BY lvl, i // 16)),
+height AS (SELECT s, max(lvl) AS h FROM t GROUP BY s),
+around AS (
+  SELECT p.s, p.i, a.lvl, string_agg(t.digest, '' ORDER BY t.i) FILTER (t.i < p.i // a.w) AS lo,
+         string_agg(t.digest, '' ORDER BY t.i) FILTER (t.i > p.i // a.w) AS hi
+  FROM p JOIN (SELECT x AS lvl, (16 ** x)::BIGINT AS w FROM range(12) r(x)) a ON TRUE
+         JOIN t ON t.s = p.s AND t.lvl = a.lvl AND t.n > 1 AND t.i // 16 = p.i // a.w // 16
+  GROUP BY p.s, p.i, a.lvl
+  UNION ALL
+  SELECT p.s, p.i, height.h + a.lvl, string_agg(u.digest, '' ORDER BY u.i) FILTER (u.i < p.s // a.w),
+         string_agg(u.digest, '' ORDER BY u.i) FILTER (u.i > p.s // a.w)
+  FROM p JOIN height USING (s) JOIN (SELECT x AS lvl, (16 ** x)::BIGINT AS w FROM range(12) r(x)) a ON TRUE
+         JOIN u ON u.lvl = a.lvl AND u.n > 1 AND u.i // 16 = p.s // a.w // 16
+  GROUP BY p.s, p.i, height.h, a.lvl),
+proof AS (SELECT s, i, string_agg(coalesce(lo, '') || coalesce(hi, ''), '' ORDER BY lvl) AS told FROM around GROUP BY s, i),
+fold AS (
+  SELECT s, i, 0 AS lvl, coalesce(changed, leaf) AS digest FROM p
+  UNION ALL
+  SELECT fold.s, fold.i, fold.lvl + 1, sha256(coalesce(lo, '') || digest || coalesce(hi, ''))
+  FROM fold JOIN around ON around.s = fold.s AND around.i = fold.i AND around.lvl = fold.lvl)
+SELECT p.doc_id, p.leaf, t.digest AS subroot, u.digest AS root, sha256(coalesce(proof.told, '')) AS proof_sha256,
+       f.digest AS folded_root, f.digest = u.digest AS verified
+FROM p JOIN t ON t.s = p.s AND t.n = 1 JOIN u ON u.n = 1
+     LEFT JOIN proof ON proof.s = p.s AND proof.i = p.i
+     JOIN (SELECT s, i, max_by(digest, lvl) AS digest FROM fold GROUP BY s, i) f ON f.s = p.s AND f.i = p.i
+"""
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_shard": op2_shard,
@@ -106,8 +189,12 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_pii": op9_pii,
     "op10_language_id": op10_language_id,
+    "op12_warc": op12_warc,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLE = {
     "op1_mix": OP1_SQL,
+    "op12_warc": OP12_SQL,
+    "op13_merkle": OP13_SQL,
 }
