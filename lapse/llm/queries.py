@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lapse.llm import covertree, decontam, html, langid, lm, merkle, ngramjoin, pii, substr, warc
+from lapse.llm import covertree, decontam, html, langid, lm, merkle, ngramjoin, pii, substr, trie, warc
 from lapse.llm import mix as mix_
 from lapse.llm import shard as shard_
 from lapse.llm.common import table
@@ -95,6 +95,41 @@ def op10_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark, sf_dir):
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return trie.trie(table(spark, sf_dir, "conversations")).drop("node", "parent")
+
+
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, md5(coalesce(role, '')) || md5(coalesce(text, '')) AS told,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS words,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS k
+  FROM conversations),
+cv AS (SELECT c, CRC32 % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+reb AS (
+  SELECT cv.c, 0 AS part, t.k, t.told, t.words FROM cv JOIN t ON t.c = cv.c - cv.c % 20 AND t.k <= cv.h
+  UNION ALL
+  SELECT t.c, 1, t.k, t.told, t.words FROM t JOIN cv ON t.c = cv.c AND t.k > cv.h),
+pre AS (
+  SELECT c, row_number() OVER w AS d, string_agg(told, '') OVER w AS path, words FROM reb WINDOW w AS (PARTITION BY c ORDER BY part, k)
+  UNION ALL SELECT c, 0, '', 0 FROM cv),
+node AS (
+  SELECT d, path, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(words) AS saved FROM pre GROUP BY d, path),
+fam AS (SELECT d - 1 AS d, left(path, len(path) - 64) AS path, count(*) AS kids FROM node WHERE d > 0 GROUP BY ALL),
+sub AS (
+  SELECT x.a AS d, left(n.path, (64 * x.a)::BIGINT) AS path, sum(n.saved) AS saved, sum((fam.kids IS NULL)::INT) AS leaves
+  FROM node n LEFT JOIN fam ON fam.path = n.path, LATERAL (SELECT unnest(range(n.d + 1)) AS a) x
+  GROUP BY ALL),
+fin AS (
+  SELECT path, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends FROM (SELECT c, max_by(path, d) AS path FROM pre GROUP BY c) GROUP BY path)
+SELECT n.conv_id, n.d::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(fam.kids, 0)::BIGINT AS n_children,
+       sub.leaves::BIGINT AS n_leaves, sub.saved::BIGINT AS saved_tokens, coalesce(fin.ends, sha256('')) AS ends_sha256
+FROM node n JOIN sub ON sub.path = n.path LEFT JOIN fam ON fam.path = n.path LEFT JOIN fin ON fin.path = n.path
+     LEFT JOIN node p ON n.d > 0 AND p.path = left(n.path, len(n.path) - 64)
+"""
+
+
 def op12_warc(spark, sf_dir):
     """All pages written as WARC records into Zstandard archives and read back."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
@@ -189,12 +224,14 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_pii": op9_pii,
     "op10_language_id": op10_language_id,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_warc": op12_warc,
     "op13_merkle": op13_merkle,
 }
 
 ORACLE = {
     "op1_mix": OP1_SQL,
+    "op11_conversation_trie": OP11_SQL.replace("CRC32", _crc32("c::VARCHAR")),
     "op12_warc": OP12_SQL,
     "op13_merkle": OP13_SQL,
 }
