@@ -21,6 +21,7 @@ from lapse.functions.exprs import (clip_secs, discount_ratio, ratio_plus_one, so
                                    trend)
 from lapse.operators.population import paid
 from lapse.params import Params
+from lapse.session import materialize
 
 # Snapshot columns of the latest transaction.
 LATEST_COLS = ("payment_method_id", "payment_plan_days", "actual_amount_paid",
@@ -231,7 +232,7 @@ def survival_population(txn: DataFrame, logs: DataFrame, members: DataFrame, p:
     uncapped guarded refs, duration / event columns attached."""
     from lapse.operators.population import ref_dates
     pt = paid(txn)
-    refs = ref_dates(pt, None, guard=True, require_paid=True)
+    refs = materialize(ref_dates(pt, None, guard=True, require_paid=True))      # three consumers
     feats = derive_features(feature_table(pt, logs, members, refs, p, features_paid_only=True), p)
     surv = refs.select("msno",
                        F.datediff("ref_date", "start_dt").alias("duration_days"),

@@ -1,32 +1,36 @@
-"""Distributed model training and batch scoring (J1-J14, M3) on MLlib.
-
-- churn classifier: GBTClassifier with a validation indicator (early stop)
-- P(pay): cross-fitted over seeded folds (train rows scored out of fold)
-- forward revenue: Tweedie GLM with log link on the raw zero-inflated target,
-  P(pay) as an extra input; a log1p-target GBT regressor as baseline
-- zero-inflated lognormal challenger re-aimed as two heads (logistic P(pay),
-  linear log-amount on payers) + residual sigma, ensembled over seeded subsamples
-- boosted Cox: a Newton boosting loop over DecisionTreeRegressor whose risk-set
-  sums live in a per-distinct-duration table (bounded by the calendar)
-
-Categorical indices carry nominal metadata so trees split them as categories.
+"""Model training and batch scoring.
+
+- churn, P(pay), forward revenue, its log baseline, the hurdle's amount model and the boosted Cox all come from one
+  boosting loop (``boosting.fit``) that stops on validation rows
+- P(pay) is cross-fitted over seeded folds (train rows scored out of fold)
+- forward revenue: Tweedie loss on the raw zero-inflated target, P(pay) as an extra input
+- zero-inflated lognormal challenger re-aimed as two linear heads (logistic P(pay), log-amount on payers) and a residual
+  sigma, ensembled over seeded weightings of all rows
+- successive halving over studies of candidate parameters
+
+Every fitted model is plain data with ``score(df, out)`` and ``to_json`` / ``from_json`` (see ``model_store``).
 """
 
 from __future__ import annotations
 
+import json
 import math
+import random
+from dataclasses import asdict, dataclass
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+import numpy as np
+import pandas as pd
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, GeneralizedLinearRegression,
-                                   LinearRegression)
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lapse.operators import boosting
+from lapse.operators.boosting import BoostedTrees
 from lapse.operators.metrics import hash_uniform
-from lapse.operators.ranking import join_small
+from lapse.operators.prep import kfold
 from lapse.session import materialize
 
 # The zero-inflated lognormal output constraints.
@@ -34,90 +38,65 @@ ZILN_MU_RANGE = (-1.0, 9.0)
 ZILN_LOGSIGMA_RANGE = (-3.0, 0.7)
 ZILN_CAP = 1e6
 
-
-def nominal(df: DataFrame, col: str, cardinality: int) -> DataFrame:
-    """Attach nominal ML metadata so tree learners treat an index as a category."""
-    meta = {"ml_attr": {"type": "nominal", "num_vals": int(cardinality), "name": col}}
-    return df.withColumn(col, F.col(col).cast("double").alias(col, metadata=meta))
+#: How the boosted models are fitted unless a caller says otherwise; the number of rounds is found on validation rows.
+FIT = {"rounds": 1000, "patience": 10, "rate": 0.2, "depth": 4}
 
 
 def assemble(df: DataFrame, cols, out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep").transform(df)
 
 
-def prob1(col: str = "probability"):
-    return vector_to_array(F.col(col))[1]
-
-
-def fit_churn(train: DataFrame, val: DataFrame, cols, label: str = "is_churn", max_iter: int = 30,
-              max_depth: int = 5, step: float = 0.1, seed: int = 42, max_bins: int = 64):
-    """Boosted churn classifier; early stopping on the validation rows."""
-    d = train.withColumn("_is_val", F.lit(False)).unionByName(val.withColumn("_is_val", F.lit(True)))
-    d = assemble(d, cols).withColumn("_y", F.col(label).cast("double"))
-    gbt = GBTClassifier(featuresCol="features", labelCol="_y", maxIter=max_iter, maxDepth=max_depth,
-                        stepSize=step, seed=seed, maxBins=max_bins, validationIndicatorCol="_is_val",
-                        validationTol=0.001)
-    return gbt.fit(d)
+def fit_churn(train: DataFrame, val: DataFrame, cols, categories: dict | None = None, label: str = "is_churn", **options) -> BoostedTrees:
+    """Boosted churn classifier (J1); stopped on the validation rows."""
+    return boosting.fit(train, val, cols, label, "logistic", categories=categories, **{**FIT, **options})
 
 
-def score_proba(model, df: DataFrame, cols, out: str) -> DataFrame:
-    s = model.transform(assemble(df, cols))
-    return s.withColumn(out, prob1()).drop("features", "rawPrediction", "probability", "prediction")
+def cross_fit(df: DataFrame, cols, label: str, categories: dict | None = None, k: int = 2, seed: int = 42, out: str = "p_pay",
+              **options) -> tuple[DataFrame, BoostedTrees]:
+    """Cross-fitted P(label) (J2): (``df`` with ``out``, the model of all training rows).
 
-
-def cross_fit(df: DataFrame, cols, label: str, k: int = 2, seed: int = 42, out: str = "p_pay",
-              max_iter: int = 20) -> DataFrame:
-    """Cross-fitted P(label) (J2): each train fold is scored by a model fitted on
-    the other folds; val/test rows by the model fitted on all of train."""
-    from lapse.operators.prep import kfold
-    d = kfold(df, "msno", k, seed).withColumn("_y", F.col(label).cast("double"))
-    tr = d.filter(F.col("split") == "train")
-    parts = []
+    A training fold is scored by a model fitted on the other folds, in as many rounds as the full model took, so its own labels
+    play no part; validation and test rows are scored by the full model, which the validation rows stopped.
+    """
+    d = kfold(df, "msno", k, seed)
+    tr, rest = d.filter(F.col("split") == "train"), d.filter(F.col("split") != "train")
+    full = fit_churn(tr, d.filter(F.col("split") == "val"), cols, categories, label, **options)
+    rounds = {**FIT, **options, "rounds": full.best_round}
+    parts = [full.score(rest, out)]
     for i in range(k):
-        m = GBTClassifier(featuresCol="features", labelCol="_y", maxIter=max_iter, maxDepth=4, seed=seed) \
-            .fit(assemble(tr.filter(F.col("fold") != i), cols))
-        parts.append(score_proba(m, tr.filter(F.col("fold") == i), cols, out))
-    full = GBTClassifier(featuresCol="features", labelCol="_y", maxIter=max_iter, maxDepth=4, seed=seed) \
-        .fit(assemble(tr, cols))
-    parts.append(score_proba(full, d.filter(F.col("split") != "train"), cols, out))
-    return reduce(DataFrame.unionByName, parts).drop("_y", "fold")
-
-
-def fit_tweedie(train: DataFrame, cols, label: str = "fwd_rev", power: float = 1.5):
-    """Tweedie GLM, log link, raw (zero-inflated) target.
+        m = boosting.fit(tr.filter(F.col("fold") != i), None, cols, label, "logistic", categories=categories, **rounds)
+        parts.append(m.score(tr.filter(F.col("fold") == i), out))
+    return reduce(DataFrame.unionByName, parts).drop("fold"), full
 
-    The target is divided by its train mean before fitting (with a log link
-    that only shifts the intercept) and predictions are multiplied back, which
-    keeps the IRLS weights mu^(2-p) in a safe numeric range."""
-    scale = train.agg(F.avg(F.col(label).cast("double"))).first()[0] or 1.0
-    d = assemble(train, cols).withColumn("_y", F.col(label).cast("double") / scale)
-    glm = GeneralizedLinearRegression(featuresCol="features", labelCol="_y", family="tweedie",
-                                      variancePower=power, linkPower=0.0, maxIter=50, regParam=1e-3)
-    return ScaledModel(glm.fit(d), scale)
 
+def fit_revenue(train: DataFrame, val: DataFrame, cols, categories: dict | None = None, label: str = "fwd_rev", power: float = 1.5,
+                **options) -> BoostedTrees:
+    """Boosted Tweedie regressor on the raw, zero-inflated target (J3); stopped by the deviance of the validation rows."""
+    return boosting.fit(train, val, cols, label, "tweedie", categories=categories, power=power, **{**FIT, **options})
 
-class ScaledModel:
-    """A fitted model whose predictions are multiplied by a constant."""
 
-    def __init__(self, model, scale: float):
-        self.model, self.scale = model, float(scale)
+def fit_amount(train: DataFrame, val: DataFrame, cols, categories: dict | None = None, label: str = "fwd_rev", power: float = 1.9,
+               **options) -> BoostedTrees:
+    """E[amount | pay], the hurdle's second stage (J5): fitted and stopped on payers only."""
+    return boosting.fit(train.filter(F.col(label) > 0), val.filter(F.col(label) > 0), cols, label, "tweedie", categories=categories,
+                        power=power, **{**FIT, **options})
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(df).withColumn("prediction", F.col("prediction") * self.scale)
 
+def fit_log_rmse(train: DataFrame, val: DataFrame, cols, categories: dict | None = None, label: str = "fwd_rev", **options) -> BoostedTrees:
+    """Squared error on log1p(target) (J4); ``score_log_rmse`` goes back with expm1."""
+    def logged(df):
+        return df.withColumn("_ly", F.log1p(F.col(label).cast("double")))
+    return boosting.fit(logged(train), logged(val), cols, "_ly", "squared", categories=categories, **{**FIT, **options})
 
-def score(model, df: DataFrame, cols, out: str) -> DataFrame:
-    return model.transform(assemble(df, cols)).withColumnRenamed("prediction", out).drop("features")
 
+def score_log_rmse(model: BoostedTrees, df: DataFrame, out: str) -> DataFrame:
+    return model.score(df, "_lp").withColumn(out, F.expm1("_lp")).drop("_lp")
 
-def fit_log_rmse(train: DataFrame, cols, label: str = "fwd_rev", seed: int = 42):
-    """Plain squared-error GBT on log1p(target); predictions go back with expm1."""
-    d = assemble(train, cols).withColumn("_ly", F.log1p(F.col(label).cast("double")))
-    return GBTRegressor(featuresCol="features", labelCol="_ly", maxIter=20, maxDepth=4, seed=seed).fit(d)
 
-
-def score_log_rmse(model, df: DataFrame, cols, out: str) -> DataFrame:
-    return score(model, df, cols, "_lp").withColumn(out, F.expm1("_lp")).drop("_lp")
+def fit_cox(train: DataFrame, val: DataFrame, cols, categories: dict | None = None, duration: str = "duration_days",
+            event: str = "event_churned", **options) -> BoostedTrees:
+    """Boosted Cox partial likelihood (J7); stopped by that of the validation rows.  The score is the log relative risk."""
+    return boosting.fit(train, val, cols, event, "cox", categories=categories, duration=duration, **{**FIT, **options})
 
 
 def gate_sweep(df: DataFrame, p_pay: str, amount: str, true: str, thresholds) -> DataFrame:
@@ -154,39 +133,49 @@ def ziln_loss(y, logit, mu, log_sigma):
     return bce + F.coalesce(pos * nll, F.lit(0.0))
 
 
-def fit_ziln(train: DataFrame, cols, label: str = "fwd_rev", seeds=(1, 2, 3, 4, 5)):
+@dataclass
+class ZilnEnsemble:
+    """Heads of the zero-inflated lognormal: per seed the coefficients and intercepts of both, and log sigma."""
+    cols: list[str]
+    heads: list[dict]
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self))
+
+    @classmethod
+    def from_json(cls, text: str) -> "ZilnEnsemble":
+        return cls(**json.loads(text))
+
+    def score(self, df: DataFrame, out: str) -> DataFrame:
+        """Mean over the heads of the expected value."""
+        pay, amount = (np.array([[*h[k], h[f"{k}_0"]] for h in self.heads]).T for k in ("pay", "amount"))
+        var = np.exp(np.clip([h["log_sigma"] for h in self.heads], *ZILN_LOGSIGMA_RANGE)) ** 2
+
+        def predict(*cols: pd.Series) -> pd.Series:
+            x = np.column_stack([*[c.to_numpy(float, na_value=0.0) for c in cols], np.ones(len(cols[0]))])
+            p = 1.0 / (1.0 + np.exp(-np.clip(x @ pay, -500, 500)))
+            e = np.minimum(p * np.exp(np.clip(x @ amount, *ZILN_MU_RANGE) + var / 2), ZILN_CAP)
+            return pd.Series(e.mean(axis=1))
+
+        return df.withColumn(out, F.pandas_udf(predict, "double")(*[F.col(c).cast("double") for c in self.cols]))
+
+
+def fit_ziln(train: DataFrame, cols, label: str = "fwd_rev", seeds=(1, 2, 3, 4, 5), ridge: float = 1e-3, max_iter: int = 50) -> ZilnEnsemble:
     """Two-head zero-inflated lognormal, one fit per seed on all training rows (J6, J8):
     logistic head on y > 0, linear head on log(y) over payers, sigma from the
     payers' residuals.  A seed weighs the rows by exponential weights from a hash of (seed, key)
-    (a Bayesian bootstrap), so the ensemble varies and every row counts in each fit.
-    Returns a list of (pay_model, amount_model, log_sigma)."""
+    (a Bayesian bootstrap), so the ensemble varies and every row counts in each fit."""
     d = assemble(train, cols).withColumn("_pos", (F.col(label) > 0).cast("double"))
     heads = []
     for s in seeds:
         sub = d.withColumn("_w", -F.log((hash_uniform("msno", f"ziln:{s}") + 1e-9) / (1 + 1e-9)) + 1e-6)
-        pay = LogisticRegression(featuresCol="features", labelCol="_pos", weightCol="_w", maxIter=50, regParam=1e-3).fit(sub)
+        pay = LogisticRegression(featuresCol="features", labelCol="_pos", weightCol="_w", maxIter=max_iter, regParam=ridge).fit(sub)
         payers = sub.filter(F.col(label) > 0).withColumn("_ly", F.log(F.col(label).cast("double")))
-        amt = LinearRegression(featuresCol="features", labelCol="_ly", weightCol="_w", maxIter=50, regParam=1e-3).fit(payers)
+        amt = LinearRegression(featuresCol="features", labelCol="_ly", weightCol="_w", maxIter=max_iter, regParam=ridge).fit(payers)
         resid = amt.transform(payers).agg(F.stddev_pop(F.col("_ly") - F.col("prediction"))).first()[0] or 1.0
-        heads.append((pay, amt, math.log(max(resid, 1e-6))))
-    return heads
-
-
-def score_ziln(heads, df: DataFrame, cols, out: str = "e_ziln") -> DataFrame:
-    """Ensemble mean of the seeded heads' expected values."""
-    # the heads are applied one after another to the same rows (narrow
-    # transformations, no join): each writes its own output columns
-    d = assemble(df, cols)
-    for i, (pay, amt, ls) in enumerate(heads):
-        pay = pay.copy().setRawPredictionCol(f"_raw{i}").setProbabilityCol(f"_prob{i}") \
-            .setPredictionCol(f"_cls{i}")
-        d = pay.transform(d).withColumn(f"_logit{i}", vector_to_array(f"_raw{i}")[1]) \
-            .drop(f"_raw{i}", f"_prob{i}", f"_cls{i}")
-        d = amt.copy().setPredictionCol(f"_mu{i}").transform(d)
-        d = d.withColumn(f"_p{i}", ziln_predict(F.col(f"_logit{i}"), F.col(f"_mu{i}"), F.lit(ls))) \
-            .drop(f"_logit{i}", f"_mu{i}")
-    mean = sum(F.col(f"_p{i}") for i in range(len(heads))) / len(heads)
-    return d.withColumn(out, mean).drop("features", *[f"_p{i}" for i in range(len(heads))])
+        heads.append({"pay": pay.coefficients.toArray().tolist(), "pay_0": float(pay.intercept), "amount": amt.coefficients.toArray().tolist(),
+                      "amount_0": float(amt.intercept), "log_sigma": math.log(max(resid, 1e-6))})
+    return ZilnEnsemble(list(cols), heads)
 
 
 def choose_model(metrics: DataFrame, name: str = "model", metric: str = "rmse", priority: str = "priority"):
@@ -195,109 +184,49 @@ def choose_model(metrics: DataFrame, name: str = "model", metric: str = "rmse",
     return metrics.agg(F.min_by(F.col(name), F.struct(F.col(metric), F.col(priority))).alias("chosen"))
 
 
-def feature_importance(model, cols) -> DataFrame:
-    """Sorted feature importances (J12): a list of #features pairs, built as a DataFrame."""
-    from pyspark.sql import SparkSession
-    imp = model.featureImportances.toArray().tolist()
-    spark = SparkSession.getActiveSession()
-    pairs = sorted(zip(cols, [float(v) for v in imp]), key=lambda x: (-x[1], x[0]))
-    return spark.createDataFrame(pairs, "feature string, importance double").orderBy(F.desc("importance"), "feature")
-
-
-def search(train: DataFrame, val: DataFrame, cols, grid, label: str = "is_churn", seed: int = 42,
-           metric_fn=None) -> DataFrame:
-    """Seeded random search on a validation metric (J11): candidate models are
-    trained in parallel with ``fitMultiple`` and scored on validation rows.
-    Returns the trial table (trial, params..., metric)."""
-    from lapse.operators.metrics import auc_roc
-    d = assemble(train, cols).withColumn("_y", F.col(label).cast("double"))
-    est = GBTClassifier(featuresCol="features", labelCol="_y", seed=seed)
-    maps = [{getattr(est, k): v for k, v in g.items()} for g in grid]
-    rows = []
-    for idx, model in est.fitMultiple(d, maps):
-        sv = score_proba(model, val, cols, "_p")
-        auc = (metric_fn or (lambda x: auc_roc(x, "_p", label).first()["auc_roc"]))(sv)
-        rows.append((idx, *[float(grid[idx][k]) for k in sorted(grid[idx])], float(auc)))
-    from pyspark.sql import SparkSession
-    names = ", ".join(f"{k} double" for k in sorted(grid[0]))
-    return SparkSession.getActiveSession().createDataFrame(rows, f"trial int, {names}, metric double")
-
-
-def random_grid(n: int, seed: int = 42):
-    """A seeded random parameter grid (the search budget is n trials)."""
-    import random
+def feature_importance(models: dict[str, BoostedTrees], spark: SparkSession) -> DataFrame:
+    """Share of the gain per model and input, largest first (J12): one row per input, built as a DataFrame."""
+    rows = [(m, c, float(g)) for m, model in models.items() for c, g in model.importance().items()]
+    return spark.createDataFrame(rows, "model string, feature string, importance double").orderBy("model", F.desc("importance"), "feature")
+
+
+# ---- parameter search (J11) ----
+
+def random_params(n: int, seed: int, **ranges) -> list[dict]:
+    """``n`` seeded random parameter sets; a range is a list of choices or a (low, high) pair."""
     r = random.Random(seed)
-    return [{"maxDepth": r.choice([3, 4, 5, 6]), "stepSize": round(r.uniform(0.05, 0.3), 3),
-             "maxIter": r.choice([10, 20, 30])} for _ in range(n)]
-
-
-# --------------------------------------------------------------------------------------
-# boosted Cox partial likelihood
-# --------------------------------------------------------------------------------------
-
-def _breslow(d: DataFrame, duration: str, event: str) -> DataFrame:
-    """Per distinct duration: events and sum of exp(F) -> cumulative hazard
-    Lambda(t) = sum over s <= t of D(s) / R(s), R(s) = sum of exp(F) with T >= s.
-    Durations are whole days, so the table and the ordered windows over it are bounded by the calendar."""
-    t = d.groupBy(F.col(duration).cast("bigint").alias("_t")).agg(F.sum(F.col(event)).alias("_d"),
-                                                    F.sum(F.exp("_F")).alias("_e"))
-    w_risk = Window.orderBy(F.col("_t").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    w_cum = Window.orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("_R", F.sum("_e").over(w_risk))
-    return t.withColumn("_Lambda", F.sum(F.col("_d") / F.col("_R")).over(w_cum)).select(
-        F.col("_t").alias(duration), "_Lambda")
-
-
-def fit_cox_boost(train: DataFrame, cols, duration: str = "duration_days", event: str = "event_churned",
-                  rounds: int = 10, lr: float = 0.3, depth: int = 3, checkpoint_every: int = 3,
-                  max_step: float = 1.0, min_hessian: float = 1e-6):
-    """Newton boosting of the Cox partial likelihood (Breslow ties).
-
-    ``max_step`` bounds a leaf's Newton step and ``min_hessian`` a row's weight from below; both are
-    parameters of the fit: early risk-set hazards are tiny, unbounded steps overflow exp(F).
-
-    Each round: Lambda(t) from the duration table, gradient g = event - e^F * Lambda(T),
-    hessian h = e^F * Lambda(T); a regression tree fitted on g / h (weights h)
-    gives leaves, whose Newton values sum(g) / sum(h) come from one groupBy.
-    Returns the list of (tree, leaf values) and the training frame with F."""
-    d = assemble(train, cols).withColumn("_F", F.lit(0.0)).withColumn(event, F.col(event).cast("double"))
-    trees = []
-    for r in range(rounds):
-        lam = _breslow(d, duration, event)
-        g = join_small(d.withColumn(duration, F.col(duration).cast("bigint")), lam, [duration])
-        g = (g.withColumn("_h", F.greatest(F.exp("_F") * F.col("_Lambda"), F.lit(min_hessian)))
-             .withColumn("_g", F.col(event) - F.exp("_F") * F.col("_Lambda"))
-             .withColumn("_z", F.col("_g") / F.col("_h")))
-        tree = DecisionTreeRegressor(featuresCol="features", labelCol="_z", weightCol="_h", maxDepth=depth,
-                                     leafCol="_leaf", seed=r).fit(g)
-        # Newton value per leaf, clamped (max delta step): early risk-set hazards
-        # are tiny, and an unclamped step would overflow exp(F)
-        leaves = (tree.transform(g).groupBy("_leaf")
-                  .agg(F.least(F.greatest(F.sum("_g") / F.sum("_h"), F.lit(-max_step)), F.lit(max_step))
-                       .alias("_step")))
-        leaves = materialize(leaves)
-        trees.append((tree, leaves))
-        d = (join_small(tree.transform(d).drop("prediction"), leaves, ["_leaf"], "left", rows=1 << depth)
-             .withColumn("_F", F.col("_F") + lr * F.coalesce(F.col("_step"), F.lit(0.0)))
-             .drop("_leaf", "_step"))
-        if (r + 1) % checkpoint_every == 0:
-            d = materialize(d)
-    return trees, lr
-
-
-def score_cox(model, df: DataFrame, cols, out: str = "risk") -> DataFrame:
-    trees, lr = model
-    d = assemble(df, cols).withColumn(out, F.lit(0.0))
-    for tree, leaves in trees:
-        d = (join_small(tree.transform(d).drop("prediction"), leaves, ["_leaf"], "left", rows=tree.numNodes)
-             .withColumn(out, F.col(out) + lr * F.coalesce(F.col("_step"), F.lit(0.0))).drop("_leaf", "_step"))
-    return d.drop("features")
-
-
-
-def score_with_choice(choice: str, scorers: dict, df: DataFrame, out: str = "e_fwd_rev") -> DataFrame:
-    """Score with whichever model won the champion / challenger decision (J10);
-    ``scorers`` maps a model name to ``f(df, out) -> DataFrame``."""
-    if choice not in scorers:
-        raise KeyError(f"no scorer for chosen model {choice!r}")
-    return scorers[choice](df, out)
+    return [{k: r.choice(v) if isinstance(v, list) else round(r.uniform(*v), 4) for k, v in ranges.items()} for _ in range(n)]
+
+
+def successive_halving(studies: dict, spark: SparkSession, first: int = 4, grow: int = 2) -> tuple[DataFrame, dict]:
+    """Search every study by successive halving: all candidates get ``first`` rounds, the better half (by validation loss) is
+    continued for ``grow`` times as many, and so on; the last one runs until its validation loss stops falling.
+
+    ``studies`` maps a name to (candidates, fit): ``fit(params, rounds, begin)`` returns a model whose history holds the losses;
+    ``begin`` is the model to go on from and ``rounds`` None means until it stops.  Returns the trial table
+    (study, trial, candidate, rung, params, rounds, metric, kept) and the best model per study.
+    """
+    rows, best = [], {}
+    for name, (candidates, fit) in studies.items():
+        alive, rung, rounds, trial = {i: None for i in range(len(candidates))}, 0, first, 0
+        while alive:
+            last = len(alive) == 1
+            models = {i: fit(candidates[i], None if last else rounds, m) for i, m in alive.items()}
+            loss = {i: min(h["val"] for h in m.history) for i, m in models.items()}
+            keep = sorted(loss, key=lambda i: (loss[i], i))[:max(1, len(alive) // 2)]
+            for i, m in models.items():
+                rows.append((name, trial, i, rung, json.dumps(candidates[i], sort_keys=True), m.best_round, float(loss[i]), i in keep))
+                trial += 1
+            best[name] = models[keep[0]]
+            alive = {} if last else {i: models[i] for i in keep}
+            rung, rounds = rung + 1, rounds * grow
+    schema = "study string, trial int, candidate int, rung int, params string, rounds int, metric double, kept boolean"
+    return materialize(spark.createDataFrame(rows, schema)), best
+
+
+def boosted_study(train: DataFrame, val: DataFrame, cols, label: str, loss: str, categories: dict, **fixed):
+    """``fit`` of a study (see ``successive_halving``) on the boosting loop."""
+    def fit(params: dict, rounds: int | None, begin: BoostedTrees | None) -> BoostedTrees:
+        stop = {"rounds": FIT["rounds"], "patience": FIT["patience"]} if rounds is None else {"rounds": rounds, "patience": rounds + 1}
+        return boosting.fit(train, val, cols, label, loss, categories=categories, begin=begin, **{**FIT, **fixed, **params, **stop})
+    return fit

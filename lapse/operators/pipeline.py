@@ -40,28 +40,44 @@ def with_split(model_table: DataFrame, p: Params) -> DataFrame:
     return prep.stratified_split(m, "msno", "is_churn", p.split_fracs, p.seed)
 
 
-def prepared_dataset(split_df: DataFrame) -> dict:
+def fit_prepared(train: DataFrame) -> dict:
+    """Medians, sentinels, encoders and scaler moments of the training rows."""
+    fitted = {"medians": materialize(prep.fit_medians(train, MEDIAN_COLS)),
+              "sentinels": materialize(prep.fit_sentinels(train, SENTINEL_COLS, 30))}
+    filled = _filled(train, fitted)
+    return {**fitted, "encoders": prep.fit_encoders(filled, CATEGORICAL_COLS),
+            "scaler": materialize(prep.fit_scaler(filled, SCALE_COLS))}
+
+
+def _filled(rows: DataFrame, fitted: dict) -> DataFrame:
+    d = prep.apply_fill(rows, fitted["medians"], "median", MEDIAN_COLS)
+    d = prep.apply_fill(d, fitted["sentinels"], "sentinel", SENTINEL_COLS)
+    return d.withColumn("txn_frequency", txn_frequency("num_transactions", "registration_tenure_days"))
+
+
+def apply_prepared(rows: DataFrame, fitted: dict) -> dict:
+    """``rows`` imputed, scaled and encoded with ``fitted`` statistics: {"imputed", "scaled", "dataset"}."""
+    imputed = materialize(_filled(rows, fitted))
+    scaled = prep.apply_scaler(imputed, fitted["scaler"], SCALE_COLS)
+    dataset = prep.apply_encoders(scaled, fitted["encoders"], CATEGORICAL_COLS).select(*OUTPUT_COLS, "split")
+    return {"imputed": imputed, "scaled": scaled, "dataset": dataset}
+
+
+def prepared_dataset(split_df: DataFrame, p: Params | None = None) -> dict:
     """Impute, encode and scale with statistics fitted on the train split only."""
-    train = split_df.filter(F.col("split") == "train")
-    medians = materialize(prep.fit_medians(train, MEDIAN_COLS))
-    sentinels = materialize(prep.fit_sentinels(train, SENTINEL_COLS, 30))
-    imputed = prep.apply_fill(split_df, medians, "median", MEDIAN_COLS)
-    imputed = prep.apply_fill(imputed, sentinels, "sentinel", SENTINEL_COLS)
-    imputed = materialize(imputed.withColumn("txn_frequency",
-                                             txn_frequency("num_transactions", "registration_tenure_days")))
-    tr = imputed.filter(F.col("split") == "train")
-    mappings = prep.fit_encoders(tr, CATEGORICAL_COLS)
-    scaler = materialize(prep.fit_scaler(tr, SCALE_COLS))
-    scaled = prep.apply_scaler(imputed, scaler, SCALE_COLS)
-    dataset = prep.apply_encoders(scaled, mappings, CATEGORICAL_COLS).select(*OUTPUT_COLS, "split")
-    manifest = _manifest(mappings, medians, sentinels, scaler)
-    return {"imputed": imputed, "scaled": scaled, "dataset": dataset, "medians": medians, "sentinels": sentinels,
-            "encoders": mappings, "scaler": scaler, "manifest": manifest}
-
-
-def _manifest(mappings, medians, sentinels, scaler) -> DataFrame:
+    fitted = fit_prepared(split_df.filter(F.col("split") == "train"))
+    return {**fitted, **apply_prepared(split_df, fitted),
+            "manifest": _manifest(fitted["encoders"], fitted["medians"], fitted["sentinels"], fitted["scaler"], p)}
+
+
+# The wording of the methodology record.
+METHODOLOGY = ("per-user reference date: last plausible paid expiry before the cut-off; churn: no renewal within the grace days; "
+               "statistics fitted on the train split only")
+
+
+def _manifest(mappings, medians, sentinels, scaler, p: Params | None = None) -> DataFrame:
     """One-row fitted-parameter record (I7): cardinalities / unknown index per
-    categorical, medians, sentinels, scaler moments and column lists."""
+    categorical, medians, sentinels, scaler moments, column lists, targets, methodology, cut-off and windows."""
     cats = None
     for c, m in mappings.items():
         k = m.agg(F.count(F.lit(1)).alias("k"))
@@ -78,7 +94,12 @@ def _manifest(mappings, medians, sentinels, scaler) -> DataFrame:
                             sen_json.select("sentinels").scalar().alias("sentinels"),
                             sc_json.select("scaler").scalar().alias("scaler"))
             .withColumn("numerical_scaled", F.lit(",".join(f"{c}_scaled" for c in SCALE_COLS)))
-            .withColumn("numerical_unscaled", F.lit(",".join(UNSCALED_COLS))))
+            .withColumn("numerical_unscaled", F.lit(",".join(UNSCALED_COLS)))
+            .withColumn("targets", F.lit(",".join(TARGET_COLS)))
+            .withColumn("methodology", F.lit(METHODOLOGY))
+            .withColumns({k: F.lit(getattr(p, k, None)).cast(t) for k, t in (
+                ("cutoff", "date"), ("grace_days", "bigint"), ("fwd_window_days", "bigint"), ("engagement_days", "bigint"),
+                ("recent_days", "bigint"), ("seed", "bigint"))}))
 
 
 def columns_from_manifest(manifest_row) -> list[str]:

@@ -33,7 +33,7 @@ def _split(ctx):
 
 def _prepared(ctx):
     if not hasattr(ctx, "_prep"):
-        ctx._prep = prepared_dataset(_split(ctx))
+        ctx._prep = prepared_dataset(_split(ctx), ctx.p)
     return ctx._prep
 
 
