@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -5,41 +6,39 @@ import pyarrow as pa
 import pytest
 import regex
 from helpers import SF
+from pyspark.sql import functions as F
 
 from lapse.llm import decontam, langid, queries
 
 TOKEN = regex.compile(r"[\p{L}\p{N}]+")
 
 
-def brute(docs, items, verify=13, share=0.8, least=5):
-    """Every alignment of every document and item that a mask hits, held against its best window."""
+def brute(docs, items, verify=13, share=0.8):
+    """Every window of every document against every window of every item, without masks."""
     out = {}
     for d, t in docs:
         w = TOKEN.findall((t or "").lower())
         for i, u in items:
             v = TOKEN.findall((u or "").lower())
-            if len(v) < least:
-                continue
-            for p in range(len(w)):
-                for q in range(len(v)):
-                    n = decontam.SPAN if len(v) >= decontam.SPAN else len(v)
-                    if len(v) < decontam.SPAN and q:
-                        continue
-                    if p + n > len(w) or q + n > len(v):
-                        continue
-                    same = [a == b for a, b in zip(w[p:p + n], v[q:q + n])]
-                    hit = all(same) if n < decontam.SPAN else any(all(same[k] for k in m) for m in decontam.MASKS)
-                    if not hit:
-                        continue
-                    size = max(n, min(verify, len(v)))
-                    for s in range(max(0, p - size + n, p - q), p + 1):
-                        if s + size > len(w) or q - p + s + size > len(v) or s + size < p + n:
-                            continue
-                        same = sum(w[s + k] == v[q - p + s + k] for k in range(size))
-                        if same >= share * size:
-                            best = (same, size, -s, -(q - p + s))
-                            out[d, i] = max(out.get((d, i), best), best)
-    return [(d, i, n, c, -s, -q) for (d, i), (n, c, s, q) in out.items()]
+            size = min(verify, len(v))
+            for p in range(len(w) - size + 1 if size else 0):
+                for q in range(len(v) - size + 1):
+                    same = sum(a == b for a, b in zip(w[p:p + size], v[q:q + size]))
+                    if same >= share * size:
+                        best = (same, size, -p, -q)
+                        out[d, i] = max(out.get((d, i), best), best)
+    return [(d, i, n, c, -p, -q) for (d, i), (n, c, p, q) in out.items()]
+
+
+def test_masks_find_every_allowed_pattern():
+    """All patterns of substitutions of items of 1 to 20 tokens; beyond 13 in any window of 13."""
+    for n in range(1, 21):
+        size = min(n, 13)
+        allowed = size - -(-8 * size // 10)
+        assert decontam._allowed(size, 0.8) == allowed
+        masks, span = (decontam.MASKS, decontam.SPAN) if n >= 13 else (decontam.whole_masks(n, allowed), n)
+        for bad in itertools.combinations(range(size), allowed):
+            assert any(all(at + k not in bad for k in m) for m in masks for at in range(size - span + 1))
 
 
 def test_decontamination_planted(spark):
@@ -60,6 +59,7 @@ def test_decontamination_planted(spark):
             docs.append((400 + 10 * d + n, "a b c " + "  ".join(v) + " d e"))
         docs.append((700 + d, " ".join(w[len(w) // 2:])))
         docs.append((800 + d, " ".join(w[:len(w) // 2] + ["new"] + w[len(w) // 2:])))
+    docs.append((900, " ".join(items[0][1].split() * 20 + [f"u{k}" for k in range(3000)])))                   # a long text
     docs += [(1, None), (2, ""), (3, "..."), (None, "q1 q2 q3 q4 q5 q6 q7 q8 q9 r")]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     bm = spark.createDataFrame(items, "item_id long, text string")
@@ -132,3 +132,13 @@ def test_language_prediction_does_not_depend_on_the_slice():
     all_ = m.predict(pa.array(texts))
     assert [x[0][0] for x in one] == all_[0]
     assert [x[1][0] for x in one] == pytest.approx(list(all_[1]), rel=1e-12)
+
+
+def test_documents_without_passages_keep_all_columns(spark):
+    t = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    d = spark.createDataFrame([(1, "x " + t, 1), (2, "clean", 2), (2, "clean", 2), (None, None, 3), (None, t, 4)], "doc_id long, text string, n long")
+    wide = d.select("*", *[F.lit(7).alias(c) for c in ("_id", "_t", "_id0", "_t0", "_row", "seed", "w", "at")])
+    bm = spark.createDataFrame([(5, t)], "item_id long, text string")
+    got = decontam.clean_documents(wide, bm)
+    assert got.columns == wide.columns and sorted(r["n"] for r in got.collect()) == [2, 2, 3]
+    assert decontam.clean_documents(d.limit(0), bm).count() == 0 and decontam.clean_documents(d, bm.limit(0)).count() == 5
