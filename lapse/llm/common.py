@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,12 +30,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of the tables staged inside each open ``discarding``.
+_inside: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def discarding(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables staged inside are deleted when it ends; the function it gives stages one that stays.
+    What is returned from inside must build on such tables (or the inputs) alone."""
+    _inside.append([])
+    kept = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = stage(df, name)
+        kept.append(_inside[-1].pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        for path in _inside.pop():
+            _delete(spark, path)
+        if _inside:
+            _inside[-1].extend(kept)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     The table has one lineage-free copy that every executor can read, so a lost
     executor costs one reread.  The shuffle files of the write go when it has
-    ended, the folder when the application ends.
+    ended, the folder when the application ends (see also ``discarding``).
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}")
@@ -45,9 +78,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    if _inside:
+        _inside[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` as one struct ``_row`` per row and the columns that name a row.  A plain scan of Parquet files names its rows itself,
+    by file and row number, so nothing is copied; anything else is written once with a number for each row."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    names = ["_file", "_nth"]
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+        try:
+            return docs.select(row, F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_nth")), names
+        except AnalysisException:            # a format without row numbers
+            pass
+    return stage(docs.select(row, F.lit(0).cast("long").alias("_file"), F.monotonically_increasing_id().alias("_nth")), "numbered"), names
+
+
 def bounded_join(big: DataFrame, small: DataFrame, on: list[str], rows: int, how: str = "inner",
                  salts: int = 32) -> DataFrame:
     """Join ``big`` to ``small`` on ``on``; ``rows`` is the counted size of ``small``.

@@ -13,7 +13,7 @@ share, what follows in either set bounds their overlap; that bound is part of th
    class); the classes that link with a centre form groups with it (connected
    components), so a group of any number of copies costs one comparison a member.
 2. Token-group matrix.  What is left are classes of different groups that
-   share an opener.  Groups are cut into blocks of bounded size; the matrix
+   share an opener.  Those with the same most shared opener form blocks of similar documents, of bounded size; the matrix
    holds (opener, block), a query is a class of the smaller group.  For each block
    that a query meets in the matrix, the block's token union bounds the overlap: a member can
    only link if the union holds at least percent % of the query's tokens.  Only blocks that pass are
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lapse.llm import wordhash as wh
-from lapse.llm.common import BROADCAST_ROWS, bounded_join, components, stage
+from lapse.llm.common import BROADCAST_ROWS, bounded_join, components, discarding, stage
 
 COUNT_BITS = 20          # hashed counters of the token order
 BLOCK_SHINGLES = 1 << 14  # shingles of a block of the matrix, about
@@ -190,6 +190,11 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
 
 def _named(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """One row per document, staged: doc_id, n_shingles, cls (key of its set, null if empty), component (of classes)."""
+    with discarding(docs.sparkSession) as keep:
+        return keep(_components(docs, k, percent), "join-named")
+
+
+def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     scan = stage(_scan(docs, k), "join-scan")
     levels = _levels(scan)
     each = scan.where("bucket is null").select("doc_id", F.col("n").alias("n_shingles"), "cls")
@@ -220,46 +225,54 @@ def _named(docs: DataFrame, k: int, percent: int) -> DataFrame:
     every = links.unionByName(more)
     final = components(every.toDF("a", "b"), "join-final")
 
-    named = each.join(final.select(F.col("id").alias("cls"), "component"), "cls", "left").withColumn(
+    return each.join(final.select(F.col("id").alias("cls"), "component"), "cls", "left").withColumn(
         "component", F.coalesce("component", "cls"))
-    return stage(named, "join-named")
 
 
 def _matrix_links(grouped: DataFrame, comp: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int,
                   levels) -> DataFrame:
-    """Links between classes of different groups that share an opener, by the token-group matrix."""
+    """Links between classes of different groups that share an opener, by the token-group matrix.
+
+    Classes whose most shared opener is the same are alike and form blocks of bounded size, linked or not.  Of two classes
+    the one of the smaller group asks.  An opener costs its classes times its blocks, not its classes squared.
+    """
     member = classes.select("cls", "n").join(comp.select(F.col("id").alias("cls"), "component"), "cls", "left").select(
         "cls", "n", F.coalesce("component", "cls").alias("grp"))
     size = member.groupBy("grp").agg(F.sum("n").alias("shingles"))
-    block = F.xxhash64("grp", F.pmod(F.xxhash64("cls"), F.ceil(F.col("shingles") / BLOCK_SHINGLES)))
-    member = stage(member.join(size, "grp").select("cls", "n", "grp", "shingles", block.alias("block")), "join-members")
-    e = grouped.select("token", "cls", "rest").join(member, "cls")
-    matrix = e.groupBy("token", "block").agg(F.first("grp").alias("grp"), F.first("shingles").alias("shingles"),
-                                             F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("most_rest"))
-    # an opener's largest group is asked, never asks
-    top = matrix.groupBy("token").agg(F.max(F.struct("shingles", "grp")).alias("top"))
-    query = e.join(top, "token").where("grp <> top.grp").select(
-        "token", F.col("cls").alias("x"), F.col("n").alias("n_x"), F.col("rest").alias("rest_x"), F.col("grp").alias("grp_x"), F.col("shingles").alias("size_x"))
+    member = member.join(size, "grp")
+    heat = grouped.groupBy("token").agg(F.count("*").alias("heat"))
+    home = grouped.join(heat, "token").groupBy("cls").agg(F.max(F.struct("heat", "token")).getField("token").alias("home"))
+    member = stage(member.join(home, "cls"), "join-homes")
+    load = member.groupBy("home").agg(F.sum("n").alias("load"))
+    block = F.xxhash64("home", F.pmod(F.xxhash64("cls"), F.ceil(F.col("load") / BLOCK_SHINGLES)))
+    member = stage(member.join(load, "home").select("cls", "n", F.struct("shingles", "grp").alias("rank"), block.alias("block")), "join-members")
+    e = stage(grouped.select("token", "cls", "rest").join(member, "cls"), "join-entries")
+    matrix = e.groupBy("token", "block").agg(F.max("rank").alias("top"), F.min("n").alias("least"), F.max("n").alias("most"),
+                                             F.max("rest").alias("most_rest"))
+    # classes of an opener's largest group never ask by it
+    top = matrix.groupBy("token").agg(F.max("top").alias("top"))
+    query = e.join(top, "token").where("rank < top").select(
+        "token", F.col("cls").alias("x"), F.col("n").alias("n_x"), F.col("rest").alias("rest_x"), F.col("rank").alias("rank_x"))
     met = query.join(matrix, "token").where(
-        F.expr(f"(size_x < shingles or (size_x = shingles and grp_x < grp)) and n_x * 100 >= least * {percent} and most * 100 >= n_x * {percent}")
-        & _reach("n_x", "rest_x", "least", "most_rest", percent))
-    met = met.select("x", "block").distinct()
+        F.expr(f"rank_x < top and n_x * 100 >= least * {percent} and most * 100 >= n_x * {percent}")
+        & F.expr(f"cast(least(rest_x, most_rest) as bigint) * {100 + percent} >= (n_x + least) * {percent}"))
+    met = met.groupBy("x", "block").agg(F.first("n_x").alias("n_x"), F.first("rank_x").alias("rank_x"))
     blocks = member.groupBy("block").agg(F.count("*").alias("members"), F.min("cls").alias("y"))
     met = stage(met.join(blocks, "block"), "join-met-blocks")
     # a block of one member has that member's set as its union: the pair is compared at once
     one = met.where("members = 1").select("x", "y")
     # bound: the union of a block's tokens against the query's
-    many = met.where("members > 1").select("x", "block")
-    inside = stage(member.join(many.select("block").distinct(), "block", "left_semi").select("block", F.col("cls").alias("y")),
+    many = met.where("members > 1").select("x", "rank_x", "block")
+    inside = stage(member.join(many.select("block").distinct(), "block", "left_semi").select("block", F.col("cls").alias("y"), F.col("rank").alias("rank_y")),
                    "join-inside")
     sets = _whole_sets(many.select(F.col("x").alias("cls")).unionByName(inside.select(F.col("y").alias("cls"))),
                        docs, classes, k, percent, levels)
     union = stage(sets.join(inside.select(F.col("y").alias("cls"), "block"), "cls").groupBy("block").agg(
         F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union")), "join-unions")
     asked = many.join(sets.toDF("x", "n_x", "s_x"), "x").join(union, "block")
-    opened = stage(asked.where(F.size(F.array_intersect("s_x", "union")).cast("long") * 100 >= F.col("n_x") * percent).select("x", "block"),
+    opened = stage(asked.where(F.size(F.array_intersect("s_x", "union")).cast("long") * 100 >= F.col("n_x") * percent).select("x", "rank_x", "block"),
                    "join-opened")
-    pairs = one.unionByName(opened.join(inside, "block").select("x", "y")).distinct()
+    pairs = one.unionByName(opened.join(inside, "block").where("rank_x < rank_y").select("x", "y")).distinct()
     return _verified(_near(pairs, classes, percent), docs, classes, k, percent, levels)
 
 
@@ -276,9 +289,11 @@ def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     def key(text: pa.Array) -> pa.Array:
         return pa.array([_key(s) if len(s) else None for s in _sets(text, k)], pa.int64())
 
-    inked = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    d = docs.where(inked).select("*", F.col("doc_id").alias("_id0"), key(F.col("text").cast("string")).alias("_key0"))
-    full = d.join(kept, F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_key0") == F.col("_key")), "left_semi")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id0"),
+                    F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("_inked"))
+    blank = d.where(~F.col("_inked"))
+    full = d.where("_inked").withColumn("_key0", key(F.col("_row.text").cast("string")))
+    full = full.join(kept, F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_key0") == F.col("_key")), "left_semi")
     if repeated:
         full = full.dropDuplicates(["_id0", "_key0"])
-    return full.select(*docs.columns).unionByName(docs.where(~inked))
+    return full.select("_row.*").unionByName(blank.select("_row.*"))
