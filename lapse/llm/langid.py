@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapse.llm import wordhash as wh
+from lapse.llm.common import BROADCAST_ROWS, numbered, stage
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -234,9 +235,21 @@ def identify(docs: DataFrame, **options) -> DataFrame:
         "doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+#: Spark's setting for the rows of an Arrow batch, and its value while whole documents are classified.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+
+
 def identified_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rejected ones, same columns."""
+    """``docs`` without the rejected ones, same columns.  The rejected rows are listed by name; no text is copied."""
+    spark = docs.sparkSession
     model = fit(docs, ~held_out(), **options)
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    seen = row.select("_row", _predictor(docs, model)(F.col("_row.text")).alias("_p"))
-    return seen.where("not _p.rejected").select("_row.*")
+    d, names = numbered(docs)
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, BATCH_ROWS)
+    try:
+        seen = d.select(*names, _predictor(docs, model)(F.col("_row.text")).alias("_p"))
+        gone = stage(seen.where("_p.rejected").select(*names), "rejected")
+    finally:
+        spark.conf.set(BATCH, before)
+    few = gone.count() <= BROADCAST_ROWS
+    return d.join(F.broadcast(gone) if few else gone, names, "left_anti").select("_row.*")

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lapse.llm.common import bucket_count, running, shuffle_key, stage
+from lapse.llm.common import bucket_count, discarding, numbered, running, shuffle_key, stage
 
 VALUE_BITS, HASH_BITS, ROW_BITS = 28, 24, 10
 KEY_BITS = VALUE_BITS + HASH_BITS + ROW_BITS
@@ -46,9 +46,10 @@ def _coordinate(field: T.StructField):
 
 
 def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None,
-              dimensions: tuple = DIMENSIONS) -> DataFrame:
+              dimensions: tuple = DIMENSIONS, names: list[str] = ()) -> DataFrame:
     """One row per document: doc_id, row_key (hash of the whole row), size (UTF-8 bytes + 1), text_crc32
-    (unsigned, of the empty text where null), shard (0 .. shards - 1) and slot (gapless from 0 within the shard).
+    (unsigned, of the empty text where null), shard (0 .. shards - 1), slot (gapless from 0 within the shard) and
+    the columns ``names``, which go along.
 
     Give ``n_shards`` or ``target_bytes`` (shards = total bytes / target, rounded up).
     """
@@ -57,7 +58,7 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         "doc_id", _row_key(docs).alias("row_key"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        shuffle_key("doc_id").alias("h"), F.xxhash64(F.monotonically_increasing_id()).alias("m"),
+        shuffle_key("doc_id").alias("h"), F.xxhash64(F.monotonically_increasing_id()).alias("m"), *names,
         *[_coordinate(fields[d]).alias(f"v{i}") for i, d in enumerate(dims)])
     rows = stage(rows, "shard-rows")
     ext = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("n"),
@@ -75,16 +76,16 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
         return F.coalesce(F.floor((F.col(f"v{i}") - F.lit(lo)) / F.lit(hi - lo) * top).cast("long") + 1, F.lit(0))
 
     low = F.shiftleft(F.col("h").bitwiseAND((1 << HASH_BITS) - 1), ROW_BITS) + F.col("m").bitwiseAND((1 << ROW_BITS) - 1)
-    cur = rows.select("doc_id", "row_key", "size", "text_crc32", "h", low.alias("low"), F.lit(0).cast("long").alias("node"),
+    cur = rows.select("doc_id", "row_key", "size", "text_crc32", "h", *names, low.alias("low"), F.lit(0).cast("long").alias("node"),
                       *[scaled(i).alias(f"c{i}") for i in range(len(dims))])
     leaves = {0: (0, n_shards)}          # node -> (first shard, number of shards)
     while any(n > 1 for _, n in leaves.values()):
         cur, leaves = _split(cur, leaves, len(dims))
     shard = _lookup(cur, {k: (first,) for k, (first, _) in leaves.items()}, ["shard"])
-    shard = shard.select("doc_id", "row_key", "size", "text_crc32", "h", F.coalesce("shard", F.lit(0)).cast("int").alias("shard"))
+    shard = shard.select("doc_id", "row_key", "size", "text_crc32", "h", *names, F.coalesce("shard", F.lit(0)).cast("int").alias("shard"))
     out = running(stage(shard, "shard-leaves"), ["shard"], "h", ["doc_id", "row_key"], {"slot": F.lit(1)},
                   bucket_count(ext["n"]))
-    return out.select("doc_id", "row_key", "size", "text_crc32", "shard", "slot")
+    return out.select("doc_id", "row_key", "size", "text_crc32", "shard", "slot", *names)
 
 
 def _lookup(df: DataFrame, by_node: dict, names: list[str]) -> DataFrame:
@@ -150,19 +151,12 @@ def _goals(run: DataFrame, state: dict) -> DataFrame:
 
 
 def sharded_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with shard and slot (columns of these names are replaced).  Equal rows get one place each."""
-    a = stage(kd_shards(docs, **options).select("row_key", "shard", "slot"), "shard-places")
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]).alias("_row"),
-                    _row_key(docs).alias("row_key"))
-    on = ["row_key"]
-    if a.groupBy("row_key").count().where("count > 1").limit(1).count():
-        # equal rows are numbered on both sides, in any order
-        d = stage(d.withColumn("_m", shuffle_key(F.monotonically_increasing_id())), "shard-documents")
-        buckets = bucket_count(a.count())
-        d = running(d, ["row_key"], "_m", [], {"_n": F.lit(1)}, buckets)
-        a = running(a.withColumn("_m", shuffle_key("shard", "slot")), ["row_key"], "_m", ["shard", "slot"], {"_n": F.lit(1)}, buckets)
-        on = ["row_key", "_n"]
-    return d.drop("_m").join(a.drop("_m"), on).select("_row.*", "shard", "slot")
+    """``docs`` with shard and slot (columns of these names are replaced).  Equal rows get one place each: rows
+    are named, the names are sharded, and the texts move once, to meet the places."""
+    d, names = numbered(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]))
+    with discarding(docs.sparkSession) as keep:
+        places = keep(kd_shards(d.select("_row.*", *names), names=names, **options).select(*names, "shard", "slot"), "shard-places")
+    return d.join(places, names).select("_row.*", "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, slots_per_file: int = 100_000, **options) -> None:
