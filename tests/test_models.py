@@ -168,7 +168,7 @@ def test_successive_halving_keeps_the_better_half(spark):
     tr, va = d.filter("msno % 4 <> 0"), d.filter("msno % 4 = 0")
     cands = ml.random_params(4, 3, depth=[2, 3], rate=(0.1, 0.5))
     t, best = ml.successive_halving({"s": (cands, ml.boosted_study(tr, va, COLS, "y", "logistic", CATS))}, spark, first=2)
-    t = t.toPandas()
+    t = t.toPandas().sort_values("trial")
     assert t.groupby("rung").size().tolist() == [4, 2, 1] and all(
         json.loads(p) == cands[c] for p, c in zip(t.params, t.candidate))
     for rung, g in t.groupby("rung"):
