@@ -15,6 +15,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lapse.functions.dates import try_ymd
 from lapse.functions.exprs import (clip_secs, discount_ratio, ratio_plus_one, song_completion,
@@ -48,6 +49,9 @@ def as_of(events: DataFrame, refs: DataFrame, date_col: str, key: str = "msno")
 def txn_features(txn: DataFrame, refs: DataFrame, p: Params, features_paid_only: bool = False) -> DataFrame:
     """Every transaction-side aggregate in one pass."""
     t = txn.select("msno", "txn_id", "txn_dt", *LATEST_COLS, "plan_list_price")
+    method = F.col("payment_method_id").cast("int")
+    t = t.withColumn("_method", F.when(method.isNull() | method.between(-128, 127), method).otherwise(
+        F.raise_error(F.lit("payment_method_id is no one-byte id")).cast("int")))
     j = t.join(refs.select("msno", "ref_date"), "msno")
     ref = F.col("ref_date")
     pre = F.col("txn_dt") <= ref
@@ -69,16 +73,17 @@ def txn_features(txn: DataFrame, refs: DataFrame, p: Params, features_paid_only:
         pre_avg("is_auto_renew").alias("is_auto_renew_rate"),
         pre_avg("is_cancel").alias("is_cancel_rate"),
         F.avg(F.when(pre, discount_ratio("plan_list_price", "actual_amount_paid"))).alias("avg_discount_rate"),
-        # a small-domain distinct count: a per-user set keeps it one aggregate
-        F.size(F.collect_set(F.when(pre, F.col("payment_method_id")))).cast("bigint")
-         .alias("num_distinct_payment_methods"),
+        # methods are one-byte ids: four words of bits count the distinct ones without a set
+        *[F.bit_or(F.when(pre & (F.expr("(_method + 128) div 64") == w), F.expr("shiftleft(1L, (_method + 128) % 64)"))).alias(f"_m{w}")
+          for w in range(4)],
         F.max(F.when(pre, latest)).alias("_l"),
         F.max(F.when(pre & (F.col("is_cancel") == 1), F.col("txn_dt"))).alias("last_cancel_dt"),
         F.max(F.when(renew, F.lit(1))).alias("_renewed"),
         F.sum(F.when(fwd, F.col("actual_amount_paid"))).alias("fwd_rev"),
     ).select(
         "msno", "num_transactions", "avg_payment_plan_days", "avg_actual_amount_paid",
-        "is_auto_renew_rate", "is_cancel_rate", "avg_discount_rate", "num_distinct_payment_methods",
+        "is_auto_renew_rate", "is_cancel_rate", "avg_discount_rate",
+        sum(F.coalesce(F.bit_count(f"_m{w}"), F.lit(0)) for w in range(4)).cast("bigint").alias("num_distinct_payment_methods"),
         F.col("_l.payment_method_id").alias("payment_method_id"),
         F.col("_l.payment_plan_days").alias("most_recent_payment_plan_days"),
         F.col("_l.actual_amount_paid").alias("most_recent_actual_amount_paid"),
@@ -103,16 +108,25 @@ def ref_window_bounds(refs: DataFrame, lookback_days: int | None):
     return lo, r["hi"]
 
 
-def prune_to_refs(logs: DataFrame, refs: DataFrame, lookback_days: int | None, date_col: str = "log_dt"):
+def prune_to_refs(logs: DataFrame, refs: DataFrame, lookback_days: int | None, date_col: str = "log_dt",
+                  int_col: str = "date", month_col: str = "month"):
     """Drop log rows no user's window can reach, before the join: the join's
     range condition is per user and cannot reach the scan, a literal range on
-    the date column can (Parquet statistics, partition folders)."""
+    the date column can (Parquet statistics, partition folders).
+
+    A parsed date does not reach the scan, so where the log still has its raw YYYYMMDD column ``int_col`` or its
+    folder column ``month_col`` (YYYYMM), the same range is asked of those too."""
     lo, hi = ref_window_bounds(refs, lookback_days)
     if hi is None:
         return logs
     cond = F.col(date_col) <= F.lit(hi)
     if lo is not None:
         cond = cond & (F.col(date_col) >= F.lit(lo))
+    for c, digits in ((int_col, "%Y%m%d"), (month_col, "%Y%m")):
+        if c in logs.columns and isinstance(logs.schema[c].dataType, (T.IntegerType, T.LongType)):
+            cond = cond & (F.col(c) <= int(hi.strftime(digits)))
+            if lo is not None:
+                cond = cond & (F.col(c) >= int(lo.strftime(digits)))
     return logs.filter(cond)
 
 
@@ -130,12 +144,12 @@ def log_features(logs: DataFrame, refs: DataFrame, p: Params, with_candidates: b
     ``unique_days`` skips that step for a log that is known to have one row per (user, day).
     ``std_dev_daily_secs`` is over log rows, so the step keeps sums of squares.
     """
-    lg = logs.select("msno", "log_dt", *LOG_SUMS, "num_unq", "total_secs")
     if prune:
         # with last login (unbounded look-back) only the upper bound is safe;
         # window-only callers also get the lower bound (last_login_dt is then
         # limited to the window and should not be used)
-        lg = prune_to_refs(lg, refs, None if unbounded_lookback else p.engagement_days)
+        logs = prune_to_refs(logs, refs, None if unbounded_lookback else p.engagement_days)
+    lg = logs.select("msno", "log_dt", *LOG_SUMS, "num_unq", "total_secs")
     j = lg.join(refs.select("msno", "ref_date"), "msno").filter(F.col("log_dt") <= F.col("ref_date"))
     ref = F.col("ref_date")
     in_win = F.col("log_dt") >= F.date_sub(ref, p.engagement_days - 1)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapse.functions.exprs import safe_div
-from lapse.operators.ranking import cumulative
+from lapse.operators.ranking import cumulative, row_rank
 from lapse.session import materialize
 
 
@@ -116,9 +116,10 @@ def hash_uniform(key, seed: int | str):
 
 
 def sample_pairs(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Seeded sample of n rows (K9): the n smallest hash values (a top-k).  The hash is salted by
+    """Seeded sample of n rows (K9): the n smallest hash values, a filter on the distributed rank.  The hash is salted by
     the operator's name, so the sample is independent of a split with the same seed."""
-    return df.withColumn("_h", hash_order(key, f"pairs:{seed}")).orderBy("_h").limit(n).drop("_h")
+    ranked = row_rank(df.withColumn("_h", hash_order(key, f"pairs:{seed}")), ["_h", key], "_r")
+    return ranked.filter(F.col("_r") <= n).drop("_h", "_r")
 
 
 def concordance_pairs(df: DataFrame, duration: str, event: str, score: str) -> DataFrame:

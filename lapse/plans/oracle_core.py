@@ -177,6 +177,10 @@ FROM ev e JOIN er r USING (msno) WHERE e.log_dt <= r.ref_date GROUP BY e.msno, r
         f"(SELECT count(*) FROM (DESCRIBE {t})) AS n_columns FROM {t}"
         for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                   "documents", "embeddings", "pages", "benchmark", "labels", "conversations")),
+    "logs_csv_ingest": with_base("""
+SELECT CAST(strftime(log_dt, '%Y%m') AS BIGINT) AS month, count(*) AS n, CAST(sum(num_unq) AS BIGINT) AS num_unq,
+       CAST(sum(CAST(round(total_secs * 100) AS BIGINT)) AS BIGINT) AS secs_100, count(DISTINCT day(log_dt) % 2) AS n_files, CAST(2 AS BIGINT) AS n_runs
+FROM user_logs GROUP BY 1"""),
     "events_incremental_ingest": """
 SELECT event_id, user_id, event_type, round(value, 6) AS value, props,
        CAST(strftime(CAST(ts AS DATE), '%Y%m%d') AS BIGINT) AS day FROM events""",

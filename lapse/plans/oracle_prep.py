@@ -4,11 +4,17 @@ from lapse.operators.features import FEATURE_COLUMNS
 from lapse.operators.pipeline import CATEGORICAL_COLS, MEDIAN_COLS, OUTPUT_COLS, SCALE_COLS, SENTINEL_COLS
 from lapse.params import TEST_PARAMS as P
 from lapse.plans.oracle_base import R, with_base
-from lapse.plans.q_prep import CORR_COLS, DESCRIBE_COLS, HIST_COLS, SPIKE_COLS
 
 DERIVED = ("registration_tenure_days", "avg_song_completion", "total_secs_log", "log1p_fwd_rev",
            "avg_num_unq_songs", "recent_engagement_ratio", "secs_trend_recent_vs_prior",
            "numunq_trend_recent_vs_prior")
+# Fixed values, stated here on their own: what is profiled.
+NUMERIC = ("is_churn", "bd", "fwd_rev", "num_transactions", "avg_payment_plan_days", "avg_actual_amount_paid", "is_auto_renew_rate",
+           "is_cancel_rate", "avg_discount_rate", "num_distinct_payment_methods", "most_recent_payment_plan_days",
+           "most_recent_actual_amount_paid", "most_recent_is_auto_renew", "most_recent_is_cancel", "days_since_last_login",
+           "days_since_last_cancel", "daily_active_days", "recent_daily_active_days", "total_secs_sum", "sum25", "sum50", "sum75",
+           "sum985", "sum100", "sum_unq", "recent_secs", "prior_secs", "recent_numunq", "prior_numunq", *DERIVED)
+SPIKE_COLS = ("city", "gender", "registered_via", "payment_method_id")
 F0 = repr(P.split_fracs[0])
 F1 = repr(P.split_fracs[0] + P.split_fracs[1])
 Q = '"column"'
@@ -53,7 +59,7 @@ def _union(cols, tmpl):
 
 
 ORACLE = {
-    "feature_describe": with_base(_union(DESCRIBE_COLS, (
+    "feature_describe": with_base(_union(NUMERIC, (
         "SELECT '{c}' AS \"column\", count(x) AS \"count\", round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, "
         "round(min(x), 6) AS \"min\", round(max(x), 6) AS \"max\", round(quantile_cont(x, 0.25), 6) AS p25, "
         "round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.75), 6) AS p75 "
@@ -64,7 +70,7 @@ ORACLE = {
 SELECT coalesce(gender, 'missing') AS value, count(*) AS n,
        {R('count(*) * 100.0 / (SELECT count(*) FROM members)', 6, 'pct')} FROM members GROUP BY 1"""),
     "histograms": with_base(f"""
-WITH v AS ({_union(HIST_COLS, "SELECT '{c}' AS " + Q + ", CAST({c} AS DOUBLE) AS value FROM derived WHERE {c} IS NOT NULL")}),
+WITH v AS ({_union(NUMERIC, "SELECT '{c}' AS " + Q + ", CAST({c} AS DOUBLE) AS value FROM derived WHERE {c} IS NOT NULL")}),
 r AS (SELECT {Q}, min(value) AS lo, max(value) AS hi FROM v GROUP BY 1),
 b AS (SELECT v.{Q}, CAST(CASE WHEN r.hi = r.lo THEN 0
                      ELSE least(floor((v.value - r.lo) / ((r.hi - r.lo) / 50)), 49) END AS BIGINT) AS bin, r.lo, r.hi
@@ -73,18 +79,27 @@ SELECT {Q}, bin, round(lo + bin * (hi - lo) / 50, 6) AS bin_lo, round(lo + (bin
        count(*) AS n FROM b GROUP BY {Q}, bin, lo, hi"""),
     "kde_grid": with_base("""
 WITH v AS (SELECT total_secs_log AS x FROM derived WHERE total_secs_log IS NOT NULL),
-st AS (SELECT min(x) AS lo, max(x) AS hi, n, sd * pow(CAST(n AS DOUBLE), -0.2) AS bw
-       FROM (SELECT min(x) AS lo0, max(x) AS hi0, stddev_samp(x) AS sd, count(x) AS n FROM v) s, v GROUP BY n, sd),
-vt AS (SELECT x, count(*) AS c FROM v GROUP BY x),
+st AS (SELECT min(x) AS lo, max(x) AS hi, count(x) AS n, stddev_samp(x) * pow(CAST(count(x) AS DOUBLE), -0.2) AS bw, (max(x) - min(x)) / 1024 AS w FROM v),
+c AS (SELECT (x - lo) / w AS p, least(floor((x - lo) / w), 1023) AS k FROM v, st),
+e AS (SELECT k, sum(m) AS m FROM (SELECT k, 1.0 - (p - k) AS m FROM c UNION ALL SELECT k + 1, p - k FROM c) GROUP BY k),
 g AS (SELECT range AS i FROM range(64)),
-gx AS (SELECT g.i, st.lo + g.i * (st.hi - st.lo) / 63 AS x, st.n, st.bw FROM g, st)
+gx AS (SELECT g.i, st.lo + g.i * (st.hi - st.lo) / 63 AS x, st.* FROM g, st)
 SELECT gx.i, round(gx.x, 6) AS x,
-       round(sum(vt.c * exp(-0.5 * ((gx.x - vt.x) / gx.bw) * ((gx.x - vt.x) / gx.bw)))
-             / (gx.n * gx.bw * sqrt(2 * pi())), 6) AS density
-FROM gx, vt GROUP BY gx.i, gx.x, gx.n, gx.bw"""),
+       round(sum(e.m * exp(-0.5 * ((gx.x - (lo + e.k * w)) / bw) * ((gx.x - (lo + e.k * w)) / bw))) / (n * bw * sqrt(2 * pi())), 6) AS density
+FROM gx, e GROUP BY gx.i, gx.x, gx.n, gx.bw"""),
+    "dominant_bins": with_base(f"""
+WITH v AS ({_union(NUMERIC, "SELECT '{c}' AS " + Q + ", round(CAST({c} AS DOUBLE), 9) AS value FROM derived WHERE {c} IS NOT NULL")}),
+r AS (SELECT {Q}, min(value) AS lo, max(value) AS hi, count(*) AS n FROM v GROUP BY 1),
+f AS (SELECT {Q}, value, count(*) AS c, row_number() OVER (PARTITION BY {Q} ORDER BY count(*) DESC, value DESC) AS nth FROM v GROUP BY 1, 2),
+b AS (SELECT {Q}, bin, count(*) AS c, row_number() OVER (PARTITION BY {Q} ORDER BY count(*) DESC, bin) AS nth
+      FROM (SELECT v.{Q}, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((value - lo) / ((hi - lo) / 50)), 49) END AS BIGINT) AS bin
+            FROM v JOIN r USING ({Q})) GROUP BY 1, 2)
+SELECT {Q}, r.n, round(f.value, 6) AS top_value, round(f.c / r.n, 6) AS value_share, b.bin AS top_bin,
+       round(lo + b.bin * (hi - lo) / 50, 6) AS bin_lo, round(lo + (b.bin + 1) * (hi - lo) / 50, 6) AS bin_hi, round(b.c / r.n, 6) AS bin_share
+FROM r JOIN f USING ({Q}) JOIN b USING ({Q}) WHERE f.nth = 1 AND b.nth = 1"""),
     "correlation_matrix": with_base(" UNION ALL ".join(
         f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS corr "
-        f"FROM derived" for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i + 1:])),
+        f"FROM derived" for i, a in enumerate(NUMERIC) for b in NUMERIC[i + 1:])),
     "spike_share": with_base(f"""
 WITH m2 AS (SELECT * REPLACE (coalesce(gender, 'unknown') AS gender) FROM derived),
 v AS ({_union(SPIKE_COLS, "SELECT '{c}' AS " + Q + ", CAST({c} AS VARCHAR) AS value FROM m2")}),

@@ -10,6 +10,7 @@ from lapse.operators import features as fe
 from lapse.operators import population as pop
 from lapse.plans.context import rnd
 from lapse.plans.registry import query
+from lapse.session import materialize
 
 
 @query("churn_revenue_by_segment")
@@ -289,6 +290,27 @@ def table_row_counts(ctx):
     return rnd(table_stats({n: ctx.t(n) for n in DRIVER_TABLES}))
 
 
+@query("logs_csv_ingest")
+def logs_csv_ingest(ctx):
+    """A2/A3: the usage log written as CSV in two deliveries (odd days, then even days) and ingested in two runs, each of which takes
+    the new files only, into month folders of one file per run; read back and summed per month."""
+    import uuid
+
+    from lapse.session import scratch_path
+    from lapse.streaming.ingest import ingest_incremental
+    base = scratch_path(ctx.spark, f"{ctx.spark.sparkContext.applicationId}/csv-{uuid.uuid4().hex[:12]}")
+    d = F.col("log_dt")
+    logs = materialize(ctx.logs.withColumn("date", (F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)).cast("int")).drop("log_dt"))
+    batches = []
+    for odd in (1, 0):
+        logs.filter(F.col("date") % 2 == odd).write.mode("append").option("header", True).csv(f"{base}/in")
+        batches.append(ingest_incremental(ctx.spark, f"{base}/in", f"{base}/out", logs.schema, checkpoint=f"{base}/state", date_col="date"))
+    out = ctx.spark.read.parquet(f"{base}/out").withColumn("_file", F.col("_metadata.file_path"))
+    return rnd(out.groupBy("month").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("num_unq").alias("num_unq"), F.sum(F.round(F.col("total_secs") * 100).cast("bigint")).alias("secs_100"),
+        F.count_distinct("_file").alias("n_files")).withColumn("n_runs", F.lit(sum(b > 0 for b in batches))))
+
+
 @query("events_incremental_ingest")
 def events_incremental_ingest(ctx):
     """A3 on the driver tables: the whole events table streamed once through an

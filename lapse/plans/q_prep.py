@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapse.operators import prep, profile
@@ -9,13 +13,19 @@ from lapse.operators.pipeline import prepared_dataset, with_split
 from lapse.operators.ranking import quantiles
 from lapse.plans.context import rnd
 from lapse.plans.registry import query
-from lapse.session import materialize
+from lapse.session import materialize, scratch_path
+from lapse.sources.io import load_splits, write_splits
+
+#: Numeric columns of the model table that are keys or nominal codes: no distribution or correlation of theirs is asked for.
+NOT_MEASURED = ("msno", "city", "registered_via", "payment_method_id", "registration_init_time")
+
+
+def _measured(df) -> list[str]:
+    """Every numeric column of the model table but keys and codes."""
+    return [f.name for f in df.schema if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double")
+            and f.name not in NOT_MEASURED]
+
 
-DESCRIBE_COLS = ("num_transactions", "avg_actual_amount_paid", "daily_active_days", "total_secs_sum",
-                 "days_since_last_login", "fwd_rev")
-HIST_COLS = ("avg_actual_amount_paid", "daily_active_days", "total_secs_log", "fwd_rev")
-CORR_COLS = ("is_churn", "num_transactions", "avg_actual_amount_paid", "is_auto_renew_rate",
-             "daily_active_days", "total_secs_sum", "fwd_rev")
 SPIKE_COLS = ("city", "gender", "registered_via", "payment_method_id")
 
 
@@ -39,7 +49,7 @@ def _prepared(ctx):
 
 @query("feature_describe")
 def feature_describe(ctx):
-    return rnd(profile.describe(_mt(ctx), DESCRIBE_COLS))
+    return rnd(profile.describe(_mt(ctx), _measured(_mt(ctx))))
 
 
 @query("null_profile")
@@ -54,7 +64,7 @@ def value_counts(ctx):
 
 @query("histograms")
 def histograms(ctx):
-    return rnd(profile.histogram(_mt(ctx), HIST_COLS, 50))
+    return rnd(profile.histogram(_mt(ctx), _measured(_mt(ctx)), 50))
 
 
 @query("kde_grid")
@@ -62,9 +72,14 @@ def kde_grid(ctx):
     return rnd(profile.kde(_mt(ctx), "total_secs_log", 64))
 
 
+@query("dominant_bins")
+def dominant_bins(ctx):
+    return rnd(profile.dominant_bins(_mt(ctx), _measured(_mt(ctx)), 50))
+
+
 @query("correlation_matrix")
 def correlation_matrix(ctx):
-    return rnd(profile.corr_matrix(_mt(ctx), list(CORR_COLS)))
+    return rnd(profile.corr_matrix(_mt(ctx), _measured(_mt(ctx))))
 
 
 @query("spike_share")
@@ -112,8 +127,11 @@ def standard_scale(ctx):
 
 @query("split_verification")
 def split_verification(ctx):
+    """The splits written in one go, loaded again one by one and verified."""
     from lapse.operators.pipeline import OUTPUT_COLS
-    d = _prepared(ctx)["dataset"]
+    path = scratch_path(ctx.spark, f"{ctx.spark.sparkContext.applicationId}/splits-{uuid.uuid4().hex[:12]}")
+    write_splits(_prepared(ctx)["dataset"], path)
+    d = reduce(DataFrame.unionByName, [x.withColumn("split", F.lit(n)) for n, x in load_splits(ctx.spark, path).items()])
     nulls = sum(F.col(c).isNull().cast("bigint") for c in OUTPUT_COLS if c != "msno")
     g = d.withColumn("_nulls", nulls).groupBy("split").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col("is_churn").cast("double")).alias("churn_rate"),

@@ -62,20 +62,15 @@ def table_stats(tables: dict[str, DataFrame]) -> DataFrame:
 
 def write_splits(df: DataFrame, out_dir: str, split_col: str = "split",
                  names=("train", "val", "test")) -> dict[str, str]:
-    """One Parquet dataset per split (A7).  Each write is a filtered scan of the
-    same lazily built frame; persist the frame first when it is expensive."""
-    paths = {}
-    for name in names:
-        p = os.path.join(out_dir, f"model_dataset_{name}.parquet")
-        (df.filter(F.col(split_col) == name).drop(split_col)
-         .write.mode("overwrite").option("compression", "zstd").parquet(p))
-        paths[name] = p
-    return paths
-
-
-def load_splits(spark: SparkSession, out_dir: str, names=("train", "val", "test")) -> dict[str, DataFrame]:
-    """Load a chosen subset of splits."""
-    return {n: spark.read.parquet(os.path.join(out_dir, f"model_dataset_{n}.parquet")) for n in names}
+    """All splits in one write (A7): a folder per value of ``split_col``.  Returns the folder of each of ``names``."""
+    df.write.mode("overwrite").option("compression", "zstd").partitionBy(split_col).parquet(out_dir)
+    return {n: f"{out_dir.rstrip('/')}/{split_col}={n}" for n in names}
+
+
+def load_splits(spark: SparkSession, out_dir: str, names=("train", "val", "test"), split_col: str = "split") -> dict[str, DataFrame]:
+    """Load a chosen subset of splits (A9); only their folders are read."""
+    whole = spark.read.parquet(out_dir)
+    return {n: whole.filter(F.col(split_col) == n).drop(split_col) for n in names}
 
 
 def write_scores(df: DataFrame, path: str) -> str:

@@ -42,6 +42,8 @@ def ingest_incremental(spark: SparkSession, src_dir: str, dst: str, schema: Stru
     if date_col:
         df = df.withColumn("month", (F.col(date_col) / 100).cast("int"))
         partition_by = (partition_by or []) + ["month"]
+    if partition_by:    # one file per folder and batch, not one per folder and task
+        df = df.repartition(*partition_by)
     ckpt = checkpoint or scratch_path(spark, "ingest-" + dst.rstrip("/").split("/")[-1])
     w = (df.writeStream.format("parquet").option("path", dst).option("checkpointLocation", ckpt)
          .option("compression", "zstd").outputMode("append").trigger(availableNow=True))

@@ -29,6 +29,38 @@ def test_paid_filter_and_pruning_reach_the_scan(spark):
     assert refs.count() == 1
 
 
+def test_log_window_reaches_the_scan_and_the_folders(spark):
+    """On the raw log (int dates, month folders) the window's bounds are pushed as literals."""
+    from lapse.functions.dates import ymd
+    from lapse.operators.features import log_features
+    from lapse.params import REFERENCE_PARAMS
+    from lapse.sources.schemas import USER_LOGS
+    d = tempfile.mkdtemp(prefix="lapse-plan-")
+    rows = [("u", day, 1, 0, 0, 0, 1, 1, 10.0) for day in (20161001, 20161115, 20161201, 20170105)]
+    p = os.path.join(d, "logs.parquet")
+    spark.createDataFrame(rows, USER_LOGS).withColumn("month", F.expr("date div 100").cast("int")).write.partitionBy("month").parquet(p)
+    logs = spark.read.parquet(p).withColumn("log_dt", ymd("date"))
+    refs = spark.createDataFrame([("u", dt.date(2016, 12, 1))], "msno string, ref_date date")
+    got = log_features(logs, refs, REFERENCE_PARAMS, unbounded_lookback=False)
+    plan = _plan(got)
+    pushed = plan.split("PushedFilters: [", 1)[1].split("]", 1)[0]
+    assert "LessThanOrEqual(date,20161201)" in pushed and "GreaterThanOrEqual(date,20161102)" in pushed
+    folders = plan.split("PartitionFilters: [", 1)[1].split("], PushedFilters", 1)[0]
+    assert "<= 201612" in folders and ">= 201611" in folders
+    assert got.first()["daily_active_days"] == 2
+
+
+def test_transaction_pass_builds_no_sets(spark):
+    from lapse.operators.features import txn_features
+    from lapse.params import TEST_PARAMS
+    rows = [("u", i, dt.date(2001, 1, i + 1), m, 30, 100, 1, 0, 100) for i, m in enumerate((-128, 0, 63, 64, 127, 127, None))]
+    txn = spark.createDataFrame(rows, "msno string, txn_id long, txn_dt date, payment_method_id int, payment_plan_days int, "
+                                      "actual_amount_paid int, is_auto_renew int, is_cancel int, plan_list_price int")
+    refs = spark.createDataFrame([("u", dt.date(2001, 2, 1))], "msno string, ref_date date")
+    got = txn_features(txn, refs, TEST_PARAMS)
+    assert "ObjectHashAggregate" not in _plan(got) and got.first()["num_distinct_payment_methods"] == 5
+
+
 def test_global_rank_has_no_single_partition_window(spark):
     df = spark.range(5000).withColumn("v", (F.col("id") * 7919) % 101)
     plan = _plan(rk.row_rank(df, ["v desc", "id"]))
