@@ -14,8 +14,8 @@ Per host, over all its pages:
 4. Slots.  Blocks (text up to the next element that is not inline) of template text only are dropped; so are slots below elements that are no content by
    their tag (nav, footer, aside, form, ..), role or class name (adverts, notices, comments, ..; a
    name does not drop what holds the article or most of the page's text).
-   If the page marks its article (article, main, role=main), all that is
-   left in there is the text, also wording that other pages share; else all slots below the
+   If the page marks its article (article, main, role=main), the slots in there are the text: blocks whose text is on every
+   page of the host go, names drop only elements that are named so in one word; else all slots below the
    article's container, in page order.  The container is found from the root by going down while
    one container element holds SHARE of the text and all first headings.
 
@@ -42,6 +42,8 @@ from pyspark.sql import functions as F
 from lapse.llm.common import stage
 
 MIN_PAGES = 3
+#: Inside a marked article text counts as template if it is on every page of a host of so many pages.
+ARTICLE_PAGES = 10
 #: Host tables with so many template tokens in all are broadcast (16 bytes each).
 BROADCAST_TOKENS = 1_000_000
 
@@ -53,10 +55,10 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 #: Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp template svg math noframes".split())
+RAW = frozenset("script style textarea title noscript iframe xmp template svg noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
                    "span strike strong sub sup time tt u var wbr".split())
-NO_CONTENT = frozenset("nav footer aside form script style noscript template iframe svg math button select textarea input option "
+NO_CONTENT = frozenset("nav footer aside form script style noscript template iframe svg button select textarea input option "
                        "menu dialog object canvas head title audio video applet frameset datalist".split())
 NO_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar "
                      "advertisement".split())
@@ -65,6 +67,11 @@ NO_NAMES = frozenset("ad ads adv advert adverts advertisement advertisements adv
                      "subscription signup sidebar sidebars menu menus nav navbar navigation navi breadcrumb breadcrumbs footer footers header headers masthead "
                      "topbar comment comments respond reply replies discussion disqus related recommended recommendations share sharing social widget widgets "
                      "toolbar login search pager pagination skip disclaimer copyright alert".split())
+#: Of these, names that rule out an element inside a marked article, and only if the whole class or id is that word:
+#: there "share-price" or "cookies-recipe" may well be the article's own.
+IN_ARTICLE = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion cookie cookies "
+                       "consent newsletter subscribe signup sidebar breadcrumb breadcrumbs comment comments respond replies disqus share "
+                       "sharing toolbar pager pagination login popup modal overlay".split())
 #: Of these, names of talk below an article, which may be longer than it; and words that make a name say something of the page.
 TALK = frozenset("comment comments respond reply replies discussion disqus".split())
 STATES = frozenset("has no with without".split())
@@ -86,9 +93,9 @@ class _Element:
         self.heads, self.inside = 0, False
 
 
-def _named(attr: str) -> tuple[str, int, bool, bool, bool]:
-    """From the attributes: a short name for the path, whether names rule content out (2: as talk), whether the role
-    does, whether it is hidden, whether they mark the article."""
+def _named(attr: str, article: bool) -> tuple[str, int, bool, bool, bool]:
+    """From the attributes: a short name for the path, whether names rule content out (2: as talk; ``article``: inside a
+    marked article), whether the role does, whether it is hidden, whether they mark the article."""
     name, named, role, hidden, main = "", 0, False, False, False
     seen = set()
     for key, value in ATTRIBUTE.findall(attr):
@@ -101,6 +108,8 @@ def _named(attr: str) -> tuple[str, int, bool, bool, bool]:
                 name = "." + value
             for one in [value] if key == "aria-label" else value.split():
                 words = [w.lower() for w in NAME.findall(one)]
+                if article and one.lower() not in IN_ARTICLE:
+                    continue
                 if words and words[0] in STATES:
                     continue
                 if any(w in NO_NAMES for w in words) or "side bar" in " ".join(words):
@@ -151,7 +160,7 @@ def parse(page: str) -> Iterator[tuple[str, int, str, _Element]]:
         if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and top.tag == tag:
             stack.pop()
             top = stack[-1]
-        name, named, role, hidden, main = _named(attr)
+        name, named, role, hidden, main = _named(attr, top.content)
         main = main or tag in ("article", "main")
         no = hidden or role or tag in NO_CONTENT or (tag == "header" and not (top.content or main))
         e = _Element(tag, _hash(f"{top.path}>{tag}{name}"), top, no, 0 if tag in KEEP_NAMED else named, main)
@@ -203,21 +212,23 @@ def _host(url):
 
 
 def templates(pages: DataFrame, support: float = 0.6) -> DataFrame:
-    """Of every host with a template: host, tokens, classes (a number for each token's class) and order
-    (the token's mean relative place)."""
+    """Of every host with a template: host, tokens in the order of their mean relative place, classes (a number for each token's
+    class) and every (whether it is on all pages of a host of ARTICLE_PAGES or more)."""
     p = pages.select(_host(F.col("url")).alias("host"), F.xxhash64("page_id", "url", F.monotonically_increasing_id()).alias("page"),
                      F.col("html").cast("string").alias("html"))
     t = stage(p.mapInArrow(_page_tokens, "host string, page long, ids array<long>, counts array<int>, places array<double>"),
               "html-tokens")
     pages_of = t.groupBy("host").agg(F.count("*").alias("pages"))
+    # what is on every page of a host may be left out of marked articles too
     each = t.select("host", "page", F.explode(F.arrays_zip("ids", "counts", "places")).alias("x"))
     token = each.groupBy("host", F.col("x.ids").alias("token")).agg(
         F.count("*").alias("on"), F.bit_xor(F.xxhash64("page", "x.counts")).alias("vector"), F.avg("x.places").alias("place"))
     frequent = token.join(pages_of, "host").where((F.col("on") >= F.lit(support) * F.col("pages")) & (F.col("pages") >= MIN_PAGES))
-    classed = frequent.select("host", "token", F.xxhash64("on", "vector").alias("cls"), F.round("place", 9).alias("place"))
-    rows = F.collect_list(F.struct("place", "token", "cls"))
+    every = (F.col("on") == F.col("pages")) & (F.col("pages") >= ARTICLE_PAGES)
+    classed = frequent.select("host", "token", F.xxhash64("on", "vector").alias("cls"), F.round("place", 9).alias("place"), every.alias("every"))
+    rows = F.collect_list(F.struct("place", "token", "cls", "every"))
     return stage(classed.groupBy("host").agg(F.array_sort(rows).alias("t")).select(
-        "host", F.col("t.token").alias("tokens"), F.col("t.cls").alias("classes")), "html-templates")
+        "host", F.col("t.token").alias("tokens"), F.col("t.cls").alias("classes"), F.col("t.every").alias("every")), "html-templates")
 
 
 def _valid(seq: list[int], cls: dict, order: dict) -> set:
@@ -296,8 +307,11 @@ def _container(every: list[_Element], pieces: list[tuple[_Element, str]]) -> Non
         e.inside = e is at or (e.parent is not None and e.parent.inside)
 
 
-def main_text(page: str, cls: dict, order: dict) -> str:
-    """The main text of one page, given its host's template."""
+def main_text(page: str, cls: dict, order: dict, every_page: frozenset = frozenset()) -> str:
+    """The main text of one page, given its host's template; ``every_page``: its tokens that are on every page.
+
+    Blocks of template text only are dropped.  In a marked article that takes text of every page, and
+    the article keeps all of it if its own wording would be less than half (a host of copies)."""
     tokens = list(parse(page))
     every = _resolve(tokens)
     hashes = []
@@ -309,19 +323,26 @@ def main_text(page: str, cls: dict, order: dict) -> str:
             hashes.append(h if kind in ("tag", "end") else 0)
     template = _valid([h for h in hashes if h], cls, order) if cls else set()
     marked = any(kind == "tag" and e.content and not e.dropped for kind, _, _, e in tokens)
+    if marked:
+        template &= every_page
     pieces: list[tuple[_Element, str]] = []
+    left_out: list[tuple[int, int]] = []  # blocks of template text only
     start, own = 0, False                 # of the block at hand: its first piece, whether it has wording of this page
     for (kind, _, text, e), x in zip(tokens, hashes):
         if kind == "break":
-            if not (marked or own):
-                del pieces[start:]
+            if not own:
+                left_out.append((start, len(pieces)))
             pieces.append((e, " "))
             start, own = len(pieces), False
         elif kind == "text" and not e.dropped and (e.content or not marked):
             pieces.append((e, entities.unescape(text)))
             own = own or (x != 0 and x not in template)
-    if not (marked or own):
-        del pieces[start:]
+    if not own:
+        left_out.append((start, len(pieces)))
+    size = [len("".join(t.split())) for _, t in pieces]
+    if not marked or 2 * sum(sum(size[a:b]) for a, b in left_out) < sum(size):
+        for a, b in reversed(left_out):
+            del pieces[a:b]
     if not marked and template:
         _container(every, pieces)
         pieces = [(e, t) if e.inside else (e, " ") for e, t in pieces]
@@ -339,13 +360,14 @@ def extract(pages: DataFrame, support: float = 0.6) -> DataFrame:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 texts = []
-                for host, h, tok, c in zip(part.column("host"), part.column("html"), part.column("tokens"), part.column("classes")):
+                for host, h, tok, c, every in zip(part.column("host"), part.column("html"), part.column("tokens"), part.column("classes"), part.column("every")):
                     key = host.as_py()
                     if key not in known:
                         if len(known) > 1000:
                             known.clear()
                         ids = tok.as_py() or []
-                        known[key] = (dict(zip(ids, c.as_py() or [])), {x: k for k, x in enumerate(ids)})
+                        known[key] = (dict(zip(ids, c.as_py() or [])), {x: k for k, x in enumerate(ids)},
+                                      frozenset(x for x, k in zip(ids, every.as_py() or []) if k))
                     texts.append(main_text(h.as_py() or "", *known[key]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()),
@@ -359,5 +381,5 @@ def extract(pages: DataFrame, support: float = 0.6) -> DataFrame:
         salt = t.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
         joined = p.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(32)).cast("int")).join(salt, ["host", "_salt"], "left")
     kind = dict(pages.dtypes)["page_id"]
-    return joined.select("page_id", "url", "host", "html", "tokens", "classes").mapInArrow(
+    return joined.select("page_id", "url", "host", "html", "tokens", "classes", "every").mapInArrow(
         read, f"page_id {kind}, url string, text string, n_chars long")

@@ -212,3 +212,60 @@ def test_scores_use_all_counts_and_all_rows_train(spark, monkeypatch):
 
 def test_lm_empty_table(spark):
     assert lm.score_documents(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def articles(hosts=10, pages=12):
+    """Pages that mark their article, in which an unlisted block is on all pages of the host."""
+    rows = []
+    for h in range(hosts):
+        for p in range(pages):
+            own = "".join(f"<p>Host {h} page {p} tells its story {k} here.</p>" for k in range(3))
+            rows.append((h * 100 + p, f"http://h{h}.example/{p}",
+                         f"<html><body><nav>Menu {h}</nav><article><h1>Title {h} {p}</h1><p class='zz'>Host {h} stands for <b>good</b> writing.</p>{own}"
+                         "</article><footer>foot</footer></body></html>"))
+    return rows
+
+
+def test_the_template_decides_inside_marked_articles(spark):
+    rows = articles()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    want = {i: " ".join([f"Title {i // 100} {i % 100}"] + [f"Host {i // 100} page {i % 100} tells its story {k} here." for k in range(3)])
+            for i, _, _ in rows}
+    assert got == want
+    # without a template (no token has that support) the block stays
+    off = {r["page_id"]: r["text"] for r in html.extract(df, support=1.1).collect()}
+    assert all("stands for good writing." in off[i] for i in off)
+
+
+def test_a_host_of_copies_keeps_its_articles(spark):
+    page = "<html><body><article><h1>One</h1><p>The same text.</p><p>On all pages.</p>{}</article></body></html>"
+    rows = [(i, f"http://h/{i}", page.format("" if i % 2 else f"<p>own {i}</p>")) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "One The same text. On all pages." + ("" if i % 2 else f" own {i}") for i in range(12)}
+
+
+def test_names_do_not_drop_article_text():
+    parts = ['<p class="share-price">The price rose.</p>', '<section class="discussion"><p>We discuss it.</p></section>',
+             '<section class="related-work"><p>Others did it.</p></section>', '<div id="cookies-recipe">Bake them.</div>',
+             '<table class="overlay-data"><tr><td>7</td></tr></table>', "<math><mi>x</mi></math>"]
+    gone = ['<div class="ad">Buy.</div>', '<div class="comments"><p>First!</p></div>', "<aside>More.</aside>", "<form>Send</form>"]
+    page = "<html><body><article><h1>T</h1>" + "".join(a + b for a, b in zip(parts, gone + ["", ""])) + "</article></body></html>"
+    assert html.main_text(page, {}, {}) == "T The price rose. We discuss it. Others did it. Bake them. 7 x"
+
+
+def test_equivalence_classes_against_brute_force(spark):
+    """Occurrence vectors of all tokens of a host, compared as vectors."""
+    rows = [r for r in articles(3, 11)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in html.templates(df).collect():
+        pages = [html._tokens(h) for _, u, h in rows if u.split("/")[2] == r["host"]]
+        vector = {t: tuple(p.count(t) for p in pages) for p in pages for t in p}
+        frequent = {t for t, v in vector.items() if sum(x > 0 for x in v) >= 0.6 * len(pages)}
+        assert set(r["tokens"]) == frequent
+        by_class, by_vector = {}, {}
+        for t, c in zip(r["tokens"], r["classes"]):
+            by_class.setdefault(c, set()).add(t)
+            by_vector.setdefault(vector[t], set()).add(t)
+        assert sorted(map(sorted, by_class.values())) == sorted(map(sorted, by_vector.values()))
+        assert {t for t, e in zip(r["tokens"], r["every"]) if e} == {t for t in frequent if all(vector[t])}
