@@ -17,7 +17,7 @@ share, what follows in either set bounds their overlap; that bound is part of th
    holds (opener, block), a query is a class of the smaller group.  For each block
    that a query meets in the matrix, the block's token union bounds the overlap: a member can
    only link if the union holds at least percent % of the query's tokens.  Only blocks that pass are
-   opened and their members compared.
+   opened and their members compared.  Blocks of a few members are bounded member by member, by histograms.
 
 Links found in 1 and 2 give the components.  Pairs are first held against
 64-bucket histograms of their sets, whose distance is at most the size of the symmetric
@@ -45,6 +45,7 @@ from lapse.llm.common import BROADCAST_ROWS, bounded_join, components, discardin
 COUNT_BITS = 20          # hashed counters of the token order
 BLOCK_SHINGLES = 1 << 14  # shingles of a block of the matrix, about
 PARTS = 64               # buckets of a set's histogram
+FEW = 8                  # members up to which a block of the matrix is compared one by one
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -257,12 +258,14 @@ def _matrix_links(grouped: DataFrame, comp: DataFrame, docs: DataFrame, classes:
         F.expr(f"rank_x < top and n_x * 100 >= least * {percent} and most * 100 >= n_x * {percent}")
         & F.expr(f"cast(least(rest_x, most_rest) as bigint) * {100 + percent} >= (n_x + least) * {percent}"))
     met = met.groupBy("x", "block").agg(F.first("n_x").alias("n_x"), F.first("rank_x").alias("rank_x"))
-    blocks = member.groupBy("block").agg(F.count("*").alias("members"), F.min("cls").alias("y"))
+    blocks = member.groupBy("block").agg(F.count("*").alias("members"))
     met = stage(met.join(blocks, "block"), "join-met-blocks")
-    # a block of one member has that member's set as its union: the pair is compared at once
-    one = met.where("members = 1").select("x", "y")
+    # the members of a small block are held against the query by their histograms, which for so few bound the
+    # overlap closer than their union does
+    few = met.where(F.col("members") <= FEW).select("x", "rank_x", "block").join(member.select("block", F.col("cls").alias("y"), "rank"), "block")
+    few = few.where("rank_x < rank").select("x", "y")
     # bound: the union of a block's tokens against the query's
-    many = met.where("members > 1").select("x", "rank_x", "block")
+    many = met.where(F.col("members") > FEW).select("x", "rank_x", "block")
     inside = stage(member.join(many.select("block").distinct(), "block", "left_semi").select("block", F.col("cls").alias("y"), F.col("rank").alias("rank_y")),
                    "join-inside")
     sets = _whole_sets(many.select(F.col("x").alias("cls")).unionByName(inside.select(F.col("y").alias("cls"))),
@@ -272,7 +275,7 @@ def _matrix_links(grouped: DataFrame, comp: DataFrame, docs: DataFrame, classes:
     asked = many.join(sets.toDF("x", "n_x", "s_x"), "x").join(union, "block")
     opened = stage(asked.where(F.size(F.array_intersect("s_x", "union")).cast("long") * 100 >= F.col("n_x") * percent).select("x", "rank_x", "block"),
                    "join-opened")
-    pairs = one.unionByName(opened.join(inside, "block").where("rank_x < rank_y").select("x", "y")).distinct()
+    pairs = few.unionByName(opened.join(inside, "block").where("rank_x < rank_y").select("x", "y")).distinct()
     return _verified(_near(pairs, classes, percent), docs, classes, k, percent, levels)
 
 
