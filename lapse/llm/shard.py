@@ -24,12 +24,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lapse.llm.common import bucket_count, discarding, numbered, running, shuffle_key, stage
+from lapse.llm.common import bounded_join, bucket_count, discarding, numbered, running, shuffle_key, stage
+from lapse.operators.ranking import row_rank
 
 VALUE_BITS, HASH_BITS, ROW_BITS = 28, 24, 10
 KEY_BITS = VALUE_BITS + HASH_BITS + ROW_BITS
 DIGIT = 16
-#: Metadata that the tree may split on; strings count by their first six bytes.
+#: Metadata that the tree may split on; strings count by their rank among the distinct values.
 DIMENSIONS = ("n_chars", "doc_id", "source", "lang")
 
 
@@ -37,12 +38,11 @@ def _row_key(docs: DataFrame):
     return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _coordinate(field: T.StructField):
-    c = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, T.StringType):
-        head = F.substring(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0"), 1, 12)
-        return F.conv(head, 16, 10).cast("double")
-    return c.cast("double")
+def _ranked(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the strings of ``column`` replaced by their rank among the distinct ones (null stays null)."""
+    distinct = rows.where(F.col(column).isNotNull()).select(column).distinct()
+    rank = stage(row_rank(distinct, [column], "_rank").select(column, F.col("_rank").cast("double").alias("_rank")), "shard-ranks")
+    return bounded_join(rows, rank, [column], rank.count(), "left").drop(column).withColumnRenamed("_rank", column)
 
 
 def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None,
@@ -55,11 +55,14 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
     """
     fields = {f.name: f for f in docs.schema}
     dims = [d for d in dimensions if d in fields]
+    strings = [d for d in dims if isinstance(fields[d].dataType, T.StringType)]
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         "doc_id", _row_key(docs).alias("row_key"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
         shuffle_key("doc_id").alias("h"), F.xxhash64(F.monotonically_increasing_id()).alias("m"), *names,
-        *[_coordinate(fields[d]).alias(f"v{i}") for i, d in enumerate(dims)])
+        *[F.col(f"`{d}`").cast("string" if d in strings else "double").alias(f"v{i}") for i, d in enumerate(dims)])
+    for i, d in enumerate(dims):
+        rows = _ranked(stage(rows, "shard-strings"), f"v{i}") if d in strings else rows
     rows = stage(rows, "shard-rows")
     ext = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("n"),
                    *[F.struct(F.min(f"v{i}").alias("lo"), F.max(f"v{i}").alias("hi")).alias(f"e{i}")
@@ -155,7 +158,9 @@ def sharded_documents(docs: DataFrame, **options) -> DataFrame:
     are named, the names are sharded, and the texts move once, to meet the places."""
     d, names = numbered(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]))
     with discarding(docs.sparkSession) as keep:
-        places = keep(kd_shards(d.select("_row.*", *names), names=names, **options).select(*names, "shard", "slot"), "shard-places")
+        needed = [c for c in docs.columns if c in ("doc_id", "text", *options.get("dimensions", DIMENSIONS))]
+        d0 = d.select(*[F.col(f"_row.`{c}`").alias(c) for c in needed], *names)
+        places = keep(kd_shards(d0, names=names, **options).select(*names, "shard", "slot"), "shard-places")
     return d.join(places, names).select("_row.*", "shard", "slot")
 
 

@@ -3,6 +3,7 @@ import zlib
 
 import pytest
 from helpers import SF, WORD, jaccard_components, rows, shingles
+from pyspark.sql import functions as F
 
 from lapse.llm import mix, queries, shard
 
@@ -160,3 +161,39 @@ def test_equal_rows_get_their_places_without_a_list(spark):
     places = {(r["shard"], r["slot"]) for r in rows}
     n = [sum(s == k for s, _ in places) for k in range(4)]
     assert len(places) == len(docs) and places == {(k, i) for k in range(4) for i in range(n[k])}
+
+
+def test_strings_split_by_rank_and_names_may_clash(spark):
+    """Sources that share a long prefix still part into shards; columns may have the names used inside."""
+    rows = [(i, "x" * 50, f"https://host.example/{i % 4:03d}", "en", 7) for i in range(80)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    wide = d.select("*", *[F.lit(9).alias(c) for c in ("_file", "_nth", "_row", "v0", "node", "_rank", "row_key")])
+    got = shard.sharded_documents(wide, n_shards=4, dimensions=("source",))
+    assert got.columns == [*wide.columns, "shard", "slot"]
+    per = {(r["source"], r["shard"]) for r in got.collect()}
+    assert len(per) == 4 and got.count() == 80
+
+
+def test_shards_of_a_plain_scan_equal_those_of_a_copy(spark, tmp_path):
+    rows = [(i % 30, "word " * (i % 7), f"s{i % 3}", "en", i) for i in range(60)] + [(1, "same", "s", "en", 1)] * 5
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    d.repartition(3).write.parquet(str(tmp_path / "docs"))
+    got = shard.sharded_documents(spark.read.parquet(str(tmp_path / "docs")), n_shards=4)
+    assert sorted(map(tuple, got.select(*d.columns).collect())) == sorted(map(tuple, d.collect()))
+    slots = [(r["shard"], r["slot"]) for r in got.collect()]
+    assert len(set(slots)) == 65 and all((s, k - 1) in set(slots) for s, k in slots if k)
+
+
+def test_stages_take_odd_tables(spark):
+    """Nulls in any column, empty texts, repeated rows, clashing columns and an empty table through every stage."""
+    import corpus_pipeline as cp
+    text = "the quick brown fox jumps over the lazy dog while seven wise owls watch from the old barn roof tonight"
+    rows = [(1, text, "en", "a", 5), (1, text, "en", "a", 5), (None, text + " again", None, None, None), (2, None, None, "a", None),
+            (3, "", "en", "b", 0), (4, "!!! ???", "en", "b", 7), (None, None, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    wide = d.select("*", *[F.lit("x").alias(c) for c in ("_id", "_t", "_key", "_row", "_file", "shard", "size", "cls")])
+    for docs in (wide, wide.limit(0)):
+        for name, step in cp.STAGES:
+            docs = step(spark, docs, SF)
+            assert set(wide.columns) <= set(docs.columns), name
+            assert docs.count() <= 14
