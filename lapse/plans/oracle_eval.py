@@ -70,6 +70,20 @@ _budget = f"""bud AS (SELECT count(*) AS n_test_users, CAST(sum(is_churn) AS BIG
                row_number() OVER (ORDER BY md5('42:' || CAST(msno AS VARCHAR)), msno) AS rank_random
         FROM results))"""
 
+_logrank = f"""
+WITH {_rn},
+x AS (SELECT duration_days AS t, event_churned AS e, CASE WHEN is_auto_renew = 1 THEN 1 ELSE 0 END AS g FROM rn),
+tt AS (SELECT t, CAST(sum(e) AS DOUBLE) AS d, CAST(count(*) AS DOUBLE) AS r, CAST(sum(e * g) AS DOUBLE) AS d1,
+              CAST(sum(g) AS DOUBLE) AS r1 FROM x GROUP BY t),
+w AS (SELECT *, sum(r) OVER (ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS n,
+             sum(r1) OVER (ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS n1 FROM tt),
+agg AS (SELECT sum(d1 - d * n1 / n) AS ome,
+               sum(CASE WHEN n > 1 THEN d * (n1 / n) * (1 - n1 / n) * (n - d) / (n - 1) ELSE 0.0 END) AS v,
+               sum(d1) AS o1, sum(d * n1 / n) AS e1 FROM w)
+"""
+_logrank_row = f"""SELECT {R('ome', 6, 'o_minus_e')}, {R('v', 6, 'variance')}, CAST(o1 AS BIGINT) AS observed_1, {R('e1', 6, 'expected_1')},
+       {R('ome * ome / v', 6, 'chi2')}"""
+
 ORACLE = {
     "auc_roc": with_base(f"""
 WITH rr AS (SELECT is_churn, rank() OVER (ORDER BY p_churn_raw)
@@ -150,18 +164,11 @@ SELECT t, at_risk, events, censored, {R('survival')}, {R('greenwood')},
        {R(f'CASE WHEN survival = 1 THEN 1.0 WHEN survival > 0 AND survival < 1 AND greenwood IS NOT NULL '
           f'THEN exp(-exp(ln(-ln(survival)) + {Z} * sqrt(greenwood) / ln(survival))) END', 6, 'ci_upper')}
 FROM g"""),
-    "logrank": with_base(f"""
-WITH {_rn},
-x AS (SELECT duration_days AS t, event_churned AS e, CASE WHEN is_auto_renew = 1 THEN 1 ELSE 0 END AS g FROM rn),
-tt AS (SELECT t, CAST(sum(e) AS DOUBLE) AS d, CAST(count(*) AS DOUBLE) AS r, CAST(sum(e * g) AS DOUBLE) AS d1,
-              CAST(sum(g) AS DOUBLE) AS r1 FROM x GROUP BY t),
-w AS (SELECT *, sum(r) OVER (ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS n,
-             sum(r1) OVER (ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS n1 FROM tt),
-agg AS (SELECT sum(d1 - d * n1 / n) AS ome,
-               sum(CASE WHEN n > 1 THEN d * (n1 / n) * (1 - n1 / n) * (n - d) / (n - 1) ELSE 0.0 END) AS v,
-               sum(d1) AS o1, sum(d * n1 / n) AS e1 FROM w)
-SELECT {R('ome', 6, 'o_minus_e')}, {R('v', 6, 'variance')}, CAST(o1 AS BIGINT) AS observed_1, {R('e1', 6, 'expected_1')},
-       {R('ome * ome / v', 6, 'chi2')} FROM agg"""),
+    "logrank": with_base(_logrank + _logrank_row + " FROM agg"),
+    # P(chi2 > x) = 1 - erf(z) at z^2 = x / 2; erf by its series, 0 beyond what a double tells
+    "logrank_test": with_base(_logrank + _logrank_row + f""",
+       {R("""CASE WHEN ome * ome / v > 60 THEN 0.0 ELSE 1.0 - exp(-ome * ome / v / 2) * (
+            SELECT sum(pow(sqrt(ome * ome / v / 2), 2 * k + 1) / gamma(k + 1.5)) FROM range(150) g(k)) END""", 6, 'p_value')} FROM agg"""),
     "calibration_bins": with_base(f"""
 WITH {_bins}, {_calg}
 SELECT bin, {R('bin_lo')}, {R('bin_hi')}, n, {R('conf', 6, 'avg_confidence')}, {R('acc', 6, 'avg_accuracy')} FROM cb"""),
