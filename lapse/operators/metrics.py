@@ -24,27 +24,35 @@ def score_table(df: DataFrame, score: str, label: str) -> DataFrame:
             .agg(F.sum(y).alias("n_pos"), F.sum(F.lit(1) - y).alias("n_neg")))
 
 
+def left_out(df: DataFrame, *cols: str):
+    """The number of rows that a metric leaves out because one of ``cols`` is NULL, a scalar subquery."""
+    lost = F.lit(False)
+    for c in cols:
+        lost = lost | F.col(c).isNull()
+    return df.select(F.count_if(lost)).scalar().cast("bigint").alias("n_left_out")
+
+
 def _desc_curve(df, score, label):
     st = score_table(df, score, label)
     return cumulative(st, [f"{score} desc"], ["n_pos", "n_neg"])
 
 
 def auc_roc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """ROC AUC with ties counted as one half (K1)."""
+    """ROC AUC with ties counted as one half (K1); rows without a score are counted in n_left_out."""
     st = score_table(df, score, label)
     c = cumulative(st, [score], ["n_neg"])
     below = F.col("cum_n_neg") - F.col("n_neg")
     return c.agg(
         safe_div(F.sum(F.col("n_pos") * (below + F.col("n_neg") / 2.0)),
                  F.sum("n_pos") * F.sum("n_neg")).alias("auc_roc"),
-        F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
+        F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg")).select("*", left_out(df, score))
 
 
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Step-wise average precision: sum over thresholds of (R_k - R_k-1) * P_k (K2)."""
+    """Step-wise average precision: sum over thresholds of (R_k - R_k-1) * P_k (K2); rows without a score are counted in n_left_out."""
     c = _desc_curve(df, score, label)
     prec = F.col("cum_n_pos") / (F.col("cum_n_pos") + F.col("cum_n_neg"))
-    return c.agg(safe_div(F.sum(F.col("n_pos") * prec), F.sum("n_pos")).alias("average_precision"))
+    return c.agg(safe_div(F.sum(F.col("n_pos") * prec), F.sum("n_pos")).alias("average_precision")).select("*", left_out(df, score))
 
 
 def roc_curve(df: DataFrame, score: str, label: str) -> DataFrame:

@@ -90,10 +90,12 @@ WITH rr AS (SELECT is_churn, rank() OVER (ORDER BY p_churn_raw)
                    + (count(*) OVER (PARTITION BY p_churn_raw) - 1) / 2.0 AS rk FROM scored),
 s AS (SELECT sum(rk) FILTER (WHERE is_churn = 1) AS sr, CAST(count_if(is_churn = 1) AS BIGINT) AS n_pos,
              CAST(count_if(is_churn = 0) AS BIGINT) AS n_neg FROM rr)
-SELECT {R('(sr - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg)', 6, 'auc_roc')}, n_pos, n_neg FROM s"""),
+SELECT {R('(sr - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg)', 6, 'auc_roc')}, n_pos, n_neg,
+       (SELECT CAST(count_if(p_churn_raw IS NULL) AS BIGINT) FROM scored) AS n_left_out FROM s"""),
     "average_precision": with_base(f"""
 WITH {_st}, {_cum}
-SELECT {R('sum(np * ctp / (ctp + cfp)) / sum(np)', 6, 'average_precision')} FROM cc"""),
+SELECT {R('sum(np * ctp / (ctp + cfp)) / sum(np)', 6, 'average_precision')},
+       (SELECT CAST(count_if(p_churn_raw IS NULL) AS BIGINT) FROM scored) AS n_left_out FROM cc"""),
     "roc_curve": with_base(f"""
 WITH {_st}, {_cum}, tot AS (SELECT CAST(sum(np) AS DOUBLE) AS P, CAST(sum(nn) AS DOUBLE) AS N FROM st)
 SELECT CAST(NULL AS DOUBLE) AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr
@@ -127,7 +129,7 @@ pr AS (SELECT CASE WHEN j.sc > i.sc THEN 1 ELSE 0 END AS c, CASE WHEN j.sc = i.s
               CASE WHEN j.sc < i.sc THEN 1 ELSE 0 END AS dd
        FROM ss i JOIN ss j ON i.e = 1 AND (j.d > i.d OR (j.d = i.d AND j.e = 0)))
 SELECT CAST(sum(c) AS BIGINT) AS concordant, CAST(sum(t) AS BIGINT) AS tied, CAST(sum(dd) AS BIGINT) AS discordant,
-       count(*) AS comparable_pairs, {R('(sum(c) + 0.5 * sum(t)) / count(*)', 6, 'c_index')} FROM pr"""),
+       count(*) AS comparable_pairs, {R('(sum(c) + 0.5 * sum(t)) / count(*)', 6, 'c_index')}, CAST(0 AS BIGINT) AS n_left_out FROM pr"""),
     "tie_structure": with_base("""
 SELECT count(*) AS n_distinct, max(c) AS largest_tie_group, CAST(sum(c) AS BIGINT) AS n_rows
 FROM (SELECT p_churn_raw, count(*) AS c FROM scored GROUP BY 1)"""),

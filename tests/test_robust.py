@@ -104,3 +104,10 @@ def test_small_sides_do_not_move_the_big_one(spark):
         assert enc.where("g_enc = g").count() == 1000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_metrics_count_the_rows_they_leave_out(spark):
+    from lapse.operators.concordance import concordance_counts
+    df = spark.createDataFrame([(0.9, 1, 5), (None, 1, 4), (0.2, 0, 3), (None, 0, None), (0.4, 1, None)], "s double, y int, d int")
+    assert met.auc_roc(df, "s", "y").first().n_left_out == 2 and met.average_precision(df, "s", "y").first().n_left_out == 2
+    assert concordance_counts(df, "d", "y", "s").first().n_left_out == 3
