@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapse.operators.metrics import hash_order, hash_uniform
-from lapse.operators.profile import long_values
-from lapse.operators.ranking import SMALL_ROWS, join_small, quantiles, row_rank
+from lapse.operators.ranking import SMALL_ROWS, join_small, row_rank, wide_quantiles
 from lapse.session import materialize
 
 SPLITS = ("train", "val", "test")
@@ -59,8 +58,7 @@ def stratified_sample(df: DataFrame, key: str, stratum: str, fracs: dict, seed:
 
 def fit_medians(train: DataFrame, cols) -> DataFrame:
     """Exact train medians per column: (column, median)."""
-    return quantiles(long_values(train, cols), "value", [0.5], by=["column"]) \
-        .select("column", F.col("q").alias("median"))
+    return wide_quantiles(train, cols, [0.5]).select("column", F.col("q").alias("median"))
 
 
 def fit_sentinels(train: DataFrame, cols, plus: float = 30) -> DataFrame:

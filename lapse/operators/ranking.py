@@ -151,6 +151,46 @@ def quantiles(df: DataFrame, value: str, probs, by=(), approx: bool = False,
     return g.select(*by, F.explode(F.array(*outs)).alias("_pq")).select(*by, "_pq.p", "_pq.q")
 
 
+def wide_quantiles(df: DataFrame, cols, probs, accuracy: int = 10_000) -> DataFrame:
+    """(column, p, q): exact quantiles, with linear interpolation, of several numeric columns; no row is sorted or moved.
+
+    One aggregate of bounded summaries gives, for every target, two values that lie at most 5 n / accuracy places below and above it.
+    A second pass counts what is below each bracket and the distinct values inside, a few
+    thousandths of the rows or, with ties, a few values.  The places are read off those counts.  A column of up to ``accuracy`` rows is its own bracket.
+    """
+    cols, probs, d = list(cols), [float(p) for p in probs], 4.0 / accuracy
+    at = [x for p in probs for x in (max(0.0, p - d), min(1.0, p + d))]
+    vals = {c: F.col(c).cast("double") for c in cols}
+    stat = df.agg(*[F.struct(F.count(v).alias("n"), F.percentile_approx(v, at, accuracy).alias("q")).alias(f"s{i}")
+                    for i, v in enumerate(vals.values())]).first()
+    want = []                                 # column, prob, bracket, n: a few numbers per target
+    for i, c in enumerate(cols):
+        n, q = stat[f"s{i}"]["n"], stat[f"s{i}"]["q"] or []
+        for j, p in enumerate(probs):
+            whole = n <= accuracy
+            want.append((c, p, None if whole or p <= d else q[2 * j], None if whole or p >= 1 - d else q[2 * j + 1], n))
+    inside = F.array_compact(F.array(*[
+        F.when(vals[c].isNotNull() & (F.lit(True) if lo is None else vals[c] >= lo) & (F.lit(True) if hi is None else vals[c] <= hi),
+               F.struct(F.lit(k).alias("k"), vals[c].alias("v"))) for k, (c, _, lo, hi, _) in enumerate(want)]))
+    counts = df.select(F.explode(inside).alias("x")).groupBy("x.k", "x.v").agg(F.count(F.lit(1)).alias("m"))
+    below = df.agg(*[(F.lit(0).cast("bigint") if lo is None else F.count_if(vals[c] < lo)).alias(f"b{k}")
+                     for k, (c, _, lo, _, _) in enumerate(want)]).first()
+    targets = df.sparkSession.createDataFrame(
+        [(k, c, p, n, below[f"b{k}"], p * (n - 1)) for k, (c, p, _, _, n) in enumerate(want)],
+        "k int, column string, p double, n long, below long, pos double")
+    w = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = counts.select("k", "v", "m", F.sum("m").over(w).alias("upto")).join(F.broadcast(targets), "k")
+    first, last = F.col("below") + F.col("upto") - F.col("m"), F.col("below") + F.col("upto") - 1
+
+    def holds(r):
+        return F.max(F.when((r >= first) & (r <= last), F.col("v")))
+
+    g = run.groupBy("k").agg(holds(F.floor("pos")).alias("lo"), holds(F.ceil("pos")).alias("hi"))
+    frac = F.col("pos") - F.floor("pos")
+    return targets.join(F.broadcast(g), "k", "left").select(
+        "column", "p", (F.col("lo") + frac * (F.col("hi") - F.col("lo"))).alias("q"))
+
+
 def running_best(df: DataFrame, order_col: str, value_col: str, mode: str = "max",
                  by=(), name: str = "best_so_far") -> DataFrame:
     """Running best of a sequence per study (F5).  Trials per study are few

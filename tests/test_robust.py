@@ -111,3 +111,19 @@ def test_metrics_count_the_rows_they_leave_out(spark):
     df = spark.createDataFrame([(0.9, 1, 5), (None, 1, 4), (0.2, 0, 3), (None, 0, None), (0.4, 1, None)], "s double, y int, d int")
     assert met.auc_roc(df, "s", "y").first().n_left_out == 2 and met.average_precision(df, "s", "y").first().n_left_out == 2
     assert concordance_counts(df, "d", "y", "s").first().n_left_out == 3
+
+
+def test_wide_quantiles_are_exact(spark):
+    import numpy as np
+    r = np.random.default_rng(4)
+    n = 3000
+    cols = {"a": r.normal(size=n), "b": r.integers(0, 3, n).astype(float), "c": np.round(r.exponential(size=n), 1), "d": np.full(n, 7.0)}
+    rows = [tuple(float(v[i]) if (i + j) % 11 else None for j, v in enumerate(cols.values())) for i in range(n)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").withColumn("e", F.lit(None).cast("double")).repartition(5)
+    for accuracy in (100, 10_000):         # brackets, and whole columns
+        got = {(x["column"], x["p"]): x["q"] for x in rk.wide_quantiles(df, [*cols, "e"], [0.0, 0.01, 0.25, 0.5, 0.9, 1.0], accuracy).collect()}
+        for j, c in enumerate(cols):
+            v = np.array([x[j] for x in rows if x[j] is not None])
+            for p in (0.0, 0.01, 0.25, 0.5, 0.9, 1.0):
+                assert got[c, p] == pytest.approx(np.quantile(v, p)), (c, p, accuracy)
+        assert got["e", 0.5] is None
