@@ -9,9 +9,9 @@ over the whole corpus), two classes that link share a token among the first
 n - ceil(percent * n / 100) + 1 of each, their openers.  At the first token they
 share, what follows in either set bounds their overlap; that bound is part of the joins.
 
-1. Groups of similar documents.  Each opener has a centre (its smallest
-   class); the classes that link with a centre form groups with it (connected
-   components), so a group of any number of copies costs one comparison a member.
+1. Groups of similar documents.  Each opener has a centre (the first of its classes in
+   an order of its own, so that the openers of one large group have different centres); the classes that link with a centre form groups with it
+   (connected components), so a group of any number of copies costs a comparison per member and opener.
 2. Token-group matrix.  What is left are classes of different groups that
    share an opener.  Those with the same most shared opener form blocks of similar documents, of bounded size; the matrix
    holds (opener, block), a query is a class of the smaller group.  For each block
@@ -204,16 +204,17 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     classes = stage(openers.dropDuplicates(["cls"]).join(first, "cls"), "join-classes")
 
     entry = classes.select("cls", "n", F.posexplode("tokens").alias("pos", "token")).select(
-        "cls", "token", (F.col("n") - F.col("pos")).cast("int").alias("rest"))
-    shared = entry.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high")
-    shared = stage(entry.join(shared.select("token", "low"), "token"), "join-shared")
+        "cls", "token", (F.col("n") - F.col("pos")).cast("int").alias("rest"), F.xxhash64("cls", "token").alias("order"))
+    shared = entry.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.min("order").alias("first")).where("low <> high")
+    shared = stage(entry.join(shared.select("token", "first"), "token"), "join-shared")
 
     # 1. groups: every class against the centres of its openers
     size = classes.select("cls", "n")
-    centre = shared.where("cls = low").join(size, "cls").select("token", F.col("n").alias("n_low"), F.col("rest").alias("rest_low"))
-    centred = shared.where("cls <> low").join(size, "cls").join(centre, "token")
+    centre = shared.where("order = first").join(size, "cls").select(
+        "token", F.col("cls").alias("y"), F.col("n").alias("n_low"), F.col("rest").alias("rest_low"))
+    centred = shared.where("order <> first").join(size, "cls").join(centre, "token")
     centred = centred.where(_reach("n", "rest", "n_low", "rest_low", percent)).select(
-        F.col("cls").alias("x"), F.col("low").alias("y")).distinct()
+        F.greatest("cls", "y").alias("x"), F.least("cls", "y").alias("y")).distinct()
     links = _verified(_near(centred, classes, percent), docs, classes, k, percent, levels)
     comp = stage(components(links.toDF("a", "b"), "join-groups"), "join-group")
 
