@@ -130,3 +130,25 @@ def test_kde_is_exact(spark):
         assert g.x == pytest.approx(at)
         want = np.exp(-0.5 * ((at - v) / h) ** 2).sum() / (len(v) * h * np.sqrt(2 * np.pi))
         assert g.density == pytest.approx(want, rel=1e-9, abs=1e-15)
+
+
+def test_task_size_is_bounded(spark):
+    """Queries ask for small tasks and many partitions; settings that ask for even smaller ones stay."""
+    from lapse import session
+    old = {k: spark.conf.get(k, None) for k in (session.ADVISORY, session.INITIAL)}
+    try:
+        spark.conf.set(session.ADVISORY, "64MB")
+        spark.conf.unset(session.INITIAL)
+        session.bound_tasks(spark)
+        assert session._bytes(spark.conf.get(session.ADVISORY)) == 16 << 20 and spark.conf.get(session.INITIAL) == "1000"
+        spark.conf.set(session.ADVISORY, "8m")
+        spark.conf.set(session.INITIAL, "2000")
+        session.bound_tasks(spark)
+        assert spark.conf.get(session.ADVISORY) == "8m" and spark.conf.get(session.INITIAL) == "2000"
+        spark.conf.unset(session.INITIAL)
+        spark.conf.set(session.ADVISORY, "1m")
+        d = spark.range(0, 400_000, 1, 8).groupBy("id").agg(F.count("*").alias("n"))
+        assert d.rdd.getNumPartitions() >= 2 and d.count() == 400_000
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
