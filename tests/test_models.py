@@ -174,3 +174,42 @@ def test_successive_halving_keeps_the_better_half(spark):
     for rung, g in t.groupby("rung"):
         assert set(g[g.kept].candidate) == set(g.nsmallest(max(1, len(g) // 2), "metric").candidate)
     assert best["s"].stopped and t.metric.iloc[-1] == pytest.approx(min(h["val"] for h in best["s"].history))
+
+
+def test_driver_gets_candidates_not_histograms(spark, monkeypatch):
+    """What a pass brings to the driver does not depend on the number of bins, and blocks do not change the model."""
+    import pickle
+    d, sizes, merged = data(spark, 3000), [], bo._Fit._merged
+
+    def told(self, *a):
+        out = merged(self, *a)
+        sizes.append(len(pickle.dumps(out)))
+        return out
+
+    monkeypatch.setattr(bo._Fit, "_merged", told)
+    opts = dict(categories=CATS, rounds=2, depth=3, max_bins=1024)
+    one = bo.fit(d, d, COLS, "y", **opts)
+    assert len(one.edges[0]) > 500 and max(sizes) < 4 * 3 * 400
+    monkeypatch.setattr(bo, "FEW_ROWS", 500)
+    monkeypatch.setattr(bo, "CHECKPOINT", 1)
+    many = bo.fit(d.repartition(9), d.repartition(5), COLS, "y", **opts)
+    p, q = (m.score(d, "p").orderBy("msno").toPandas().p.to_numpy() for m in (one, many))
+    assert p == pytest.approx(q) and one.history[2]["val"] == pytest.approx(many.history[2]["val"])
+
+
+def test_candidates_run_side_by_side_on_rows_binned_once(spark, monkeypatch):
+    import threading
+    d, met, made, prepare = data(spark), threading.Barrier(4, timeout=60), [], bo.prepare
+    monkeypatch.setattr(bo, "prepare", lambda *a, **k: made.append(1) or prepare(*a, **k))
+    study = ml.boosted_study(d, d, COLS, "y", "logistic", CATS)
+
+    def fit(params, rounds, begin):
+        if begin is None:
+            met.wait()
+        return study(params, rounds if rounds else 3, begin)
+
+    t, best = ml.successive_halving({"s": ([{"rate": r, "depth": 2} for r in (.1, .2, .3, .4)], fit)}, spark, first=1)
+    assert t.count() == 7 and len(made) == 1
+    alone = bo.fit(d, d, COLS, "y", "logistic", categories=CATS, patience=20, depth=2, rate=best["s"].params["rate"], rounds=1 + 2 + 3)
+    assert best["s"].history[3]["val"] == pytest.approx(alone.history[3]["val"])
+    study.release()
