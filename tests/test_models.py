@@ -3,6 +3,7 @@ import json
 import math
 import random
 import tempfile
+import threading
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from lapse.operators import boosting as bo
 from lapse.operators import calibration as cal
 from lapse.operators import model_store as store
 from lapse.operators import models as ml
+from lapse.operators import prep
 
 
 def data(spark, n=400, seed=1):
@@ -213,3 +215,59 @@ def test_candidates_run_side_by_side_on_rows_binned_once(spark, monkeypatch):
     alone = bo.fit(d, d, COLS, "y", "logistic", categories=CATS, patience=20, depth=2, rate=best["s"].params["rate"], rounds=1 + 2 + 3)
     assert best["s"].history[3]["val"] == pytest.approx(alone.history[3]["val"])
     study.release()
+
+
+def test_driver_gets_one_candidate_of_each_node_and_range(spark, monkeypatch):
+    """What a pass brings to the driver does not grow with the inputs; a few blocks share one task that finds the splits."""
+    d, told, merged = data(spark, 2000), [], bo._Fit._merged
+    wide = d.select("*", *[F.expr(f"a * {i} + pmod(msno * {i + 3}, 17)").alias(f"x{i}") for i in range(20)])
+
+    def counted(self, *a):
+        out = merged(self, *a)
+        told.append((self.tasks, self.data.getNumPartitions(), len(out)))
+        return out
+
+    monkeypatch.setattr(bo._Fit, "_merged", counted)
+    cols = COLS + [f"x{i}" for i in range(20)]
+    opts = dict(categories=CATS, rounds=2, depth=3)
+    one = bo.fit(wide, wide, cols, "y", **opts)
+    assert all(tasks == 1 and n <= 4 + 1 for tasks, _, n in told)
+    monkeypatch.setattr(bo, "FEW_ROWS", 500)
+    monkeypatch.setattr(bo, "PART_ROWS", 500)
+    monkeypatch.setattr(bo, "MERGE_BLOCKS", 2)
+    told.clear()
+    many = bo.fit(wide, wide, cols, "y", **opts)
+    assert all(blocks >= 8 and tasks == 1 + blocks // 2 and n <= 4 * tasks + 1 for tasks, blocks, n in told)
+    assert [t["splits"] for t in one.trees] == [t["splits"] for t in many.trees]
+
+
+def test_folds_grow_along_with_the_full_model(spark, monkeypatch):
+    """The folds' models start before the full one has ended, take as many rounds, and score as fits of that many rounds do."""
+    d = data(spark, 600).withColumn("split", F.when(F.col("msno") % 4 == 0, "val").otherwise("train"))
+    begun, fit = threading.Barrier(3, timeout=60), bo.fit
+    made = {}
+
+    def met(*a, **k):
+        begun.wait()
+        m = fit(*a, **k)
+        made.setdefault(k.get("follows") is not None, []).append(m)
+        return m
+
+    monkeypatch.setattr(bo, "fit", met)
+    scored, full = ml.cross_fit(d, COLS, "y", CATS, 2, 7, patience=3)
+    assert full.stopped and 0 < full.best_round == len(full.trees)
+    assert [len(m.trees) for m in made[True]] == [full.best_round] * 2 and all(len(m.history) == full.best_round + 1 for m in made[True])
+    monkeypatch.setattr(bo, "fit", fit)
+    folds = prep.kfold(d, "msno", 2, 7).filter("split = 'train'")
+    got = {r.msno: r.p_pay for r in scored.collect()}
+    for i in range(2):
+        alone = bo.fit(folds.filter(F.col("fold") != i), None, COLS, "y", categories=CATS, **{**ml.FIT, "patience": 3, "rounds": full.best_round})
+        want = alone.score(folds.filter(F.col("fold") == i), "p").collect()
+        assert want and all(got[r.msno] == pytest.approx(r.p) for r in want)
+
+
+def test_folds_end_when_the_full_model_fails(spark):
+    pace = bo.Pace()
+    with pytest.raises(ValueError):
+        bo.fit(data(spark).filter("false"), None, COLS, "y", tells=pace)
+    assert not pace.reaches(1)
