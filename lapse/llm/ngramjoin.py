@@ -40,18 +40,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lapse.llm import wordhash as wh
-from lapse.llm.common import BROADCAST_ROWS, bounded_join, components, discarding, stage
+from lapse.llm.common import BROADCAST_ROWS, arrow_rows, bounded_join, components, discarding, stage
 
 COUNT_BITS = 20          # hashed counters of the token order
 BLOCK_SHINGLES = 1 << 14  # shingles of a block of the matrix, about
 PARTS = 64               # buckets of a set's histogram
 FEW = 8                  # members up to which a block of the matrix is compared one by one
+SLICE = 1 << 18          # bytes of text hashed at a time: some forty times that are held meanwhile
+BATCH_ROWS = 1000        # rows of an Arrow batch, held by the executor and by its Python worker
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of every text."""
     data, off = wh.utf8(texts)
-    for i, j in wh.slices(off, wh.SLICE // 4):
+    for i, j in wh.slices(off, SLICE):
         d, o = wh.LOWER[data[off[i]:off[j]]], off[i:j + 1] - off[i]
         start, end, first = wh.words(d, o)
         h = wh.word_hashes(d, start, end)
@@ -191,7 +193,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
 
 def _named(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """One row per document, staged: doc_id, n_shingles, cls (key of its set, null if empty), component (of classes)."""
-    with discarding(docs.sparkSession) as keep:
+    with discarding(docs.sparkSession) as keep, arrow_rows(docs.sparkSession, BATCH_ROWS):
         return keep(_components(docs, k, percent), "join-named")
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import SF, Union, jaccard_components
 
@@ -123,3 +124,20 @@ def test_cover_tree_query_on_tables(spark):
 
 def test_cover_tree_empty_table(spark):
     assert covertree.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_ngram_join_holds_few_texts_at_a_time(spark, monkeypatch):
+    """Batches of Arrow and slices of texts are small while texts are hashed; neither changes the result."""
+    rows = [(i, " ".join(f"w{(i // 3 * 7 + j) % 97}" for j in range(30 + i % 3))) for i in range(60)] + [(60, None), (61, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before, seen, staged = spark.conf.get(common.BATCH), [], ngramjoin.stage
+    monkeypatch.setattr(ngramjoin, "stage", lambda df, name: seen.append(int(spark.conf.get(common.BATCH))) or staged(df, name))
+    one = sorted(map(tuple, ngramjoin.jaccard_components(docs).collect()))
+    assert seen and max(seen) <= 1000 and ngramjoin.SLICE <= 1 << 18 and spark.conf.get(common.BATCH) == before
+    with common.arrow_rows(spark, 7):
+        assert sorted(map(tuple, ngramjoin.jaccard_components(docs).collect())) == one and spark.conf.get(common.BATCH) == "7"
+    assert spark.conf.get(common.BATCH) == before
+    texts = pa.array([t for _, t in rows])
+    whole = [s.tolist() for s in ngramjoin._sets(texts, 3)]
+    monkeypatch.setattr(ngramjoin, "SLICE", 100)
+    assert [s.tolist() for s in ngramjoin._sets(texts, 3)] == whole
