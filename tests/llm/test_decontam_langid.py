@@ -2,6 +2,7 @@ import itertools
 import random
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import regex
@@ -134,6 +135,16 @@ def test_language_prediction_does_not_depend_on_the_slice():
     assert [x[1][0] for x in one] == pytest.approx(list(all_[1]), rel=1e-12)
 
 
+def test_language_prediction_holds_few_texts_at_a_time(monkeypatch):
+    """Texts of one Arrow batch are classified in slices of at most 128 KB, one text at least."""
+    m, seen = langid.Model(["a", "b"], np.random.default_rng(1).normal(size=(langid.BUCKETS, 2)), np.zeros(2)), []
+    logits = langid.Model.logits
+    monkeypatch.setattr(langid.Model, "logits", lambda self, d, o: seen.append((len(d), len(o) - 1)) or logits(self, d, o))
+    texts = pa.array(["die der das " * 400] * 200 + ["und " * 60_000, None, ""])
+    m.predict(texts)
+    assert sum(n for _, n in seen) == len(texts) and all(size <= 1 << 17 or n == 1 for size, n in seen)
+
+
 def test_documents_without_passages_keep_all_columns(spark):
     t = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
     d = spark.createDataFrame([(1, "x " + t, 1), (2, "clean", 2), (2, "clean", 2), (None, None, 3), (None, t, 4)], "doc_id long, text string, n long")
