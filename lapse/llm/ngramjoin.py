@@ -43,6 +43,8 @@ from lapse.llm import wordhash as wh
 from lapse.llm.common import BROADCAST_ROWS, arrow_rows, bounded_join, components, discarding, stage
 
 COUNT_BITS = 20          # hashed counters of the token order
+COUNTERS = 1 << 13       # counters that travel in one row
+WIDTHS = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}    # bytes of a counter: as few as a row's largest one needs
 BLOCK_SHINGLES = 1 << 14  # shingles of a block of the matrix, about
 PARTS = 64               # buckets of a set's histogram
 FEW = 8                  # members up to which a block of the matrix is compared one by one
@@ -67,11 +69,19 @@ def _key(s: np.ndarray) -> int:
     return int(wh.mix(np.add.reduce(wh.mix(s + wh.U(1)), dtype=np.uint64).reshape(1) + wh.U(len(s))).view(np.int64)[0])
 
 
+def _packed(count: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Counters in rows of COUNTERS each, without the rows that hold zeros only."""
+    rows = count.reshape(-1, COUNTERS)
+    top = rows.max(1)
+    for i in np.flatnonzero(top).tolist():
+        yield i, rows[i].astype(next(t for t in WIDTHS.values() if top[i] <= np.iinfo(t).max)).tobytes()
+
+
 def _scan(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (doc_id, n, cls) of documents and (bucket, count) of the hashed counters of shingles."""
+    """Rows (doc_id, n, cls) of documents and (bucket, counts) of the hashed counters of shingles."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(1 << COUNT_BITS, np.int64)
-        names = ["doc_id", "n", "cls", "bucket", "count"]
+        names = ["doc_id", "n", "cls", "bucket", "counts"]
         for b in batches:
             n, cls = [], []
             for s in _sets(b.column("text"), k):
@@ -81,24 +91,33 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
             rows = len(n)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(rows, pa.int32()),
-                 pa.nulls(rows, pa.int64())], names)
-        at = np.flatnonzero(count)
-        for i in range(0, len(at), 1 << 16):
-            x = at[i:i + (1 << 16)]
+                 pa.nulls(rows, pa.binary())], names)
+        for i, raw in _packed(count):
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64()),
-                 pa.array(x, pa.int32()), pa.array(count[x], pa.int64())], names)
+                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([i], pa.int32()),
+                 pa.array([raw], pa.binary())], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        scan, "doc_id long, n long, cls long, bucket int, count long")
+        scan, "doc_id long, n long, cls long, bucket int, counts binary")
 
 
 def _levels(scan: DataFrame) -> np.ndarray:
     """Order of the tokens by their hashed counts: half powers of two (2^20 bytes)."""
-    out = np.zeros(1 << COUNT_BITS, np.uint8)
-    rows = scan.where("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("count")).toPandas()
-    out[rows["bucket"].to_numpy()] = np.minimum(2 * np.log2(rows["count"].to_numpy().astype(float)), 255).astype(np.uint8)
-    return out
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for b in batches:
+            for i, raw in zip(b.column("bucket").to_pylist(), b.column("counts")):
+                raw = raw.as_buffer()
+                total[i] = total.get(i, 0) + np.frombuffer(raw, WIDTHS[len(raw) // COUNTERS]).astype(np.int64)
+        for i, n in total.items():
+            level = np.minimum(2 * np.log2(np.maximum(n, 1).astype(float)), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([level.tobytes()])], ["bucket", "levels"])
+
+    out = np.zeros((1 << COUNT_BITS) // COUNTERS * COUNTERS, np.uint8).reshape(-1, COUNTERS)
+    rows = scan.where("bucket is not null").select("bucket", "counts").repartition("bucket").mapInArrow(add, "bucket int, levels binary")
+    for r in stage(rows, "join-levels").collect():
+        out[r["bucket"]] = np.frombuffer(r["levels"], np.uint8)
+    return out.reshape(-1)
 
 
 def _details(docs: DataFrame, k: int, percent: int, levels: np.ndarray, what: str) -> DataFrame:
@@ -158,10 +177,11 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, levels) -> DataFrame:
     """The pairs (x, y) that link by their whole sets.  Only documents of the pairs' classes are read again."""
-    pairs = stage(pairs, "join-pairs")
-    s = _whole_sets(pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("y").alias("cls"))),
-                    docs, classes, k, percent, levels)
-    return stage(_linked(pairs, s, percent), "join-links")
+    with discarding(docs.sparkSession) as keep:          # the sets go as soon as they are compared
+        pairs = stage(pairs, "join-pairs")
+        s = _whole_sets(pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("y").alias("cls"))),
+                        docs, classes, k, percent, levels)
+        return keep(_linked(pairs, s, percent), "join-links")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -206,9 +226,11 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     classes = stage(openers.dropDuplicates(["cls"]).join(first, "cls"), "join-classes")
 
     entry = classes.select("cls", "n", F.posexplode("tokens").alias("pos", "token")).select(
-        "cls", "token", (F.col("n") - F.col("pos")).cast("int").alias("rest"), F.xxhash64("cls", "token").alias("order"))
-    shared = entry.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.min("order").alias("first")).where("low <> high")
-    shared = stage(entry.join(shared.select("token", "first"), "token"), "join-shared")
+        "cls", "token", (F.col("n") - F.col("pos")).cast("int").alias("rest"))
+    order = F.xxhash64("cls", "token").alias("order")
+    # every opener moves twice: no column moves that the others give (two orders are two classes)
+    shared = entry.select("token", order).groupBy("token").agg(F.min("order").alias("first"), F.max("order").alias("last")).where("first <> last")
+    shared = stage(entry.join(shared.select("token", "first"), "token").select("token", "cls", "rest", order, "first"), "join-shared")
 
     # 1. groups: every class against the centres of its openers
     size = classes.select("cls", "n")
@@ -271,13 +293,14 @@ def _matrix_links(grouped: DataFrame, comp: DataFrame, docs: DataFrame, classes:
     many = met.where(F.col("members") > FEW).select("x", "rank_x", "block")
     inside = stage(member.join(many.select("block").distinct(), "block", "left_semi").select("block", F.col("cls").alias("y"), F.col("rank").alias("rank_y")),
                    "join-inside")
-    sets = _whole_sets(many.select(F.col("x").alias("cls")).unionByName(inside.select(F.col("y").alias("cls"))),
-                       docs, classes, k, percent, levels)
-    union = stage(sets.join(inside.select(F.col("y").alias("cls"), "block"), "cls").groupBy("block").agg(
-        F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union")), "join-unions")
-    asked = many.join(sets.toDF("x", "n_x", "s_x"), "x").join(union, "block")
-    opened = stage(asked.where(F.size(F.array_intersect("s_x", "union")).cast("long") * 100 >= F.col("n_x") * percent).select("x", "rank_x", "block"),
-                   "join-opened")
+    with discarding(docs.sparkSession) as keep:
+        sets = _whole_sets(many.select(F.col("x").alias("cls")).unionByName(inside.select(F.col("y").alias("cls"))),
+                           docs, classes, k, percent, levels)
+        union = stage(sets.join(inside.select(F.col("y").alias("cls"), "block"), "cls").groupBy("block").agg(
+            F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union")), "join-unions")
+        asked = many.join(sets.toDF("x", "n_x", "s_x"), "x").join(union, "block")
+        opened = keep(asked.where(F.size(F.array_intersect("s_x", "union")).cast("long") * 100 >= F.col("n_x") * percent).select(
+            "x", "rank_x", "block"), "join-opened")
     pairs = few.unionByName(opened.join(inside, "block").where("rank_x < rank_y").select("x", "y")).distinct()
     return _verified(_near(pairs, classes, percent), docs, classes, k, percent, levels)
 

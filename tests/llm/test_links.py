@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import SF, Union, jaccard_components
+from pyspark.sql import functions as F
 
 from lapse.llm import common, covertree, ngramjoin, queries
 
@@ -141,3 +142,28 @@ def test_ngram_join_holds_few_texts_at_a_time(spark, monkeypatch):
     whole = [s.tolist() for s in ngramjoin._sets(texts, 3)]
     monkeypatch.setattr(ngramjoin, "SLICE", 100)
     assert [s.tolist() for s in ngramjoin._sets(texts, 3)] == whole
+
+
+def test_ngram_join_counters_travel_packed_and_sets_go_when_compared(spark, monkeypatch):
+    """The token order is that of the summed counters; whole sets and unions of blocks are deleted once they are compared."""
+    count = np.zeros(1 << ngramjoin.COUNT_BITS, np.int64)
+    count[[0, 5, 9000, 20000, 30000]] = 1, 255, 256, 70_000, 1 << 33
+    rows = dict(ngramjoin._packed(count))
+    assert {i: len(x) // ngramjoin.COUNTERS for i, x in rows.items()} == {0: 1, 1: 2, 2: 4, 3: 8}
+    docs = [(i, " ".join(f"w{(i // 3 * 7 + j) % 97}" for j in range(30 + i % 3))) for i in range(60)] + [(60, None), (61, "a b")]
+    df = spark.createDataFrame(docs, DOCS).repartition(4)
+    scan = ngramjoin._scan(df, 3)
+    assert scan.where("bucket is not null").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= count.size // ngramjoin.COUNTERS
+    whole = np.zeros(count.size, np.int64)
+    for s in ngramjoin._sets(pa.array([t for _, t in docs]), 3):
+        np.add.at(whole, (s >> np.uint64(64 - ngramjoin.COUNT_BITS)).astype(np.int64), 1)
+    assert np.array_equal(ngramjoin._levels(scan), np.where(whole > 0, 2 * np.log2(np.maximum(whole, 1)), 0).astype(np.uint8))
+
+    gone, delete = [], common._delete
+    left: list = []
+    monkeypatch.setattr(common, "_delete", lambda s, path: gone.append(path.rsplit("/", 1)[1]) or delete(s, path))
+    named = ngramjoin.components
+    monkeypatch.setattr(ngramjoin, "components", lambda e, name: left.append([p for f in common._inside for p in f]) or named(e, name))
+    ngramjoin.jaccard_components(df).collect()
+    assert len(left) == 2 and all("join-links" in " ".join(p) and "join-sets" not in " ".join(p) and "join-unions" not in " ".join(p) for p in left)
+    assert {"join-sets", "join-unions", "join-links"} <= {x.rsplit("-", 1)[0] for x in gone} and common._inside == []
