@@ -271,3 +271,28 @@ def test_folds_end_when_the_full_model_fails(spark):
     with pytest.raises(ValueError):
         bo.fit(data(spark).filter("false"), None, COLS, "y", tells=pace)
     assert not pace.reaches(1)
+
+
+def test_joint_bins_give_the_sums_of_each_feature(spark, monkeypatch):
+    """Features counted by their joint bin or each alone: the same trees."""
+    groups = bo._groups([64, 2, 64, 26, 7, 5000], 4096)
+    assert sorted(j for g in groups for j in g) == list(range(6)) and len(groups) == 3
+    assert all(len(g) == 1 or math.prod([64, 2, 64, 26, 7, 5000][j] for j in g) <= 4096 for g in groups)
+    d, trees = data(spark, 2000), []
+    for cells in (1, 1 << 15):
+        monkeypatch.setattr(bo, "CELLS", cells)
+        trees.append(bo.fit(d, None, COLS, "y", categories=CATS, rounds=3, rate=0.3, depth=3).trees)
+    for one, other in zip(*trees):
+        assert one["splits"] == other["splits"] and one["values"] == pytest.approx(other["values"])
+
+
+def test_a_fit_keeps_scores_and_no_second_copy_of_the_rows(spark):
+    d = data(spark)
+    ready = bo.prepare(d, None, COLS, "y", categories=CATS)
+    run = bo._Fit(ready, ready.model, bo.make_loss("logistic"), [])
+    run.add({"depth": 1, "splits": {"0": [1, [2]]}, "values": {"1": 0.5, "2": -0.25}})
+    kept = [f for part in run.data.collect() for f in part]
+    assert sum(len(f) for f in kept) == 400 and all(f.dtype == float and f.ndim == 1 for f in kept)
+    assert sorted({round(v - ready.model.start, 6) for f in kept for v in f}) == [-0.25, 0.5]
+    run.release()
+    ready.release()
