@@ -195,7 +195,9 @@ def _whole_sets(cls: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
     want = stage(classes.join(cls.distinct(), "cls", "left_semi").select("cls", "doc_id"), "join-want")
     rows = want.count()
     ids = want.select(F.col("doc_id").alias("_id")).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("_id"))
+    # one long as the key (null as 0, told apart by the condition): the driver builds the broadcast in a fraction of the memory
+    zero = F.lit(0).cast("long")
+    on = (F.coalesce(F.col("doc_id").cast("long"), zero) == F.coalesce("_id", zero)) & (F.isnull("doc_id") == F.isnull("_id"))
     some = docs.select("doc_id", "text").join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids, on, "left_semi")
     got = _details(some, k, percent, levels, "set").select("cls", "n", "tokens")
     got = stage(bounded_join(got, want.select("cls"), ["cls"], rows, "left_semi"), "join-sets")

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 import zlib
 
@@ -153,3 +154,14 @@ def test_documents_without_passages_keep_all_columns(spark):
     got = decontam.clean_documents(wide, bm)
     assert got.columns == wide.columns and sorted(r["n"] for r in got.collect()) == [2, 2, 3]
     assert decontam.clean_documents(d.limit(0), bm).count() == 0 and decontam.clean_documents(d, bm.limit(0)).count() == 5
+
+
+def test_language_sample_is_held_in_eight_bytes_an_ngram(spark, monkeypatch):
+    """What the driver learns from: ids and counts of four bytes each, in the fixed order."""
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda samples, **_: seen.extend(samples))
+    rows = [(None if i == 5 else i, "one two three " * (i + 1), "en" if i % 2 else "de") for i in range(20)] + [(3, "three", "en"), (3, "four", "en")]
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), F.lit(True))
+    assert len(seen) == 22 and all(i.dtype == c.dtype == np.int32 and len(i) == len(c) for _, i, c in seen)
+    key = lambda r: (math.floor((r[0] or 0) * 0.6180339887498949 % 1 * 1e9), r[0] or 0, r[2])
+    assert [s[0] for s in seen] == [r[2] for r in sorted(rows, key=key)]

@@ -167,3 +167,12 @@ def test_ngram_join_counters_travel_packed_and_sets_go_when_compared(spark, monk
     ngramjoin.jaccard_components(df).collect()
     assert len(left) == 2 and all("join-links" in " ".join(p) and "join-sets" not in " ".join(p) and "join-unions" not in " ".join(p) for p in left)
     assert {"join-sets", "join-unions", "join-links"} <= {x.rsplit("-", 1)[0] for x in gone} and common._inside == []
+
+
+def test_near_duplicates_of_null_and_zero_ids(spark):
+    """A null doc_id is not the id 0, whose document's set must not be read for it."""
+    text = lambda x, n=40: " ".join(f"{x}{i}" for i in range(n))
+    rows = [(0, text("a")), (None, text("b")), (None, text("b") + " x"), (7, text("a") + " x"), (0, text("c"))]
+    got = sorted(((r["doc_id"], r["component_id"]) for r in ngramjoin.jaccard_components(
+        spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()), key=str)
+    assert got == [(0, 0), (0, 0), (7, 0), (None, None), (None, None)]
