@@ -12,8 +12,12 @@ level leaves larger is cut into leaves of its radius by hash.
 
 Dual traversal.  Starting from the pairs (root, root), a pair of nodes goes on to the
 pairs of their children unless the centres are further apart than both radii and delta together; then no
-pair of vectors below can qualify.  Pairs of leaves are compared in one task each, again by
-child nodes with their own centres and radii, and what is left by exact cosines.
+pair of vectors below can qualify.  Leaves are dealt to groups of bounded size, and the pairs of leaves
+of two groups are compared in one task, each again by child nodes with their own centres and radii, and what is left by exact cosines.
+So a vector moves once per group that it meets, not once per leaf; where that is more than a few copies of
+the table, the pairs of groups are settled in rounds, whose shuffle files go before the next one.  Vectors are staged as they
+came (four bytes a component where the table has floats) and made unit vectors where they are compared; every staged
+table is deleted as soon as the next one stands.
 
 The sample only shapes the tree; the bounds hold for every vector, so the result is exact.
 
@@ -25,67 +29,78 @@ they are such vectors); an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lapse.llm.common import bounded_join, components, stage
+from lapse.llm.common import bounded_join, components, discard, discarding, stage
 
 LEAF = 4096          # vectors of a leaf
 FAN = 32             # vectors sampled for the centres of a node
 LEVELS = 5           # radii 1, 1/2, .. 1/16
 SLACK = 1e-9
 CENTRE_ROWS = 2000   # nodes whose centres are broadcast at once
+GROUPS = 16          # groups of leaves, at least
+GROUP_BYTES = 16 << 20       # bytes of a group's unit vectors, about
+SENT = 2             # copies of the vectors that a round moves, more while they take less than
+ROUND_BYTES = 256 << 20
 
 
-def _matrix(col: pa.Array) -> np.ndarray:
-    """Vectors packed as doubles, one row each."""
+def _matrix(col: pa.Array, kind) -> np.ndarray:
+    """Unit vectors, one row each, of vectors packed as they came."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     raw = b"".join(x.as_py() for x in col)
-    return np.frombuffer(raw, np.float64).reshape(len(col), -1)
-
-
-def _packed(m: np.ndarray) -> pa.Array:
-    return pa.array([row.tobytes() for row in m], pa.binary())
+    x = np.frombuffer(raw, kind).reshape(len(col), -1).astype(float)
+    x /= np.abs(x).max(1, keepdims=True)             # so that squares neither over- nor underflow
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] + 0.0
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * (x @ y.T), 0.0))
 
 
-def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(vec_id, cls) of every row, cls null where it links with nothing; (cls, copies, dim, vec) of the classes."""
+def _classes(vectors: DataFrame, keep: Callable) -> tuple[DataFrame, DataFrame, type]:
+    """(vec_id, cls) of every row, kept, cls null where it links with nothing; (cls, copies, dim, vec) of the classes, staged; the
+    type of the packed components."""
+    kind = np.float32 if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else np.float64
     e = F.transform("embedding", lambda x: x.cast("double"))
     good = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     rows = vectors.select("vec_id", F.when(F.coalesce(good, F.lit(False)), e).alias("e"))
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            out, raw = [], []
             for v in b.column("e"):
-                x = None if v.as_py() is None else np.array(v.as_py(), float)
+                x = v.values.to_numpy() if v.is_valid else None
+                raw.append(None if x is None else x.astype(kind).tobytes())
                 if x is not None:
-                    x = x / np.abs(x).max()          # so that squares neither over- nor underflow
+                    x = x / np.abs(x).max()
                     x = (x / math.sqrt(float(x @ x)) + 0.0).tobytes()
                 out.append(x)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(out, pa.binary())], ["vec_id", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(out, pa.binary()), pa.array(raw, pa.binary())], ["vec_id", "unit", "vec"])
 
-    unit_rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "e").mapInArrow(unit, "vec_id long, vec binary")
-    r = stage(unit_rows.withColumn("cls", F.when(F.col("vec").isNotNull(), F.xxhash64("vec"))), "cover-rows")
+    unit_rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "e").mapInArrow(unit, "vec_id long, unit binary, vec binary")
+    r = stage(unit_rows.select("vec_id", "vec", F.when(F.col("unit").isNotNull(), F.xxhash64("unit")).alias("cls")), "cover-rows")
+    ids = keep(r.select("vec_id", "cls"), "cover-ids")
     c = r.where("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"), F.first("vec").alias("vec"))
-    return r.select("vec_id", "cls"), c.select("cls", "copies", (F.length("vec") / 8).cast("long").alias("dim"), "vec")
+    width = np.dtype(kind).itemsize
+    c = stage(c.select("cls", "copies", (F.length("vec") / width).cast("long").alias("dim"), "vec"), "cover-classes")
+    discard(r)
+    return ids, c, kind
 
 
-def _fit(radius: float, fan_of):
+def _fit(radius: float, kind):
     """Centres of a node from its sample: greedily, further apart than the radius; at least two
     if there are two (then the farthest from the first)."""
     def fit(t: pa.Table) -> pa.Table:
         t = t.sort_by("cls")
-        x = _matrix(t.column("vec"))
+        x = _matrix(t.column("vec"), kind)
         take = [0]
         d = _distances(x, x)
         for i in range(1, len(x)):
@@ -94,44 +109,47 @@ def _fit(radius: float, fan_of):
         if len(take) == 1 and len(x) > 1:
             take.append(int(d[0].argmax()))
         return pa.table({"node": pa.array([t.column("node")[0].as_py()], pa.int64()),
-                         "centres": pa.array([x[take].tobytes()], pa.binary())})
+                         "centres": pa.array([[c.tobytes() for c in x[take]]], pa.list_(pa.binary()))})
 
     return fit
 
 
-def _assign(radius: float):
-    """Child number (2 * centre, plus 1 outside the radius), its centre and the distance, of every vector."""
+def _assign(radius: float, kind):
+    """Child number (2 * centre, plus 1 outside the radius) and the distance to its centre, of every vector."""
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.num_rows
             vec = b.column("vec")
-            child, far, centre = np.zeros(n, np.int64), np.zeros(n), [b""] * n
+            child, far = np.zeros(n, np.int64), np.zeros(n)
             nodes = b.column("node").to_numpy()
             for node in np.unique(nodes):
                 at = np.flatnonzero(nodes == node)
-                x = _matrix(vec.take(pa.array(at)))
-                c = np.frombuffer(b.column("centres")[int(at[0])].as_buffer(), np.float64).reshape(-1, x.shape[1])
+                x = _matrix(vec.take(pa.array(at)), kind)
+                c = np.frombuffer(b"".join(b.column("centres")[int(at[0])].as_py()), np.float64).reshape(-1, x.shape[1])
                 d = _distances(x, c)
-                near = d.argmin(1)
                 far[at] = d.min(1)
-                child[at] = 2 * near + (far[at] > radius)
-                for i, k in zip(at, near):
-                    centre[i] = c[k].tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [b.column("node"), b.column("cls"), b.column("copies"), b.column("vec"), pa.array(child),
-                 pa.array(centre, pa.binary()), pa.array(far)], ["node", "cls", "copies", "vec", "child", "centre", "far"])
+                child[at] = 2 * d.argmin(1) + (far[at] > radius)
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("cls"), b.column("copies"), vec, pa.array(child), pa.array(far)],
+                                             ["node", "cls", "copies", "vec", "child", "far"])
 
     return assign
 
 
-def _tree(classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Vectors with their leaf (leaf, cls, copies, vec), and of each level the nodes
-    (node, parent, centre, radius, size, leaf)."""
-    cur = classes.select(F.col("dim").alias("node"), "cls", "copies", "vec")
-    roots = cur.groupBy("node").agg(F.first("vec").alias("centre"), F.count("*").alias("size"))
+def _tree(classes: DataFrame, kind) -> tuple[DataFrame, list[DataFrame]]:
+    """Vectors with their leaf (node, cls, copies, vec), and of each level the nodes
+    (node, parent, centre, radius, size).  ``classes`` is a staged table and goes as soon as it is dealt out."""
+    def centres_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, size, vec in zip(b.column("node"), b.column("size"), b.column("vec")):
+                x = _matrix(pa.array([vec.as_py()], pa.binary()), kind)
+                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()]), pa.array([size.as_py()]), pa.array([x.tobytes()], pa.binary())],
+                                                 ["node", "size", "centre"])
+
+    held, cur = classes, classes.select(F.col("dim").alias("node"), "cls", "copies", "vec")
+    roots = cur.groupBy("node").agg(F.first("vec").alias("vec"), F.count("*").alias("size")).mapInArrow(
+        centres_of, "node long, size long, centre binary")
     levels = [stage(roots.select("node", F.lit(None).cast("long").alias("parent"), "centre", F.lit(2.0).alias("radius"),
                                  "size"), "cover-roots")]
-    cur = stage(cur, "cover-points")
     done = []
     for level in range(LEVELS):
         radius = 0.5 ** level
@@ -139,26 +157,25 @@ def _tree(classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         n_big = big.count()
         if not n_big:
             break
-        rest = bounded_join(cur, big.select("node"), ["node"], n_big, "left_anti")
-        done.append(rest)
         mine = bounded_join(cur, big, ["node"], n_big)
         u = F.pmod(F.xxhash64("cls"), F.lit(1 << 30)) / float(1 << 30)
         want = F.least(F.lit(FAN), F.greatest(F.lit(4), F.ceil(2 * F.col("size") / LEAF)))
         sample = mine.where(u < 2 * want / F.col("size")).select("node", "cls", "vec")
-        centres = stage(sample.groupBy("node").applyInArrow(_fit(radius, FAN), "node long, centres binary"), "cover-centres")
+        centres = stage(sample.groupBy("node").applyInArrow(_fit(radius, kind), "node long, centres array<binary>"), "cover-centres")
         with_c = bounded_join(cur, centres, ["node"], 0 if n_big <= CENTRE_ROWS else 1 << 40)
         a = with_c.select("node", "cls", "copies", "vec", "centres").mapInArrow(
-            _assign(radius), "node long, cls long, copies long, vec binary, child long, centre binary, far double")
+            _assign(radius, kind), "node long, cls long, copies long, vec binary, child long, far double")
         a = stage(a.withColumn("parent", F.col("node")).withColumn("node", F.xxhash64("parent", "child", F.lit(level))),
                   "cover-level")
-        nodes = a.groupBy("node").agg(F.first("parent").alias("parent"), F.first("centre").alias("centre"),
-                                      F.max("far").alias("radius"), F.count("*").alias("size"))
+        nodes = a.groupBy("node").agg(F.first("parent").alias("parent"), F.first("child").alias("child"), F.max("far").alias("radius"),
+                                      F.count("*").alias("size"))
+        nodes = nodes.join(centres.withColumnRenamed("node", "parent"), "parent").select(
+            "node", "parent", F.expr("centres[cast(child div 2 as int)]").alias("centre"), "radius", "size")
         levels.append(stage(nodes, "cover-nodes"))
-        # nodes whose sample came out empty stay as they are
-        missed = bounded_join(bounded_join(cur, big.select("node"), ["node"], n_big, "left_semi"),
-                              centres.select("node"), ["node"], n_big, "left_anti")
-        done.append(missed)
-        cur = a.select("node", "cls", "copies", "vec")
+        # nodes that are small, and those whose sample came out empty, stay as they are
+        done.append(stage(bounded_join(cur, centres.select("node"), ["node"], n_big, "left_anti"), "cover-done"))
+        discard(held)
+        held, cur = a, a.select("node", "cls", "copies", "vec")
     done.append(cur)
     points = done[0]
     for d in done[1:]:
@@ -227,7 +244,7 @@ def _pairs(points: DataFrame, levels: list[DataFrame], delta: float) -> tuple[Da
         "node", F.xxhash64("node", "k").alias("leaf"))
     pairs = pairs.join(blocks.toDF("a", "leaf_a"), "a").join(blocks.toDF("b", "leaf_b"), "b").select(
         F.least("leaf_a", "leaf_b").alias("a"), F.greatest("leaf_a", "leaf_b").alias("b")).distinct()
-    return p.select("leaf", "cls", "copies", "vec"), stage(pairs, "cover-leaves")
+    return p.select("leaf", "cls", "copies", "vec"), pairs
 
 
 def _children(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
@@ -268,69 +285,108 @@ def _local_components(links: np.ndarray, row_id: np.ndarray, col_id: np.ndarray)
     yield col_id[c], lc
 
 
-def _compare(threshold: float, delta: float):
-    """Links of a pair of leaves: per vector the number of linked rows, and edges that keep the components."""
-    def compare(t: pa.Table) -> pa.Table:
-        side = t.column("side").to_numpy()
-        cls, copies = t.column("cls").to_numpy(), t.column("copies").to_numpy()
-        x = _matrix(t.column("vec"))
-        a, b = np.flatnonzero(side < 2), np.flatnonzero(side > 0)
-        links = {}
-        out_id, out_to = [], []
-        own = bool((side == 1).all())                   # a leaf with itself
-        nb = _children(x[b])
-        cb, rb = np.array([c for _, c, _ in nb]), np.array([r for _, _, r in nb])
-        count = np.zeros(len(x))
-        for rows, centre, radius in _children(x[a]):
+def _compare(threshold: float, delta: float, kind):
+    """Links of pairs of leaves (rows with ``other``) among the leaves of a task (rows with ``vec``): per vector the number of linked
+    rows, and edges that keep the components."""
+    def leaf_of(rows: pa.Table) -> tuple:
+        x = _matrix(rows.column("vec"), kind)
+        return rows.column("cls").to_numpy(), rows.column("copies").to_numpy(), x, _children(x), np.zeros(len(x))
+
+    def link_leaves(a: tuple, b: tuple, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Counts into both leaves; edges."""
+        (cls_a, copies_a, x_a, kids_a, count_a), (cls_b, copies_b, x_b, kids_b, count_b) = a, b
+        cb, rb = np.array([c for _, c, _ in kids_b]), np.array([r for _, _, r in kids_b])
+        for rows, centre, radius in kids_a:
             ok = np.flatnonzero(_distances(centre[None, :], cb)[0] <= radius + rb + delta + SLACK)
             if not len(ok):
                 continue
-            cols = np.concatenate([nb[k][0] for k in ok])
+            c = np.concatenate([kids_b[k][0] for k in ok])
             for i in range(0, len(rows), 512):
-                r = a[rows[i:i + 512]]
-                c = b[cols]
-                link = x[r] @ x[c].T >= threshold
-                link &= cls[r][:, None] != cls[c][None, :]
+                r = rows[i:i + 512]
+                link = x_a[r] @ x_b[c].T >= threshold
+                link &= cls_a[r][:, None] != cls_b[c][None, :]
                 if not link.any():
                     continue
-                count[r] += link @ copies[c]
+                count_a[r] += link @ copies_b[c]
                 if not own:
-                    count[c] += copies[r] @ link
-                for i_, to in _local_components(link, cls[r], cls[c]):
-                    out_id.append(i_)
+                    count_b[c] += copies_a[r] @ link
+                yield from _local_components(link, cls_a[r], cls_b[c])
+
+    def compare(t: pa.Table) -> pa.Table:
+        pairs, t = t.filter(pc.is_valid(t.column("other"))), t.filter(pc.is_null(t.column("other")))
+        t = t.sort_by("leaf")
+        names, first = np.unique(t.column("leaf").to_numpy(), return_index=True)
+        ends = [*first[1:], t.num_rows]
+        leaves = {name: leaf_of(t.slice(i, j - i)) for name, i, j in zip(names.tolist(), first.tolist(), map(int, ends))}
+        out_id, out_to = [], []
+        for a, b in zip(pairs.column("leaf").to_pylist(), pairs.column("other").to_pylist()):
+            if a in leaves and b in leaves:          # a block that no vector fell into has none
+                for i, to in link_leaves(leaves[a], leaves[b], a == b):
+                    out_id.append(i)
                     out_to.append(to)
-        hit = np.flatnonzero(count)
-        ids = np.concatenate([cls[hit], *out_id]) if len(hit) else np.zeros(0, np.int64)
-        to = np.concatenate([np.zeros(len(hit), np.int64), *out_to]) if len(hit) else np.zeros(0, np.int64)
-        n = np.zeros(len(ids), np.int64)
-        n[:len(hit)] = count[hit].astype(np.int64)
+        hits = [(cls[hit], count[hit].astype(np.int64)) for cls, _, _, _, count in leaves.values() if len(hit := np.flatnonzero(count))]
+        none = np.zeros(0, np.int64)
+        n = np.concatenate([none, *[h[1] for h in hits], *[np.zeros(len(i), np.int64) for i in out_id]])
+        ids = np.concatenate([none, *[h[0] for h in hits], *out_id])
+        to = np.concatenate([none, *[np.zeros(len(h[0]), np.int64) for h in hits], *out_to])
         return pa.table({"cls": pa.array(ids), "other": pa.array(to, mask=n > 0), "links": pa.array(n)})
 
     return compare
 
 
+def _links(points: DataFrame, pairs: DataFrame, threshold: float, delta: float, kind) -> DataFrame:
+    """(cls, other, links) of all pairs of leaves: the leaves in groups, a task for the pairs of two groups, in as many rounds as
+    it takes for a round to move few copies of the vectors."""
+    rows, width = points.agg(F.count("*"), F.coalesce(F.max(F.length("vec")), F.lit(0))).first()
+    dim = width // np.dtype(kind).itemsize
+    groups = max(GROUPS, -(-rows * dim * 8 // GROUP_BYTES))
+    sent = max(SENT, ROUND_BYTES // max(1, rows * (width + 40)))
+
+    def group(leaf):
+        return F.pmod(F.xxhash64(leaf, F.lit(2)), F.lit(groups))
+
+    # a group is in one pair of groups for each sum of their numbers
+    total = F.pmod(F.col("i") + F.col("j"), F.lit(groups))
+    dealt = stage(pairs.select("a", "b", F.least(group("a"), group("b")).alias("i"), F.greatest(group("a"), group("b")).alias("j")).withColumn(
+        "round", F.floor(total / sent)), "cover-dealt")
+    found = None
+    for r in range(-(-groups // sent)):
+        mine = dealt.where(F.col("round") == r)
+        to = stage(mine.select(F.col("a").alias("leaf"), "i", "j").unionByName(mine.select(F.col("b").alias("leaf"), "i", "j")).distinct(),
+                   "cover-sent")
+        sends = bounded_join(points, to, ["leaf"], to.count()).select(
+            "i", "j", "leaf", F.lit(None).cast("long").alias("other"), "cls", "copies", "vec")
+        asks = mine.select("i", "j", F.col("a").alias("leaf"), F.col("b").alias("other"), F.lit(None).cast("long").alias("cls"),
+                           F.lit(None).cast("long").alias("copies"), F.lit(None).cast("binary").alias("vec"))
+        got = stage(sends.unionByName(asks).groupBy("i", "j").applyInArrow(_compare(threshold, delta, kind), "cls long, other long, links long"),
+                    "cover-links")
+        found = got if found is None else found.unionByName(got)
+    return found
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """``vectors``: vec_id, embedding.  One row per vector: vec_id, n_links (other rows linked directly),
     component_id (smallest vec_id reachable by links, itself included), kept (vec_id = component_id)."""
     delta = math.sqrt(max(0.0, 2.0 - 2.0 * threshold))
-    rows, classes = _classes(vectors)
-    classes = stage(classes, "cover-classes")
-    points, levels = _tree(classes)
-    points, pairs = _pairs(points, levels, delta)
-    points = stage(points, "cover-leafed")
-    # a leaf's vectors go to each of its pairs; side 0: a, 2: b, 1: the pair (a, a)
-    to = pairs.select(F.col("a").alias("leaf"), "a", "b", F.when(F.col("a") == F.col("b"), 1).otherwise(0).alias("side")).unionByName(
-        pairs.where("a <> b").select(F.col("b").alias("leaf"), "a", "b", F.lit(2).alias("side")))
-    sent = points.join(to, "leaf").select("a", "b", "side", "cls", "copies", "vec")
-    found = stage(sent.groupBy("a", "b").applyInArrow(_compare(threshold, delta), "cls long, other long, links long"), "cover-links")
-    links = found.where("other is null").groupBy("cls").agg(F.sum("links").alias("links"))
-    comp = components(found.where("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")), "cover-components")
-    info = classes.select("cls", "copies").join(links, "cls", "left").join(
-        comp.select(F.col("id").alias("cls"), "component"), "cls", "left").select(
-        "cls", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component"))
-    r = stage(rows.join(info, "cls", "left"), "cover-result")
+    with discarding(vectors.sparkSession) as keep:
+        r = keep(_linked(vectors, threshold, delta), "cover-result")
     low = r.where("component is not null").groupBy("component").agg(F.min("vec_id").alias("component_id"))
     return r.join(low, "component", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),
         F.coalesce("component_id", "vec_id").eqNullSafe(F.col("vec_id")).alias("kept"))
+
+
+def _linked(vectors: DataFrame, threshold: float, delta: float) -> DataFrame:
+    """vec_id, cls, n_links and component (of classes) of every row."""
+    with discarding(vectors.sparkSession) as keep:           # the tree goes before the leaves are compared
+        rows, classes, kind = _classes(vectors, keep)
+        points, pairs = _pairs(*_tree(classes, kind), delta)
+        points, pairs = keep(points, "cover-leafed"), keep(pairs, "cover-leaves")
+    found = _links(points, pairs, threshold, delta, kind)
+    links = found.where("other is null").groupBy("cls").agg(F.sum("links").alias("links"))
+    comp = components(found.where("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")), "cover-components")
+    info = points.select("cls", "copies").join(links, "cls", "left").join(
+        comp.select(F.col("id").alias("cls"), "component"), "cls", "left").select(
+        "cls", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component"))
+    return rows.join(info, "cls", "left")

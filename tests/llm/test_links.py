@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -7,6 +8,7 @@ from helpers import SF, Union, jaccard_components
 from pyspark.sql import functions as F
 
 from lapse.llm import common, covertree, ngramjoin, queries
+from lapse.session import scratch_path
 
 DOCS = "doc_id long, text string"
 
@@ -169,6 +171,23 @@ def test_ngram_join_counters_travel_packed_and_sets_go_when_compared(spark, monk
     assert {"join-sets", "join-unions", "join-links"} <= {x.rsplit("-", 1)[0] for x in gone} and common._inside == []
 
 
+def test_cover_tree_in_groups_and_rounds(spark, monkeypatch):
+    """Leaves in more groups than a round settles; nothing that was staged on the way stays."""
+    for name, value in (("LEAF", 20), ("GROUPS", 5), ("ROUND_BYTES", 0)):
+        monkeypatch.setattr(covertree, name, value)
+    r = np.random.default_rng(3)
+    hot = r.normal(size=8)
+    v = [list(map(float, r.normal(size=8))) for _ in range(60)] + [list(map(float, hot + 0.1 * r.normal(size=8))) for _ in range(60)]
+    v += [[x * 3 for x in v[1]], [x * 1e200 for x in v[2]], [x * 1e-200 for x in v[3]], v[70], None, v[3][:7], v[5][:7]]
+    rows = [(i * 3 + 1, x) for i, x in enumerate(v)]
+    want = [(i, x and [y / max(map(abs, x)) for y in x]) for i, x in rows]
+    top = Path(scratch_path(spark, f"llm-{spark.sparkContext.applicationId}").removeprefix("file:"))
+    before = set(top.glob("cover-*"))
+    out = covertree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), 0.95)
+    assert {p.name.rsplit("-", 1)[0] for p in set(top.glob("cover-*")) - before} == {"cover-result"}
+    assert sorted(tuple(x) for x in out.collect()) == brute_vectors(want, 0.95)
+
+
 def test_near_duplicates_of_null_and_zero_ids(spark):
     """A null doc_id is not the id 0, whose document's set must not be read for it."""
     text = lambda x, n=40: " ".join(f"{x}{i}" for i in range(n))
